@@ -19,8 +19,16 @@ def whole_texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def sample(rows: DataFrame, n: int, order: Column) -> DataFrame:
-    """``n`` rows at most, chosen by a hash of the id."""
+def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` rows (doc_id, text, ...) at most, chosen by a hash.
+
+    Where there are more, a threshold on the hash leaves about ``n`` before they are sorted, so that all
+    tasks together, and not each, send that many to the driver.
+    """
+    order = F.xxhash64("doc_id", "text", F.lit(seed))
+    total = rows.count()
+    if total > n:
+        rows = rows.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * n / total) + 1)
     return rows.orderBy(order, "doc_id").limit(n)
 
 

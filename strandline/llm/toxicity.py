@@ -122,7 +122,7 @@ def train(labelled: DataFrame) -> Model:
     ratio = np.zeros(1 << BITS)
     strong = np.abs(ratios) >= LEAST_ERRORS * np.sqrt(1 / (toxic + 1) + 1 / (other + 1))
     ratio[feature[strong]] = ratios[strong]
-    fit = sample(labelled, FIT_ROWS, F.xxhash64("doc_id", F.lit(3))).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).collect()
+    fit = sample(labelled, FIT_ROWS, 3).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).collect()
     return _fit(fit, ratio)
 
 
