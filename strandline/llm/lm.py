@@ -61,6 +61,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens and their counts, ``HEAD`` at most, down to a count that a histogram gives.
+
+    So all tasks together send no more than that, where a sort with a limit would send as much from each.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    histogram = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # 512 rows at most
+    cut, total = None, 0
+    for r in histogram:
+        total += r["count"]
+        if total > HEAD:
+            break
+        cut = r["level"]
+    found = counts.where(level >= cut if cut is not None else F.lit(False)).toArrow()
+    return found.column("token").to_numpy(), found.column("n").to_numpy()
+
+
 class Words:
     """Look-up of token hashes in a sorted table."""
 
@@ -194,7 +211,7 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
     another word's probability is multiplied by its share (c + 0.1) of the counts of all other words, unseen words counting as one.
 
     Counts are of all training tokens. The model is trained by noise-contrastive estimation on all of them: each task on its own, then
-    averaged by tokens, so what reaches the driver is a model's parameters. The ``HEAD`` most frequent words' counts are broadcast; the
+    averaged by tokens, so what reaches the driver is a model's parameters. The most frequent words' counts, ``HEAD`` at most, are broadcast; the
     other tokens are joined to theirs. (Words are held as 64-bit hashes.)
 
     A null or empty text is its end alone. Without training texts c, N and V are 0. A null id is in fold 0; repeated rows
@@ -207,9 +224,10 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(_END.view(np.int64))
     ends = float((counts.where(F.col("token") == end).agg(F.sum("n")).first()[0]) or 0)
-    head = counts.where(F.col("token") != end).orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
-    tokens = np.append(head.column("token").to_numpy().view(np.uint64), _END)  # the end is last
-    n = np.append(head.column("n").to_numpy(), ends).astype(float)
+    head = _head(counts.where(F.col("token") != end))
+    order = np.lexsort((head[0], -head[1]))
+    tokens = np.append(head[0][order].view(np.uint64), _END)  # the end is last
+    n = np.append(head[1][order], ends).astype(float)
     own = np.arange(min(len(tokens) - 1, VOCABULARY))
     # the vocabulary: own words, the end, and any other word last
     m = len(own) + 2

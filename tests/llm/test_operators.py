@@ -305,7 +305,7 @@ def test_language_model_is_normalised_and_tails_are_joined(spark, monkeypatch):
     data = [(k, prose(k, 200) + f" rare{k}") for k in range(60)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     whole = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.language_model_scores(docs).collect()}
-    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "HEAD", 30)
     monkeypatch.setattr(lm, "VOCABULARY", 8)
     split = lm.language_model_scores(docs).collect()
     assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in split} == whole
