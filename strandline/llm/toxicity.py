@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import textbatch
 from strandline.llm.learning import fold, sample, whole_texts
+from strandline.llm.storage import saved
 
 #: Bytes in an n-gram; n-grams are hashed into 2**BITS features.
 SIZES = (4, 5, 6)
@@ -28,7 +29,9 @@ _CODE[[9, 10, 11, 12, 13]] = _CODE[32]
 def features(t: textbatch.Texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs, by text; of ``wanted`` features only, if given."""
     code = _CODE[t.data]
-    texts, found = [], []
+    text_of = np.repeat(np.arange(len(t), dtype=np.int32), np.diff(t.offsets))
+    kind = np.uint32 if len(t) < 1 << (32 - BITS) else np.int64  # short keys are sorted faster
+    found = []
     for size in SIZES:
         n = len(code) - size + 1
         if n <= 0:
@@ -40,16 +43,15 @@ def features(t: textbatch.Texts, wanted: np.ndarray | None = None) -> tuple[np.n
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * size)
         h >>= np.uint64(64 - BITS)
-        h = h.astype(np.int64)
-        at = np.flatnonzero(wanted[h]) if wanted is not None else np.arange(n)
-        text = np.searchsorted(t.offsets, at, "right") - 1
-        inside = at + size <= t.offsets[text + 1]
-        texts.append(text[inside])
-        found.append(h[at[inside]])
-    if not texts:
+        inside = text_of[:n] == text_of[size - 1 :]
+        if wanted is not None:
+            inside &= wanted[h]
+        at = np.flatnonzero(inside)
+        found.append((text_of[at].astype(kind) << kind(BITS)) | h[at].astype(kind))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique((np.concatenate(texts) << BITS) | np.concatenate(found))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    pairs = np.unique(np.concatenate(found))
+    return (pairs >> kind(BITS)).astype(np.int64), (pairs & kind((1 << BITS) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -111,6 +113,7 @@ def train(labelled: DataFrame) -> Model:
     """A model from (doc_id, text, toxic). Without documents of both kinds every score is the toxic share, or 0."""
     rows = labelled.select("text", F.col("toxic").cast("boolean").alias("toxic"))
     found = rows.mapInArrow(_counts, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    found = saved(found, "counts")
     # 2**BITS + 1 rows at most
     count = found.where(F.col("feature") < 0).first()
     n = (count.toxic or 0, count.other or 0) if count else (0, 0)
