@@ -1 +1,3 @@
 """Whole jobs composed of operators, and the registered queries."""
+
+from strandline.plans import queries, research  # noqa: F401  (research registers its queries in the same table)
