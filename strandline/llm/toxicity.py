@@ -21,6 +21,10 @@ BITS = 20
 FIT_ROWS = 6000
 #: A feature is used if it occurs in so many documents and its log-count ratio is so many standard errors from 0.
 LEAST_DOCUMENTS, LEAST_ERRORS = 2, 3.0
+#: Labels that are broadcast to the texts; more are joined by a shuffle of both.
+MOST_BROADCAST = 2_000_000
+#: Pairs that a step of the fit looks at together, which bounds its memory.
+BLOCK = 1 << 20
 _CODE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _CODE[65:91] = _CODE[97:123]  # A-Z as a-z
 _CODE[[9, 10, 11, 12, 13]] = _CODE[32]
@@ -85,30 +89,39 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(c) for c in columns], ["feature", "toxic", "other"])
 
 
-def _fit(rows: list, ratio: np.ndarray, epochs: int = 60, rate: float = 0.1, decay: float = 1e-3) -> Model:
-    """Logistic regression on presence times ratio, by full-batch Adagrad."""
-    text, feature, toxic, done = [], [], [], 0
-    for lo, t in textbatch.texts(pa.array([r.text for r in rows], pa.string())):
+def _fit(rows: pa.Table, ratio: np.ndarray, epochs: int = 60, rate: float = 0.1, decay: float = 1e-3) -> Model:
+    """Logistic regression on presence times ratio, by full-batch Adagrad.
+
+    A pair of a text and a feature takes eight bytes: the ratios multiply weights and gradients, not pairs.
+    """
+    kept = np.flatnonzero(ratio)
+    place = np.zeros(len(ratio), np.int32)
+    place[kept] = np.arange(len(kept))
+    pairs = []
+    for lo, t in textbatch.texts(rows.column("text").combine_chunks()):
         own, f = features(t, ratio != 0)
-        text.append(own + lo)
-        feature.append(f)
-    toxic = np.array([float(r.toxic) for r in rows])
-    text, feature = np.concatenate(text), np.concatenate(feature)
-    kept, at = np.unique(feature, return_inverse=True)
-    x = ratio[kept][at]
+        own, f = (own + lo).astype(np.int32), place[f]
+        pairs += [(own[k : k + BLOCK], f[k : k + BLOCK]) for k in range(0, len(own), BLOCK)]
+    toxic = rows.column("toxic").to_numpy().astype(float)
+    scale, n = ratio[kept], len(toxic)
     share = min(max(toxic.mean(), 1e-3), 1 - 1e-3)
     w, b = np.zeros(len(kept)), float(np.log(share / (1 - share)))
     seen_w, seen_b = np.full(len(kept), 1e-8), 1e-8
-    for done in range(epochs):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(text, w[at] * x, len(rows)), -30, 30)))
-        g = (p - toxic) / len(rows)
-        gw = np.bincount(at, g[text] * x, len(kept)) + decay * w
+    for _ in range(epochs):
+        total, v = np.full(n, b), w * scale
+        for text, at in pairs:
+            total += np.bincount(text, v[at], n)
+        g = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - toxic) / n
+        gw = np.zeros(len(kept))
+        for text, at in pairs:
+            gw += np.bincount(at, g[text], len(kept))
+        gw = gw * scale + decay * w
         seen_w += gw * gw
         seen_b += g.sum() ** 2
         w -= rate * gw / np.sqrt(seen_w)
         b -= rate * g.sum() / np.sqrt(seen_b)
     weights = np.zeros(1 << BITS)
-    weights[kept] = w * ratio[kept]
+    weights[kept] = w * scale
     return Model(weights, b)
 
 
@@ -128,7 +141,7 @@ def train(labelled: DataFrame) -> Model:
     ratio = np.zeros(1 << BITS)
     strong = np.abs(ratios) >= LEAST_ERRORS * np.sqrt(1 / (toxic + 1) + 1 / (other + 1))
     ratio[feature[strong]] = ratios[strong]
-    fit = sample(labelled, FIT_ROWS, 3).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).collect()
+    fit = sample(labelled, FIT_ROWS, 3).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).toArrow()
     return _fit(fit, ratio)
 
 
@@ -147,6 +160,8 @@ def toxicity(
     """
     texts = whole_texts(docs, id_col, text_col)
     marks = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    if marks.count() <= MOST_BROADCAST:
+        marks = F.broadcast(marks)
     model = train(texts.where(fold(F.col("doc_id"), folds) != held).join(marks, "doc_id"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
