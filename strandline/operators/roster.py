@@ -112,3 +112,16 @@ def oversize(roster: DataFrame, limits: DataFrame) -> DataFrame:
 def contract(df: DataFrame, needed: list[str]) -> DataFrame:
     """One row: n_missing (columns of ``needed`` that ``df`` lacks) and is_empty."""
     return df.limit(1).agg((F.count("*") == 0).alias("is_empty")).select(F.lit(len(set(needed) - set(df.columns))).cast("long").alias("n_missing"), "is_empty")
+
+
+def master(rows: DataFrame, exchanges: DataFrame, currency: str) -> DataFrame:
+    """Master rows of ordinary common shares on known exchanges: ``exchanges`` has exchange_group, country_code and currency (null: the default).
+
+    One row for each row kept; names that are null are common and ordinary, with an empty issuer.
+    """
+    name = F.col("company_name")
+    kept = rows.where((text.security_type(name) == "common_share") & (text.share_class(name) == "ordinary")).join(F.broadcast(exchanges), "exchange_group")
+    return kept.select(
+        "security_id", text.stem(F.col("security_id")).alias("ticker_local"), text.exchange_code(F.col("security_id")).alias("exchange_code"), "exchange_group", "country_code",
+        F.coalesce("currency", F.lit(currency)).alias("currency"), text.issuer_group(name).alias("issuer_group_id"), (F.col("vendor_roster_status") == "delisted_only").alias("is_delisted"),
+    )

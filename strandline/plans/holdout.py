@@ -101,6 +101,28 @@ def fold_conformity(spark, sf_dir):
     )
 
 
+_LOCK = FOLDS[-1]  # the fold whose test is the holdout
+
+
+@query(f"""{_RETURNS},{_LEVELS},
+br as (select a.month, a.level / b.level - 1 as base from lv a join lv b on b.month = a.month - 1),
+tr as (select candidate_id, round(coalesce({_SHARPE.format("net", 12)}, 0), 9) as s from net where month between {_LOCK[1]} and {_LOCK[2]} group by 1),
+lk as (select candidate_id from tr order by s desc, candidate_id limit 1),
+hm as (select candidate_id, month, net, base from net join lk using (candidate_id) left join br using (month) where {_HELD})
+select candidate_id, month, round(product(1 + net) over w, 6) as equity, round(product(1 + coalesce(base, 0)) over w, 6) as benchmark from hm window w as (order by month)""")
+def locked_walk_forward(spark, sf_dir):
+    """The candidate locked before the holdout, month by month through it, beside the primary benchmark (R18, IO12)."""
+    rows = backtest(spark, sf_dir)
+    before = rows.where(f"month between {_LOCK[1]} and {_LOCK[2]}").groupBy("candidate_id").agg(F.round(stats.sharpe(F.col("net")), 9).alias("s"))
+    locked = before.orderBy(F.desc("s"), "candidate_id").limit(1).select("candidate_id")
+    levels = _levels(spark, sf_dir)
+    base = levels.join(levels.select((F.col("month") + 1).alias("month"), F.col("level").alias("was")), "month").select("month", (F.col("level") / F.col("was") - 1).alias("base"))
+    held = rows.where(_HELD).join(F.broadcast(locked), "candidate_id").join(F.broadcast(base), "month", "left")
+    w = Window.partitionBy("candidate_id").orderBy("month")
+    growth = [F.product(1 + F.coalesce(c, F.lit(0.0))).over(w).alias(n) for c, n in (("net", "equity"), ("base", "benchmark"))]
+    return _rounded(held.select("candidate_id", "month", *growth), "candidate_id", "month", "equity", "benchmark")
+
+
 @query(f"""{_PATHS},
 la as (select candidate_id, product(1 + net) as last from net group by 1)
 select candidate_id, any_value(last) is not null as projected, round(any_value(last), 4) as last_equity, round(quantile_cont(last * equity, {LOW}), 4) as low_cap, round(quantile_cont(last * equity, {HIGH}), 4) as high_cap

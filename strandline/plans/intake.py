@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from strandline.functions import text
@@ -63,6 +65,21 @@ def review_recommendations(spark, sf_dir):
     return _merged(spark, sf_dir).select("security_id", decision.alias("recommendation"), reason.alias("reason"))
 
 
+_EXCHANGES = [("ST", "SE", None), ("CO", "DK", "DKK"), ("OL", "NO", "NOK")]
+_DASHED = f"regexp_replace(regexp_replace(regexp_replace(lower(company_name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+_BARE = reduce(lambda x, own: f"regexp_replace({x}, '(-({'|'.join(own)}))+$', '')", (text.SHARE_WORDS, text.LEGAL_WORDS), _DASHED)
+
+
+@query(_with(f"""{_MERGED}
+select security_id, split_part(security_id, '.', 1) as ticker_local, split_part(security_id, '.', -1) as exchange_code, exchange_group, country_code, coalesce(currency, 'SEK') as currency,
+    {_BARE} as issuer_group_id, vendor_roster_status = 'delisted_only' as is_delisted
+from ro join (values ('ST', 'SE', null), ('CO', 'DK', 'DKK'), ('OL', 'NO', 'NOK')) x(exchange_group, country_code, currency) using (exchange_group)
+where {_TYPE} = 'common_share' and not regexp_matches({_NAME}, 'pref|right|sdr|depositary')"""))
+def security_master(spark, sf_dir):
+    """Ordinary common shares of the roster as master rows (PF10, PF7)."""
+    return roster.master(_merged(spark, sf_dir), spark.createDataFrame(_EXCHANGES, "exchange_group string, country_code string, currency string"), "SEK")
+
+
 @query(_with(f"{_MERGED} select distinct security_id, exchange_group, isin from rv where reason = '{roster.NEEDS_REVIEW}' and exchange_group in {tuple(GROUPS)}"))
 def review_shortlist(spark, sf_dir):
     """Candidates on active exchanges (PF11, PF14)."""

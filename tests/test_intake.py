@@ -56,5 +56,14 @@ def test_contract_and_size(spark):
     assert [tuple(r) for r in roster.oversize(rows, spark.createDataFrame([("ST", 1)], "exchange_group string, most int")).collect()] == [("ST", 2, 1, True)]
 
 
+def test_master(spark):
+    rows = [("A-B.ST", "ST", "Alpha AB (publ)", "both"), ("B.ST", "ST", "Beta Pref", "both"), ("C.ST", "ST", "Gamma Fund", "both"), ("D.OL", "OL", "Delta & Sons ASA", "delisted_only"), ("E.QQ", "QQ", "Eta", "both"), ("F.ST", "ST", None, None)]
+    known = spark.createDataFrame([("ST", "SE", None), ("OL", "NO", "NOK")], "exchange_group string, country_code string, currency string")
+    got = roster.master(spark.createDataFrame(rows, "security_id string, exchange_group string, company_name string, vendor_roster_status string"), known, "SEK")
+    assert {(r.security_id, r.ticker_local, r.exchange_code, r.currency, r.issuer_group_id, r.is_delisted) for r in got.collect()} == {
+        ("A-B.ST", "A-B", "ST", "SEK", "alpha", False), ("D.OL", "D", "OL", "NOK", "delta-and-sons", True), ("F.ST", "F", "ST", "SEK", "", None),
+    }
+
+
 def test_registered():
     assert {"merged_rosters", "official_matches", "allowlist_matches"} <= set(queries.queries()) & set(queries.oracle_sql())
