@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +15,17 @@ from strandline.llm import textbatch
 from strandline.llm.learning import fold, whole_texts
 from strandline.llm.storage import saved
 
-#: Words with a vector of their own, the most frequent; all others share one, and the text's end has one.
-VOCABULARY = 1022
-#: Words whose counts are broadcast, the most frequent; the rest are joined.
+#: Words with vectors of their own: the most frequent, ``GROWTH`` times the root of the counted tokens, but ``VOCABULARY`` at least.
+#: All others share vectors, and the text's end has its own.
+VOCABULARY, GROWTH = 1022, 4
+#: Words whose counts are broadcast, the most frequent (at least those with vectors); the rest are joined.
 HEAD = 1 << 17
 #: Length of a vector, noise words for each batch, batch size, learning rate.
-SIZE, NOISE, BATCH, RATE = 16, 64, 4096, 0.15
+SIZE, NOISE, BATCH, RATE = 16, 64, 4096, 0.05
 #: A frequent context and word is trained on in several rows of so many occurrences at most.
 TIMES = 8
+#: Tokens that a task holds before it trains on them; where the sums of squared gradients begin.
+LEARN, START = 2_000_000, 1e-8
 ALPHA = 0.1
 _END = textbatch.mixed(np.array([2**62 + 12345], np.uint64))[0]
 
@@ -61,8 +64,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens and their counts, ``HEAD`` at most, down to a count that a histogram gives.
+def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens and their counts, ``most`` at most, down to a count that a histogram gives.
 
     So all tasks together send no more than that, where a sort with a limit would send as much from each.
     """
@@ -71,7 +74,7 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     cut, total = None, 0
     for r in histogram:
         total += r["count"]
-        if total > HEAD:
+        if total > most:
             break
         cut = r["level"]
     found = counts.where(level >= cut if cut is not None else F.lit(False)).toArrow()
@@ -98,7 +101,8 @@ class Words:
 class LogBilinear:
     """Next-word scores: bias plus the product of a word's vector with the sum of two mapped context vectors.
 
-    ``context`` holds, for each of the two places before a word, the mapped vector of each word.
+    ``context`` holds, for each of the two places before a word, the mapped vector of each word. There may be more
+    contexts than targets, or fewer.
     """
 
     context: np.ndarray
@@ -106,10 +110,11 @@ class LogBilinear:
     bias: np.ndarray
 
     @classmethod
-    def new(cls, unigram: np.ndarray) -> LogBilinear:
+    def new(cls, unigram: np.ndarray, contexts: int | None = None) -> LogBilinear:
         made = np.random.default_rng(41)
         m = len(unigram)
-        return cls(made.normal(0, 0.05, (2, m + 1, SIZE)), made.normal(0, 0.05, (m, SIZE)), np.log(unigram))
+        context, target = ((made.standard_normal(x, np.float32) * np.float32(0.05)) for x in ((2, contexts or m + 1, SIZE), (m, SIZE)))
+        return cls(context, target, np.log(unigram).astype(np.float32))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """log10 p(word | nearest context word, and the one before), in two parts: scores of (place, context, word), and normalisers of (1st, 2nd).
@@ -125,36 +130,82 @@ class LogBilinear:
         return (scores / np.log(10)).astype(np.float32), norm / np.float32(np.log(10))
 
     def train(self, ids: np.ndarray, unigram: np.ndarray, made: np.random.Generator) -> None:
-        """One pass of noise-contrastive estimation over rows (1st context, 2nd context, word, times).
+        """One pass of noise-contrastive estimation over rows (1st context, 2nd context, target, times).
 
-        Each batch shares ``NOISE`` noise words drawn from the unigram distribution; a sample is told from
-        noise by its score less log(k q), with the normaliser taken as 1.
+        Each batch shares ``NOISE`` noise targets drawn from the unigram distribution; a sample is told from
+        noise by its score less log(k q), with the normaliser taken as 1. A batch touches the vectors of its own rows only.
         """
-        m = len(unigram)
-        log_kq = np.log(unigram * NOISE)
-        weight = len(ids) / ids[:, 3].sum() / BATCH if len(ids) else 0
-        seen = [np.full_like(x, 1e-3) for x in (self.context, self.target, self.bias)]
+        log_kq = np.log(unigram * NOISE).astype(np.float32)
+        upto = np.cumsum(unigram)
+        weight = np.float32(len(ids) / ids[:, 3].sum() / BATCH) if len(ids) else 0
+        seen = [np.full_like(x, START) for x in (self.context[0], self.context[1], self.target, self.bias)]
         for lo in range(0, len(ids), BATCH):
             a, b, word, times = ids[lo : lo + BATCH].T
-            noise = made.choice(m, NOISE, p=unigram)
+            noise = np.minimum(np.searchsorted(upto, made.random(NOISE) * upto[-1], "right"), len(upto) - 1)
             v = self.context[0, a] + self.context[1, b]
             good = np.einsum("ij,ij->i", v, self.target[word]) + self.bias[word] - log_kq[word]
             bad = v @ self.target[noise].T + self.bias[noise] - log_kq[noise]
-            g = times * weight
+            g = times.astype(np.float32) * weight
             g_good = g / (1 + np.exp(np.clip(good, -30, 30)))
             g_bad = -g[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
             to_v = g_good[:, None] * self.target[word] + g_bad @ self.target[noise]
-            grads = [np.zeros_like(x) for x in (self.context, self.target, self.bias)]
-            for k in range(SIZE):
-                grads[0][0, :, k] = np.bincount(a, to_v[:, k], m + 1)
-                grads[0][1, :, k] = np.bincount(b, to_v[:, k], m + 1)
-                grads[1][:, k] = np.bincount(word, g_good * v[:, k], m)
-            np.add.at(grads[1], noise, g_bad.T @ v)
-            grads[2] += np.bincount(word, g_good, m)
-            np.add.at(grads[2], noise, g_bad.sum(0))
-            for x, grad, s in zip((self.context, self.target, self.bias), grads, seen, strict=True):
-                s += grad * grad
-                x += RATE * grad / np.sqrt(s)
+            to_target = np.concatenate([g_good[:, None] * v, g_bad.T @ v])
+            to_bias = np.concatenate([g_good, g_bad.sum(0)])
+            for x, s, at, grad in (
+                (self.context[0], seen[0], a, to_v),
+                (self.context[1], seen[1], b, to_v),
+                (self.target, seen[2], np.append(word, noise), to_target),
+                (self.bias, seen[3], np.append(word, noise), to_bias),
+            ):
+                order = np.argsort(at, kind="stable")
+                own = at[order]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                own, grad = own[first], np.add.reduceat(grad[order], first)
+                s[own] += grad * grad
+                x[own] += RATE * grad / np.sqrt(s[own])
+
+
+@dataclass
+class Factored:
+    """log10 p(word | contexts) as p(class) p(word | class): a log-bilinear model whose targets are the own words and then the classes.
+
+    Class k has the own words ``begin[k]:begin[k + 1]``; the last two classes are the end and any other word, each alone in its own.
+    With about as many classes as words in one, both normalisers are sums over the root of the vocabulary.
+    """
+
+    model: LogBilinear
+    begin: np.ndarray
+
+    @staticmethod
+    def classes(own: int) -> np.ndarray:
+        size = max(1, int(np.ceil(np.sqrt(own))))
+        return np.append(np.arange(0, own, size), [own, own + 1, own + 2])
+
+    def scores(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        model, own = self.model, self.begin[-3]
+        v = model.context[0, one] + model.context[1, two]
+        cls = np.searchsorted(self.begin, ids, "right") - 1
+        out = np.empty(len(ids))
+        for lo in range(0, len(ids), BATCH):
+            part = slice(lo, lo + BATCH)
+            out[part] = _log_softmax(v[part], model.target[own:], model.bias[own:], cls[part])
+        order = np.argsort(cls, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
+            if len(rows) and (k := cls[rows[0]]) < len(self.begin) - 3:
+                words = slice(self.begin[k], self.begin[k + 1])
+                for lo in range(0, len(rows), BATCH):
+                    at = rows[lo : lo + BATCH]
+                    out[at] += _log_softmax(v[at], model.target[words], model.bias[words], ids[at] - words.start)
+        return out / np.log(10)
+
+
+def _log_softmax(v: np.ndarray, target: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    x = v @ target.T
+    x += bias
+    x -= x.max(1, keepdims=True)
+    found = x[np.arange(len(x)), pick]
+    np.exp(x, out=x)
+    return found - np.log(x.sum(1))
 
 
 def _contexts(ids: np.ndarray, first: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,36 +219,53 @@ def _contexts(ids: np.ndarray, first: np.ndarray, blank: int) -> tuple[np.ndarra
     return one, two
 
 
-def _trained(start: LogBilinear, words: Words, unigram: np.ndarray):
-    """Each task trains on all its tokens from the same start; the means over tasks are the model."""
+def _trained(sent: Broadcast, columns: list[str]):
+    """Each task trains on all its tokens from the same start; a vector of the model is its mean over the tasks, by its occurrences there.
+
+    Rows are the places of vectors in the first contexts, then the second, then the targets. Only those that a task has met come out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rows, tokens = len(unigram), [], 0
-        model = LogBilinear(start.context.copy(), start.target.copy(), start.bias.copy())
+        tokens, unigram, begin = sent.value
+        words, own = Words(tokens), begin[-3]
+        m, rows = own + 2, []
+        model = LogBilinear.new(unigram, m + 1)
+        met = [np.zeros(n) for n in (m + 1, m + 1, len(unigram))]
         made = np.random.default_rng(1)
 
         def learn() -> None:
             keys, times = np.unique(np.concatenate(rows), return_counts=True)
+            rows.clear()
+            a, b, word = keys // (m * (m + 1)), keys // m % (m + 1), keys % m
+            cls = own + np.searchsorted(begin, word, "right") - 1
+            vector = word < own
+            a, b, target = np.append(a, a[vector]), np.append(b, b[vector]), np.append(cls, word[vector])
+            times = np.append(times, times[vector])
+            for x, at in zip(met, (a, b, target), strict=True):
+                x += np.bincount(at, times, len(x))
             again = -(-times // TIMES)
-            ids = np.stack([keys // (m * (m + 1)), keys // m % (m + 1), keys % m, np.round(times / again).astype(np.int64)], 1)
+            ids = np.stack([a, b, target, np.round(times / again)], 1).astype(np.int32)
             model.train(made.permutation(np.repeat(ids, again, axis=0)), unigram, made)
-            rows.clear()
 
         for batch in batches:
             for _, t in textbatch.texts(batch.column("text")):
                 found, first = sequences(t)
-                tokens += len(found)
                 ids = words.find(found)
                 ids[ids < 0] = m - 1
                 one, two = _contexts(ids, first, m)
                 rows.append((one * (m + 1) + two) * m + ids)
-                if sum(map(len, rows)) > 4_000_000:
+                if sum(map(len, rows)) > LEARN:
                     learn()
         if rows:
             learn()
-        if tokens:
-            flat = np.concatenate([x.ravel() for x in (model.context, model.target, model.bias)])
-            yield pa.record_batch([pa.array(np.arange(len(flat))), pa.array(flat * tokens), pa.array(np.full(len(flat), float(tokens)))], ["i", "v", "n"])
+        vectors = (model.context[0], model.context[1], np.column_stack([model.target, model.bias]))
+        start = 0
+        for x, n in zip(vectors, met, strict=True):
+            for at in np.array_split(np.flatnonzero(n), len(n) // 50_000 + 1):
+                values = np.zeros((len(at), SIZE + 1), np.float32)
+                values[:, : x.shape[1]] = x[at] * n[at, None]
+                yield pa.record_batch([pa.array(start + at), pa.array(n[at]), *(pa.array(c) for c in np.ascontiguousarray(values.T))], ["i", "n", *columns])
+            start += len(n)
 
     return run
 
@@ -207,12 +275,13 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
 
     Tokens are a text's words (A-Z lower-cased) and one end. Texts whose fold isn't ``held`` are learned from. base_score sums
     log10((c + 0.1) / (N + 0.1 (V + 1))). score is the log10 probability that the model gives the text: a log-bilinear model of the
-    ``VOCABULARY`` most frequent words, the end and "any other word", given the two before, normalised over that vocabulary;
+    most frequent words, the end and "any other word", given the two before, normalised exactly over that vocabulary by classes. The vocabulary
+    grows with the root of the counted tokens (``GROWTH``), and with it what scoring gathers;
     another word's probability is multiplied by its share (c + 0.1) of the counts of all other words, unseen words counting as one.
 
     Counts are of all training tokens. The model is trained by noise-contrastive estimation on all of them: each task on its own, then
-    averaged by tokens, so what reaches the driver is a model's parameters. The most frequent words' counts, ``HEAD`` at most, are broadcast; the
-    other tokens are joined to theirs. (Words are held as 64-bit hashes.)
+    averaged by occurrences, so what reaches the driver is a model's parameters. The most frequent words' counts, ``HEAD`` or the vocabulary at most,
+    are broadcast; the other tokens are joined to theirs. (Words are held as 64-bit hashes.)
 
     A null or empty text is its end alone. Without training texts c, N and V are 0. A null id is in fold 0; repeated rows
     give repeated rows; an empty table gives an empty one; other columns are not looked at.
@@ -224,38 +293,43 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(_END.view(np.int64))
     ends = float((counts.where(F.col("token") == end).agg(F.sum("n")).first()[0]) or 0)
-    head = _head(counts.where(F.col("token") != end))
+    most = max(VOCABULARY, int(GROWTH * np.sqrt(total)))
+    head = _head(counts.where(F.col("token") != end), max(HEAD, most))
     order = np.lexsort((head[0], -head[1]))
     tokens = np.append(head[0][order].view(np.uint64), _END)  # the end is last
     n = np.append(head[1][order], ends).astype(float)
-    own = np.arange(min(len(tokens) - 1, VOCABULARY))
+    own = np.arange(min(len(tokens) - 1, most))
     # the vocabulary: own words, the end, and any other word last
     m = len(own) + 2
     other_words = distinct - len(own) - (ends > 0)
     other_mass = total - n[own].sum() - ends + ALPHA * (other_words + 1)
-    unigram = np.append(n[own], [ends, other_mass]) + ALPHA
+    mass = np.append(n[own], [ends, other_mass]) + ALPHA
+    begin = Factored.classes(len(own))
+    unigram = np.append(mass[own], np.add.reduceat(mass, begin[:-1]))
     unigram /= unigram.sum()
     base_norm = np.log10(max(total + ALPHA * (distinct + 1), 1e-9))
     # places of the head's words in the vocabulary; -1 for those that share the last
     place = np.full(len(tokens), -1)
     place[own] = np.arange(len(own))
     place[-1] = m - 2
-    vocabulary = Words(np.append(tokens[own], _END))  # places as in `place`
-    model = LogBilinear.new(unigram)
-    sizes = [x.size for x in (model.context, model.target, model.bias)]
-    learned = training.mapInArrow(_trained(model, vocabulary, unigram), "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-    if learned.num_rows:
-        flat = np.empty(sum(sizes))
-        flat[learned.column("i").to_numpy()] = learned.column("v").to_numpy()
-        a, b, c = np.split(flat, np.cumsum(sizes)[:-1])
-        model = LogBilinear(a.reshape(model.context.shape), b.reshape(model.target.shape), c)
-    sent = sc.broadcast((tokens, n, place, *model.tables(), model.bias / np.log(10)))
+    start = sc.broadcast((np.append(tokens[own], _END), unigram, begin))  # places as in `place`
+    columns = [f"x{k}" for k in range(SIZE + 1)]
+    learned = training.mapInArrow(_trained(start, columns), ", ".join(["i long, n double", *(f"{c} float" for c in columns)]))
+    means = [(F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns]
+    learned = learned.groupBy("i").agg(*means).toArrow()
+    model = LogBilinear.new(unigram, m + 1)
+    values, at = np.stack([learned.column(c).to_numpy() for c in columns], 1), learned.column("i").to_numpy()
+    for k, x in enumerate((*model.context, model.target)):
+        here = (at >= k * (m + 1)) & (at < (k + 1) * (m + 1) if k < 2 else True)
+        x[at[here] - k * (m + 1)] = values[here, :SIZE]
+    model.bias[at[here] - 2 * (m + 1)] = values[here, SIZE]
+    del learned, values
+    sent = sc.broadcast((tokens, n, place, Factored(model, begin)))
     log_other = float(np.log10(other_mass))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, n, place, scores, norm, bias = sent.value
+        tokens, n, place, model = sent.value
         words = Words(tokens)
-        m = len(bias)
         part, row = TaskContext.get().partitionId() << 33, 0
         log_n = np.log10(np.append(n, 0) + ALPHA)  # place -1: unseen, or in the tail
         of_place = np.append(place, -1)
@@ -267,7 +341,7 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
                 other = ids < 0
                 ids[other] = m - 1
                 one, two = _contexts(ids, first, m)
-                p = scores[0, one, ids] + scores[1, two, ids] + bias[ids] - norm[one, two]
+                p = model.scores(one, two, ids)
                 in_head = at >= 0
                 base = np.where(in_head, log_n[at] - base_norm, 0.0)
                 p = p + np.where(other & in_head, log_n[at] - log_other, 0.0)
@@ -279,7 +353,7 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
                 offsets = np.zeros(len(t) + 1, np.int32)
                 np.cumsum(tails, out=offsets[1:])
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, len(t)), batch.column("held").slice(lo, len(t)), pa.array(part + row + np.arange(len(t))), pa.array(size), pa.array(np.add.reduceat(known, begins, dtype=np.int64)), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(p.astype(float), begins)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[tail].view(np.int64)))],
+                    [batch.column("doc_id").slice(lo, len(t)), batch.column("held").slice(lo, len(t)), pa.array(part + row + np.arange(len(t))), pa.array(size), pa.array(np.add.reduceat(known, begins, dtype=np.int64)), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(p, begins)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[tail].view(np.int64)))],
                     ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "tail"],
                 )
                 row += len(t)
