@@ -32,22 +32,28 @@ def stationary_bootstrap(returns: DataFrame, by: str, order: str, r: str, resamp
     return drawn.drop("n").join(series.drop("n"), [by, "i"]).select(by, "resample", "step", "ret")
 
 
-def sharpe_interval(returns: DataFrame, by: str, order: str, r: str, resamples: int = 200, block: float = 6.0) -> DataFrame:
+def sharpe_interval(returns: DataFrame, by: str, order: str, r: str, resamples: int = 2000, block: float = 6.0) -> DataFrame:
     each = stationary_bootstrap(returns, by, order, r, resamples, block).groupBy(by, "resample").agg(stats.sharpe(F.col("ret")).alias("s"))
     return each.groupBy(by).agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
 
 
-def overfitting(returns: DataFrame, slices: int = 6) -> DataFrame:
+def overfitting(returns: DataFrame, slices: int = 10, months: int = 6) -> DataFrame:
     """One row for each way to halve the time slices: the candidate best in sample, its percentile out of sample, and the logit.
 
+    There are ``slices`` equal slices, or else as many as the largest even divisor of the number of months below that, each of ``months``
+    months at least. Where no such divisor fits, which the reference leaves without a result, there are the most slices, an even number, that have ``months`` months
+    each but for rounding; where not even two fit, there is no row.
     Moments (n, sum, sum of squares) add up over slices, so a half's Sharpe ratio needs no second look at the returns.
     """
     spark: SparkSession = returns.sparkSession
     span = returns.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    cut = F.least(F.lit(slices - 1), F.floor((F.col("month") - F.col("lo")) * slices / (F.col("hi") - F.col("lo") + 1))).cast("int")
-    moments = returns.crossJoin(F.broadcast(span)).groupBy("candidate_id", cut.alias("slice")).agg(F.count("net").alias("n"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("q"))
-    halves = spark.createDataFrame([(k, x, x in own) for k, own in enumerate(combinations(range(slices), slices // 2)) for x in range(slices)], "split int, slice int, inside boolean")
-    total = moments.join(F.broadcast(halves), "slice").groupBy("split", "candidate_id", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    whole, allowed = F.col("hi") - F.col("lo") + 1, sorted({slices, *range(2, slices + 1, 2)}, reverse=True)
+    fits = F.coalesce(*[F.when(equal & (whole >= k * months), F.lit(k)) for k, equal in [*((k, whole % k == 0) for k in allowed), *((k, F.lit(True)) for k in allowed)]])
+    span = span.withColumn("slices", fits).where("slices is not null")
+    cut = F.floor((F.col("month") - F.col("lo")) * F.col("slices") / whole).cast("int")
+    moments = returns.crossJoin(F.broadcast(span)).groupBy("candidate_id", "slices", cut.alias("slice")).agg(F.count("net").alias("n"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("q"))
+    halves = spark.createDataFrame([(n, k, x, x in own) for n in allowed for k, own in enumerate(combinations(range(n), n // 2)) for x in range(n)], "slices int, split int, slice int, inside boolean")
+    total = moments.join(F.broadcast(halves), ["slices", "slice"]).groupBy("split", "candidate_id", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))
     total = total.withColumn("sharpe", F.round(F.when((F.col("n") > 1) & (sd > 0), F.col("s") / F.col("n") / sd).otherwise(0.0), 9))
     both = total.groupBy("split", "candidate_id").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("inside"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("outside"))

@@ -29,6 +29,8 @@ from strandline.sources import market
 #: The book that single-book queries look at, runs of controls, lengths of blocks, windows of volatility and averages.
 CHOSEN, CHOSEN_LOOKBACK, CHOSEN_SKIP, CHOSEN_SIZE = "l12_s1_n10_strat=equal", 12, 1, 10
 RUNS, BLOCK, SEED, LARGEST_PASS_RATE = 50, 6, 7, 0.20
+#: Paths of the stationary bootstrap; ``RUNS`` counts the block-shuffled ones.
+RESAMPLES = 2000
 WINDOW, SKIP, AVERAGES = 12, 1, (6, 9, 12, 15)
 ORDER_SEK = 1e6
 VARIANTS = {"full": "true", "se_only": "country_code = 'SE'", "without_se": "country_code <> 'SE'", "liquid": "is_liquid"}
@@ -148,6 +150,40 @@ def path_density(spark, sf_dir):
     return paths.join(span, "candidate_id").groupBy("candidate_id", "step", slot.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _resampled(spark, sf_dir):
+    drawn = validation.stationary_bootstrap(backtest(spark, sf_dir), "candidate_id", "month", "net", RESAMPLES, BLOCK, SEED)
+    return stats.equity(drawn, ["candidate_id", "resample"], "step")
+
+
+@query()
+def bootstrap_path_quantiles(spark, sf_dir):
+    """Nineteen quantiles of the paths of the stationary bootstrap at each step."""
+    names = [f"p{5 * k:02d}" for k in range(1, 20)]
+    q = [F.percentile("equity", [k / 20 for k in range(1, 20)]).alias("q"), F.min("equity").alias("lowest")]
+    out = _resampled(spark, sf_dir).groupBy("candidate_id", "step").agg(*q)
+    return _rounded(out.select("candidate_id", "step", *[F.col("q")[k].alias(n) for k, n in enumerate(names)], "lowest"), "candidate_id", "step", *names, "lowest", digits=4)
+
+
+@query()
+def bootstrap_path_density(spark, sf_dir):
+    """Paths of the stationary bootstrap in each of 72 bins at each step, bins between the least and greatest value."""
+    paths = _resampled(spark, sf_dir).withColumn("equity", F.round("equity", 6))
+    span = paths.groupBy("candidate_id").agg(F.min("equity").alias("lo"), F.max("equity").alias("hi"))
+    slot = F.least(F.lit(71), F.floor((F.col("equity") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 72))).cast("int")
+    return paths.join(span, "candidate_id").groupBy("candidate_id", "step", slot.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query()
+def bootstrap_projection(spark, sf_dir):
+    """Paths of the stationary bootstrap that go on from the last equity, and the caps over all their values."""
+    last = backtest(spark, sf_dir).groupBy("candidate_id").agg((stats.total_return(F.col("net")) + 1).alias("last"))
+    value = F.col("last") * F.col("equity")
+    out = _resampled(spark, sf_dir).join(F.broadcast(last), "candidate_id").groupBy("candidate_id").agg(
+        F.max("last").alias("last_equity"), F.percentile(value, 0.05).alias("low_cap"), F.percentile(value, 0.90).alias("high_cap")
+    )
+    return _rounded(out, *out.columns, digits=4)
+
+
 @query(f"""{_RETURNS}
 select candidate_id, count(*) as n, round(min(net), 6) as lowest, round(max(net), 6) as highest, round(avg((net > 0.1)::int), 6) as over_ten, round(avg((net < -0.1)::int), 6) as under_ten,
     round(avg(net), 6) as mean, round(stddev_samp(net), 6) as deviation from net group by 1""")
