@@ -22,19 +22,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sure.select("row.*", F.col("lang_pred").alias("lang_pred ")).withColumn("lang", F.col("`lang_pred `")).drop("lang_pred ")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id isn't in ``ids``; those with a null one stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("gone ")).distinct(), F.col("doc_id") == F.col("`gone `"), "left_anti")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least doc_id."""
-    return _without(docs, near.near_duplicates(docs).where("not kept"))
+    """Of each group of near duplicates the rows of its least doc_id; rows of one doc_id and different texts are judged apart.
+
+    Rows with a null doc_id stay, and so do rows that repeat the least doc_id.
+    """
+    gone = near.near_duplicates(docs, keep_key=True).where("not kept").select(F.col("doc_id").alias("gone "), F.col("text_key").alias("key ")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("`gone `")) & (F.xxhash64(F.col("text").cast("string")) == F.col("`key `"))
+    return docs.join(gone, same, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return _without(docs, contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Rows that contain no benchmark item, each judged by its own text, whatever its doc_id."""
+    return contamination.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

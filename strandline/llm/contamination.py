@@ -99,6 +99,20 @@ def _cuts(begins: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
     return np.repeat(begins, blocks) + nth * width
 
 
+def _matches(items: Index, t: textbatch.Texts, size: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(text, item, shingles that they share) of every text that contains an item."""
+    sh, first = textbatch.shingles(textbatch.words(t), size)
+    last, own = -1, None
+    for i, j in sorted(items.candidates(sh, first)):
+        if i != last:
+            last, own = i, np.unique(sh[first[i] : first[i + 1]])
+        item = items.sets[j]
+        at = np.minimum(np.searchsorted(own, item), len(own) - 1)
+        shared = int((own[at] == item).sum())
+        if 100 * shared >= percent * len(item):
+            yield i, j, shared
+
+
 def _search(index, size: int, percent: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = index.value
@@ -107,22 +121,45 @@ def _search(index, size: int, percent: int, names: list[str]):
             out = []
             ids = batch.column("doc_id")
             for lo, t in textbatch.texts(batch.column("text")):
-                sh, first = textbatch.shingles(textbatch.words(t), size)
-                last, own = -1, None
-                for i, j in sorted(items.candidates(sh, first)):
-                    if i != last:
-                        last, own = i, np.unique(sh[first[i] : first[i + 1]])
-                    item = items.sets[j]
-                    at = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                    shared = int((own[at] == item).sum())
-                    if 100 * shared >= percent * len(item):
-                        out.append((ids[lo + i].as_py(), items.ids[j], len(item), shared))
+                out += [(ids[lo + i].as_py(), items.ids[j], len(items.sets[j]), shared) for i, j, shared in _matches(items, t, size, percent)]
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, kind["string" if n == "item_id" and names[1] == "string" else "long"]) for n, c in zip(("doc_id", "item_id", "n_item", "n_shared"), columns, strict=True)], ["doc_id", "item_id", "n_item", "n_shared"])
 
     return run
 
 
+def _drop(index, size: int, percent: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            for lo, t in textbatch.texts(batch.column(text_col)):
+                stays[[lo + i for i, _, _ in _matches(index.value, t, size, percent)]] = False
+            yield batch.filter(pa.array(stays))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, size: int, item_id_col: str, item_text_col: str) -> tuple[str, list]:
+    """The items' kind of id, and a broadcast index of each block of items."""
+    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    kind = "long" if dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
+    items = items.withColumn("item_id", F.col("item_id").cast(kind))
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0) / BLOCK))
+    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    found = []
+    for b in range(blocks):
+        rows = items.where(block_of == b).collect()  # about BLOCK bytes
+        found.append(benchmark.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text or "" for r in rows], size)))
+    return kind, found
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int = 5, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, whole, whose text contains no test item (see ``contaminated``). Each row is judged by itself, whatever its id."""
+    for index in _blocks(benchmark, size, item_id_col, item_text_col)[1]:
+        docs = docs.mapInArrow(_drop(index, size, percent, text_col), docs.schema)
+    return docs
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -145,17 +182,10 @@ def contaminated(
     sequence as its only shingle, and is found in documents of that very sequence. Rows with a null id are searched too;
     repeated rows and items give repeated rows; an empty table gives an empty one; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    kind = "long" if dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
-    items = items.withColumn("item_id", F.col("item_id").cast(kind))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0) / BLOCK))
+    kind, blocks = _blocks(benchmark, size, item_id_col, item_text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     parts = []
-    for b in range(blocks):
-        rows = items.where(block_of == b).collect()  # about BLOCK bytes
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text or "" for r in rows], size))
+    for index in blocks:
         parts.append(texts.mapInArrow(_search(index, size, percent, ["long", kind]), f"doc_id long, item_id {kind}, n_item long, n_shared long"))
     found = reduce(DataFrame.union, parts)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -63,8 +63,8 @@ def _fingerprints(size: int):
                 bands = signatures(sh, first[:-1][full]) if full.any() else np.zeros((0, 0), np.uint64)
                 n = [len(np.unique(sh[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, len(t)), pa.array([_key(w, i) for i in range(len(t))], pa.binary()), pa.array(n, pa.int64()), _arrays(bands.ravel().view(np.int64), full * bands.shape[1], pa.int64())],
-                    ["doc_id", "node", "n_shingles", "bands"],
+                    [batch.column("doc_id").slice(lo, len(t)), batch.column("text_key").slice(lo, len(t)), pa.array([_key(w, i) for i in range(len(t))], pa.binary()), pa.array(n, pa.int64()), _arrays(bands.ravel().view(np.int64), full * bands.shape[1], pa.int64())],
+                    ["doc_id", "text_key", "node", "n_shingles", "bands"],
                 )
 
     return run
@@ -172,7 +172,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row.
 
@@ -187,10 +187,12 @@ def near_duplicates(
     A text that is null, empty or white space has no shingles and is linked with nothing; one of fewer words has
     its whole sequence as the only shingle. Rows with a null id are linked with nothing, have a
     null component_id and are kept. Rows that repeat an id get that id's component each; an empty table
-    gives an empty one; other columns are not looked at.
+    gives an empty one; other columns are not looked at. ``keep_key`` adds text_key, the text's xxhash64, so that rows
+    of one id and different texts can be told apart.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = saved(texts.mapInArrow(_fingerprints(size), "doc_id long, node binary, n_shingles long, bands array<long>"), "fingerprints")
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    base = saved(keyed.mapInArrow(_fingerprints(size), "doc_id long, text_key long, node binary, n_shingles long, bands array<long>"), "fingerprints")
     nodes = saved(
         base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")),
         "nodes",
@@ -213,9 +215,10 @@ def near_duplicates(
     least = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = labels.join(least, "label").select("node", "component_id")
     of_node = nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return base.select("doc_id", "node", "n_shingles").join(of_node, "node", "left").select(
+    return base.select("doc_id", "text_key", "node", "n_shingles").join(of_node, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        *["text_key"] * keep_key,
     )

@@ -28,3 +28,17 @@ def test_factored_model_is_normalised():
     for one, two in ((0, 3), (22, 22), (21, 20)):
         p = 10 ** lm.Factored(model, begin).scores(np.full(22, one), np.full(22, two), each)
         assert np.isclose(p.sum(), 1, atol=1e-5) and p.std() > 0.01
+
+
+def test_stages_judge_rows_by_their_own_text(spark, tmp_path):
+    import corpus_pipeline
+
+    made = random.Random(8)
+    a, b, item = (" ".join(f"w{made.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (None, item), (7, item), (7, b + " end"), (None, None)], "doc_id long, text string")
+    near = corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 7"), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in near) == sorted([(2, a), (5, b)])
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in docs.collect() if r.text != item)
