@@ -1,30 +1,5 @@
 """Tables that cut lineage, in the folder that the whole cluster shares."""
 
-from __future__ import annotations
+from strandline.storage import KEY, clear, saved, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a new one of our own."""
-    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set(KEY, found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a cache, the files survive lost executors, and later plans start from them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["KEY", "clear", "saved", "shared_dir"]
