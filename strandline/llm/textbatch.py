@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D),
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,14 +17,12 @@ import pyarrow.compute as pc
 #: Bytes of text worked on at a time; one longer text is worked on alone.
 STEP = 2 << 20
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
-_LOWER_CODE = _CODE[_LOWER]
-_POWERS: dict[str, np.ndarray] = {}
+#: Which of the next eight bytes belong to a span of so many bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,18 +35,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse modulo 2**64) for i below n at least."""
-    key = "inverse" if inverse else "direct"
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        base = pow(_BASE, -1, 2**64) if inverse else _BASE
-        out = np.full(max(n, STEP + 1), base, np.uint64)
-        out[0] = 1
-        have = _POWERS[key] = np.multiply.accumulate(out)
-    return have
-
-
 @dataclass
 class Texts:
     """Some rows' texts: their bytes back to back, and where each begins and ends."""
@@ -91,11 +78,21 @@ class Words:
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """One 64-bit hash for each byte span, equal for equal bytes (A-Z lower-cased if ``lower``)."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_CODE if lower else _CODE)[data] * powers(n)[:n], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(n, True)[starts])
+    """One 64-bit hash for each byte span, equal for equal bytes (A-Z lower-cased if ``lower``).
+
+    A span of up to 16 bytes is two integers that are mixed; a longer one is hashed by BLAKE2b, so no rule
+    for making texts, such as one that cancels in a polynomial, gives different words one hash.
+    """
+    size = ends - starts
+    text = np.zeros(len(data) + 16, np.uint8)
+    text[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 9, "<u8", text, strides=(1,))  # the eight bytes from each place on
+    h = mixed((eight[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    longer = np.flatnonzero(size > 8)
+    h[longer] = mixed(h[longer] * _U(0xD6E8FEB86659FD93) + (eight[starts[longer] + 8] & _MASK[np.minimum(size[longer] - 8, 8)]))
+    for i in np.flatnonzero(size > 16).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def words(t: Texts, lower: bool = True) -> Words:
