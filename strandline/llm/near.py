@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textbatch
-from strandline.llm.components import connected_components
+from strandline.llm.components import connected_components, relabelled, rooted
 from strandline.llm.storage import saved
 
 #: Permutations; each gives two signature values, its least and its greatest hash.
@@ -85,28 +85,47 @@ def _sets(size: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Pairs (a, b, and columns ``more``) whose full sets have 100 * intersection >= percent * union."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(one, "a").join(two, "b")
-        .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
+        .select("a", "b", *more, F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both"))
         .where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
-        .select("a", "b")
+        .select("a", "b", *more)
     )
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _forest(one: np.ndarray, two: np.ndarray, most: int) -> list[int]:
+    """Which of the links between ``one`` and ``two`` (numbers below ``most``) are needed to connect what they connect."""
+    up = list(range(most))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    needed = []
+    for i, (a, b) in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            up[a] = b
+            needed.append(i)
+    return needed
 
 
 def _linked(percent: int):
-    """Links between two blocks of nodes, or within one, by products of their incidence matrices."""
+    """Which components are linked by nodes of two blocks, or of one: products of the nodes' incidence matrices.
+
+    Of the links found only a forest comes out, so there are fewer than the blocks have components.
+    """
 
     def run(block: pa.Table) -> pa.Table:
-        one, label = block.column("one").to_numpy(), block.column("label").to_pylist()
+        one = block.column("one").to_numpy()
+        named = block.column("label").combine_chunks().dictionary_encode()
+        label = named.indices.to_numpy()
         arrays = block.column("shingles").combine_chunks()
         sizes = np.diff(arrays.offsets.to_numpy()).astype(np.float32)
         row = np.repeat(np.arange(len(sizes)), np.diff(arrays.offsets.to_numpy()))
@@ -123,28 +142,43 @@ def _linked(percent: int):
             part[row[a:b], column[a:b] - lo] = 1
             both += part[left] @ part.T
         close = 100 * both >= percent * (sizes[left][:, None] + sizes[None] - both)
-        nodes = block.column("node")
-        found = [(left[i], j) for i, j in zip(*np.nonzero(close), strict=True) if label[left[i]] != label[j]]
-        pick = lambda k: nodes.take(pa.array([x[k] for x in found], pa.int64())).cast(pa.binary())
-        return pa.table({"a": pick(0), "b": pick(1)})
+        close &= label[left][:, None] != label[None]
+        i, j = np.nonzero(close)
+        many = len(named.dictionary)
+        pairs = np.unique(label[left[i]].astype(np.int64) * many + label[j])
+        a, b = pairs // many, pairs % many
+        needed = np.array(_forest(a, b, many), np.int64)
+        names = named.dictionary.cast(pa.binary())
+        return pa.table({"a": names.take(pa.array(a[needed])), "b": names.take(pa.array(b[needed]))})
 
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes that share a bucket but not, so far, a component.
+def _mixed(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """(bucket, node, leader, label, top, low) of the buckets whose nodes are in several components, so far; ``top`` is the leader's, ``low`` the least."""
+    held = saved(members.join(labels, "node", "left").select("bucket", "node", "leader", F.coalesce("label", "node").alias("label")), name)
+    several = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("leader"), F.col("label"))).alias("top"))
+    return saved(held.join(several.where("low <> high").drop("high"), "bucket"), name)
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` with the components that ``found`` (a, b) links as one; those of a single node come in."""
+    merged = connected_components(found)
+    fresh = merged.join(labels, "node", "left_anti")
+    return saved(relabelled(labels, merged).union(fresh), "labels")
+
+
+def _rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components whose nodes share a bucket.
 
-    Nodes of buckets with several components are gathered into groups of buckets that overlap. Within
-    a group, each node outside its largest component is compared with all nodes. Groups are cut into
+    Components that meet in a bucket are of one group. Within a group, each node outside its largest component is compared with
+    all nodes. Groups are cut into
     blocks of about ``BLOCK`` nodes by a hash, and each pair of blocks is a task of its own, so a group of any size is spread
-    out, its sets are sent once for each block they meet, and only links come out.
+    out, its sets are sent once for each block they meet, and only links that connect components come out.
     """
-    held = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("a")).where("lo <> hi").select("bucket", "a")
-    active = saved(held.join(mixed, "bucket").select("a", "node", "label").distinct(), "active")
-    groups = connected_components(active.select("a", F.col("node").alias("b")))
-    active = active.select("node", "label").distinct().join(groups.withColumnRenamed("label", "grp"), "node")
-    sizes = active.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    active = saved(mixed.select("node", "label").distinct(), "active")
+    groups = connected_components(mixed.select(F.col("low").alias("a"), F.col("label").alias("b")).distinct())
+    sizes = active.groupBy("label").agg(F.count("*").alias("n")).join(groups.select(F.col("node").alias("label"), F.col("label").alias("grp")), "label")
     largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
     counts = largest.select(
         "grp",
@@ -152,7 +186,8 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
         F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minors"),
         F.ceil(F.col("top.n") / BLOCK).cast("int").alias("majors"),
     )
-    placed = active.join(counts, "grp").withColumn("minor", F.col("label") != F.col("major"))
+    of_label = saved(sizes.select("label", "grp").join(counts, "grp"), "groups")
+    placed = active.join(of_label, "label").withColumn("minor", F.col("label") != F.col("major"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     # a task is (i, j): minor block i against minor block j >= i, or against major block j - minors
     pairs = F.when(
@@ -180,9 +215,10 @@ def near_duplicates(
     more are linked; component_id is the least doc_id that can be reached, kept is doc_id = component_id.
 
     Documents of one word sequence are one node (a partial aggregation, so thousands of copies are no hot task).
-    Nodes that share a band meet in its bucket. No bucket's pairs are all made: its least node is tested against
-    the rest. Where that leaves a bucket's nodes in different components, ``_rest`` tests them in blocks and
-    returns links alone. So every pair that shares a band is either tested or already in one component.
+    Nodes that share a band meet in its bucket. No bucket's pairs are all made. First each node is tested against one other,
+    the least leader (least node) of its buckets; then, where a bucket's nodes are in different components, against the leaders
+    of these buckets; where that still leaves several components in a bucket, ``_rest`` tests them in blocks and
+    returns links between components alone. So every pair that shares a band is either tested or already in one component.
 
     A text that is null, empty or white space has no shingles and is linked with nothing; one of fewer words has
     its whole sequence as the only shingle. Rows with a null id are linked with nothing, have a
@@ -205,17 +241,23 @@ def near_duplicates(
     few = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = saved(few.mapInArrow(_sets(size), "node binary, shingles array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
 
-    tested = saved(_ordered(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))), "pairs")
-    links = saved(_confirmed(tested, sets, percent), "links")
-    labels = connected_components(links)
-    fresh = saved(_rest(members, labels, sets, percent), "links")
+    others = members.where("node <> leader")
+    first = _confirmed(others.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")), sets, percent)
+    labels = rooted(first.select(F.col("b").alias("node"), F.col("a").alias("label")))
+    labels = saved(labels.union(labels.select(F.col("label").alias("node"), "label").distinct()), "labels")
+    mixed = _mixed(members, labels, "mixed")
+    again = mixed.where((F.col("node") != F.col("leader")) & (F.col("label") != F.col("top")))
+    ends = again.select(F.col("leader").alias("a"), F.col("node").alias("b"), "label", "top").distinct()
+    links = _confirmed(ends, sets, percent, "label", "top").select(F.col("label").alias("a"), F.col("top").alias("b")).distinct()
+    labels = _merged(labels, links)
+    fresh = saved(_rest(_mixed(mixed.select("bucket", "node", "leader"), labels, "mixed"), sets, percent), "links")
     if not fresh.isEmpty():
-        labels = connected_components(links.union(fresh))
+        labels = _merged(labels, fresh)
 
-    least = labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = labels.join(least, "label").select("node", "component_id")
-    of_node = nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return base.select("doc_id", "text_key", "node", "n_shingles").join(of_node, "node", "left").select(
+    least = saved(labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    of_node = saved(labels.join(least, "label").select("node", "component_id"), "components")
+    reps = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    return base.select("doc_id", "text_key", "node", "n_shingles").join(saved(reps, "components"), "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
