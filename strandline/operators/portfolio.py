@@ -7,17 +7,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.operators.asof import asof_join
+from strandline.operators.asof import asof_both
+from strandline.operators.universe import CASHOUTS, within_capacity
 
+#: Fixed value: what is left of the last price of a name that stops trading without being paid out.
 HAIRCUT = 0.7
 
 
+def anchors(universe: DataFrame) -> DataFrame:
+    """number, month and p: total-return closes of the anchor days on which there was a trade."""
+    return universe.where((F.col("stale_days") == 0) & (F.col("adj_close") > 0)).select("number", "month", F.col("adj_close").alias("p"))
+
+
 def momentum(universe: DataFrame, grid: DataFrame) -> DataFrame:
-    """universe x distinct (lookback, skip) of ``grid``, with score = P[m - skip] / P[m - skip - lookback] - 1 of closes on anchors; missing or non-positive gives null.
+    """universe x distinct (lookback, skip) of ``grid``, with score = P[m - skip] / P[m - skip - lookback] - 1 of total-return closes on anchors; missing or non-positive gives null.
 
     Joins on month ordinals, so a missing month is missing and not the one before it.
     """
-    closes = universe.where((F.col("stale_days") == 0) & (F.col("close_sek") > 0)).select("number", F.col("month").alias("m"), F.col("close_sek").alias("p"))
+    closes = anchors(universe).withColumnRenamed("month", "m")
     points = F.broadcast(grid.select("lookback", "skip").distinct())
     keyed = universe.crossJoin(points)
     near = closes.select("number", F.col("m").alias("m1"), F.col("p").alias("p1"))
@@ -26,21 +33,43 @@ def momentum(universe: DataFrame, grid: DataFrame) -> DataFrame:
     return out.join(near, ["number", "m1"], "left").join(far, ["number", "m0"], "left").withColumn("score", F.col("p1") / F.col("p0") - 1).drop("m0", "m1", "p0", "p1")
 
 
-def holding_returns(universe: DataFrame, daily: DataFrame) -> DataFrame:
-    """number, month, ret: from the first open on or after next_execution_date to that of the following month.
+def monthly_returns(universe: DataFrame) -> DataFrame:
+    """number, month, ret: the anchor's total-return close over the month before's; none where either is missing."""
+    closes = anchors(universe)
+    before = closes.select("number", (F.col("month") + 1).alias("month"), F.col("p").alias("was"))
+    return closes.join(before, ["number", "month"]).select("number", "month", (F.col("p") / F.col("was") - 1).alias("ret"))
+
+
+def volatility(universe: DataFrame, window: int = 12, skip: int = 1) -> DataFrame:
+    """number, month, volatility: sample deviation of the monthly returns of ``window`` months that end ``skip`` before; those that there are, two at least."""
+    w = Window.partitionBy("number").orderBy("month").rangeBetween(-(skip + window - 1), -skip)
+    rows = universe.select("number", "month").join(monthly_returns(universe), ["number", "month"], "left")
+    return rows.select("number", "month", F.stddev_samp("ret").over(w).alias("volatility"))
+
 
-    Without a price then, to the last close before, with a haircut, if it isn't before the entry; else the haircut's loss.
+def holding_returns(universe: DataFrame, daily: DataFrame, actions: DataFrame) -> DataFrame:
+    """number, month, ret (at opens) and ret_close (at closes): from the first trade on or after next_execution_date to that of the following month, total return in SEK.
+
+    Without a trade then, to the last close before, if it isn't before the entry: in full if the holder was paid out meanwhile (an action of
+    ``CASHOUTS``), else with a haircut. Without that either, the haircut's loss. The security's next month has the exit's prices, so one shuffle
+    by security serves entry and exit.
     """
-    due = universe.select("number", "exchange_group", "month", "next_execution_date").withColumn(
-        "exit_due", F.lead("next_execution_date").over(Window.partitionBy("number").orderBy("month"))
-    )
-    entry = asof_join(due.withColumn("date", F.col("next_execution_date")), daily, ["number"], "date", ["open_sek"], forward=True).drop("date")
-    entry = entry.withColumnsRenamed({"right_on": "entry_date", "open_sek": "entry_price"})
-    ahead = asof_join(entry.withColumn("date", F.col("exit_due")), daily, ["number"], "date", ["open_sek"], forward=True).drop("date", "right_on").withColumnRenamed("open_sek", "exit_price")
-    both = asof_join(ahead.withColumn("date", F.col("exit_due")), daily, ["number"], "date", ["close_sek"]).drop("date").withColumnRenamed("close_sek", "back_price")
-    value = F.coalesce("exit_price", F.when(F.col("right_on") >= F.col("entry_date"), F.col("back_price") * HAIRCUT))
-    ret = F.when(F.col("exit_due").isNull() | (F.col("entry_date") > F.col("exit_due")), None).otherwise(F.coalesce(value / F.col("entry_price") - 1, F.lit(HAIRCUT - 1)))
-    return both.where("entry_price is not null").select("number", "month", ret.alias("ret"))
+    w = Window.partitionBy("number").orderBy("month")
+    due = universe.select("number", "month", "next_execution_date", F.col("next_execution_date").alias("date"))
+    at = asof_both(due, daily, ["number"], "date", ["adj_open_sek", "adj_close_sek"]).drop("date")
+    both = at.withColumns({"exit_due": F.lead("next_execution_date").over(w), "out_ahead": F.lead("ahead").over(w), "out_back": F.lead("back").over(w)})
+    paid = actions.where(F.col("action_type").isin(*CASHOUTS)).select("number", F.col("date").alias("paid_date"))
+    paid = both.select("number", "month", "next_execution_date", "exit_due").join(paid, "number").where("paid_date between next_execution_date and exit_due")
+    both = both.join(paid.select("number", "month").distinct().withColumn("paid", F.lit(True)), ["number", "month"], "left")
+    entry_date, last = F.col("ahead.right_on"), F.col("out_back.adj_close_sek") * F.when(F.col("paid"), 1.0).otherwise(HAIRCUT)
+    fallback = F.when(F.col("out_back.right_on") >= entry_date, last)
+
+    def gain(price: str):
+        entry, value = F.col(f"ahead.{price}"), F.coalesce(f"out_ahead.{price}", fallback)
+        ret = F.when(F.col("exit_due").isNull() | (entry_date > F.col("exit_due")) | ~(entry > 0), None).otherwise(F.coalesce(F.when(value > 0, value / entry - 1), F.lit(HAIRCUT - 1)))
+        return ret
+
+    return both.where("ahead is not null").select("number", "month", gain("adj_open_sek").alias("ret"), gain("adj_close_sek").alias("ret_close"))
 
 
 def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -48,28 +77,52 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc_nulls_last(), "number")))
 
 
-def books(scored: DataFrame, grid: DataFrame) -> DataFrame:
-    """Full rebalance: candidate_id, month, number, weight of the ``top_n`` best rankable names; weight is 1 / top_n, or by market cap, summing to the share selected."""
-    rankable = scored.where("reason = '' and score is not null and ret is not null")
-    best = ranked(rankable, ["lookback", "skip", "month"])
-    held = best.join(F.broadcast(grid), ["lookback", "skip"]).where("rank <= top_n")
-    w = Window.partitionBy("candidate_id", "month")
-    raw = F.when(F.col("weighting") == "cap", F.coalesce("market_cap_sek", F.lit(0.0))).otherwise(1.0)
-    weight = F.count("*").over(w) / F.col("top_n") * raw / F.sum(raw).over(w)
-    return held.select("candidate_id", "month", "number", "country_code", "ret", "score", weight.alias("weight"))
-
-
-def period_returns(book: DataFrame, cost_bps: float) -> DataFrame:
-    """candidate_id, month, gross, cost, net, entries, exits, held: entries pay on the new weight, exits on the weight of the month before."""
-    now = book.select("candidate_id", "month", "number", "weight", "ret")
-    before = book.select("candidate_id", (F.col("month") + 1).alias("month"), "number", F.col("weight").alias("was"))
-    both = now.join(before, ["candidate_id", "month", "number"], "full_outer")
-    months = book.select("candidate_id", "month").distinct()
-    one = F.lit(cost_bps / 1e4)
-    entered, left = F.col("was").isNull(), F.col("weight").isNull()
-    return both.join(months, ["candidate_id", "month"], "left_semi").groupBy("candidate_id", "month").agg(
-        F.sum(F.coalesce(F.col("weight") * F.col("ret"), F.lit(0.0))).alias("gross"),
-        F.sum(F.when(entered, F.col("weight") * one).when(left, F.col("was") * one).otherwise(0.0)).alias("cost"),
+RANKABLE = "reason = '' and score is not null and ret is not null"
+
+
+def weighted(held: DataFrame, by: list[str]) -> DataFrame:
+    """Adds weight: equal, by market value (cap) or by one over volatility (inv_vol), summing to the share of ``top_n`` that is held.
+
+    A name without a positive value weighs nothing; where none has one, weights are equal.
+    """
+    w = Window.partitionBy(*by)
+    raw = F.when(F.col("weighting") == "cap", F.when(F.col("market_cap_sek") > 0, F.col("market_cap_sek")))
+    raw = raw.when(F.col("weighting") == "inv_vol", F.when(F.col("volatility") > 0, 1 / F.col("volatility"))).otherwise(1.0)
+    total, many = F.sum(raw).over(w), F.count("*").over(w)
+    part = F.when(F.coalesce(total, F.lit(0.0)) > 0, F.coalesce(raw, F.lit(0.0)) / total).otherwise(1 / many)
+    return held.withColumn("weight", many / F.col("top_n") * part)
+
+
+def books(scored: DataFrame, grid: DataFrame, where: str = RANKABLE, by: tuple[str, ...] = ()) -> DataFrame:
+    """Full rebalance: the ``top_n`` best rows of ``where`` and within capacity of each (*by, candidate, month), with their weights (see ``weighted``)."""
+    sizes = F.broadcast(grid.select("lookback", "skip", "top_n").distinct())
+    able = scored.where(where).join(sizes, ["lookback", "skip"]).where(within_capacity(F.col("top_n")))
+    best = ranked(able, [*by, "lookback", "skip", "top_n", "month"]).where("rank <= top_n")
+    held = weighted(best.join(F.broadcast(grid), ["lookback", "skip", "top_n"]), [*by, "candidate_id", "month"])
+    return held.select(*by, "candidate_id", "month", "number", "country_code", "currency", "median_value", "close_sek", "top_n", "ret", "score", "weight")
+
+
+def period_returns(book: DataFrame, cost, facts: DataFrame | None = None, by: tuple[str, ...] = (), months: DataFrame | None = None) -> DataFrame:
+    """*by, candidate_id, month, gross, cost, net, entries, exits, held: entries pay on the new weight, exits on the weight of the month before.
+
+    ``cost`` is a fraction, or a column of the ``facts`` (number, month, ...) of the trade's month and of top_n; a trade without one is free. ``months``
+    (*by, candidate_id, month) are those that count, also without names, else those of each candidate's book.
+    """
+    keys = [*by, "candidate_id", "month"]
+    now = book.select(*keys, "number", "weight", "ret", "top_n") if facts is not None else book.select(*keys, "number", "weight", "ret")
+    before = now.withColumn("month", F.col("month") + 1).drop("ret").withColumnRenamed("weight", "was")
+    if facts is not None:
+        before = before.withColumnRenamed("top_n", "top_was")
+    both = now.join(before, [*keys, "number"], "full_outer")
+    if facts is not None:
+        both = both.withColumn("top_n", F.coalesce("top_n", "top_was")).join(facts, ["number", "month"], "left")
+    entered, left = F.col("was").isNull() & F.col("weight").isNotNull(), F.col("weight").isNull() & F.col("was").isNotNull()
+    one = F.coalesce(cost if not isinstance(cost, float) else F.lit(cost), F.lit(0.0))
+    months = book.select(*keys).distinct() if months is None else months
+    nothing = F.lit(0.0)
+    return months.join(both, keys, "left").groupBy(*keys).agg(
+        F.coalesce(F.sum(F.col("weight") * F.col("ret")), nothing).alias("gross"),
+        F.coalesce(F.sum(F.when(entered, F.col("weight") * one).when(left, F.col("was") * one)), nothing).alias("cost"),
         F.count_if(entered).alias("entries"),
         F.count_if(left).alias("exits"),
         F.count("weight").alias("held"),

@@ -8,9 +8,18 @@ from pyspark.sql.window import Window
 
 from strandline.operators.asof import asof_join, asof_lookup
 
-#: Thresholds of eligibility.
+#: Thresholds of eligibility, and the largest share of eligible rows without a market value for which there is a liquid subset.
 LEAST_CLOSE_SEK, LEAST_AGE_MONTHS, LARGEST_MOVE, STALE = 20.0, 18, 0.7, 9999
-LIQUID_SHARE = 3
+LIQUID_SHARE, MOST_WITHOUT_VALUE = 3, 0.05
+#: Kinds of actions.
+SPLITS, CASHOUTS = ("split", "reverse_split"), ("cash_merger", "delisting_cashout")
+#: Capital that costs are reckoned for; brokerage; spread by traded value; share of it taken; low prices; execution; currency.
+CAPITAL_SEK, LEAST_FEE_SEK, FEE_BPS, LARGEST_PART = 250_000.0, 1.0, 9.0, 0.01
+SPREADS, WIDEST = ((50e6, 15.0), (20e6, 25.0), (10e6, 40.0), (5e6, 60.0)), 100.0
+PARTS = ((0.0025, 0.0), (0.005, 10.0), (0.0075, 20.0), (0.01, 40.0))
+LOW_PRICE_SEK, LOW_PRICE_BPS = 50.0, 10.0
+IMPACT = {"next_open": 1.25, "next_close": 1.0}
+CURRENCY_BPS = {"low": 10.0, "base": 25.0, "high": 50.0}
 
 
 def month_ordinal(date):
@@ -26,8 +35,10 @@ def in_sek(prices: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def action_days(actions: DataFrame) -> DataFrame:
-    """number, date, split (product of ratios) and cash (sum of values) of each day with an action."""
-    return actions.groupBy("number", "date").agg(F.product(F.coalesce("action_ratio", F.lit(1.0))).alias("split"), F.sum(F.coalesce("action_value", F.lit(0.0))).alias("cash"))
+    """number, date, split (product of splits' ratios) and cash (sum of what was paid) of each day with an action."""
+    is_split = F.col("action_type").isin(*SPLITS)
+    ratio, paid = F.when(is_split, F.col("action_ratio")), F.when(~is_split, F.col("action_value"))
+    return actions.groupBy("number", "date").agg(F.product(F.coalesce(ratio, F.lit(1.0))).alias("split"), F.sum(F.coalesce(paid, F.lit(0.0))).alias("cash"))
 
 
 def rolling_median(prices: DataFrame, value: str, rows: int = 60) -> DataFrame:
@@ -37,20 +48,44 @@ def rolling_median(prices: DataFrame, value: str, rows: int = 60) -> DataFrame:
 
 def outliers(prices: DataFrame, actions: DataFrame) -> DataFrame:
     """Adds move (absolute change of the close) and is_outlier: an odd price, or a large move on a day without an action."""
-    w = Window.partitionBy("number").orderBy("date")
     days = actions.select("number", "date").distinct().withColumn("acted", F.lit(True))
-    moved = prices.withColumn("move", F.abs(F.col("close_raw") / F.lag("close_raw").over(w) - 1)).join(days, ["number", "date"], "left")
-    odd = (F.col("close_raw") < 1) | (F.col("close_raw") > 100000) | (F.coalesce(F.col("move") > LARGEST_MOVE, F.lit(False)) & F.col("acted").isNull())
-    return moved.withColumn("is_outlier", odd).drop("acted")
+    return _outliers(prices.join(days, ["number", "date"], "left"), F.col("acted").isNull()).drop("acted")
+
+
+def _outliers(rows: DataFrame, no_action) -> DataFrame:
+    moved = rows.withColumn("move", F.abs(F.col("close_raw") / F.lag("close_raw").over(Window.partitionBy("number").orderBy("date")) - 1))
+    odd = (F.col("close_raw") < 1) | (F.col("close_raw") > 100000) | (F.coalesce(F.col("move") > LARGEST_MOVE, F.lit(False)) & no_action)
+    return moved.withColumn("is_outlier", odd)
 
 
 def total_return_prices(prices: DataFrame, actions: DataFrame) -> DataFrame:
     """Adds adj_close, compounded with splits and dividends on trading days after the first, and adj_factor."""
+    return _adjusted(prices.join(action_days(actions), ["number", "date"], "left")).drop("split", "cash")
+
+
+def _adjusted(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("number").orderBy("date")
     ratio = (F.col("close_raw") + F.coalesce("cash", F.lit(0.0))) * F.coalesce("split", F.lit(1.0)) / F.lag("close_raw").over(w)
-    out = prices.join(action_days(actions), ["number", "date"], "left").withColumn("ratio", F.coalesce(ratio, F.col("close_raw")))
+    out = rows.withColumn("ratio", F.coalesce(ratio, F.col("close_raw")))
     out = out.withColumn("adj_close", F.product("ratio").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("adj_factor", F.col("adj_close") / F.col("close_raw")).drop("ratio", "split", "cash")
+    return out.withColumn("adj_factor", F.col("adj_close") / F.col("close_raw")).drop("ratio")
+
+
+def daily_panel(prices: DataFrame, rates: DataFrame, actions: DataFrame) -> DataFrame:
+    """Daily prices with all that later steps look up: SEK, total-return factors, median traded value, moves and outliers.
+
+    One join with the days of actions; then all windows share one partitioning by security.
+    """
+    rows = in_sek(prices, rates).join(action_days(actions), ["number", "date"], "left")
+    rows = _adjusted(_outliers(rolling_median(rows, "trade_value_sek"), F.col("split").isNull())).drop("split", "cash")
+    rate = F.col("sek_per_ccy")
+    return rows.withColumns(
+        {
+            "open_sek": F.col("open_raw") * rate,
+            "adj_open_sek": F.col("open_raw") * F.col("adj_factor") * rate,
+            "adj_close_sek": F.col("close_raw") * F.col("adj_factor") * rate,
+        }
+    )
 
 
 def calendar(prices: DataFrame) -> DataFrame:
@@ -60,42 +95,91 @@ def calendar(prices: DataFrame) -> DataFrame:
     return months.drop("first_date").join(following, ["exchange_group", "month"])
 
 
-def universe(prices: DataFrame, rates: DataFrame) -> DataFrame:
-    """One row for each security and month of its exchange, with as-of prices, age, primary listing, the first reason against it and liquidity.
+def universe(daily: DataFrame, caps: DataFrame | None = None) -> DataFrame:
+    """One row for each security and month of its exchange: as-of prices, age, market value, primary listing, eligibility and liquidity.
+
+    ``daily`` is a daily_panel. ``reason``, ``reason_se`` (home exchange only) and ``liquid_reason`` are the first reason against the row, "" if it is
+    eligible. Where a table ``caps`` (number, month, market_cap_sek, source) is given, market values are its own; else shares times the close.
 
-    Reasons, in order: out of scope, not listed, stale, too young, price too low, not the issuer's primary listing; "" is eligible.
+    Of an issuer's listed ordinary common shares in a month the primary one has the highest median value, then market value, then the
+    oldest listing. The liquid subset is the upper third by market value of a month's eligible rows that have one, if at most 5 % of
+    all eligible rows have none.
     """
-    daily = rolling_median(in_sek(prices, rates), "trade_value_sek")
-    span = daily.groupBy("number", "security_id", "exchange_group", "country_code", "currency", "issuer_group_id", "shares").agg(F.min("date").alias("listing_date"), F.max("date").alias("last_date"))
-    skeleton = span.join(calendar(prices), "exchange_group").withColumn("date", F.col("anchor_date"))
-    held = asof_join(skeleton, daily, ["number"], "date", ["close_raw", "close_sek", "median_value"]).drop("date").withColumnRenamed("right_on", "asof_date")
-    age = F.greatest(F.lit(0), F.col("month") - month_ordinal(F.col("listing_date")))
-    out = held.withColumns(
+    fixed = ["number", "security_id", "exchange_group", "country_code", "currency", "issuer_group_id", "shares", "share_class", "is_delisted"]
+    span = daily.groupBy(*fixed).agg(F.min("date").alias("listing_date"), F.max("date").alias("last_date")).withColumn("delisting_date", F.when(F.col("is_delisted"), F.col("last_date")))
+    skeleton = span.join(calendar(daily), "exchange_group").withColumn("date", F.col("anchor_date"))
+    seen = ["close_raw", "close_sek", "trade_value_sek", "median_value", "adj_close", "is_outlier"]
+    out = asof_join(skeleton, daily, ["number"], "date", seen).drop("date").withColumnRenamed("right_on", "asof_date")
+    if caps is None:
+        value, source = F.col("shares") * F.col("close_sek"), F.when(F.col("shares").isNotNull(), "shares_outstanding_times_anchor_close")
+    else:
+        out = out.join(caps, ["number", "month"], "left")
+        value, source = F.col("market_cap_sek"), F.col("source")
+    out = out.withColumns(
         {
             "stale_days": F.coalesce(F.date_diff("anchor_date", "asof_date"), F.lit(STALE)),
-            "listing_age_months": age,
-            "market_cap_sek": F.col("shares") * F.col("close_sek"),
-            "listed": (F.col("listing_date") <= F.col("anchor_date")) & (F.col("last_date") >= F.col("next_execution_date")),
+            "listing_age_months": F.greatest(F.lit(0), F.col("month") - month_ordinal(F.col("listing_date"))),
+            "market_cap_sek": value,
+            "status_source": F.coalesce(source, F.lit("missing_market_cap")),
+            "is_listed": (F.col("listing_date") <= F.col("anchor_date")) & F.col("asof_date").isNotNull(),
+            "delisted_before_execution": F.coalesce(F.col("delisting_date") < F.col("next_execution_date"), F.lit(False)),
         }
     )
-    first = Window.partitionBy("month", "exchange_group", "issuer_group_id").orderBy(F.col("median_value").desc_nulls_last(), F.col("market_cap_sek").desc_nulls_last(), "listing_date", "security_id")
-    out = out.withColumn("is_primary", F.row_number().over(first) == 1)
-    reason = (
-        F.when(F.col("exchange_group") == "XX", "out_of_scope").when(~F.col("listed"), "not_listed").when(F.col("stale_days") > 0, "stale")
-        .when(F.col("listing_age_months") < LEAST_AGE_MONTHS, "too_young").when(F.col("close_sek") < LEAST_CLOSE_SEK, "low_price")
-        .when(~F.col("is_primary"), "not_primary").otherwise("")
+    common = F.col("share_class") == "ordinary"
+    may_lead = F.col("is_listed") & common
+    metric = [F.coalesce(c, F.lit(-1.0)).desc() for c in ("median_value", "market_cap_sek")]
+    first = F.row_number().over(Window.partitionBy("month", "issuer_group_id", may_lead).orderBy(*metric, "listing_date", "security_id")) == 1
+    out = out.withColumn("is_primary", may_lead & first)
+
+    def against(se_only: bool):
+        rules = [
+            (~common, "non_common_share"),
+            (F.col("exchange_group") == "XX", "excluded_venue"),
+            *[(F.col("exchange_group") != "ST", "outside_se_only_scope")] * se_only,
+            (~F.col("is_primary"), "non_primary_listing"),
+            (F.col("listing_age_months") < LEAST_AGE_MONTHS, "too_short_listing_history"),
+            (F.col("asof_date").isNull() | F.col("close_raw").isNull() | F.col("trade_value_sek").isNull(), "missing_price_or_volume"),
+            (F.col("stale_days") > 0, "stale_last_trade"),
+            (F.col("delisted_before_execution"), "delisted_before_execution"),
+            (F.coalesce(F.col("close_sek") < LEAST_CLOSE_SEK, F.lit(True)), "price_below_min_sek"),
+            (F.col("is_outlier"), "bad_outlier_data"),
+        ]
+        found = F.lit(None).cast("string")
+        for rule, name in reversed(rules):
+            found = F.when(rule, name).otherwise(found)
+        return F.coalesce(found, F.lit(""))
+
+    out = out.withColumns({"reason": against(False), "reason_se": against(True)})
+    ranks = (F.col("reason") == "") & F.col("market_cap_sek").isNotNull()
+    by_cap = Window.partitionBy("month", ranks).orderBy(F.desc("market_cap_sek"), "security_id")
+    third = F.row_number().over(by_cap) <= F.ceil(F.count("*").over(Window.partitionBy("month", ranks)) / LIQUID_SHARE)
+    without = F.avg(F.when(F.col("reason") == "", F.col("market_cap_sek").isNull().cast("int")))
+    known = out.agg((F.coalesce(without, F.lit(1.0)) <= MOST_WITHOUT_VALUE).alias("values_known"))  # one row
+    out = out.withColumn("third", third).crossJoin(F.broadcast(known))
+    liquid = (
+        F.when(F.col("reason") != "", F.col("reason")).when(~F.col("values_known") | F.col("market_cap_sek").isNull(), "market_cap_data_unavailable")
+        .when(~F.col("third"), "outside_liquid_subset_cut").otherwise("")
     )
-    out = out.withColumn("reason", reason)
-    by_cap = Window.partitionBy("month", F.col("reason") == "").orderBy(F.col("market_cap_sek").desc_nulls_last(), "security_id")
-    all_of = Window.partitionBy("month", F.col("reason") == "")
-    third = F.row_number().over(by_cap) <= F.ceil(F.count("*").over(all_of) / LIQUID_SHARE)
-    return out.withColumn("is_liquid", (F.col("reason") == "") & third)
-
-
-def tiered_cost_bps(notional, median_value, close_sek, currency):
-    """One-way cost: brokerage, spread by traded value, share of volume taken, low price, currency; null over 1 % of the median value."""
-    part = notional / median_value
-    spread = F.when(median_value >= 50e6, 15).when(median_value >= 20e6, 25).when(median_value >= 10e6, 40).when(median_value >= 5e6, 60).otherwise(100)
-    taken = F.when(part <= 0.0025, 0).when(part <= 0.005, 10).when(part <= 0.0075, 20).otherwise(40)
-    total = F.greatest(1 / notional * 1e4, F.lit(9.0)) + spread + taken + F.when(close_sek < 30, 10).otherwise(0) + F.when(currency != "SEK", 10).otherwise(0)
-    return F.when(part <= 0.01, total)
+    return out.withColumn("liquid_reason", liquid).withColumn("is_liquid", F.col("liquid_reason") == "").drop("third", "values_known")
+
+
+def within_capacity(top_n):
+    """Whether an order of an equal part of the capital is at most 1 % of the row's median value."""
+    return F.coalesce((F.col("median_value") > 0) & (CAPITAL_SEK / top_n / F.col("median_value") <= LARGEST_PART), F.lit(False))
+
+
+def tiered_cost_bps(top_n, execution: str = "next_open", currency_bps=CURRENCY_BPS["base"]):
+    """One-way cost of a row's order in basis points: brokerage; spread and share of volume taken, times the execution's impact; low price; currency.
+
+    Null over capacity.
+    """
+    notional = CAPITAL_SEK / top_n
+    part, spread, taken = notional / F.col("median_value"), F.lit(WIDEST), F.lit(None).cast("double")
+    for least, bps in reversed(SPREADS):
+        spread = F.when(F.col("median_value") >= least, bps).otherwise(spread)
+    for most, bps in reversed(PARTS):
+        taken = F.when(part <= most, bps).otherwise(taken)
+    brokerage = F.greatest(F.lit(LEAST_FEE_SEK), notional * (FEE_BPS / 1e4)) / notional * 1e4
+    low = F.when(F.col("close_sek") < LOW_PRICE_SEK, LOW_PRICE_BPS).otherwise(0.0)
+    foreign = F.when(F.col("currency") != "SEK", currency_bps).otherwise(0.0)
+    return F.when(within_capacity(top_n), brokerage + (spread + taken) * IMPACT[execution] + low + foreign)

@@ -145,14 +145,14 @@ sch as (select 'month' as cadence, max(date) as date from dd group by date_trunc
 ne as (select date, lead(date) over (order by date) as entry_date from dd),
 pe0 as (select cadence, row_number() over w - 1 as period, date as rebalance_date, entry_date, lead(entry_date) over w as exit_date from sch join ne using (date) window w as (partition by cadence order by date)),
 pe as (select * from pe0 where exit_date > entry_date),
-hc as (select pe.*, d.number, d.open_sek as entry_price from pe join dly d on d.date = pe.entry_date and d.open_sek > 0),
-hd as (select hc.*, o.open_sek, l.close_sek from hc asof left join (select * from dly where close_sek > 0) l on l.number = hc.number and hc.exit_date >= l.date
-    left join (select number, date, open_sek from dly where open_sek > 0) o on o.number = hc.number and o.date = hc.exit_date),
-ch as (select cadence, period, number, coalesce(open_sek, close_sek * 0.7::double) / entry_price - 1 as ret from hd)"""
+hc as (select pe.*, d.number, d.adj_open_sek as entry_price from pe join dly d on d.date = pe.entry_date and d.adj_open_sek > 0),
+hd as (select hc.*, o.adj_open_sek, l.adj_close_sek from hc asof left join (select * from dly where adj_close_sek > 0) l on l.number = hc.number and hc.exit_date >= l.date
+    left join (select number, date, adj_open_sek from dly where adj_open_sek > 0) o on o.number = hc.number and o.date = hc.exit_date),
+ch as (select cadence, period, number, coalesce(adj_open_sek, adj_close_sek * 0.7::double) / entry_price - 1 as ret from hd)"""
 _CADENCE_NET = f"""{_CADENCE},
 sk as (select number, cadence, period, rebalance_date, (year(entry_date) * 12 + month(entry_date) - 2)::int as month, (rebalance_date - interval {SKIP} month)::date as d1, (rebalance_date - interval {SKIP + LOOKBACK} month)::date as d0 from pe cross join span),
-s1 as (select sk.*, d.close_sek as p1 from sk asof left join (select * from dly where close_sek > 0) d on sk.number = d.number and sk.d1 >= d.date),
-s0 as (select s1.*, d.close_sek as p0 from s1 asof left join (select * from dly where close_sek > 0) d on s1.number = d.number and s1.d0 >= d.date),
+s1 as (select sk.*, d.adj_close as p1 from sk asof left join (select * from dly where adj_close > 0) d on sk.number = d.number and sk.d1 >= d.date),
+s0 as (select s1.*, d.adj_close as p0 from s1 asof left join (select * from dly where adj_close > 0) d on s1.number = d.number and s1.d0 >= d.date),
 kr as (select cadence, period, number, ret, row_number() over (partition by cadence, period order by p1 / p0 - 1 desc nulls last, number) as rank
     from s0 join (select number, month from uni where reason = '') using (number, month) join ch using (cadence, period, number) where p1 / p0 is not null and ret is not null),
 kb as (select cadence || '_n' || n as candidate_id, cadence, period, number, 1.0::double / n as weight, ret from kr, (select unnest({list(BOOKS)}) as n) where rank <= n),
@@ -167,20 +167,26 @@ def _periods(spark, sf_dir, prices):
     return cadence.periods(days, cadence.schedule(days))
 
 
+def _adjusted(spark, sf_dir):
+    """Daily total-return prices in SEK."""
+    return daily(spark, sf_dir).select("number", "date", F.col("adj_open_sek").alias("open_sek"), F.col("adj_close_sek").alias("close_sek"))
+
+
 def _cadence_returns(spark, sf_dir):
-    prices = daily(spark, sf_dir).select("number", "date", "open_sek", "close_sek")
+    prices = _adjusted(spark, sf_dir)
     spans, names = _periods(spark, sf_dir, prices), market.securities(spark, sf_dir).select("number")
     eligible = monthly(spark, sf_dir).where("reason = ''").select("number", "month")
-    scored = cadence.momentum(names, spans, prices, LOOKBACK, SKIP).join(eligible, ["number", "month"], "left_semi").drop("month")
+    local = daily(spark, sf_dir).select("number", "date", F.col("adj_close").alias("close_sek"))
+    scored = cadence.momentum(names, spans, local, LOOKBACK, SKIP).join(eligible, ["number", "month"], "left_semi").drop("month")
     rows = scored.join(cadence.holding_returns(names, spans, prices), ["cadence", "period", "number"])
     sizes = spark.createDataFrame([(n,) for n in BOOKS], "top_n int")
-    return portfolio.period_returns(cadence.books(rows, sizes), COST_BPS).withColumnRenamed("month", "period")
+    return portfolio.period_returns(cadence.books(rows, sizes), COST_BPS / 1e4).withColumnRenamed("month", "period")
 
 
 @query(f"{_CADENCE} select cadence, period, number, round(ret, 6) as ret from ch")
 def cadence_holding_returns(spark, sf_dir):
     """Returns between the entry days of weekly, biweekly, monthly and quarterly schedules."""
-    prices = daily(spark, sf_dir).select("number", "date", "open_sek", "close_sek")
+    prices = _adjusted(spark, sf_dir)
     out = cadence.holding_returns(market.securities(spark, sf_dir).select("number"), _periods(spark, sf_dir, prices), prices)
     return _rounded(out, "cadence", "period", "number", "ret")
 

@@ -12,9 +12,10 @@ from strandline.functions import stats, text
 from strandline.operators import portfolio, universe, validation
 from strandline.operators.asof import asof_join
 from strandline.sources import market
+from strandline.storage import kept
 
-#: The grid of candidates, the cost of trading, and the folds (month ordinals).
-LOOKBACKS, SKIPS, SIZES, WEIGHTINGS = (3, 6, 12), (0, 1), (3, 5, 10), ("equal", "cap")
+#: The grid of candidates, the flat cost that cadences are compared at, and the folds (month ordinals).
+LOOKBACKS, SKIPS, SIZES, WEIGHTINGS = (3, 6, 12), (0, 1), (3, 5, 10), ("equal", "cap", "inv_vol")
 COST_BPS = 40.0
 FOLDS = [(y - 1996, 1995 * 12, y * 12 - 1, y * 12, y * 12 + 11) for y in (1997, 1998, 1999, 2000)]
 
@@ -43,26 +44,49 @@ def folds(spark: SparkSession) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = universe.in_sek(market.daily_prices(spark, sf_dir), market.currency_rates(spark, sf_dir))
-    return prices.withColumn("open_sek", F.col("open_raw") * F.col("sek_per_ccy"))
+    """Daily prices in SEK, adjusted; the table that the monthly ones start from, saved once."""
+    make = lambda: universe.daily_panel(market.daily_prices(spark, sf_dir), market.currency_rates(spark, sf_dir), market.corporate_actions(spark, sf_dir))
+    return kept(spark, sf_dir, "daily", make)
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return universe.universe(market.daily_prices(spark, sf_dir), market.currency_rates(spark, sf_dir))
+    return kept(spark, sf_dir, "monthly", lambda: universe.universe(daily(spark, sf_dir)))
+
+
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of holding each security from one month's execution to the next."""
+    make = lambda: portfolio.holding_returns(monthly(spark, sf_dir), daily(spark, sf_dir), market.corporate_actions(spark, sf_dir))
+    return kept(spark, sf_dir, "held", make)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = monthly(spark, sf_dir)
-    held = portfolio.holding_returns(months, daily(spark, sf_dir))
-    return portfolio.momentum(months, grid(spark)).join(held, ["number", "month"], "left")
+    def make() -> DataFrame:
+        months = monthly(spark, sf_dir)
+        scores = portfolio.momentum(months.join(portfolio.volatility(months), ["number", "month"]), grid(spark))
+        return scores.join(held(spark, sf_dir), ["number", "month"], "left")
+
+    return kept(spark, sf_dir, "scored", make)
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.books(scored(spark, sf_dir), grid(spark))
+    return kept(spark, sf_dir, "book", lambda: portfolio.books(scored(spark, sf_dir), grid(spark)))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a trade's cost depends on."""
+    return monthly(spark, sf_dir).select("number", "month", "median_value", "close_sek", "currency")
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.period_returns(book(spark, sf_dir), COST_BPS)
+    """Every candidate in every month in which any holds a name, traded at the next open with the base currency cost."""
+
+    def make() -> DataFrame:
+        names = book(spark, sf_dir)
+        months = names.select("month").distinct().crossJoin(F.broadcast(grid(spark).select("candidate_id")))
+        cost = universe.tiered_cost_bps(F.col("top_n")) / 1e4
+        return portfolio.period_returns(names, cost, facts(spark, sf_dir), months=months)
+
+    return kept(spark, sf_dir, "backtest", make)
 
 
 def _rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
@@ -72,58 +96,105 @@ def _rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
 
 _DAILY = f"""
 {market.SQL.strip()},
+ad as (select number, date, product(coalesce(case when action_type in ('split', 'reverse_split') then action_ratio end, 1)) as split,
+    sum(coalesce(case when action_type not in ('split', 'reverse_split') then action_value end, 0)) as cash from act group by 1, 2),
 dly0 as (select px.*, case when px.currency = 'SEK' then 1.0::double else fx.sek_per_ccy end as sek_per_ccy
     from px asof left join fx on px.currency = fx.currency and px.date >= fx.date),
-dly as (select *, close_raw * sek_per_ccy as close_sek, open_raw * sek_per_ccy as open_sek, close_raw * volume * sek_per_ccy as trade_value_sek,
-    quantile_cont(close_raw * volume * sek_per_ccy, 0.5) over (partition by number order by date rows between 59 preceding and current row) as median_value
-    from dly0)"""
+dly1 as (select dly0.*, split, abs(close_raw / lag(close_raw) over w - 1) as move, coalesce((close_raw + coalesce(cash, 0)) * coalesce(split, 1) / lag(close_raw) over w, close_raw) as ratio
+    from dly0 left join ad using (number, date) window w as (partition by number order by date)),
+dly as materialized (select *, close_raw * sek_per_ccy as close_sek, open_raw * sek_per_ccy as open_sek, close_raw * volume * sek_per_ccy as trade_value_sek,
+    quantile_cont(close_raw * volume * sek_per_ccy, 0.5) over (partition by number order by date rows between 59 preceding and current row) as median_value,
+    product(ratio) over (partition by number order by date) as adj_close, adj_close / close_raw as adj_factor,
+    open_raw * adj_factor * sek_per_ccy as adj_open_sek, close_raw * adj_factor * sek_per_ccy as adj_close_sek,
+    close_raw < 1 or close_raw > 100000 or (coalesce(move > 0.7, false) and split is null) as is_outlier
+    from dly1)"""
 _CALENDAR = """
 cal0 as (select exchange_group, (year(date) * 12 + month(date) - 1)::int as month, max(date) as anchor_date, min(date) as first_date from px group by 1, 2),
 cal as (select a.exchange_group, a.month, a.anchor_date, b.first_date as next_execution_date
     from cal0 a join cal0 b on a.exchange_group = b.exchange_group and b.month = a.month + 1)"""
+
+
+def _reason(se_only: bool) -> str:
+    return f"""case when share_class <> 'ordinary' then 'non_common_share' when exchange_group = 'XX' then 'excluded_venue'
+    {"when exchange_group <> 'ST' then 'outside_se_only_scope'" if se_only else ""} when not is_primary then 'non_primary_listing'
+    when listing_age_months < 18 then 'too_short_listing_history' when asof_date is null or close_raw is null or trade_value_sek is null then 'missing_price_or_volume'
+    when stale_days > 0 then 'stale_last_trade' when delisted_before_execution then 'delisted_before_execution'
+    when coalesce(close_sek < 20, true) then 'price_below_min_sek' when is_outlier then 'bad_outlier_data' else '' end"""
+
+
 _UNIVERSE = f"""{_DAILY},{_CALENDAR},
-span as (select number, security_id, exchange_group, country_code, currency, issuer_group_id, shares, min(date) as listing_date, max(date) as last_date
+span as (select number, security_id, exchange_group, country_code, currency, issuer_group_id, shares, share_class, is_delisted, min(date) as listing_date, max(date) as last_date
     from px group by all),
-u0 as (select span.*, cal.month, cal.anchor_date, cal.next_execution_date from span join cal using (exchange_group)),
-u1 as (select u0.*, d.date as asof_date, d.close_raw, d.close_sek, d.median_value,
+u0 as (select span.*, case when is_delisted then last_date end as delisting_date, cal.month, cal.anchor_date, cal.next_execution_date from span join cal using (exchange_group)),
+u1 as (select u0.*, d.date as asof_date, d.close_raw, d.close_sek, d.trade_value_sek, d.median_value, d.adj_close, d.is_outlier,
     coalesce(date_diff('day', d.date, anchor_date), 9999) as stale_days,
     greatest(0, u0.month - (year(listing_date) * 12 + month(listing_date) - 1)) as listing_age_months,
-    u0.shares * d.close_sek as market_cap_sek
+    u0.shares * d.close_sek as market_cap_sek, case when u0.shares is null then 'missing_market_cap' else 'shares_outstanding_times_anchor_close' end as status_source,
+    listing_date <= anchor_date and d.date is not null as is_listed, coalesce(delisting_date < next_execution_date, false) as delisted_before_execution
     from u0 asof left join dly d on u0.number = d.number and u0.anchor_date >= d.date),
-u2 as (select *, listing_date <= anchor_date and last_date >= next_execution_date as listed,
-    row_number() over (partition by month, exchange_group, issuer_group_id
-        order by median_value desc nulls last, market_cap_sek desc nulls last, listing_date, security_id) = 1 as is_primary from u1),
-u3 as (select *, case when exchange_group = 'XX' then 'out_of_scope' when not listed then 'not_listed' when stale_days > 0 then 'stale'
-    when listing_age_months < 18 then 'too_young' when close_sek < 20 then 'low_price' when not is_primary then 'not_primary' else '' end as reason from u2),
-uni as (select *, reason = '' and row_number() over (partition by month, reason = '' order by market_cap_sek desc nulls last, security_id)
-    <= ceil(count(*) over (partition by month, reason = '') / 3) as is_liquid from u3)"""
+u2 as (select *, may_lead and row_number() over (partition by month, issuer_group_id, may_lead
+        order by coalesce(median_value, -1) desc, coalesce(market_cap_sek, -1) desc, listing_date, security_id) = 1 as is_primary
+    from (select *, is_listed and share_class = 'ordinary' as may_lead from u1)),
+u3 as (select *, {_reason(False)} as reason, {_reason(True)} as reason_se from u2),
+u4 as (select *, reason = '' and market_cap_sek is not null as ranks, (select coalesce(avg((market_cap_sek is null)::int), 1) <= 0.05 from u3 where reason = '') as values_known from u3),
+u5 as (select *, row_number() over (partition by month, ranks order by market_cap_sek desc, security_id) <= ceil(count(*) over (partition by month, ranks) / 3) as third from u4),
+uni as materialized (select *, case when reason <> '' then reason when not values_known or market_cap_sek is null then 'market_cap_data_unavailable'
+    when not third then 'outside_liquid_subset_cut' else '' end as liquid_reason, liquid_reason = '' as is_liquid from u5)"""
 _GRID = f"""
 grid as (select 'l' || a || '_s' || s || '_n' || n || '_strat=' || w as candidate_id, a as lookback, s as skip, n as top_n, w as weighting
     from (select unnest({list(LOOKBACKS)}) as a), (select unnest({list(SKIPS)}) as s), (select unnest({list(SIZES)}) as n), (select unnest({list(WEIGHTINGS)}) as w))"""
-_SCORED = f"""{_UNIVERSE},{_GRID},
-cl as (select number, month as m, close_sek as p from uni where stale_days = 0 and close_sek > 0),
-sc0 as (select uni.*, lookback, skip, x.p / y.p - 1 as score from uni, (select distinct lookback, skip from grid) g
+_CLOSES = "cl as (select number, month as m, adj_close as p from uni where stale_days = 0 and adj_close > 0)"
+_CAPACITY = "coalesce(median_value > 0 and 250000.0::double / top_n / median_value <= 0.01, false)"
+
+
+def _cost(execution: str = "1.25", currency: str = "25") -> str:
+    """The cost fraction of a trade, from columns median_value, close_sek, currency and top_n."""
+    return f"""(case when {_CAPACITY} then (greatest(1.0, 250000.0::double / top_n * 0.0009) / (250000.0::double / top_n) * 1e4
+    + (case when median_value >= 50e6 then 15 when median_value >= 20e6 then 25 when median_value >= 10e6 then 40 when median_value >= 5e6 then 60 else 100 end
+    + case when 250000.0::double / top_n / median_value <= 0.0025 then 0 when 250000.0::double / top_n / median_value <= 0.005 then 10
+        when 250000.0::double / top_n / median_value <= 0.0075 then 20 else 40 end) * {execution}::double
+    + case when close_sek < 50 then 10 else 0 end + case when currency <> 'SEK' then {currency} else 0 end) / 1e4 end)"""
+
+
+def _weight(by: str) -> str:
+    """Weights of rows with raw and top_n; the window's partition is ``by``."""
+    w = f"over (partition by {by})"
+    return f"count(*) {w} / top_n::double * case when coalesce(sum(raw) {w}, 0) > 0 then coalesce(raw, 0) / sum(raw) {w} else 1 / count(*) {w} end"
+
+
+_RAW = """case weighting when 'cap' then case when market_cap_sek > 0 then market_cap_sek end when 'inv_vol' then case when volatility > 0 then 1 / volatility end
+    else 1.0::double end"""
+_SCORED = f"""{_UNIVERSE},{_GRID},{_CLOSES},
+mr as (select a.number, a.m as month, a.p / b.p - 1 as ret from cl a join cl b on a.number = b.number and b.m = a.m - 1),
+vo as (select u.number, u.month, stddev_samp(mr.ret) over (partition by u.number order by u.month range between 12 preceding and 1 preceding) as volatility from uni u left join mr using (number, month)),
+sc0 as (select uni.*, volatility, lookback, skip, x.p / y.p - 1 as score from uni join vo using (number, month), (select distinct lookback, skip from grid) g
     left join cl x on x.number = uni.number and x.m = uni.month - skip
     left join cl y on y.number = uni.number and y.m = uni.month - skip - lookback),
 h0 as (select number, month, next_execution_date, lead(next_execution_date) over (partition by number order by month) as exit_due from uni),
-h1 as (select h0.*, d.date as entry_date, d.open_sek as entry_price from h0 asof join dly d on h0.number = d.number and h0.next_execution_date <= d.date),
-h2 as (select h1.*, d.open_sek as exit_price from h1 asof left join dly d on h1.number = d.number and h1.exit_due <= d.date),
-h3 as (select h2.*, d.date as back_date, d.close_sek as back_price from h2 asof left join dly d on h2.number = d.number and h2.exit_due >= d.date),
-hold as (select number, month, case when exit_due is null or entry_date > exit_due then null else
-    coalesce(coalesce(exit_price, case when back_date >= entry_date then back_price * 0.7 end) / entry_price - 1, 0.7 - 1) end as ret from h3),
-sc as (select sc0.*, ret from sc0 left join hold using (number, month)),
+h1 as (select h0.*, d.date as entry_date, d.adj_open_sek as entry_open, d.adj_close_sek as entry_close from h0 asof join dly d on h0.number = d.number and h0.next_execution_date <= d.date),
+h2 as (select h1.*, d.adj_open_sek as exit_open, d.adj_close_sek as exit_close from h1 asof left join dly d on h1.number = d.number and h1.exit_due <= d.date),
+h3 as (select h2.*, d.date as back_date, d.adj_close_sek as back_price from h2 asof left join dly d on h2.number = d.number and h2.exit_due >= d.date),
+h4 as (select h3.*, case when back_date >= entry_date then back_price * case when exists (select 1 from act where act.number = h3.number
+    and act.action_type in ('cash_merger', 'delisting_cashout') and act.date between h3.next_execution_date and h3.exit_due) then 1.0 else 0.7 end end as fallback from h3),
+hold as (select number, month,
+    case when exit_due is null or entry_date > exit_due or not entry_open > 0 then null else coalesce(case when coalesce(exit_open, fallback) > 0 then coalesce(exit_open, fallback) / entry_open - 1 end, 0.7 - 1) end as ret,
+    case when exit_due is null or entry_date > exit_due or not entry_close > 0 then null else coalesce(case when coalesce(exit_close, fallback) > 0 then coalesce(exit_close, fallback) / entry_close - 1 end, 0.7 - 1) end as ret_close
+    from h4),
+sc as materialized (select sc0.*, ret, ret_close from sc0 left join hold using (number, month)),
 rk as (select *, row_number() over (partition by lookback, skip, month order by score desc nulls last, number) as rank
     from sc where reason = '' and score is not null and ret is not null),
-bk0 as (select candidate_id, month, number, country_code, ret, score, top_n,
-    case when weighting = 'cap' then coalesce(market_cap_sek, 0) else 1.0::double end as raw from rk join grid using (lookback, skip) where rank <= top_n),
-bk as (select *, count(*) over (partition by candidate_id, month) / top_n::double * raw / sum(raw) over (partition by candidate_id, month) as weight from bk0)"""
+rn as (select *, row_number() over (partition by lookback, skip, top_n, month order by score desc, number) as place
+    from (select sc.*, top_n from sc, (select distinct top_n from grid)) where reason = '' and score is not null and ret is not null and {_CAPACITY}),
+bk0 as (select candidate_id, month, number, country_code, currency, median_value, close_sek, ret, score, top_n, {_RAW} as raw from rn join grid using (lookback, skip, top_n) where place <= top_n),
+bk as materialized (select *, {_weight("candidate_id, month")} as weight from bk0)"""
 _RETURNS = f"""{_SCORED},
-mv as (select coalesce(a.candidate_id, b.candidate_id) as candidate_id, coalesce(a.month, b.month + 1) as month, a.weight, b.weight as was, a.ret
-    from bk a full outer join bk b on a.candidate_id = b.candidate_id and a.number = b.number and a.month = b.month + 1),
-net as (select candidate_id, month, sum(coalesce(weight * ret, 0)) as gross,
-    sum(case when was is null then weight when weight is null then was else 0 end * {COST_BPS / 1e4}::double) as cost,
-    count(*) filter (was is null) as entries, count(*) filter (weight is null) as exits, count(weight) as held, gross - cost as net
-    from mv where (candidate_id, month) in (select (candidate_id, month) from bk) group by 1, 2)"""
+mv as (select coalesce(a.candidate_id, b.candidate_id) as candidate_id, coalesce(a.month, b.month + 1) as month, coalesce(a.number, b.number) as number, coalesce(a.top_n, b.top_n) as top_n,
+    a.weight, b.weight as was, a.ret from bk a full outer join bk b on a.candidate_id = b.candidate_id and a.number = b.number and a.month = b.month + 1),
+mc as (select mv.*, coalesce({_cost()}, 0) as one from mv left join (select number, month, median_value, close_sek, currency from uni) u using (number, month)),
+net as materialized (select g.candidate_id, o.month, coalesce(sum(weight * ret), 0) as gross,
+    coalesce(sum(case when was is null then weight when weight is null then was end * one), 0) as cost,
+    count(*) filter (was is null and weight is not null) as entries, count(*) filter (weight is null and was is not null) as exits, count(weight) as held, gross - cost as net
+    from grid g cross join (select distinct month from bk) o left join mc on mc.candidate_id = g.candidate_id and mc.month = o.month group by 1, 2)"""
 
 
 @query(f"{_DAILY} select security_id, date, sek_per_ccy, close_sek, trade_value_sek from dly")
@@ -135,7 +206,7 @@ def prices_in_sek(spark, sf_dir):
 @query(f"{_DAILY} select security_id, date, round(median_value, 4) as median_value from dly")
 def rolling_median_value(spark, sf_dir):
     """Median traded value of the last 60 bars."""
-    return _rounded(universe.rolling_median(daily(spark, sf_dir), "trade_value_sek"), "security_id", "date", "median_value", digits=4)
+    return _rounded(daily(spark, sf_dir), "security_id", "date", "median_value", digits=4)
 
 
 @query(f"""{market.SQL.strip()},
@@ -148,13 +219,14 @@ def price_outliers(spark, sf_dir):
 
 
 @query(f"""{market.SQL.strip()},
-ad as (select number, date, product(coalesce(action_ratio, 1)) as split, sum(coalesce(action_value, 0)) as cash from act group by 1, 2),
+ad as (select number, date, product(coalesce(case when action_type in ('split', 'reverse_split') then action_ratio end, 1)) as split,
+    sum(coalesce(case when action_type not in ('split', 'reverse_split') then action_value end, 0)) as cash from act group by 1, 2),
 r as (select px.*, coalesce((close_raw + coalesce(cash, 0)) * coalesce(split, 1) / lag(close_raw) over (partition by number order by date), close_raw) as ratio
     from px left join ad using (number, date))
 select security_id, date, round(ln(product(ratio) over (partition by number order by date)), 6) as log_adj_close from r""")
 def adjusted_prices(spark, sf_dir):
     """Total-return closes, compounded with splits and dividends (W3, A2); as logarithms."""
-    out = universe.total_return_prices(market.daily_prices(spark, sf_dir), market.corporate_actions(spark, sf_dir))
+    out = daily(spark, sf_dir)
     return _rounded(out.withColumn("log_adj_close", F.ln("adj_close")), "security_id", "date", "log_adj_close")
 
 
@@ -164,7 +236,10 @@ def exchange_calendar(spark, sf_dir):
     return universe.calendar(market.daily_prices(spark, sf_dir))
 
 
-_UNIVERSE_COLUMNS = ["security_id", "month", "anchor_date", "next_execution_date", "asof_date", "stale_days", "listing_age_months", "close_sek", "is_primary", "reason", "is_liquid"]
+_UNIVERSE_COLUMNS = [
+    "security_id", "month", "anchor_date", "next_execution_date", "asof_date", "stale_days", "listing_age_months", "close_sek", "status_source", "is_listed",
+    "delisted_before_execution", "is_primary", "reason", "reason_se", "liquid_reason", "is_liquid",
+]
 
 
 @query(f"{_UNIVERSE} select {', '.join(_UNIVERSE_COLUMNS)} from uni")
@@ -175,7 +250,7 @@ def monthly_universe(spark, sf_dir):
 
 @query(f"{_UNIVERSE} select month, exchange_group, reason, count(*) as n, count(distinct issuer_group_id) as issuers from uni group by all")
 def universe_reasons(spark, sf_dir):
-    """Rows and issuers by reason."""
+    """Rows and issuers by reason."""
     return monthly(spark, sf_dir).groupBy("month", "exchange_group", "reason").agg(F.count("*").alias("n"), F.count_distinct("issuer_group_id").alias("issuers"))
 
 
@@ -186,16 +261,16 @@ def momentum_ranks(spark, sf_dir):
     return _rounded(portfolio.ranked(rows, ["lookback", "skip", "month"]), "lookback", "skip", "month", "number", "rank", "score")
 
 
-@query(f"{_SCORED} select number, month, round(ret, 6) as ret from hold")
+@query(f"{_SCORED} select number, month, round(ret, 6) as ret, round(ret_close, 6) as ret_close from hold")
 def holding_period_returns(spark, sf_dir):
-    """Entry and exit by forward as-of, with fallbacks."""
-    return _rounded(portfolio.holding_returns(monthly(spark, sf_dir), daily(spark, sf_dir)), "number", "month", "ret")
+    """Entry and exit by forward as-of, at opens and at closes, with fallbacks and payments at delisting."""
+    return _rounded(held(spark, sf_dir), "number", "month", "ret", "ret_close")
 
 
-@query(f"{_RETURNS} select candidate_id, month, round(gross, 6) as gross, round(cost, 6) as cost, round(net, 6) as net, entries, exits, held from net")
+@query(f"{_RETURNS} select candidate_id, month, round(gross, 9) as gross, round(cost, 9) as cost, round(net, 9) as net, entries, exits, held from net")
 def grid_backtest(spark, sf_dir):
     """Returns of the whole grid in one job."""
-    return _rounded(backtest(spark, sf_dir), "candidate_id", "month", "gross", "cost", "net", "entries", "exits", "held")
+    return _rounded(backtest(spark, sf_dir), "candidate_id", "month", "gross", "cost", "net", "entries", "exits", "held", digits=9)
 
 
 @query(f"""{_RETURNS}
@@ -364,20 +439,21 @@ def benchmark_returns(spark, sf_dir):
 
 
 @query(f"""{_UNIVERSE},
-n as (select unnest([3, 5, 10]) as top_n),
-c as (select security_id, month, top_n, 100000.0::double / top_n as notional, median_value, close_sek, currency, notional / median_value as part from uni, n where reason = '')
-select security_id, month, top_n, round(part, 8) as participation, part <= 0.01 as within_capacity,
-    case when part <= 0.01 then round(greatest(1 / notional * 1e4, 9.0)
-    + case when median_value >= 50e6 then 15 when median_value >= 20e6 then 25 when median_value >= 10e6 then 40 when median_value >= 5e6 then 60 else 100 end
-    + case when part <= 0.0025 then 0 when part <= 0.005 then 10 when part <= 0.0075 then 20 else 40 end
-    + case when close_sek < 30 then 10 else 0 end + case when currency <> 'SEK' then 10 else 0 end, 6) end as cost_bps from c""")
+n as (select unnest({list(SIZES)}) as top_n),
+x as (select * from (values {", ".join(f"('{e}', '{c}')" for e in universe.IMPACT for c in universe.CURRENCY_BPS)}) x(execution, scenario)),
+c as (select uni.*, top_n, execution, scenario from uni, n, x where reason = '')
+select security_id, month, top_n, execution, scenario, round(250000.0::double / top_n / median_value, 8) as participation, {_CAPACITY} as within_capacity,
+    case execution || scenario {" ".join(f"when '{e}{c}' then round({_cost(str(i), str(b))} * 1e4, 6)" for e, i in universe.IMPACT.items() for c, b in universe.CURRENCY_BPS.items())} end as cost_bps from c""")
 def trading_costs(spark, sf_dir):
-    """Capacity and tiered one-way costs for three sizes of book."""
+    """Capacity and tiered one-way costs for three sizes of book, two executions and three currency scenarios."""
     sizes = spark.createDataFrame([(n,) for n in SIZES], "top_n int")
-    rows = monthly(spark, sf_dir).where("reason = ''").crossJoin(F.broadcast(sizes)).withColumn("notional", 100000.0 / F.col("top_n"))
-    part = F.col("notional") / F.col("median_value")
-    cost = universe.tiered_cost_bps(F.col("notional"), F.col("median_value"), F.col("close_sek"), F.col("currency")).cast("double")
-    return rows.select("security_id", "month", "top_n", F.round(part, 8).alias("participation"), (part <= 0.01).alias("within_capacity"), F.round(cost, 6).alias("cost_bps"))
+    rows = monthly(spark, sf_dir).where("reason = ''").crossJoin(F.broadcast(sizes))
+    cells = [
+        F.struct(F.lit(e).alias("execution"), F.lit(c).alias("scenario"), F.round(universe.tiered_cost_bps(F.col("top_n"), e, b), 6).alias("cost_bps"))
+        for e in universe.IMPACT for c, b in universe.CURRENCY_BPS.items()
+    ]
+    part = F.round(universe.CAPITAL_SEK / F.col("top_n") / F.col("median_value"), 8)
+    return rows.select("security_id", "month", "top_n", part.alias("participation"), universe.within_capacity(F.col("top_n")).alias("within_capacity"), F.inline(F.array(*cells)))
 
 
 @query(f"""{_SCORED},
@@ -433,7 +509,7 @@ def normalised_names(spark, sf_dir):
 select 'prices' as section, 'duplicate_key' as check_name, (select count(*) from (select 1 from px group by number, date having count(*) > 1)) as n_bad
 union all select 'prices', 'not_positive', (select count(*) from px where not (low_raw > 0 and open_raw > 0 and close_raw > 0 and high_raw > 0 and volume >= 0))
 union all select 'prices', 'high_below_low', (select count(*) from px where high_raw < low_raw)
-union all select 'actions', 'bad_ratio', (select count(*) from act where action_type <> 'cash_dividend' and not coalesce(action_ratio > 0, false))
+union all select 'actions', 'bad_ratio', (select count(*) from act where action_type in ('split', 'reverse_split') and not coalesce(action_ratio > 0, false))
 union all select 'actions', 'no_trading_day', (select count(*) from act where not exists (select 1 from px where px.number = act.number and px.date = act.date))
 union all select 'rates', 'not_positive', (select count(*) from fx where not sek_per_ccy > 0)
 union all select 'prices', 'no_rate', (select count(*) from dly where sek_per_ccy is null)""")
@@ -445,7 +521,7 @@ def data_checks(spark, sf_dir):
         ("prices", "duplicate_key"): prices.groupBy("number", "date").count().where("count > 1"),
         ("prices", "not_positive"): prices.where(f"not ({positive})"),
         ("prices", "high_below_low"): prices.where("high_raw < low_raw"),
-        ("actions", "bad_ratio"): actions.where("action_type <> 'cash_dividend' and not coalesce(action_ratio > 0, false)"),
+        ("actions", "bad_ratio"): actions.where("action_type in ('split', 'reverse_split') and not coalesce(action_ratio > 0, false)"),
         ("actions", "no_trading_day"): actions.join(prices.select("number", "date"), ["number", "date"], "left_anti"),
         ("rates", "not_positive"): rates.where("not sek_per_ccy > 0"),
         ("prices", "no_rate"): daily(spark, sf_dir).where("sek_per_ccy is null"),

@@ -9,6 +9,7 @@ from strandline.functions import stats
 from strandline.operators import controls, ledger, portfolio, universe, validation
 from strandline.operators.asof import asof_join
 from strandline.plans.queries import (
+    _CLOSES,
     _DAILY,
     _RETURNS,
     _SCORED,
@@ -35,14 +36,11 @@ WINDOW, SKIP, AVERAGES = 12, 1, (6, 9, 12, 15)
 ORDER_SEK = 1e6
 VARIANTS = {"full": "true", "se_only": "country_code = 'SE'", "without_se": "country_code <> 'SE'", "liquid": "is_liquid"}
 
-_CLOSES = "cl as (select number, month, close_sek as p from uni where stale_days = 0 and close_sek > 0)"
-_MONTHLY = f"{_UNIVERSE},{_CLOSES}, pr as (select a.number, a.month, a.p / b.p - 1 as ret from cl a join cl b on a.number = b.number and b.month = a.month - 1)"
+_MONTHLY = f"{_UNIVERSE},{_CLOSES}, pr as (select a.number, a.m as month, a.p / b.p - 1 as ret from cl a join cl b on a.number = b.number and b.m = a.m - 1)"
 
 
 def _monthly_returns(spark, sf_dir):
-    closes = monthly(spark, sf_dir).where("stale_days = 0 and close_sek > 0").select("number", "month", "close_sek")
-    before = closes.select("number", (F.col("month") + 1).alias("month"), F.col("close_sek").alias("was"))
-    return closes.join(before, ["number", "month"]).select("number", "month", (F.col("close_sek") / F.col("was") - 1).alias("ret"))
+    return portfolio.monthly_returns(monthly(spark, sf_dir))
 
 
 @query(f"{_MONTHLY} select number, month, round(ret, 6) as ret from pr")
@@ -63,14 +61,14 @@ def rolling_volatility(spark, sf_dir):
 
 @query(f"""{_UNIVERSE},
 k as (select number, month, (anchor_date - interval 1 month)::date as d1, (anchor_date - interval 13 month)::date as d0 from uni),
-a as (select k.*, d.close_sek as p1 from k asof left join dly d on k.number = d.number and k.d1 >= d.date),
-b as (select a.*, d.close_sek as p0 from a asof left join dly d on a.number = d.number and a.d0 >= d.date)
+a as (select k.*, d.adj_close as p1 from k asof left join dly d on k.number = d.number and k.d1 >= d.date),
+b as (select a.*, d.adj_close as p0 from a asof left join dly d on a.number = d.number and a.d0 >= d.date)
 select number, month, round(p1 / p0 - 1, 6) as score from b""")
 def calendar_momentum(spark, sf_dir):
     """Momentum between calendar-shifted dates, prices carried forward."""
     prices, rows = daily(spark, sf_dir), monthly(spark, sf_dir).select("number", "month", "anchor_date")
     for back, name in ((1, "p1"), (13, "p0")):
-        rows = asof_join(rows.withColumn("date", F.add_months("anchor_date", -back)), prices, ["number"], "date", ["close_sek"]).drop("date", "right_on").withColumnRenamed("close_sek", name)
+        rows = asof_join(rows.withColumn("date", F.add_months("anchor_date", -back)), prices, ["number"], "date", ["adj_close"]).drop("date", "right_on").withColumnRenamed("adj_close", name)
     return _rounded(rows.withColumn("score", F.col("p1") / F.col("p0") - 1), "number", "month", "score")
 
 
@@ -234,13 +232,13 @@ def plateaus(spark, sf_dir):
 
 @query(f"""{_RETURNS},
 j as (select a.candidate_id as one, b.candidate_id as two, a.net as x, b.net as y from net a join net b on a.month = b.month and a.candidate_id < b.candidate_id)
-select one, two, count(*) as months, round(corr(x, y), 5) as correlation, round(median(abs(x - y)), 6) as median_difference from j group by 1, 2""")
+select one, two, count(*) as months, round(corr(x, y), 5) as correlation, round(median(abs(x - y)), 9) as median_difference from j group by 1, 2""")
 def candidate_correlations(spark, sf_dir):
     """Correlation and median difference of all pairs of candidates (A23, R26); the grid, a parameter, bounds the pairs."""
     net = backtest(spark, sf_dir).select("candidate_id", "month", "net")
     one, two = net.toDF("one", "month", "x"), net.toDF("two", "month", "y")
     out = one.join(two, "month").where("one < two").groupBy("one", "two").agg(
-        F.count("*").alias("months"), F.round(F.corr("x", "y"), 5).alias("correlation"), F.round(F.percentile(F.abs(F.col("x") - F.col("y")), 0.5), 6).alias("median_difference")
+        F.count("*").alias("months"), F.round(F.corr("x", "y"), 5).alias("correlation"), F.round(F.percentile(F.abs(F.col("x") - F.col("y")), 0.5), 9).alias("median_difference")
     )
     return out
 
@@ -309,13 +307,13 @@ def variant_returns(spark, sf_dir):
 
 
 @query(f"""{_SCORED}
-select candidate_id, month, bps, extra, round(sum((bps + case when country_code <> 'SE' then extra else 0 end) / 1e4 * weight), 8) as cost
-from bk, (select unnest([10, 20, 40, 60, 80]) as bps), (select unnest([0, 10, 20, 40]) as extra) group by 1, 2, 3, 4""")
+select candidate_id, month, bps, extra, round(sum((bps + case when currency <> 'SEK' then extra else 0 end) / 1e4 / top_n), 8) as cost
+from bk, (select unnest([10, 25, 50, 75, 100]) as bps), (select unnest([0, 10, 25, 50]) as extra) group by 1, 2, 3, 4""")
 def flat_costs(spark, sf_dir):
-    """What holding the book costs under each flat rate and currency surcharge."""
-    rates = spark.createDataFrame([(b, e) for b in (10, 20, 40, 60, 80) for e in (0, 10, 20, 40)], "bps int, extra int")
-    one = F.col("bps") + F.when(F.col("country_code") != "SE", F.col("extra")).otherwise(0)
-    return book(spark, sf_dir).crossJoin(F.broadcast(rates)).groupBy("candidate_id", "month", "bps", "extra").agg(F.round(F.sum(one / 1e4 * F.col("weight")), 8).alias("cost"))
+    """What buying the whole book costs under each flat rate and currency surcharge, at one part of the capital a name; a book's names are within capacity."""
+    rates = spark.createDataFrame([(b, e) for b in (10, 25, 50, 75, 100) for e in (0, 10, 25, 50)], "bps int, extra int")
+    one = F.col("bps") + F.when(F.col("currency") != "SEK", F.col("extra")).otherwise(0)
+    return book(spark, sf_dir).crossJoin(F.broadcast(rates)).groupBy("candidate_id", "month", "bps", "extra").agg(F.round(F.sum(one / 1e4 / F.col("top_n")), 8).alias("cost"))
 
 
 @query(f"""{_SCORED},
@@ -339,7 +337,7 @@ def position_rows(spark, sf_dir):
     """Orders of each book with their share of volume and whether they are new."""
     held = book(spark, sf_dir)
     before = held.select("candidate_id", (F.col("month") + 1).alias("month"), "number", F.lit(True).alias("was"))
-    facts = monthly(spark, sf_dir).select("number", "month", "security_id", "currency", "median_value")
+    facts = monthly(spark, sf_dir).select("number", "month", "security_id")
     out = held.join(facts, ["number", "month"]).join(before, ["candidate_id", "month", "number"], "left")
     notional = F.col("weight") * ORDER_SEK
     return out.select(
@@ -350,19 +348,20 @@ def position_rows(spark, sf_dir):
 
 @query(f"""{_SCORED},
 e as (select h1.number, h1.month, entry_date, h0.exit_due from h1 join h0 using (number, month))
-select number, month, count(*) filter (action_type = 'cash_dividend') as dividends, count(*) filter (action_type <> 'cash_dividend') as splits
+select number, month, count(*) filter (action_type = 'cash_dividend') as dividends, count(*) filter (action_type in ('split', 'reverse_split')) as splits,
+    count(*) filter (action_type in ('cash_merger', 'delisting_cashout')) as cashouts
 from e join act using (number) where act.date between entry_date and exit_due group by 1, 2""")
 def actions_while_held(spark, sf_dir):
     """Corporate actions between entry and exit, both included."""
     due = monthly(spark, sf_dir).select("number", "month", "next_execution_date", F.lead("next_execution_date").over(Window.partitionBy("number").orderBy("month")).alias("exit_due"))
     held = asof_join(due.withColumn("date", F.col("next_execution_date")), daily(spark, sf_dir), ["number"], "date", [], forward=True).drop("date").withColumnRenamed("right_on", "entry_date")
     both = held.join(market.corporate_actions(spark, sf_dir), "number").where(F.col("date").between(F.col("entry_date"), F.col("exit_due")))
-    cash = F.col("action_type") == "cash_dividend"
-    return both.groupBy("number", "month").agg(F.count_if(cash).alias("dividends"), F.count_if(~cash).alias("splits"))
+    kind = F.col("action_type")
+    counts = {"dividends": kind == "cash_dividend", "splits": kind.isin(*universe.SPLITS), "cashouts": kind.isin(*universe.CASHOUTS)}
+    return both.groupBy("number", "month").agg(*[F.count_if(test).alias(name) for name, test in counts.items()])
 
 
 @query(f"""{_DAILY},
-ad as (select number, date, product(coalesce(action_ratio, 1)) as split, sum(coalesce(action_value, 0)) as cash from act group by 1, 2),
 r as (select px.*, coalesce((close_raw + coalesce(cash, 0)) * coalesce(split, 1) / lag(close_raw) over (partition by number order by date), close_raw) as ratio from px left join ad using (number, date)),
 t as (select security_id, case when abs(product(ratio) over w - exp(sum(ln(ratio)) over w)) > 1e-9 * greatest(1, product(ratio) over w) then 'differs' else 'same' end as status
     from r window w as (partition by number order by date))
@@ -370,7 +369,7 @@ select security_id, status, count(*) as n from t group by 1, 2""")
 def adjusted_parity(spark, sf_dir):
     """Adjusted closes against a second computation by logarithms, key by key."""
     prices, actions = market.daily_prices(spark, sf_dir), market.corporate_actions(spark, sf_dir)
-    stored = universe.total_return_prices(prices, actions)
+    stored = daily(spark, sf_dir)
     w = Window.partitionBy("number").orderBy("date")
     ratio = (F.col("close_raw") + F.coalesce("cash", F.lit(0.0))) * F.coalesce("split", F.lit(1.0)) / F.lag("close_raw").over(w)
     again = prices.join(universe.action_days(actions), ["number", "date"], "left").withColumn("ratio", F.coalesce(ratio, F.col("close_raw")))
@@ -424,5 +423,5 @@ def months_listed(spark, sf_dir):
 def paper_ledger(spark, sf_dir):
     """Trades of every candidate's portfolio at the month's first open."""
     due = monthly(spark, sf_dir).select("number", "month", F.col("next_execution_date").alias("date"))
-    prices = asof_join(due, daily(spark, sf_dir), ["number"], "date", ["open_sek"], forward=True).select("number", "month", F.col("open_sek").alias("price"))
+    prices = asof_join(due, daily(spark, sf_dir), ["number"], "date", ["adj_open_sek"], forward=True).select("number", "month", F.col("adj_open_sek").alias("price"))
     return ledger.ledger(book(spark, sf_dir), prices, ORDER_SEK, 40.0)

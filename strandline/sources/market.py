@@ -38,7 +38,7 @@ def mean_of_cents(c, divisor: float):
 
 
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each supplier: security_id, exchange_group, country_code, currency, issuer_group_id, shares, number."""
+    """One row for each supplier: security_id, exchange_group, country_code, currency, issuer_group_id, shares (some unknown), number, share_class, is_delisted."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     at = [_pick(F.col("n_regionkey"), {k: v[i] for k, v in VENUES.items()}) for i in range(3)]
     return table(spark, sf_dir, "supplier").join(nation, "s_nationkey").select(
@@ -47,11 +47,18 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
         at[1].alias("country_code"),
         at[2].alias("currency"),
         F.floor(F.col("s_suppkey") / 2).cast("long").alias("issuer_group_id"),
-        (1000.0 + 10 * F.col("s_suppkey")).alias("shares"),
+        F.when(F.col("s_suppkey") % 41 != 40, 1000.0 + 10 * F.col("s_suppkey")).alias("shares"),
         F.col("s_suppkey").alias("number"),
+        F.when(F.col("s_suppkey") % 29 == 28, "preferred").otherwise("ordinary").alias("share_class"),
+        (F.col("s_suppkey") % 10 == 7).alias("is_delisted"),
     )
 
 
+def _after_delisting():
+    """Lines (number, date) of names that are no longer traded by then."""
+    return (F.col("number") % 10 == 7) & (F.col("date") > F.lit("1999-12-31").cast("date"))
+
+
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of each security: open, high, low, close and volume, with its venue."""
     n = F.col("number")
@@ -60,7 +67,7 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     close = to_six((50 + mean_of_cents(F.col("l_extendedprice"), 1000.0)) / scale)
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("number"), "l_extendedprice", "l_quantity", week_end(F.col("l_shipdate")).alias("date"))
     bars = (
-        lines.where(~((n % 10 == 7) & (F.col("date") > F.lit("1999-12-31").cast("date"))))
+        lines.where(~_after_delisting())
         .withColumn("p", price)
         .groupBy("number", "date")
         .agg(F.max("p").alias("high_raw"), F.min("p").alias("low_raw"), close.alias("close_raw"), (F.sum("l_quantity") * 1000 * (1 + F.col("number") % 10)).alias("volume"))
@@ -70,18 +77,21 @@ def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corporate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dividends and splits: number, date, action_type, action_value, action_ratio."""
+    """Dividends, splits and payments at delisting: number, date, action_type, action_value, action_ratio."""
     line = table(spark, sf_dir, "lineitem")
     cash = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_discount") >= 0.095)
     split = (F.col("l_returnflag") == "A") & (F.col("l_discount") < 0.005) & (F.col("l_tax") >= 0.075)
     even = F.col("l_linenumber") % 2 == 0
+    traded = line.select(F.col("l_suppkey").alias("number"), week_end(F.col("l_shipdate")).alias("date")).where(F.col("number") % 20 == 7)
+    paid = traded.where(~_after_delisting()).groupBy("number").agg(F.max("date").alias("date"))
+    paid = paid.select("number", "date", F.lit("delisting_cashout").alias("action_type"), F.lit(1.0).alias("action_value"), F.lit(None).cast("double").alias("action_ratio"))
     return line.where(cash | split).select(
         F.col("l_suppkey").alias("number"),
         week_end(F.col("l_shipdate")).alias("date"),
         F.when(cash, "cash_dividend").when(even, "split").otherwise("reverse_split").alias("action_type"),
         F.when(cash, 10 * F.col("l_tax")).alias("action_value"),
         F.when(~cash, F.when(even, 2.0).otherwise(0.5)).alias("action_ratio"),
-    )
+    ).unionByName(paid)
 
 
 def currency_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +149,8 @@ sec as (select 'S' || s_suppkey || '.' || {_case("n_regionkey", {k: v[0] for k,
     {_case("n_regionkey", {k: v[0] for k, v in VENUES.items()})} as exchange_group,
     {_case("n_regionkey", {k: v[1] for k, v in VENUES.items()})} as country_code,
     {_case("n_regionkey", {k: v[2] for k, v in VENUES.items()})} as currency,
-    s_suppkey // 2 as issuer_group_id, 1000.0::double + 10 * s_suppkey as shares, s_suppkey as number
+    s_suppkey // 2 as issuer_group_id, case when s_suppkey % 41 <> 40 then 1000.0::double + 10 * s_suppkey end as shares, s_suppkey as number,
+    case when s_suppkey % 29 = 28 then 'preferred' else 'ordinary' end as share_class, s_suppkey % 10 = 7 as is_delisted
     from supplier join nation on s_nationkey = n_nationkey),
 bar as (select number, date, max(p) as high_raw, min(p) as low_raw, {_six(f"(50 + {_mean('x', 1000.0)}) / {_SCALE}")} as close_raw,
     sum(q) * 1000 * (1 + number % 10) as volume, (max(p) + min(p)) / 2 as open_raw
@@ -152,7 +163,8 @@ act as (select l_suppkey as number, {_WEEK.format("l_shipdate")} as date,
     case when l_returnflag = 'R' then 10 * l_tax end as action_value,
     case when l_returnflag = 'A' then case when l_linenumber % 2 = 0 then 2.0::double else 0.5::double end end as action_ratio
     from lineitem where (l_returnflag = 'R' and l_linestatus = 'F' and l_discount >= 0.095)
-        or (l_returnflag = 'A' and l_discount < 0.005 and l_tax >= 0.075)),
+        or (l_returnflag = 'A' and l_discount < 0.005 and l_tax >= 0.075)
+    union all select number, max(date), 'delisting_cashout', 1.0::double, null::double from bar where number % 20 = 7 group by number),
 fx0 as (select {_case("n_regionkey", RATE_CURRENCY)} as currency, o_orderdate::date as date, {_six(f"0.8::double + {_mean('o_totalprice', 1e6)}")} as sek_per_ccy
     from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
     where n_regionkey in (1, 2, 3, 4) group by 1, 2),
