@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of a digest that the join goes by.
 SHORT = 8
-#: Distinct lengths of rules' paths that are held as a literal; rules with more are refused.
+#: Distinct lengths of rules' paths that are held as a literal; with more, all of a path's prefixes are looked up.
 MOST_LENGTHS = 1000
+#: A URL that more than one in so many pages has is dealt out in parts: there can't be more such URLs than this.
+HOT = 1000
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -40,7 +42,8 @@ def filter_urls(
     lengths that rules have; SHA-256 digests of the expressions are joined to the rules' by their first
     ``SHORT`` digits and confirmed in full. Distinct pairs keep a hot URL from being expanded
     again and again. Rules may be of any number: Spark broadcasts them only below its own threshold, and else
-    shuffles both sides. Only built-in functions are used.
+    shuffles both sides. When verdicts go back to pages, a pair that more than one page in ``HOT`` has (so at most ``HOT`` pairs,
+    which are broadcast) is split into parts. Only built-in functions are used.
 
     A null URL or one without ``://`` has an empty host and path, and no rule. A null id stays null;
     repeated rows give repeated rows; an empty table gives an empty one; other columns are not looked at.
@@ -58,8 +61,6 @@ def filter_urls(
         )
     )
     lengths = [r[0] for r in rules.select("path_chars").distinct().limit(MOST_LENGTHS + 1).collect()]
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"rules' paths have over {MOST_LENGTHS} distinct lengths")
 
     judged = pages.select(
         F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
@@ -68,11 +69,15 @@ def filter_urls(
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    prefix_lengths = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")
+    if len(lengths) > MOST_LENGTHS:
+        prefix_lengths = F.sequence(F.lit(0), F.length("path"))
+    else:
+        prefix_lengths = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")
+    counts = judged.groupBy("host", "path").agg(F.count("*").alias("pages"))
+    often = max(1, pages.count() // HOT)
+    hot = F.broadcast(counts.where(F.col("pages") > often).select("host", "path", F.ceil(F.col("pages") / often).cast("int").alias("parts")))
     expressions = (
-        judged.where("host <> ''")
-        .select("host", "path")
-        .distinct()
+        counts.where("host <> ''")
         .select("host", "path", F.explode(suffixes).alias("suffix"))
         .select("host", "path", "suffix", F.explode(F.filter(prefix_lengths, lambda n: n <= F.length("path"))).alias("n"))
         .select("host", "path", F.sha2(F.concat("suffix", F.expr("substring(path, 1, n)")), 256).alias("digest"), F.length("suffix").alias("s_chars"), "n")
@@ -88,6 +93,9 @@ def filter_urls(
             ).alias("best")
         )
     )
-    return judged.join(found, ["host", "path"], "left").select(
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = judged.join(hot, ["host", "path"], "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    verdicts = found.join(hot, ["host", "path"], "left").select("host", "path", "best", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(verdicts, ["host", "path", "part"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
