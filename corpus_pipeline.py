@@ -18,8 +18,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; lang becomes the one found."""
     found = language.identify_languages(docs, PIECES, keep_row=True)
-    sure = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return sure.select("row.*", F.col("lang_pred").alias("lang_pred ")).withColumn("lang", F.col("`lang_pred `")).drop("lang_pred ")
+    its = found[found.columns[-1]]
+    sure = found.where((its.lang_pred != language.UNKNOWN) & (its.score >= LEAST_LANGUAGE_SCORE))
+    return sure.select(*[its.lang_pred.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +41,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in the text replaced by its kind, and n_chars of the new text."""
     found = pii.personal_data(docs, redact=True, keep_row=True)
-    text = F.when(F.col("row.text").isNotNull(), F.col("redacted_text"))
-    return found.select(F.col("row").withField("text", text).withField("n_chars", F.length(text).cast("long")).alias("row")).select("row.*")
+    text = F.when(F.col("text").isNotNull(), found[found.columns[-1]].redacted_text)
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with n_tokens and the digests of their identifiers and of the text decoded from these."""
     found = tokens.encode_documents(docs, BPE, keep_ids=False, keep_row=True)
-    own = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return found.select(*[F.col(f"row.{c}") for c in own], "n_tokens", "ids_sha256", "decoded_sha256")
+    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    own = [c for c in docs.columns if c not in made]
+    return found.select(*own, *[found[found.columns[-1]][c].alias(c) for c in made])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -19,8 +19,8 @@ PATTERN = regex.compile(
 )
 #: White space other than the blank and the line feed, as the pattern's \s takes it.
 _ODD_SPACE = regex.compile(r"[\s--[ \n]]", regex.V1)
-#: Entries that a worker keeps of each cache, and the longest text kept as a key.
-CACHE, KEY_CHARS = 400_000, 64
+#: Bytes that a worker keeps in each cache, about, and the longest text kept as a key.
+ROOM, KEY_CHARS = 12 << 20, 64
 
 
 def byte_symbols() -> list[str]:
@@ -86,17 +86,19 @@ class Vocabulary:
 
 
 class _Cache(dict):
-    """Results by text, emptied when full."""
+    """Results by text, emptied when they take ``ROOM`` bytes: 200 for an entry without its characters and identifiers, about."""
 
     def __init__(self, make, prefix: str = "") -> None:
-        self.make, self.prefix = make, prefix
+        self.make, self.prefix, self.used = make, prefix, 0
 
     def __missing__(self, key: str):
         value = self.make(self.prefix + key)
         if len(key) <= KEY_CHARS:
-            if len(self) >= CACHE:
+            if self.used >= ROOM:
                 self.clear()
+                self.used = 0
             self[key] = value
+            self.used += 200 + len(key) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
 

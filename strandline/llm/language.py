@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from strandline.llm import textbatch
 from strandline.llm.learning import fold, mapped, whole_texts
-from strandline.llm.storage import saved
 
 #: Labelled documents of each language, about, that the probabilities are learned from; and rounds of learning.
 FIT_ROWS, ROUNDS = 600, 3
-#: Languages at most.
-LANGUAGES = 500
-#: A longer word is taken in parts of so many bytes; longer pieces aren't used.
-WORD, PIECE = 48, 12
-#: Rounds of EM look at so many words of a language, the most frequent.
-FIT_WORDS = 20_000
+#: Distinct lang values whose counts are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
+#: For learning alone, a longer word is taken in parts of so many bytes.
+FIT_BYTES = 48
+#: A longer word is scored beside others of about its length, the forward sums rescaled every so many bytes.
+ALIKE, RESCALE = 48, 8
+#: Bytes of words that are scored together.
+TOGETHER = 1 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MARK = ord("_")  # stands for a word's beginning in the tables below
@@ -32,7 +33,7 @@ _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(rows: np.ndarray) -> np.ndarray:
-    """Of equally long byte strings, one in each row."""
+    """Of equally long byte strings, one in each row. (Up to a few dozen bytes that a fixed vocabulary names, so none collide there.)"""
     h = np.zeros(len(rows), np.uint64)
     for j in range(rows.shape[1]):
         h = h * _TIMES + _CODE[rows[:, j]]
@@ -46,7 +47,8 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]) -> None:
         single = [bytes([b]) for b in range(256)]
-        self.pieces = single + sorted({p for p in pieces if 1 < len(p) <= PIECE})
+        self.pieces = single + sorted({p for p in pieces if len(p) > 1})
+        self.lengths = sorted({len(p) for p in self.pieces})
         hashes = np.zeros(len(self.pieces), np.uint64)
         for size in {len(p) for p in self.pieces}:
             own = [i for i, p in enumerate(self.pieces) if len(p) == size]
@@ -87,22 +89,50 @@ def public_pieces(path: str) -> list[bytes]:
 
 def _edges(pieces: Pieces, rows: np.ndarray):
     """(end, length, which rows, which piece) of all pieces in equally long words, by end."""
+    longest, wanted = pieces.lengths[-1], set(pieces.lengths)
+    hashes: list[np.ndarray] = []  # of what begins at each of the last places and ends here, the latest last
+    for end in range(1, rows.shape[1] + 1):
+        code = _CODE[rows[:, end - 1]]
+        hashes = [h * _TIMES + code for h in hashes[-(longest - 1) :]] + [code] if longest > 1 else [code]
+        for length in range(1, len(hashes) + 1):
+            if length in wanted:
+                piece = pieces.find(textbatch.mixed(hashes[-length] + np.uint64(length)))
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    yield end, length, hit, piece[hit]
+
+
+def forward(pieces: Pieces, p: np.ndarray, rows: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """log of each word's probability in each language: the sum over all its segmentations.
+
+    Words shorter than the rows have their ``sizes`` given. Sums are kept for as many places as the longest piece has, and
+    divided by the latest one every ``RESCALE`` bytes, so a word may have any length.
+    """
     n, width = rows.shape
-    for end in range(1, width + 1):
-        for length in range(1, min(end, PIECE) + 1):
-            piece = pieces.find(_hash(rows[:, end - length : end]))
-            hit = np.flatnonzero(piece >= 0)
-            if len(hit):
-                yield end, length, hit, piece[hit]
-
-
-def forward(pieces: Pieces, p: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log of each word's probability in each language: the sum over all its segmentations."""
-    alpha = np.zeros((rows.shape[1] + 1, len(rows), p.shape[1]))
+    sizes = np.full(n, width) if sizes is None else sizes
+    room = pieces.lengths[-1] + 1
+    alpha = np.zeros((room, n, p.shape[1]))
     alpha[0] = 1
+    scale, logs = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+    last = 0
+
+    def ended() -> None:
+        done = np.flatnonzero(sizes == last)
+        if len(done):
+            logs[done] = np.log(alpha[last % room, done]) + scale[done]
+        if last % RESCALE == 0 and 0 < last < width:
+            now = alpha[last % room].copy()
+            alpha[...] /= now
+            scale[...] += np.log(now)
+
     for end, length, hit, piece in _edges(pieces, rows):
-        alpha[end, hit] += alpha[end - length, hit] * p[piece]
-    return np.log(np.maximum(alpha[-1], 1e-300))
+        if end != last:
+            ended()
+            last = end
+            alpha[end % room] = 0
+        alpha[end % room, hit] += alpha[(end - length) % room, hit] * p[piece]
+    ended()
+    return logs
 
 
 def expected(pieces: Pieces, p: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -122,23 +152,25 @@ def expected(pieces: Pieces, p: np.ndarray, rows: np.ndarray, weight: np.ndarray
     return out
 
 
-def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which spans, their lower-cased bytes after the mark) for each length."""
-    sizes = ends - starts
-    for size in np.unique(sizes):
-        own = np.flatnonzero(sizes == size)
-        rows = np.full((len(own), size + 1), _MARK, np.uint8)
-        rows[:, 1:] = textbatch._LOWER[data[starts[own][:, None] + np.arange(size)]]
-        yield own, rows
+def _alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Groups of words to be scored together: of one length up to ``ALIKE`` bytes, beyond it of lengths within a quarter, ``TOGETHER`` bytes at most."""
+    order = np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        least = sizes[order[lo]]
+        most = least if least <= ALIKE else least + least // 4
+        hi = int(np.searchsorted(sizes[order], most, "right"))
+        hi = min(hi, lo + max(1, TOGETHER // int(most)))
+        yield order[lo:hi]
+        lo = hi
 
 
-def _parts(w: textbatch.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' starts and ends, long ones in parts of ``WORD`` bytes, and the word of each."""
-    many = -(-(w.ends - w.starts) // WORD)
-    word = np.repeat(np.arange(len(many)), many)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
-    starts = w.starts[word] + nth * WORD
-    return starts, np.minimum(starts + WORD, w.ends[word]), word
+def _rows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words' lower-cased bytes after the mark; behind a word stands what follows in the text."""
+    rows = np.full((len(starts), int(sizes.max()) + 1), _MARK, np.uint8)
+    at = np.minimum(starts[:, None] + np.arange(rows.shape[1] - 1), len(data) - 1)
+    rows[:, 1:] = textbatch._LOWER[data[at]]
+    return rows
 
 
 @dataclass
@@ -150,31 +182,45 @@ class Model:
     def scores(self, t: textbatch.Texts) -> np.ndarray:
         """Each text's log-probability in each language."""
         w = textbatch.words(t)
-        starts, ends, word = _parts(w)
-        key = textbatch.spans_hash(t.data, starts, ends)
-        _, one, of = np.unique(key, return_index=True, return_inverse=True)
+        _, one, of = np.unique(w.hashes, return_index=True, return_inverse=True)
+        starts, sizes = w.starts[one], (w.ends - w.starts)[one]
         logs = np.zeros((len(one), len(self.languages)))
-        for own, rows in _by_length(t.data, starts[one], ends[one]):
-            logs[own] = forward(self.pieces, self.p, rows)
-        first = np.searchsorted(word, w.first)
-        return np.array([np.bincount(np.repeat(np.arange(len(t)), np.diff(first)), logs[of, k], len(t)) for k in range(len(self.languages))]).T
+        for own in _alike(sizes):
+            logs[own] = forward(self.pieces, self.p, _rows(t.data, starts[own], sizes[own]), sizes[own] + 1)
+        text = np.repeat(np.arange(len(t)), np.diff(w.first))
+        return np.array([np.bincount(text, logs[of, k], len(t)) for k in range(len(self.languages))]).T
+
+
+def _learn(pieces: Pieces):
+    """Piece probabilities of the language of some words (lang, word, n), by EM over all segmentations."""
+
+    def run(found: pa.Table) -> pa.Table:
+        groups: dict[int, list] = {}
+        for word, n in sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)):
+            groups.setdefault(len(word), []).append((word, n))
+        made = [(np.array([[_MARK, *word] for word, _ in g], np.uint8), np.array([n for _, n in g], float)) for _, g in sorted(groups.items())]
+        own = np.array([4.0 ** (min(len(x), 12) - 1) for x in pieces.pieces])
+        own /= own.sum()
+        for _ in range(ROUNDS):
+            total = sum(expected(pieces, own, *g) for g in made) + 0.01
+            own = total / total.sum()
+        return pa.table({"lang": found.column("lang").slice(0, 1), "p": pa.array([own.astype(np.float32).tobytes()], pa.binary())})
+
+    return run
 
 
 def train(labelled: DataFrame, vocabulary: str) -> Model:
     """Piece probabilities of each language in (doc_id, text, lang), by EM over all segmentations.
 
-    Takes about ``FIT_ROWS`` documents of each language, chosen by a hash, with their words counted on the executors.
+    Takes about ``FIT_ROWS`` documents of each language, chosen by a hash; their words are counted, and each language is learned,
+    on the executors. A language is one row of a probability for each piece (130 KB) on the driver.
     """
     known = labelled.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    counts = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(FIT_ROWS) / F.count("*")).alias("share"))
+    if counts.count() <= MOST_BROADCAST:
+        counts = F.broadcast(counts)
     pieces = Pieces(public_pieces(vocabulary))
-    languages = [r["lang"] for r in counts]
-    if not languages:
-        return Model(pieces, [], np.zeros((len(pieces.pieces), 0)))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, FIT_ROWS / r["count"])))])
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    some = known.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,27 +228,15 @@ def train(labelled: DataFrame, vocabulary: str) -> Model:
             out: dict[tuple[str, bytes], int] = {}
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for word in text.encode().lower().split():
-                    for k in range(0, len(word), WORD):
-                        key = lang[i], word[k : k + WORD]
+                    for k in range(0, len(word), FIT_BYTES):
+                        key = lang[i], word[k : k + FIT_BYTES]
                         out[key] = out.get(key, 0) + 1
-            yield pa.record_batch([pa.array([k[0] for k in out]), pa.array([k[1] for k in out], pa.binary()), pa.array(list(out.values()), pa.int64())], ["lang", "word", "n"])
+            yield pa.record_batch([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.binary()), pa.array(list(out.values()), pa.int64())], ["lang", "word", "n"])
 
     found = some.select("text", "lang").mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = saved(found, "words")
-    p = np.empty((len(pieces.pieces), len(languages)))
-    for k, lang in enumerate(languages):
-        rows = found.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(FIT_WORDS).collect()
-        groups: dict[int, list] = {}
-        for r in rows:
-            groups.setdefault(len(r["word"]), []).append(r)
-        made = [(np.array([[_MARK, *r["word"]] for r in g], np.uint8), np.array([r["n"] for r in g], float)) for g in groups.values()]
-        own = np.array([4.0 ** (len(x) - 1) for x in pieces.pieces])
-        own /= own.sum()
-        for _ in range(ROUNDS):
-            total = sum(expected(pieces, own, *g) for g in made) + 0.01
-            own = total / total.sum()
-        p[:, k] = own
-    return Model(pieces, languages, p)
+    learned = found.groupBy("lang").applyInArrow(_learn(pieces), "lang string, p binary").orderBy("lang").collect()
+    p = np.array([np.frombuffer(r["p"], np.float32) for r in learned], np.float32).reshape(-1, len(pieces.pieces))
+    return Model(pieces, [r["lang"] for r in learned], np.ascontiguousarray(p.T))
 
 
 def identify_languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_row: bool = False) -> DataFrame:
@@ -214,9 +248,9 @@ def identify_languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: i
 
     A null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to learn from; equal
     probabilities go to the first language by name; rows with a null lang or text aren't learned from; a null id is in fold 0; repeated rows
-    give repeated rows; an empty table gives an empty one; other columns are only carried along, in ``row``, if ``keep_row``.
+    give repeated rows; an empty table gives an empty one; other columns are not looked at; with ``keep_row`` the rows come
+    whole, and doc_id, lang_pred and score are a struct, the last column.
     """
-    texts = whole_texts(docs, id_col, text_col, *[F.struct("*").alias("row")] * keep_row)
     model = train(whole_texts(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where(fold(F.col("doc_id"), folds) != held), vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -237,6 +271,5 @@ def identify_languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: i
                         score.append(0.0)
             yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return mapped(texts, run, "doc_id long, lang_pred string, score double").select(
-        "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score", *["row"] * keep_row
-    )
+    found = mapped(docs, id_col, text_col, run, "doc_id long, lang_pred string, score double", keep_row)
+    return found if keep_row else found.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -32,19 +32,25 @@ def sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(order, "doc_id").limit(n)
 
 
-def mapped(texts: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``texts.mapInArrow(run, schema)``; if ``texts`` has a column ``row``, it is carried along.
+def mapped(docs: DataFrame, id_col: str, text_col: str, run: Callable, schema: str, keep_row: bool = False) -> DataFrame:
+    """What ``run`` gives for batches of (doc_id, text); with ``keep_row``, the columns of ``docs`` and then it as one struct, the last column.
 
-    ``run`` gives a row for each row, in order, and keeps nothing between batches.
+    ``run`` gives a row for each row, in order, and keeps nothing between batches. A row's own columns pass through as they came,
+    so that its text is in memory once.
     """
-    if "row" not in texts.columns:
-        return texts.mapInArrow(run, schema)
+    if not keep_row:
+        return whole_texts(docs, id_col, text_col).mapInArrow(run, schema)
+    name = "found"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, row = 0, batch.column("row")
-            for out in run(iter([batch])):
-                yield pa.record_batch([*out.columns, row.slice(at, out.num_rows)], [*out.schema.names, "row"])
+            some = pa.record_batch([batch.column(id_col).cast(pa.int64()), batch.column(text_col).cast(pa.string())], ["doc_id", "text"])
+            at = 0
+            for out in run(iter([some])):
+                part = batch.slice(at, out.num_rows)
+                yield pa.record_batch([*part.columns, pa.StructArray.from_arrays(out.columns, out.schema.names)], [*part.schema.names, name])
                 at += out.num_rows
 
-    return texts.mapInArrow(both, StructType([*StructType.fromDDL(schema).fields, texts.schema["row"]]))
+    return docs.mapInArrow(both, StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(schema))]))

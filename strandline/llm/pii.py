@@ -16,8 +16,8 @@ from strandline.llm import textbatch
 from strandline.llm.learning import mapped, sample, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts with base spans, at most, that the model is trained on, rounds of training, learning rate, and L2 decay.
-FIT_ROWS, EPOCHS, RATE, DECAY = 1200, 6, 0.3, 1e-4
+#: Texts, and stretches of them that may hold personal data, at most, that the model is trained on; rounds of training, learning rate, and L2 decay.
+FIT_ROWS, FIT_STRETCHES, EPOCHS, RATE, DECAY = 2400, 6000, 6, 0.3, 1e-4
 #: Tokens in a segment at most, and tokens kept around one that may be personal data.
 LONGEST, AROUND = 6, 2
 #: An added segment must be so much likelier than tokens of no kind.
@@ -124,9 +124,12 @@ def _candidates(text: str, lo: int, hi: int, tokens: int) -> Iterator[str]:
             yield "phone"
 
 
-def lattices(text: str, cue=re.compile(r"[@0-9]|(?<=\w)[ (\[](?:at|AT)[ )\]](?=\S+[ (\[.]*(?:dot|DOT|\.)\b)")) -> Iterator[Lattice]:
-    """Stretches of tokens around a digit or at-sign, with their candidate segments."""
-    marks = [m.start() for m in cue.finditer(text)]
+_STRETCH = re.compile(r"[@0-9]|(?<=\w)[ (\[](?:at|AT)[ )\]](?=\S+[ (\[.]*(?:dot|DOT|\.)\b)")
+
+
+def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Where the tokens are of each stretch around a digit or at-sign."""
+    marks = [m.start() for m in _STRETCH.finditer(text)]
     if not marks:
         return
     spans = [m.span() for m in _TOKEN.finditer(text)]
@@ -140,7 +143,12 @@ def lattices(text: str, cue=re.compile(r"[@0-9]|(?<=\w)[ (\[](?:at|AT)[ )\]](?=\
             k += 1
             last = hot[k]
         k += 1
-        own = spans[first : min(len(spans), last + AROUND + 1)]
+        yield spans[first : min(len(spans), last + AROUND + 1)]
+
+
+def lattices(text: str) -> Iterator[Lattice]:
+    """Each stretch's tokens with their candidate segments."""
+    for own in stretches(text):
         lattice = Lattice(len(own))
         for i, (lo, _) in enumerate(own):
             before = text[slice(*own[i - 1])] if i else ""
@@ -235,20 +243,28 @@ def _variants(text: str, spans: list[Span]) -> Iterator[tuple[str, set[Span]]]:
     yield "".join([*out, text[last:]]), right
 
 
-def _near(text: str, spans: list[Span]) -> str:
-    """A text's parts that hold digits or at-signs, with what is around; training needs no more."""
-    return text if len(text) < 4000 or not spans else text[max(0, spans[0][1] - 300) : spans[0][2] + 1500]
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every stretch of whole texts, and of these with their spans rewritten, with the right spans in it."""
+    for batch in batches:
+        out = []
+        for text in batch.column("text").to_pylist():
+            for fresh, right in _variants(text, base_spans(text)) if text else ():
+                for own in stretches(fresh):
+                    lo, hi = own[0][0], own[-1][1]
+                    out.append((fresh[lo:hi], joined([(k, a - lo, b - lo) for k, a, b in sorted(right) if lo <= a and b <= hi])))
+        yield pa.record_batch([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["stretch", "right"])
 
 
 def train(texts: DataFrame) -> Model:
-    """Trained on ``FIT_ROWS`` texts with digits or at-signs, the base spans in them taken as right."""
-    some = sample(texts.where(F.col("text").rlike("[@0-9]")), FIT_ROWS, 4).collect()
+    """Trained on stretches of ``FIT_ROWS`` whole texts (doc_id, text), chosen by a hash, with the base spans in them taken as right.
+
+    The stretches are cut out on the executors; ``FIT_STRETCHES`` different ones reach the driver.
+    """
+    some = sample(texts, FIT_ROWS, 4).repartition("doc_id").mapInArrow(_examples, "stretch string, right string").distinct()
     examples = []
-    for row in some:
-        text = _near(row.text, base_spans(row.text))
-        spans = base_spans(text)
-        for fresh, right in _variants(text, spans):
-            examples += [(lattice, right) for lattice in lattices(fresh)]
+    for row in some.orderBy(F.xxhash64("stretch", "right"), "stretch").limit(FIT_STRETCHES).collect():
+        right = {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.right.split(",") if x)}
+        examples += [(lattice, right) for lattice in lattices(row.stretch)]
     model = Model()
     model.train(examples)
     return model
@@ -273,19 +289,18 @@ _MAY = re.compile(rb"[@0-9]|[ (\[](?:at|AT)[ )\]]\S+[ (\[]*(?:dot|DOT|\.)")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, keep_row: bool = False) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if ``redact``, redacted_text of each row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans and, if ``redact``, redacted_text of each row.
 
     Base spans are pattern matches that pass their checks; n_* count them. ``spans`` has all spans as kind:start:end in code
     points, those of a semi-Markov conditional random field added where no base span is: it chooses boundaries and kinds of segments
-    of up to ``LONGEST`` tokens jointly. It is trained on the driver on ``FIT_ROWS`` texts. In
+    of up to ``LONGEST`` tokens jointly; n_spans counts all. It is trained on the driver on stretches of ``FIT_ROWS`` texts. In
     redacted_text every span is ``[KIND]``.
 
     A null or empty text has no spans; what any of several overlapping spans covers is redacted. A null id stays null;
-    repeated rows give repeated rows; an empty table gives an empty one; other columns are only carried along, in
-    ``row``, if ``keep_row``.
+    repeated rows give repeated rows; an empty table gives an empty one; other columns are not looked at; with
+    ``keep_row`` the rows come whole, and what is found is a struct, the last column.
     """
-    texts = whole_texts(docs, id_col, text_col, *[F.struct("*").alias("row")] * keep_row)
-    sent = docs.sparkSession.sparkContext.broadcast(train(texts.select("doc_id", "text")))
+    sent = docs.sparkSession.sparkContext.broadcast(train(whole_texts(docs, id_col, text_col)))
     nothing = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +308,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for lo, t in textbatch.texts(batch.column("text")):
                 n = {k: [0] * len(t) for k in KINDS}
-                digests, spans, texts = [nothing] * len(t), [""] * len(t), []
+                digests, spans, many, texts = [nothing] * len(t), [""] * len(t), [0] * len(t), []
                 for i in range(len(t)):
                     raw = t.raw(i)
                     base = every = ()
@@ -302,15 +317,15 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         for kind, _, _ in base:
                             n[kind][i] += 1
                         digests[i] = hashlib.sha256(joined(base).encode()).hexdigest()
-                        spans[i] = joined(every)
+                        spans[i], many[i] = joined(every), len(every)
                     if redact:
                         texts.append(redacted(raw.decode(), every) if every else raw.decode())
-                columns = [batch.column("doc_id").slice(lo, len(t)), *[pa.array(n[k], pa.int64()) for k in KINDS], pa.array(digests), pa.array(spans)]
-                names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
+                columns = [batch.column("doc_id").slice(lo, len(t)), *[pa.array(n[k], pa.int64()) for k in KINDS], pa.array(digests), pa.array(spans), pa.array(many, pa.int64())]
+                names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"]
                 yield pa.record_batch(columns + [pa.array(texts, pa.string())] * redact, names + ["redacted_text"] * redact)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return mapped(texts, run, schema + ", redacted_text string" * redact)
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
+    return mapped(docs, id_col, text_col, run, schema + ", redacted_text string" * redact, keep_row)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
