@@ -5,18 +5,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, textbatch
 from strandline.llm.learning import mapped, whole_texts
 
-#: A cut where a blank begins a pre-token whatever stands before it.
-_SYNC = regex.compile(r" (?=[!-~\p{L}])")
 _MADE: dict[tuple, object] = {}
 
 
@@ -100,36 +98,53 @@ def chunk_ends(t: textbatch.Texts) -> list[list[int]]:
     return out
 
 
+class Chunk(NamedTuple):
+    """A chunk encoded by itself: its first pre-tokens with their identifiers, the identifiers between, and the last pre-token's text."""
+
+    head: list[str]
+    ids: list[bytes]
+    middle: bytes
+    last: str
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; a chunk seen before, in any document, is not encoded again.
 
-    A chunk keeps the identifiers between its first and last sure pre-token start, where they can't
-    depend on what surrounds it. The text from one chunk's last such place to the next one's first is
-    a join; it is encoded anew for each document. A chunk without such a place is part of a longer join, so joins grow until both
-    ends agree with the chunks' own encodings.
+    Where two chunks join, the text from the last pre-token of the first one on is encoded anew, and its pre-tokens are
+    compared with the second chunk's own: from the first place on where both begin the same pre-token with the same identifiers, the
+    second chunk's encoding holds, since what follows such a place doesn't depend on what is before it. (All but the last pre-token of a chunk end
+    within it, so the last one's beginning holds too.) Where none of the first ``HEAD`` agrees, the whole chunk is part of the join, which then
+    goes on to the next one.
     """
 
-    ROOM = 24 << 20
+    ROOM, HEAD = 24 << 20, 6
 
     def __init__(self, vocabulary: bpe.Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.encode = bpe.encoder(vocabulary)
-        self.kept: dict[bytes, tuple[str, bytes, str] | str] = {}
+        self.kept: dict[bytes, Chunk | str] = {}
         self.used = self.hits = self.misses = 0
 
-    def chunk(self, raw: bytes) -> tuple[str, bytes, str] | str:
-        """Text before the first sure place, identifiers up to the last, text after; or the text."""
+    def chunk(self, raw: bytes) -> Chunk | str:
+        """The encoded chunk; or its text, if it has too few pre-tokens for a join at both ends."""
         if (found := self.kept.get(raw)) is not None:
             self.hits += 1
             return found
         self.misses += 1
         text = raw.decode()
-        if m := _SYNC.search(text):
-            last = text.rfind(" ")
-            while not _SYNC.match(text, last):
-                last = text.rfind(" ", 0, last)
-            found = text[: m.start()], self.encode.plain(text[m.start() : last]), text[last:]
-            self.used += len(raw) + len(found[1]) + 300
+        head, size = [], 0
+        for m in bpe.PATTERN.finditer(text):
+            if len(head) == self.HEAD:
+                break
+            head.append(m[0])
+            size = m.end()
+        # the last pre-token begins where a blank or line feed does that can't belong to one before
+        last = max(text.rfind(" "), text.rfind("\n"))
+        while last > size and not self._begins(text, last):
+            last = max(text.rfind(" ", 0, last), text.rfind("\n", 0, last))
+        if last > size:
+            found = Chunk(head, [self.encode.pretoken[x] for x in head], self.encode.plain(text[size:last]), text[last:])
+            self.used += len(raw) + len(found.middle) + 1000
         else:
             found = text
             self.used += 2 * len(raw) + 300
@@ -139,29 +154,58 @@ class ChunkEncoder:
         self.kept[raw] = found
         return found
 
+    @staticmethod
+    def _begins(text: str, at: int) -> bool:
+        """Whether a pre-token surely begins at white space: what is before isn't white space, nor what follows."""
+        return at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace() and text[at - 1].isprintable() and text[at + 1].isprintable()
+
+    def _agreed(self, join: str, chunk: Chunk) -> tuple[bytes, int]:
+        """Identifiers of ``join`` and the chunk's beginning up to where the two encodings agree, and that pre-token's number; 0 if they don't."""
+        starts, size = {}, len(join)
+        for j, piece in enumerate(chunk.head):
+            starts[size] = j
+            size += len(piece)
+        out = []
+        for m in bpe.PATTERN.finditer(join + "".join(chunk.head)):
+            j = starts.get(m.start(), 0)
+            if j and m.end() < size and chunk.head[j] == m[0] and self.encode.pretoken[m[0]] == chunk.ids[j]:
+                return b"".join(out), j
+            out.append(self.encode.pretoken[m[0]])
+        return b"", 0
+
+    def plain(self, t: textbatch.Texts, i: int, ends: list[int]) -> bytes:
+        """Packed identifiers of text i, which has no special string, from its chunks."""
+        raw, out, join, last = t.raw(i), [], "", 0
+        for end in (e - int(t.offsets[i]) for e in ends):
+            begin, last = last, end
+            found = self.chunk(raw[begin:end])
+            if isinstance(found, str):
+                join += found
+                continue
+            if join:
+                ids, agreed = self._agreed(join, found)
+                if not agreed:
+                    join += raw[begin:end].decode()
+                    continue
+                out += [ids, *found.ids[agreed:], found.middle]
+            else:
+                out += [*found.ids, found.middle]
+            join = found.last
+        if join:
+            out.append(self.encode.plain(join))
+        return b"".join(out)
+
     def ids(self, t: textbatch.Texts) -> Iterator[bytes]:
-        """Packed identifiers of each text."""
+        """Packed identifiers of each text; what stands between special strings is encoded by itself."""
         special = self.vocabulary.special
         for i, ends in enumerate(chunk_ends(t)):
             raw = t.raw(i)
-            if any(name.encode() in raw for name in special):
-                yield self.encode.text(raw.decode())
+            if not any(name.encode() in raw for name in special):
+                yield self.plain(t, i, ends)
                 continue
-            out, join, last = [], [], 0
-            for end in (e - int(t.offsets[i]) for e in ends):
-                found = self.chunk(raw[last:end])
-                last = end
-                if isinstance(found, str):
-                    join.append(found)
-                    continue
-                join.append(found[0])
-                if any(join):
-                    out.append(self.encode.plain("".join(join)))
-                out.append(found[1])
-                join = [found[2]]
-            if any(join):
-                out.append(self.encode.plain("".join(join)))
-            yield b"".join(out)
+            parts = self.vocabulary.cut.split(raw.decode())
+            some = next(textbatch.texts(pa.array(parts), len(raw) + 1))[1]
+            yield b"".join(bpe.packed([special[x]]) if k % 2 else self.plain(some, k, e) for k, (x, e) in enumerate(zip(parts, chunk_ends(some), strict=True)))
 
 
 def decoded(vocabulary: bpe.Vocabulary, ids: bytes) -> bytes:
@@ -182,7 +226,8 @@ def encode_documents(
     One pass without a shuffle. Every Python worker keeps the chunks it has encoded (24 MB), so shared
     passages cost one look-up; results don't depend on what is kept. Every text is decoded again from its identifiers.
     A null or empty text has no identifiers (the digests of nothing); a null id stays null; repeated
-    rows give repeated rows; an empty table gives an empty one; other columns are only carried along, in ``row``, if ``keep_row``.
+    rows give repeated rows; an empty table gives an empty one; other columns are not looked at; with
+    ``keep_row`` the rows come whole, and the rest is a struct, the last column.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
@@ -204,7 +249,7 @@ def encode_documents(
                 yield pa.record_batch(columns + [pa.array(arrays, pa.list_(pa.int32()))] * keep_ids, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return mapped(whole_texts(docs, id_col, text_col, *[F.struct("*").alias("row")] * keep_row), run, schema)
+    return mapped(docs, id_col, text_col, run, schema, keep_row)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
