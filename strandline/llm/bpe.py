@@ -19,8 +19,8 @@ PATTERN = regex.compile(
 )
 #: White space other than the blank and the line feed, as the pattern's \s takes it.
 _ODD_SPACE = regex.compile(r"[\s--[ \n]]", regex.V1)
-#: Bytes that a worker keeps in each cache, about, and the longest text kept as a key.
-ROOM, KEY_CHARS = 12 << 20, 64
+#: Bytes that a worker keeps in the cache of words, about, those in the other two, and the longest text kept as a key.
+ROOM, LESS_ROOM, KEY_CHARS = 48 << 20, 8 << 20, 64
 
 
 def byte_symbols() -> list[str]:
@@ -86,15 +86,20 @@ class Vocabulary:
 
 
 class _Cache(dict):
-    """Results by text, emptied when they take ``ROOM`` bytes: 200 for an entry without its characters and identifiers, about."""
+    """Results by text. When they take half of ``room`` bytes (200 for an entry without its characters and identifiers, about), they
+    become the old half, and the old half before goes; what is asked for again is taken over.
+    """
 
-    def __init__(self, make, prefix: str = "") -> None:
-        self.make, self.prefix, self.used = make, prefix, 0
+    def __init__(self, make, prefix: str = "", room: int = LESS_ROOM) -> None:
+        self.make, self.prefix, self.room, self.used, self.old = make, prefix, room, 0, {}
 
     def __missing__(self, key: str):
-        value = self.make(self.prefix + key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(self.prefix + key)
         if len(key) <= KEY_CHARS:
-            if self.used >= ROOM:
+            if self.used >= self.room // 2:
+                self.old = dict(self)
                 self.clear()
                 self.used = 0
             self[key] = value
@@ -113,7 +118,7 @@ class Splitter:
         self.vocabulary, self.line_feed, self.total, self.special = vocabulary, line_feed, total, special
         self.pretoken = _Cache(leaf)
         self.at_start = _Cache(self.whole)
-        self.after_blank = _Cache(self.whole, " ")
+        self.after_blank = _Cache(self.whole, " ", ROOM)
 
     def whole(self, text: str):
         return self.total(map(self.pretoken.__getitem__, PATTERN.findall(text)))

@@ -19,8 +19,8 @@ from strandline.llm.learning import fold, mapped, whole_texts
 FIT_ROWS, ROUNDS = 600, 3
 #: Distinct lang values whose counts are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 10_000
-#: For learning alone, a longer word is taken in parts of so many bytes.
-FIT_BYTES = 48
+#: For learning alone, a longer word is taken in parts of so many bytes; words of one length are summed over in groups of so many.
+FIT_BYTES, FIT_TOGETHER = 48, 4096
 #: A longer word is scored beside others of about its length, the forward sums rescaled every so many bytes.
 ALIKE, RESCALE = 48, 8
 #: Bytes of words that are scored together.
@@ -198,7 +198,8 @@ def _learn(pieces: Pieces):
         groups: dict[int, list] = {}
         for word, n in sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)):
             groups.setdefault(len(word), []).append((word, n))
-        made = [(np.array([[_MARK, *word] for word, _ in g], np.uint8), np.array([n for _, n in g], float)) for _, g in sorted(groups.items())]
+        parts = [g[k : k + FIT_TOGETHER] for _, g in sorted(groups.items()) for k in range(0, len(g), FIT_TOGETHER)]
+        made = [(np.array([[_MARK, *word] for word, _ in g], np.uint8), np.array([n for _, n in g], float)) for g in parts]
         own = np.array([4.0 ** (min(len(x), 12) - 1) for x in pieces.pieces])
         own /= own.sum()
         for _ in range(ROUNDS):
