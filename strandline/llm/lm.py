@@ -26,6 +26,8 @@ SIZE, NOISE, BATCH, RATE = 16, 64, 4096, 0.05
 TIMES = 8
 #: Tokens that a task holds before it trains on them; where the sums of squared gradients begin.
 LEARN, START = 2_000_000, 1e-8
+#: Parts of the training texts that are trained on apart: the root of the counted tokens over this, so that all parts' vectors together grow as the tokens do.
+APART = 560
 ALPHA = 0.1
 _END = textbatch.mixed(np.array([2**62 + 12345], np.uint64))[0]
 
@@ -219,15 +221,31 @@ def _contexts(ids: np.ndarray, first: np.ndarray, blank: int) -> tuple[np.ndarra
     return one, two
 
 
+def _numbered(sent: Broadcast):
+    """Each text's words as places in the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, _, begin = sent.value
+        words, other = Words(tokens), begin[-3] + 1
+        for batch in batches:
+            for lo, t in textbatch.texts(batch.column("text")):
+                found, first = sequences(t)
+                ids = words.find(found)
+                ids[ids < 0] = other
+                yield pa.record_batch([batch.column("key").slice(lo, len(t)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["key", "ids"])
+
+    return run
+
+
 def _trained(sent: Broadcast, columns: list[str]):
-    """Each task trains on all its tokens from the same start; a vector of the model is its mean over the tasks, by its occurrences there.
+    """Each task trains on all its texts' tokens from the same start; a vector of the model is its mean over the tasks, by its occurrences there.
 
     Rows are the places of vectors in the first contexts, then the second, then the targets. Only those that a task has met come out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, unigram, begin = sent.value
-        words, own = Words(tokens), begin[-3]
+        own = begin[-3]
         m, rows = own + 2, []
         model = LogBilinear.new(unigram, m + 1)
         met = [np.zeros(n) for n in (m + 1, m + 1, len(unigram))]
@@ -248,14 +266,16 @@ def _trained(sent: Broadcast, columns: list[str]):
             model.train(made.permutation(np.repeat(ids, again, axis=0)), unigram, made)
 
         for batch in batches:
-            for _, t in textbatch.texts(batch.column("text")):
-                found, first = sequences(t)
-                ids = words.find(found)
-                ids[ids < 0] = m - 1
-                one, two = _contexts(ids, first, m)
+            ends = batch.column("ids").offsets.to_numpy().astype(np.int64)
+            every, lo = batch.column("ids").values.to_numpy(), 0
+            while lo < batch.num_rows:  # as many texts as LEARN tokens hold, one at least
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + LEARN, "right")) - 1)
+                ids = every[ends[lo] : ends[hi]].astype(np.int64)
+                one, two = _contexts(ids, ends[lo : hi + 1] - ends[lo], m)
                 rows.append((one * (m + 1) + two) * m + ids)
-                if sum(map(len, rows)) > LEARN:
+                if sum(map(len, rows)) >= LEARN:
                     learn()
+                lo = hi
         if rows:
             learn()
         vectors = (model.context[0], model.context[1], np.column_stack([model.target, model.bias]))
@@ -279,8 +299,8 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
     grows with the root of the counted tokens (``GROWTH``), and with it what scoring gathers;
     another word's probability is multiplied by its share (c + 0.1) of the counts of all other words, unseen words counting as one.
 
-    Counts are of all training tokens. The model is trained by noise-contrastive estimation on all of them: each task on its own, then
-    averaged by occurrences, so what reaches the driver is a model's parameters. The most frequent words' counts, ``HEAD`` or the vocabulary at most,
+    Counts are of all training tokens. The model is trained by noise-contrastive estimation on all of them: in parts that a hash of the texts
+    makes (``APART``), each on its own, then averaged by occurrences, so what reaches the driver is a model's parameters. The most frequent words' counts, ``HEAD`` or the vocabulary at most,
     are broadcast; the other tokens are joined to theirs. (Words are held as 64-bit hashes.)
 
     A null or empty text is its end alone. Without training texts c, N and V are 0. A null id is in fold 0; repeated rows
@@ -288,8 +308,8 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
     """
     sc = docs.sparkSession.sparkContext
     texts = whole_texts(docs, id_col, text_col).withColumn("held", fold(F.col("doc_id"), folds) == held)
-    training = texts.where(~F.col("held")).select("text")
-    counts = saved(training.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    training = texts.where(~F.col("held"))
+    counts = saved(training.select("text").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = int(_END.view(np.int64))
     ends = float((counts.where(F.col("token") == end).agg(F.sum("n")).first()[0]) or 0)
@@ -314,7 +334,10 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
     place[-1] = m - 2
     start = sc.broadcast((np.append(tokens[own], _END), unigram, begin))  # places as in `place`
     columns = [f"x{k}" for k in range(SIZE + 1)]
-    learned = training.mapInArrow(_trained(start, columns), ", ".join(["i long, n double", *(f"{c} float" for c in columns)]))
+    # the same parts, in the same order, however the input is split
+    numbered = training.withColumn("key", F.xxhash64("doc_id", "text")).select("key", "text").mapInArrow(_numbered(start), "key long, ids array<int>")
+    parts = numbered.repartition(max(1, round(np.sqrt(total) / APART)), "key").sortWithinPartitions("key")
+    learned = parts.mapInArrow(_trained(start, columns), ", ".join(["i long, n double", *(f"{c} float" for c in columns)]))
     means = [(F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns]
     learned = learned.groupBy("i").agg(*means).toArrow()
     model = LogBilinear.new(unigram, m + 1)
