@@ -1,10 +1,13 @@
 """Small tests of what a review of the corpus operators found missing."""
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from strandline.llm import lm
+from strandline.llm import contamination, language, lm, near, pii, quality, textbatch, toxicity, urls
+from strandline.llm.queries import PIECES
 
 
 def test_vocabulary_grows_with_the_counted_tokens(spark, monkeypatch):
@@ -42,3 +45,101 @@ def test_stages_judge_rows_by_their_own_text(spark, tmp_path):
     clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert clean.columns == docs.columns
     assert sorted(map(str, clean.collect())) == sorted(str(r) for r in docs.collect() if r.text != item)
+
+
+def test_quality_rejects_what_base_rules_pass(spark):
+    made = random.Random(31)
+    prose = lambda k: " ".join(f"{made.choice(['river', 'stone', 'garden', 'letter', 'window', 'train'])}{made.randrange(900)}" for _ in range(k)) + "."
+    menu = "\n".join(f"{made.choice(['Shop', 'Blog', 'Team', 'Help'])} {made.randrange(900)}" for _ in range(150))
+    shared = "All the words of this page are part of the weekly letter of our town."
+    data = [(0, "\n".join(prose(30) for _ in range(5))), (1, menu), (2, "\n".join(f"Home | About{k} | Contact{k}" for k in range(60)))]
+    data += [(10 + k, f"{prose(9)}\n{shared}\n" * 2 + "\n".join(prose(12) for _ in range(8))) for k in range(30)]
+    data += [(50, "\n".join(["Alle Rechte vorbehalten. Datenschutzerklärung", "Tous droits réservés", *[prose(40)] * 1, prose(30)]))]
+    data += [(60 + k, data[0][1]) for k in range(40)]  # copies don't make a line common
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality(docs, keep_text=True).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [k for k in sorted(got) if not got[k].kept] == [1, 2]
+    assert all(shared not in got[10 + k].cleaned_text and got[10 + k].n_lines_removed == 2 for k in range(30))
+    assert got[50].n_lines_removed == 2 and got[0].n_lines_removed == got[60].n_lines_removed == 0
+    assert quality.line_fails("Home About Contact Login Register") == "navigation"
+    assert quality.line_fails("He told me to click here and there, and " + "then " * 30 + "we went on home.") is None
+
+
+def _thue_morse(n: int, a: str, b: str) -> str:
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_cancel_in_polynomials_differ(spark):
+    one, two = _thue_morse(2048, "a", "b"), _thue_morse(2048, "b", "a")
+    rest = [" ".join(f"w{10 * d + k}" for k in range(10)) for d in range(4)]
+    rows = [(0, f"a b c d e {one}"), (1, f"a b c d e {two}"), (2, f"{one} x y {one} x y " + rest[1]), (3, f"{one} x y {two} x y " + rest[1]), (4, one), (5, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()}
+    assert found[4] == 4 and found[5] == 5 and found[0] != found[1]
+    hits = contamination.contaminated(docs, spark.createDataFrame([(0, one), (1, two)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == [(4, 0), (5, 1)]
+    counts = {r.doc_id: r.n_repeat_words for r in quality.quality(docs).collect()}
+    assert counts[2] == 6 and counts[3] == 0
+    known = {r.doc_id: r.n_known for r in lm.language_model_scores(docs.where("doc_id < 2").union(spark.createDataFrame([(16, one)], docs.schema)), folds=1, held=1).collect()}
+    assert known == {0: 7, 1: 7, 16: 2}
+    assert textbatch.words(next(textbatch.texts(pa.array([f"{one} {two}"])))[1]).hashes.tolist()[0] != textbatch.words(next(textbatch.texts(pa.array([two])))[1]).hashes.tolist()[0]
+
+
+def test_urls_beyond_the_literal_lengths_and_hot_urls(spark, monkeypatch):
+    rules = spark.createDataFrame([(f"h{k}.org", "/" + "a" * k, "block") for k in range(12)], "host string, path string, verdict string")
+    data = [(k, f"http://x.h{k % 14}.org/{'a' * (k % 17)}") for k in range(300)] + [(k, "http://h5.org/aaaaaaa") for k in range(300, 700)] + [(k, None) for k in range(700, 1000)]
+    pages = spark.createDataFrame(data, "page_id long, url string").repartition(5)
+    want = sorted(map(tuple, urls.filter_urls(pages, rules).collect()), key=str)
+    assert sum(r[3] is not None for r in want) > 400
+    monkeypatch.setattr(urls, "MOST_LENGTHS", 3)
+    monkeypatch.setattr(urls, "HOT", 10)
+    assert sorted(map(tuple, urls.filter_urls(pages, rules).collect()), key=str) == want
+    twice = rules.union(rules)
+    assert sorted(map(tuple, urls.filter_urls(pages, twice).collect()), key=str) == want
+
+
+def test_labels_beyond_the_broadcast_give_the_same_scores(spark, monkeypatch):
+    made = random.Random(3)
+    data = [(k, " ".join(made.choice("one two three four five six".split()) for _ in range(20)) + (" vileword" if k % 5 == 0 else "")) for k in range(200)]
+    docs = spark.createDataFrame([(k, t, "en", 0.5) for k, t in data] + [(0, data[0][1], "de", 0.1)], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0), 1) for k in range(200)] + [(3, 0, 1)], "doc_id long, toxic int, text int")
+    one = sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", 0)
+    two = sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect())
+    assert len(one) == 201 and all(a == c and abs(b - d) < 1e-9 for (a, b), (c, d) in zip(one, two, strict=True))
+
+
+def test_long_words_and_many_languages(spark):
+    pieces = language.Pieces([b"_a", b"ab", b"b", b"bc", b"_ab", b"abc", b"bcabcabcabcabc"])
+    p = np.random.default_rng(2).random((len(pieces.pieces), 2))
+    p /= p.sum(0)
+    at = {x: i for i, x in enumerate(pieces.pieces)}
+
+    def brute(word: bytes, k: int) -> float:
+        ways = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            for n in pieces.lengths:
+                if n <= end and word[end - n : end] in at:
+                    ways[end] += ways[end - n] * p[at[word[end - n : end]], k]
+        return math.log(ways[-1])
+
+    words = [b"_abc", b"_" + b"abc" * 12, b"_" + b"bca" * 19 + b"b"]
+    rows = np.array([list(w.ljust(60, b"b")) for w in words], np.uint8)
+    got = language.forward(pieces, p, rows, np.array([len(w) for w in words]))
+    assert np.allclose(got, [[brute(w, k) for k in (0, 1)] for w in words])
+    logs = language.forward(pieces, p, np.full((1, 5000), ord("b"), np.uint8))
+    assert np.all(np.isfinite(logs)) and np.all(logs < -1000)
+    # no refusal, and ties go to the first by name
+    data = [(k, "same words for all", f"l{k:03d}") for k in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    found = language.identify_languages(docs, PIECES).collect()
+    assert len(found) == 600 and len({r.lang_pred for r in found}) == 1
+
+
+def test_personal_data_of_held_out_forms(spark):
+    texts = [(k, f"word mail{k}.x@host{k % 7}.example.com then +1 ({200 + k}) 555-{1000 + k} and 10.0.{k}.7 in 20{k % 90 + 10} v{k}.0 {k} items " + "filler text here " * 300) for k in range(100)]
+    model = pii.train(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = [pii.find(model, f"please call ({300 + k}) 555-{2000 + k} today, {k} of 20 done in 2019, room {k}, page {k} of 30")[1] for k in range(60)]
+    assert sum([x[0] for x in spans] == ["phone"] for spans in found) >= 54
+    assert not any(pii.find(model, f"in {1900 + k} there were {k} of {k + 20} items, version {k}.2 and 3,{k:03d} more")[1] for k in range(60))
