@@ -26,6 +26,13 @@ def cagr(r: Column, periods: int = 12) -> Column:
     return F.when(F.count(r) == 0, 0.0).when(growth <= 0, -1.0).otherwise(F.pow(growth, periods / F.count(r)) - 1)
 
 
+def sortino(r: Column, periods: int = 12) -> Column:
+    """Mean over the sample deviation of the losses, annualised; 0 with fewer than two losses or no deviation of them."""
+    losses = F.when(r < 0, r)
+    sd = F.stddev_samp(losses)
+    return F.when((F.count(losses) >= 2) & (sd > 0), F.avg(r) / sd * F.sqrt(F.lit(float(periods)))).otherwise(0.0)
+
+
 def skewness(r: Column) -> Column:
     """Mean cube of values standardised by the sample deviation; 0 with fewer than three."""
     n = F.count(r)

@@ -168,8 +168,8 @@ def within_capacity(top_n):
     return F.coalesce((F.col("median_value") > 0) & (CAPITAL_SEK / top_n / F.col("median_value") <= LARGEST_PART), F.lit(False))
 
 
-def tiered_cost_bps(top_n, execution: str = "next_open", currency_bps=CURRENCY_BPS["base"]):
-    """One-way cost of a row's order in basis points: brokerage; spread and share of volume taken, times the execution's impact; low price; currency.
+def tiered_cost_bps(top_n, impact=IMPACT["next_open"], currency_bps=CURRENCY_BPS["base"]):
+    """One-way cost of a row's order in basis points: brokerage; spread and share of volume taken, times the execution's ``impact``; low price; currency.
 
     Null over capacity.
     """
@@ -182,4 +182,4 @@ def tiered_cost_bps(top_n, execution: str = "next_open", currency_bps=CURRENCY_B
     brokerage = F.greatest(F.lit(LEAST_FEE_SEK), notional * (FEE_BPS / 1e4)) / notional * 1e4
     low = F.when(F.col("close_sek") < LOW_PRICE_SEK, LOW_PRICE_BPS).otherwise(0.0)
     foreign = F.when(F.col("currency") != "SEK", currency_bps).otherwise(0.0)
-    return F.when(within_capacity(top_n), brokerage + (spread + taken) * IMPACT[execution] + low + foreign)
+    return F.when(within_capacity(top_n), brokerage + (spread + taken) * impact + low + foreign)

@@ -449,8 +449,8 @@ def trading_costs(spark, sf_dir):
     sizes = spark.createDataFrame([(n,) for n in SIZES], "top_n int")
     rows = monthly(spark, sf_dir).where("reason = ''").crossJoin(F.broadcast(sizes))
     cells = [
-        F.struct(F.lit(e).alias("execution"), F.lit(c).alias("scenario"), F.round(universe.tiered_cost_bps(F.col("top_n"), e, b), 6).alias("cost_bps"))
-        for e in universe.IMPACT for c, b in universe.CURRENCY_BPS.items()
+        F.struct(F.lit(e).alias("execution"), F.lit(c).alias("scenario"), F.round(universe.tiered_cost_bps(F.col("top_n"), i, b), 6).alias("cost_bps"))
+        for e, i in universe.IMPACT.items() for c, b in universe.CURRENCY_BPS.items()
     ]
     part = F.round(universe.CAPITAL_SEK / F.col("top_n") / F.col("median_value"), 8)
     return rows.select("security_id", "month", "top_n", part.alias("participation"), universe.within_capacity(F.col("top_n")).alias("within_capacity"), F.inline(F.array(*cells)))
