@@ -19,6 +19,9 @@ PATTERN = regex.compile(
 )
 #: White space other than the blank and the line feed, as the pattern's \s takes it.
 _ODD_SPACE = regex.compile(r"[\s--[ \n]]", regex.V1)
+#: Bits of a symbol in a number that holds two.
+SYMBOL = 20
+MASK = (1 << SYMBOL) - 1
 #: Bytes that a worker keeps in the cache of words, about, those in the other two, and the longest text kept as a key.
 ROOM, LESS_ROOM, KEY_CHARS = 48 << 20, 8 << 20, 64
 
@@ -38,10 +41,11 @@ class Vocabulary:
         spec = json.loads(text)
         ids = spec["model"]["vocab"]
         self.of_byte = [ids[c] for c in byte_symbols()]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        # of two symbols as one number: the merge's rank and the new symbol, likewise
+        self.rank: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[ids[a], ids[b]] = rank, ids[a + b]
+            self.rank[ids[a] << SYMBOL | ids[b]] = rank << SYMBOL | ids[a + b]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         back = {c: b for b, c in enumerate(byte_symbols())}
         self.bytes_of = [b""] * (1 + max([*ids.values(), *self.special.values()]))
@@ -56,32 +60,30 @@ class Vocabulary:
         """The symbols that stay, with gaps at -1, and how many merges were made."""
         symbol = [self.of_byte[b] for b in word]
         n = len(symbol)
-        rank = self.rank
         if n < 2:
             return symbol, 0
+        found = self.rank.get
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [
-            found[0] * n + i for i in range(n - 1) if (found := rank.get((symbol[i], symbol[i + 1])))
-        ]
+        # a pair's merge and its place as one number, so that the least is the merge of lowest rank, the leftmost
+        heap = [merge * n + i for i in range(n - 1) if (merge := found(symbol[i] << SYMBOL | symbol[i + 1]))]
         heapify(heap)
         merges = 0
         while heap:
-            order, left = divmod(heappop(heap), n)
-            right = after[left]
-            if right >= n or symbol[left] < 0:
+            merge, left = divmod(heappop(heap), n)
+            right, one = after[left], symbol[left]
+            # one of the two may have been merged meanwhile
+            if right >= n or one < 0 or found(one << SYMBOL | symbol[right]) != merge:
                 continue
-            found = rank.get((symbol[left], symbol[right]))
-            if not found or found[0] != order:  # one of the two has been merged meanwhile
-                continue
-            symbol[left], symbol[right] = found[1], -1
+            symbol[left] = one = merge & MASK
+            symbol[right] = -1
             merges += 1
             after[left] = beyond = after[right]
             if beyond < n:
                 before[beyond] = left
-                if found := rank.get((symbol[left], symbol[beyond])):
-                    heappush(heap, found[0] * n + left)
-            if (ahead := before[left]) >= 0 and (found := rank.get((symbol[ahead], symbol[left]))):
-                heappush(heap, found[0] * n + ahead)
+                if merge := found(one << SYMBOL | symbol[beyond]):
+                    heappush(heap, merge * n + left)
+            if (ahead := before[left]) >= 0 and (merge := found(symbol[ahead] << SYMBOL | one)):
+                heappush(heap, merge * n + ahead)
         return symbol, merges
 
 
