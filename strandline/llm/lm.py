@@ -22,10 +22,12 @@ VOCABULARY, GROWTH = 1022, 4
 HEAD = 1 << 17
 #: Length of a vector, noise words for each batch, batch size, learning rate.
 SIZE, NOISE, BATCH, RATE = 16, 64, 4096, 0.05
+#: Numbers of a table that are multiplied at once, few enough for a processor's cache.
+FITS = 1 << 18
 #: A frequent context and word is trained on in several rows of so many occurrences at most.
 TIMES = 8
 #: Tokens that a task holds before it trains on them; where the sums of squared gradients begin.
-LEARN, START = 2_000_000, 1e-8
+LEARN, START = 1_000_000, 1e-8
 #: Parts of the training texts that are trained on apart: the root of the counted tokens over this, so that all parts' vectors together grow as the tokens do.
 APART = 560
 ALPHA = 0.1
@@ -131,26 +133,32 @@ class LogBilinear:
             norm[lo : lo + 256] = np.log(np.exp(scores[0, lo : lo + 256] + self.bias) @ right.T)
         return (scores / np.log(10)).astype(np.float32), norm / np.float32(np.log(10))
 
-    def train(self, ids: np.ndarray, unigram: np.ndarray, made: np.random.Generator) -> None:
-        """One pass of noise-contrastive estimation over rows (1st context, 2nd context, target, times).
+    def train(self, ids: np.ndarray, unigram: np.ndarray, made: np.random.Generator, order: np.ndarray | None = None) -> None:
+        """One pass of noise-contrastive estimation over rows (1st context, 2nd context, target, times), in an order that may repeat them.
 
         Each batch shares ``NOISE`` noise targets drawn from the unigram distribution; a sample is told from
         noise by its score less log(k q), with the normaliser taken as 1. A batch touches the vectors of its own rows only.
         """
         log_kq = np.log(unigram * NOISE).astype(np.float32)
         upto = np.cumsum(unigram)
-        weight = np.float32(len(ids) / ids[:, 3].sum() / BATCH) if len(ids) else 0
+        order = np.arange(len(ids)) if order is None else order
+        weight = np.float32(len(order) / ids[order, 3].sum() / BATCH) if len(order) else 0
         seen = [np.full_like(x, START) for x in (self.context[0], self.context[1], self.target, self.bias)]
-        for lo in range(0, len(ids), BATCH):
-            a, b, word, times = ids[lo : lo + BATCH].T
+        for lo in range(0, len(order), BATCH):
+            a, b, word, times = ids[order[lo : lo + BATCH]].T
             noise = np.minimum(np.searchsorted(upto, made.random(NOISE) * upto[-1], "right"), len(upto) - 1)
             v = self.context[0, a] + self.context[1, b]
-            good = np.einsum("ij,ij->i", v, self.target[word]) + self.bias[word] - log_kq[word]
-            bad = v @ self.target[noise].T + self.bias[noise] - log_kq[noise]
+            own, other = self.target[word], self.target[noise]
+            good = np.einsum("ij,ij->i", v, own) + self.bias[word] - log_kq[word]
             g = times.astype(np.float32) * weight
             g_good = g / (1 + np.exp(np.clip(good, -30, 30)))
-            g_bad = -g[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
-            to_v = g_good[:, None] * self.target[word] + g_bad @ self.target[noise]
+            g_bad = v @ -other.T  # in place from here on: the score against noise, its odds, the gradient
+            g_bad -= self.bias[noise] - log_kq[noise]
+            np.clip(g_bad, -30, 30, out=g_bad)
+            np.exp(g_bad, out=g_bad)
+            g_bad += 1
+            np.divide(-g[:, None], g_bad, out=g_bad)
+            to_v = g_good[:, None] * own + g_bad @ other
             to_target = np.concatenate([g_good[:, None] * v, g_bad.T @ v])
             to_bias = np.concatenate([g_good, g_bad.sum(0)])
             for x, s, at, grad in (
@@ -159,10 +167,10 @@ class LogBilinear:
                 (self.target, seen[2], np.append(word, noise), to_target),
                 (self.bias, seen[3], np.append(word, noise), to_bias),
             ):
-                order = np.argsort(at, kind="stable")
-                own = at[order]
+                by = np.argsort(at, kind="stable")
+                own = at[by]
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                own, grad = own[first], np.add.reduceat(grad[order], first)
+                own, grad = own[first], np.add.reduceat(grad[by], first)
                 s[own] += grad * grad
                 x[own] += RATE * grad / np.sqrt(s[own])
 
@@ -185,25 +193,53 @@ class Factored:
 
     def scores(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
         model, own = self.model, self.begin[-3]
-        v = model.context[0, one] + model.context[1, two]
         cls = np.searchsorted(self.begin, ids, "right") - 1
-        out = np.empty(len(ids))
-        for lo in range(0, len(ids), BATCH):
-            part = slice(lo, lo + BATCH)
-            out[part] = _log_softmax(v[part], model.target[own:], model.bias[own:], cls[part])
+        out = self._log_softmax(one, two, slice(own, None), cls)
         order = np.argsort(cls, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
             if len(rows) and (k := cls[rows[0]]) < len(self.begin) - 3:
                 words = slice(self.begin[k], self.begin[k + 1])
-                for lo in range(0, len(rows), BATCH):
-                    at = rows[lo : lo + BATCH]
-                    out[at] += _log_softmax(v[at], model.target[words], model.bias[words], ids[at] - words.start)
+                out[rows] += self._log_softmax(one[rows], two[rows], words, ids[rows] - words.start)
         return out / np.log(10)
 
+    def _log_softmax(self, one: np.ndarray, two: np.ndarray, targets: slice, pick: np.ndarray) -> np.ndarray:
+        """log of the share of target ``pick`` among ``targets`` after the contexts.
 
-def _log_softmax(v: np.ndarray, target: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    x = v @ target.T
-    x += bias
+        The exponential of a sum is a product, so exponentials are made for each different context of a place, not for each token;
+        the normaliser is the product sum of two rows.
+        """
+        model = self.model
+        target, bias = model.target[targets], model.bias[targets]
+        if len(one) < 4096:  # few tokens have few contexts in common
+            x = (model.context[0, one] + model.context[1, two]) @ target.T
+            x += bias
+            return _log_share(x, pick)
+        parts = []
+        for k, places in enumerate((one, two)):
+            met = np.zeros(model.context.shape[1], bool)
+            met[places] = True
+            x = model.context[k, met] @ target.T
+            if k:
+                x += bias
+            top = x.max(1)
+            x -= top[:, None]
+            parts.append((np.exp(x, out=x), top, (np.cumsum(met) - 1)[places]))
+        (e1, top1, at1), (e2, top2, at2) = parts
+        out = np.empty(len(one))
+        step = max(16, FITS // e1.shape[1])
+        for lo in range(0, len(one), step):
+            part = slice(lo, lo + step)
+            i, j, v = at1[part], at2[part], model.context[0, one[part]] + model.context[1, two[part]]
+            norm = np.einsum("ij,ij->i", e1[i], e2[j])
+            out[part] = np.einsum("ij,ij->i", v, target[pick[part]]) + bias[pick[part]] - top1[i] - top2[j] - np.log(np.maximum(norm, 1e-37))
+            if norm.min() < 1e-20:  # the two places' scores are so far apart that products vanish
+                far = np.flatnonzero(norm < 1e-20)
+                out[part][far] = _log_share(v[far] @ target.T + bias, pick[part][far])
+        return out
+
+
+def _log_share(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """log of the softmax of each row of ``x``, which is used up, at ``pick``."""
     x -= x.max(1, keepdims=True)
     found = x[np.arange(len(x)), pick]
     np.exp(x, out=x)
@@ -254,16 +290,17 @@ def _trained(sent: Broadcast, columns: list[str]):
         def learn() -> None:
             keys, times = np.unique(np.concatenate(rows), return_counts=True)
             rows.clear()
-            a, b, word = keys // (m * (m + 1)), keys // m % (m + 1), keys % m
-            cls = own + np.searchsorted(begin, word, "right") - 1
+            word, keys = (keys % m).astype(np.int32), keys // m
+            a, b, times = (keys // (m + 1)).astype(np.int32), (keys % (m + 1)).astype(np.int32), times.astype(np.int32)
+            cls = (own + np.searchsorted(begin, word, "right") - 1).astype(np.int32)
             vector = word < own
-            a, b, target = np.append(a, a[vector]), np.append(b, b[vector]), np.append(cls, word[vector])
-            times = np.append(times, times[vector])
-            for x, at in zip(met, (a, b, target), strict=True):
-                x += np.bincount(at, times, len(x))
-            again = -(-times // TIMES)
-            ids = np.stack([a, b, target, np.round(times / again)], 1).astype(np.int32)
-            model.train(made.permutation(np.repeat(ids, again, axis=0)), unigram, made)
+            ids = np.stack([np.append(a, a[vector]), np.append(b, b[vector]), np.append(cls, word[vector]), np.append(times, times[vector])], 1)
+            del keys, a, b, cls, word, times, vector
+            for x, at in zip(met, (0, 1, 2), strict=True):
+                x += np.bincount(ids[:, at], ids[:, 3], len(x))
+            again = -(-ids[:, 3] // TIMES)
+            ids[:, 3] = np.round(ids[:, 3] / again)
+            model.train(ids, unigram, made, made.permutation(np.repeat(np.arange(len(ids), dtype=np.int32), again)))
 
         for batch in batches:
             ends = batch.column("ids").offsets.to_numpy().astype(np.int64)
