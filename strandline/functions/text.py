@@ -7,11 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that mark share classes and legal forms, at the end of a name.
-SHARE_WORDS = ("a", "b", "c", "d", "pref", "preference", "series", "ser", "class", "share", "shares", "sdr", "adr", "gdr")
-LEGAL_WORDS = ("ab", "publ", "asa", "as", "oyj", "abp", "plc", "inc", "corp", "ltd", "holding", "group", "sa", "nv", "se")
-#: Letters with marks and the plain ones for them.
-MARKED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõøúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØÚÙÛÜÝ", "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+#: Words of share classes and of legal forms that are taken off the end of an issuer's name.
+SHARE_WORDS = ("a", "b", "c", "d", "ord", "ordinary", "pref", "preference", "series", "ser", "share", "shares")
+LEGAL_WORDS = ("ab", "abp", "asa", "oy", "oyj", "as", "aps", "plc", "nv", "sa", "ag", "ltd", "limited")
+#: Words that a company key leaves out.
+NOISE_WORDS = ("a", "b", "c", "d", "series", "share", "shares", "sdb", "sek", "dkk", "ab", "abp", "asa", "oy", "oyj", "as", "aps", "plc", "ltd", "limited", "hf")
+#: Endings of codes, and parts of names (between blanks), that aren't common shares.
+OTHER_CODES = ("-tr", "-ur", "-sr", "-il", "-bta", "-btu", "-to", "-wrt", "-unit", "-spac", "-me", "-pref")
+OTHER_NAMES = (
+    " fund", " etf", "warrant", "certifikat", "certificate", "mini future", "subscription right", "teckningsratt", "teckningsr\u00e4tt", "preferens", "preferred",
+    "depository receipt", "adr", "gdr", "spac", "bond", "obligation", "rights", " bevis",
+)
+#: What in "code name" tells a share class, in order.
+CLASSES = {
+    "preferred": (" preferred", " preferens", " pref"),
+    "rights": (" right", " rights", " teckningsr", "-tr", "-ur", "-sr"),
+    "depositary": (" adr", " gdr", "depository receipt"),
+}
+#: Letters that are a plain letter and a mark, and that letter.
+MARKED, PLAIN = "\u00e1\u00e0\u00e2\u00e4\u00e3\u00e5\u00e7\u00e9\u00e8\u00ea\u00eb\u00ed\u00ec\u00ee\u00ef\u00f1\u00f3\u00f2\u00f4\u00f6\u00f5\u00fa\u00f9\u00fb\u00fc\u00fd\u00ff\u00c1\u00c0\u00c2\u00c4\u00c3\u00c5\u00c7\u00c9\u00c8\u00ca\u00cb\u00cd\u00cc\u00ce\u00cf\u00d1\u00d3\u00d2\u00d4\u00d6\u00d5\u00da\u00d9\u00db\u00dc\u00dd", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: The type that names without one are taken to have.
+COMMON = "common stock"
 
 
 def clean(c: Column) -> Column:
@@ -41,33 +57,66 @@ def symbol_key(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    return F.translate(clean(c), MARKED, PLAIN)
+    """Without marks; letters that have no plain form are left out."""
+    return F.regexp_replace(F.translate(clean(c), MARKED, PLAIN), r"[^\x00-\x7F]", "")
 
 
 def company_key(c: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(folded(c)), r"[^a-z0-9]+", " "), " ")
-    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*SHARE_WORDS, *LEGAL_WORDS)), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*NOISE_WORDS)), " ")
 
 
 def issuer_group(c: Column) -> Column:
     """Name without brackets and trailing share-class, then legal, words, joined by dashes; the whole name if nothing is left."""
     low = F.lower(F.replace(folded(c), F.lit("&"), F.lit(" and ")))
     dashed = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"\([^)]*\)", " "), r"[^a-z0-9]+", "-"), r"^-|-$", "")
-    bare = reduce(lambda x, own: F.regexp_replace(x, f"(-({'|'.join(own)}))+$", ""), (SHARE_WORDS, LEGAL_WORDS), dashed)
-    return F.when(bare != "", bare).otherwise(dashed)
+    bare = reduce(lambda x, own: F.regexp_replace(x, f"(^|-)({'|'.join(own)})(-({'|'.join(own)}))*$", ""), (SHARE_WORDS, LEGAL_WORDS), dashed)
+    return F.when(bare != "", bare).when(dashed != "", dashed).otherwise(clean(c))
 
 
-def security_type(name: Column) -> Column:
-    low = F.lower(clean(name))
-    return (
-        F.when(low.rlike(r"\b(fund|fond)\b"), "fund").when(low.rlike(r"\betf\b"), "etf")
-        .when(low.rlike(r"\b(warrant|bond|note|certificate)\b"), "non_common").otherwise("common_share")
-    )
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda x, part: x | text.contains(part), parts[1:], text.contains(parts[0]))
+
+
+def security_type(name: Column, code: Column | None = None, raw: Column | None = None) -> Column:
+    """fund, etf, common_share or other, by the raw type (common stock where there is none to ask), then the name, then the code's ending."""
+    kind = F.lower(clean(raw)) if raw is not None else F.lit(COMMON)
+    padded, ticker = F.concat(F.lit(" "), F.lower(clean(name)), F.lit(" ")), F.lower(clean(code)) if code is not None else F.lit("")
+    odd = reduce(lambda x, end: x | ticker.endswith(end), OTHER_CODES[1:], ticker.endswith(OTHER_CODES[0]))
+    return F.when(kind.contains("fund"), "fund").when(kind.contains("etf"), "etf").when(~kind.contains(COMMON) | _any(padded, OTHER_NAMES) | odd, "other").otherwise("common_share")
+
+
+def share_class(name: Column, code: Column | None = None) -> Column:
+    both = F.lower(F.concat(clean(code) if code is not None else F.lit(""), F.lit(" "), clean(name)))
+    out = F.lit("ordinary")
+    for kind, parts in reversed(CLASSES.items()):
+        out = F.when(_any(both, parts), kind).otherwise(out)
+    return out
+
+
+# The same two in SQL, of expressions that are text.
+def type_sql(name: str, code: str = "''") -> str:
+    padded = f"' ' || lower(trim(coalesce({name}, ''))) || ' '"
+    tests = [f"contains({padded}, '{part}')" for part in OTHER_NAMES] + [f"ends_with(lower(trim(coalesce({code}, ''))), '{end}')" for end in OTHER_CODES]
+    return f"case when {' or '.join(tests)} then 'other' else 'common_share' end"
+
+
+def class_sql(name: str, code: str = "''") -> str:
+    both = f"lower(trim(coalesce({code}, '')) || ' ' || trim(coalesce({name}, '')))"
+    return "case " + " ".join(f"when {' or '.join(f"contains({both}, '{part}')" for part in parts)} then '{kind}'" for kind, parts in CLASSES.items()) + " else 'ordinary' end"
+
+
+def finite(c: Column) -> Column:
+    """The number, or null if it is not finite."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def share_class(name: Column) -> Column:
-    low = F.lower(clean(name))
-    return F.when(low.contains("pref"), "preferred").when(low.contains("right"), "rights").when(low.contains("sdr") | low.contains("depositary"), "depositary").otherwise("ordinary")
+def candidate_parts(c: Column) -> Column:
+    """lookback, skip, top_n and strategy of a candidate's name; null if it isn't one."""
+    pattern = r"^l(\d+)_s(\d+)_n(\d+)_strat=(.+)$"
+    parts = [F.regexp_extract(c, pattern, k + 1) for k in range(4)]
+    numbers = [p.try_cast("int").alias(n) for p, n in zip(parts, ("lookback", "skip", "top_n"), strict=False)]
+    return F.when(c.rlike(pattern), F.struct(*numbers, parts[3].alias("strategy")))
 
 
 def split_ratio(c: Column) -> tuple[Column, Column]:

@@ -104,7 +104,7 @@ def unmatched(allow: DataFrame, roster: DataFrame) -> DataFrame:
 
 def oversize(roster: DataFrame, limits: DataFrame) -> DataFrame:
     """exchange_group, n_active, most, oversize: active common shares of each exchange against ``limits`` (exchange_group, most)."""
-    counts = roster.where("vendor_roster_status <> 'delisted_only'").where(text.security_type(F.col("company_name")) == "common_share")
+    counts = roster.where("vendor_roster_status <> 'delisted_only'").where(text.security_type(F.col("company_name"), text.stem(F.col("security_id"))) == "common_share")
     counts = counts.groupBy("exchange_group").agg(F.count("*").alias("n_active"))
     return counts.join(F.broadcast(limits), "exchange_group").select("exchange_group", "n_active", "most", (F.col("n_active") > F.col("most")).alias("oversize"))
 
@@ -119,9 +119,9 @@ def master(rows: DataFrame, exchanges: DataFrame, currency: str) -> DataFrame:
 
     One row for each row kept; names that are null are common and ordinary, with an empty issuer.
     """
-    name = F.col("company_name")
-    kept = rows.where((text.security_type(name) == "common_share") & (text.share_class(name) == "ordinary")).join(F.broadcast(exchanges), "exchange_group")
+    name, code = F.col("company_name"), text.stem(F.col("security_id"))
+    kept = rows.where((text.security_type(name, code) == "common_share") & (text.share_class(name, code) == "ordinary")).join(F.broadcast(exchanges), "exchange_group")
     return kept.select(
-        "security_id", text.stem(F.col("security_id")).alias("ticker_local"), text.exchange_code(F.col("security_id")).alias("exchange_code"), "exchange_group", "country_code",
+        "security_id", code.alias("ticker_local"), text.exchange_code(F.col("security_id")).alias("exchange_code"), "exchange_group", "country_code",
         F.coalesce("currency", F.lit(currency)).alias("currency"), text.issuer_group(name).alias("issuer_group_id"), (F.col("vendor_roster_status") == "delisted_only").alias("is_delisted"),
     )

@@ -27,7 +27,8 @@ NEEDED = {
 _ROSTER = rosters.SQL.strip()
 _NAME = "lower(trim(coalesce(company_name, '')))"
 _REASON = f"case when coalesce(vendor_roster_status, '') <> 'active_only' then '{roster.INACTIVE}' " + " ".join(f"when regexp_matches({_NAME}, '{p}') then '{r}'" for p, r in roster.REASONS) + f" else '{roster.NEEDS_REVIEW}' end"
-_TYPE = f"case when regexp_matches({_NAME}, '\\b(fund|fond|etf|warrant|bond|note|certificate)\\b') then 'other' else 'common_share' end"
+_CODE = "split_part(security_id, '.', 1)"
+_TYPE = text.type_sql("company_name", _CODE)
 _MERGED = f"""{_ROSTER},
 ro as (select security_id, case when a.security_id is null then d.exchange_group else a.exchange_group end as exchange_group, case when a.security_id is null then d.isin else a.isin end as isin,
     coalesce(a.company_name, d.company_name) as company_name,
@@ -67,14 +68,14 @@ def review_recommendations(spark, sf_dir):
 
 _EXCHANGES = [("ST", "SE", None), ("CO", "DK", "DKK"), ("OL", "NO", "NOK")]
 _DASHED = f"regexp_replace(regexp_replace(regexp_replace(lower(company_name), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
-_BARE = reduce(lambda x, own: f"regexp_replace({x}, '(-({'|'.join(own)}))+$', '')", (text.SHARE_WORDS, text.LEGAL_WORDS), _DASHED)
+_BARE = reduce(lambda x, own: f"regexp_replace({x}, '(^|-)({'|'.join(own)})(-({'|'.join(own)}))*$', '')", (text.SHARE_WORDS, text.LEGAL_WORDS), _DASHED)
 
 
 @query(_with(f"""{_MERGED}
 select security_id, split_part(security_id, '.', 1) as ticker_local, split_part(security_id, '.', -1) as exchange_code, exchange_group, country_code, coalesce(currency, 'SEK') as currency,
     {_BARE} as issuer_group_id, vendor_roster_status = 'delisted_only' as is_delisted
 from ro join (values ('ST', 'SE', null), ('CO', 'DK', 'DKK'), ('OL', 'NO', 'NOK')) x(exchange_group, country_code, currency) using (exchange_group)
-where {_TYPE} = 'common_share' and not regexp_matches({_NAME}, 'pref|right|sdr|depositary')"""))
+where {_TYPE} = 'common_share' and {text.class_sql("company_name", _CODE)} = 'ordinary'"""))
 def security_master(spark, sf_dir):
     """Ordinary common shares of the roster as master rows (PF10, PF7)."""
     return roster.master(_merged(spark, sf_dir), spark.createDataFrame(_EXCHANGES, "exchange_group string, country_code string, currency string"), "SEK")
@@ -87,7 +88,7 @@ def review_shortlist(spark, sf_dir):
     return _merged(spark, sf_dir).where((decision == "candidate") & F.col("exchange_group").isin(GROUPS)).select("security_id", "exchange_group", "isin").dropDuplicates()
 
 
-_WORDS = ", ".join(f"'{w}'" for w in (*text.SHARE_WORDS, *text.LEGAL_WORDS))
+_WORDS = ", ".join(f"'{w}'" for w in text.NOISE_WORDS)
 
 
 def _company(c: str) -> str:
@@ -156,7 +157,7 @@ def master_checks(spark, sf_dir):
         F.count_if(~ident.rlike(r"^[^.]+\.[A-Z]+$")).alias("bad_id"),
         F.count_if(group.isNull() | ~group.isin(GROUPS)).alias("bad_venue"),
         F.count_if(status.isNull() | ~status.isin(*kinds)).alias("bad_status"),
-        F.count_if(text.security_type(F.col("company_name")) != "common_share").alias("bad_type"),
+        F.count_if(text.security_type(F.col("company_name"), text.stem(ident)) != "common_share").alias("bad_type"),
         F.count_if(text.clean(F.col("company_name")) == "").alias("no_issuer"),
     )
 

@@ -488,20 +488,15 @@ def schedules(spark, sf_dir):
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
-@query("""
-with x as (select p_partkey, p_name, lower(trim(p_name)) as low from part)
-select p_partkey, regexp_replace(upper(p_name), '[^\\p{L}\\p{N}]', '', 'g') as symbol_key, case when instr(p_name, '.') > 0 then upper(regexp_extract(p_name, '[^.]*$')) else '' end as code,
-    split_part(p_name, '.', 1) as stem,
-    case when regexp_matches(low, '\\b(fund|fond)\\b') then 'fund' when regexp_matches(low, '\\betf\\b') then 'etf'
-        when regexp_matches(low, '\\b(warrant|bond|note|certificate)\\b') then 'non_common' else 'common_share' end as security_type,
-    case when contains(low, 'pref') then 'preferred' when contains(low, 'right') then 'rights' when contains(low, 'sdr') or contains(low, 'depositary') then 'depositary' else 'ordinary' end as share_class
-from x""")
+@query(f"""
+select p_partkey, regexp_replace(upper(p_name), '[^\\p{{L}}\\p{{N}}]', '', 'g') as symbol_key, case when instr(p_name, '.') > 0 then upper(regexp_extract(p_name, '[^.]*$')) else '' end as code,
+    split_part(p_name, '.', 1) as stem, {text.type_sql("p_name", "p_brand")} as security_type, {text.class_sql("p_name", "p_brand")} as share_class from part""")
 def normalised_names(spark, sf_dir):
     """Keys, codes and classes of names (PF1, PF3-PF5, PF8, PF9)."""
     name = F.col("p_name")
     return market.table(spark, sf_dir, "part").select(
         "p_partkey", text.symbol_key(name).alias("symbol_key"), text.exchange_code(name).alias("code"), text.stem(name).alias("stem"),
-        text.security_type(name).alias("security_type"), text.share_class(name).alias("share_class"),
+        text.security_type(name, F.col("p_brand")).alias("security_type"), text.share_class(name, F.col("p_brand")).alias("share_class"),
     )
 
 

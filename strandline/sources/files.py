@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructType
+from pyspark.sql.types import ArrayType, DateType, StructType
+
+from strandline.functions import text
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType, dates: list[str] = ()) -> DataFrame:
@@ -22,10 +26,104 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+def write_csv(df: DataFrame, path: str, sep: str = ",", mark: bool = False) -> None:
+    """``mark`` puts a byte-order mark before each file's header, as spreadsheets want it."""
+    df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
     df.write.mode("overwrite").csv(path, header=True, sep=sep, escape='"')
 
 
+def write_staged(df: DataFrame, path: str) -> None:
+    """All or nothing: written beside ``path`` and then moved there, so a job that fails leaves what was there before."""
+    spark = df.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    try:
+        df.write.parquet(fresh.toString())
+    except Exception:
+        system.delete(fresh, True)
+        raise
+    if system.exists(to):
+        system.rename(to, old)
+    if not system.rename(fresh, to):
+        raise OSError(f"{fresh} could not be moved to {path}")
+    system.delete(old, True)
+
+
+def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends the rows whose ``keys`` aren't recorded yet, the first of each key; running it again appends nothing."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = df.dropDuplicates(keys)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    rows.write.mode("append").parquet(path)
+
+
+#: The rows that vendors' JSON files hold.
+HISTORY = "date string, open double, high double, low double, close double, adjusted_close double, volume double"
+DIVIDENDS, SPLITS = "date string, value double, currency string", "date string, split string"
+ROSTER = "Code string, Name string, Type string, Currency string, Isin string"
+
+
+def _payload(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Rows of files that are each an array of objects, with security_id from the file's name; an empty array has none."""
+    files = spark.read.schema(fields).option("multiLine", True).json(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    return files.withColumn("security_id", F.url_decode(name))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """security_id, date, open_raw, high_raw, low_raw, close_raw, volume; rows without a date or a close go."""
+    rows = _payload(spark, path, HISTORY).select("security_id", F.try_to_date("date").alias("date"), *[F.col(c).alias(f"{c}_raw") for c in ("open", "high", "low", "close")], "volume")
+    return rows.where("date is not null and close_raw is not null")
+
+
+def read_actions(spark: SparkSession, dividends: str, splits: str) -> DataFrame:
+    """security_id, date, action_type, action_value, action_ratio of both kinds of files; ratios that can't be read go."""
+    day = F.try_to_date("date").alias("date")
+    paid = _payload(spark, dividends, DIVIDENDS).select("security_id", day, F.lit("cash_dividend").alias("action_type"), F.col("value").alias("action_value"), F.lit(None).cast("double").alias("action_ratio"))
+    ratio, kind = text.split_ratio(F.col("split"))
+    cut = _payload(spark, splits, SPLITS).select("security_id", day, kind.alias("action_type"), F.lit(None).cast("double").alias("action_value"), ratio.alias("action_ratio"))
+    return paid.unionByName(cut.where("action_ratio > 0")).where("date is not null")
+
+
+def read_roster(spark: SparkSession, path: str) -> DataFrame:
+    """code, company_name, raw_type, currency, isin of an exchange's file, whose name is the exchange's code; the first row of a code counts."""
+    rows = _payload(spark, path, ROSTER).select(F.col("security_id").alias("exchange_group"), *[text.clean(F.col(a)).alias(b) for a, b in (("Code", "code"), ("Name", "company_name"), ("Type", "raw_type"), ("Currency", "currency"), ("Isin", "isin"))])
+    return rows.where("code <> ''").dropDuplicates(["exchange_group", "code"])
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """Each row as one JSON object with its keys in order, at every level."""
+
+    def ordered(c, kind):
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+            return F.transform(c, lambda x: ordered(x, kind.elementType))
+        return c
+
+    df.select(*[ordered(F.col(f.name), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_protocol(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Folds (fold_id, test_from, test_to) and the holdout (name, first, last) that a protocol file puts in place of the usual ones, as month ordinals."""
+    month = lambda c: (F.substring(c, 1, 4).cast("int") * 12 + F.substring(c, 6, 2).cast("int") - 1).cast("int")
+    file = spark.read.schema("name string, insample_end string, oos_start string, oos_end string, rolling_origin_folds array<array<string>>").option("multiLine", True).json(path)
+    each = file.select(F.posexplode("rolling_origin_folds").alias("k", "f"))
+    folds = each.select((F.col("k") + 1).alias("fold_id"), month(F.col("f")[F.size("f") - 2]).alias("test_from"), month(F.col("f")[F.size("f") - 1]).alias("test_to"))
+    return folds, file.select("name", month(F.col("oos_start")).alias("first"), month(F.col("oos_end")).alias("last"))
+
+
+def locked_rows(panel: DataFrame, locked: DataFrame, keys: list[str]) -> DataFrame:
+    """The one row of ``panel`` with each locked candidate's parameters; none, or several, is an error."""
+    many = panel.groupBy(*keys).agg(F.count("*").alias("many "))
+    wanted = locked.select(*keys).distinct().join(many, keys, "left")
+    right = F.when(F.coalesce("many ", F.lit(0)) == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a locked candidate must have one row")).cast("boolean"))
+    return panel.join(wanted.where(right).select(*keys), keys)
+
+
 def write_monthly(df: DataFrame, path: str, month: str) -> None:
     """Overwrites the months that ``df`` has and leaves the others: running a month again changes nothing else."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)

@@ -40,7 +40,7 @@ def official_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """official_id, exchange_group, isin, symbol, company_name of a venue's own list, which spells some differently."""
     n = F.col("number")
     symbol = F.when(n % 9 == 0, F.concat(F.lit("X"), n.cast("string"))).otherwise(F.regexp_replace("ticker", "-", " "))
-    name = F.when(n % 18 == 0, F.lit("Unknown")).otherwise(F.concat(F.upper("company_name"), F.lit(" Holding")))
+    name = F.when(n % 18 == 0, F.lit("Unknown")).otherwise(F.concat(F.upper("company_name"), F.lit(" Limited")))
     return _listed(spark, sf_dir).where("number % 11 <> 5").select(n.alias("official_id"), "exchange_group", "isin", symbol.alias("symbol"), name.alias("company_name"))
 
 
@@ -71,7 +71,7 @@ listed as (select number, exchange_group, 'C' || number || case when number % 4
 active as (select ticker || '.' || exchange_group as security_id, exchange_group, isin, company_name from listed where number % 7 <> 3),
 gone as (select ticker || '.' || exchange_group as security_id, exchange_group, isin, company_name || ' (old)' as company_name from listed where number % 4 = 1),
 official as (select number as official_id, exchange_group, isin, case when number % 9 = 0 then 'X' || number else replace(ticker, '-', ' ') end as symbol,
-    case when number % 18 = 0 then 'Unknown' else upper(company_name) || ' Holding' end as company_name from listed where number % 11 <> 5),
+    case when number % 18 = 0 then 'Unknown' else upper(company_name) || ' Limited' end as company_name from listed where number % 11 <> 5),
 allow0 as (select case when number % 8 = 0 then ' ' || ticker || '.' || exchange_group else '' end as security_id, case when number % 6 = 2 then exchange_group else '' end as exchange_group,
     coalesce(isin, '') as isin, case when number % 10 = 4 then 'no' else ' Yes' end as include from listed where number % 2 = 0),
 allow as (select * from allow0 union all select * from allow0 where security_id <> ''),
