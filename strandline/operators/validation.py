@@ -12,8 +12,9 @@ from strandline.functions import stats
 
 
 def uniform(*cols, seed: int):
-    """A number in [0, 1) from a hash of the columns: the same wherever and whenever it is computed."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    """Two numbers in [0, 1) from a digest of the columns: the same wherever and whenever, and in whatever engine, they are computed."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *cols))
+    return tuple(F.conv(F.substring(digest, at, 12), 16, 10).cast("double") / float(1 << 48) for at in (1, 13))
 
 
 def stationary_bootstrap(returns: DataFrame, by: str, order: str, r: str, resamples: int, block: float, seed: int = 1) -> DataFrame:
@@ -25,8 +26,9 @@ def stationary_bootstrap(returns: DataFrame, by: str, order: str, r: str, resamp
     w = Window.partitionBy(by).orderBy(order)
     series = returns.select(by, F.col(r).alias("ret"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
     draws = series.select(by, F.col("i").alias("step"), "n").crossJoin(F.broadcast(returns.sparkSession.range(resamples).withColumnRenamed("id", "resample")))
-    restart = (F.col("step") == 0) | (uniform(by, "resample", "step", seed=seed) < 1 / block)
-    place = F.when(restart, F.floor(uniform(by, "resample", "step", seed=seed + 1) * F.col("n")) - F.col("step"))
+    often, where = uniform(by, "resample", "step", seed=seed)
+    restart = (F.col("step") == 0) | (often < 1 / block)
+    place = F.when(restart, F.floor(where * F.col("n")) - F.col("step"))
     steps = Window.partitionBy(by, "resample").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     drawn = draws.withColumn("i", F.pmod(F.last(place, ignorenulls=True).over(steps) + F.col("step"), F.col("n")).cast("int"))
     return drawn.drop("n").join(series.drop("n"), [by, "i"]).select(by, "resample", "step", "ret")

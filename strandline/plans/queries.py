@@ -358,16 +358,56 @@ def walk_forward(spark, sf_dir):
     return _rounded(validation.walk_forward(backtest(spark, sf_dir), folds(spark)), "fold_id", "candidate_id", "train_sharpe", "test_sharpe", "test_return")
 
 
-@query()
+def _drawn_sql(resamples: int, seed: int, block: float = 6.0) -> str:
+    """Common table expressions up to drawn (candidate_id, resample, step, ret): the stationary bootstrap of the backtest."""
+    digest = f"md5(concat_ws(':', {seed}, candidate_id, resample, i))"
+    return f"""{_RETURNS},
+ser as (select candidate_id, net as ret, row_number() over (partition by candidate_id order by month) - 1 as i, count(*) over (partition by candidate_id) as n from net),
+dr0 as (select candidate_id, i, n, resample, {digest} as digest from ser, (select unnest(range({resamples})) as resample)),
+dr1 as (select candidate_id, i as step, n, resample, case when i = 0 or ('0x' || substr(digest, 1, 12))::bigint / 281474976710656.0::double < {1 / block!r}::double
+    then floor(('0x' || substr(digest, 13, 12))::bigint / 281474976710656.0::double * n)::bigint - i end as place from dr0),
+dr2 as (select *, last_value(place ignore nulls) over (partition by candidate_id, resample order by step) + step as at from dr1),
+drawn as (select d.candidate_id, d.resample, d.step, s.ret from dr2 d join ser s on s.candidate_id = d.candidate_id and s.i = ((d.at % d.n) + d.n) % d.n)"""
+
+
+_SPLITS = f"""{_RETURNS},
+bd as (select min(month) as lo, max(month) - min(month) + 1 as whole from net),
+sl as (select lo, whole, coalesce(max(k) filter (whole % k = 0 and whole >= 6 * k), max(k) filter (whole >= 6 * k)) as slices from bd, (select unnest([2, 4, 6, 8, 10]) as k) group by 1, 2),
+mo as (select candidate_id, floor((month - lo) * slices / whole)::int as slice, count(net) as n, sum(net) as s, sum(net * net) as q from net, sl where slices is not null group by 1, 2),
+ha as (select slices, own, row_number() over (order by own) - 1 as split from (select slices, list_filter(range(slices), lambda i: (mask >> i) & 1 = 1) as own from sl, (select unnest(range(1024)) as mask)
+    where mask < (1 << slices) and bit_count(mask) = slices // 2)),
+hx as (select split, own, unnest(range(slices)) as slice from ha),
+hm as (select split, candidate_id, list_contains(own, hx.slice) as inside, sum(n) as n, sum(s) as s, sum(q) as q from mo join hx on mo.slice = hx.slice group by 1, 2, 3),
+hs as (select *, round(case when n > 1 and sqrt(greatest(0, (q - s * s / n) / (n - 1))) > 0 then s / n / sqrt(greatest(0, (q - s * s / n) / (n - 1))) else 0 end, 9) as sharpe from hm),
+hb as (select split, candidate_id, max(sharpe) filter (inside) as inside, max(sharpe) filter (not inside) as outside from hs group by 1, 2),
+hp as (select *, row_number() over (partition by split order by inside desc nulls last, candidate_id) as place, rank() over (partition by split order by outside asc nulls first) as above, count(*) over (partition by split) as every from hb),
+sp as (select split, candidate_id, inside, outside, above / (every + 1)::double as percentile, ln(percentile / (1 - percentile)) as logit from hp where place = 1)"""
+
+
+@query(f"{_SPLITS} select split, candidate_id, round(inside, 6) as inside, round(outside, 6) as outside, round(percentile, 6) as percentile, round(logit, 6) as logit from sp")
 def overfitting_probability(spark, sf_dir):
-    """All halvings of time, best in sample against rank out of sample."""
+    """All halvings of time, best in sample against rank out of sample."""
     return _rounded(validation.overfitting(backtest(spark, sf_dir)), "split", "candidate_id", "inside", "outside", "percentile", "logit")
 
 
-@query()
+@query(f"""{_SPLITS},
+pb as (select count(*) as splits, round(avg((round(logit, 9) <= 0)::int), 6) as pbo from sp)
+select splits, pbo, case when pbo is null then 'n/a' when pbo < 0.3 then 'good' when pbo < 0.5 then 'caution' else 'hard_cutoff' end as band,
+    coalesce(pbo < 0.5, false) as may_select from pb""")
+def overfitting_bands(spark, sf_dir):
+    """The share of halvings whose best candidate is in the lower half out of sample, its band, and whether anything may be selected."""
+    each = validation.overfitting(backtest(spark, sf_dir)).agg(F.count("*").alias("splits"), F.round(F.avg((F.round("logit", 9) <= 0).cast("int")), 6).alias("pbo"))
+    pbo = F.col("pbo")
+    band = F.when(pbo.isNull(), "n/a").when(pbo < 0.3, "good").when(pbo < 0.5, "caution").otherwise("hard_cutoff")
+    return each.select("splits", "pbo", band.alias("band"), F.coalesce(pbo < 0.5, F.lit(False)).alias("may_select"))
+
+
+@query(f"""{_drawn_sql(2000, 1)},
+sh as (select candidate_id, resample, case when stddev_samp(ret) > 0 then avg(ret) / stddev_samp(ret) * sqrt(12) else 0 end as s from drawn group by 1, 2)
+select candidate_id, round(quantile_cont(s, 0.025), 6) as low, round(quantile_cont(s, 0.975), 6) as high from sh group by 1""")
 def bootstrap_intervals(spark, sf_dir):
     """Stationary bootstrap of every candidate's Sharpe ratio."""
-    return validation.sharpe_interval(backtest(spark, sf_dir), "candidate_id", "month", "net")
+    return _rounded(validation.sharpe_interval(backtest(spark, sf_dir), "candidate_id", "month", "net"), "candidate_id", "low", "high")
 
 
 @query()

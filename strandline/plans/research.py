@@ -15,6 +15,7 @@ from strandline.plans.queries import (
     _SCORED,
     _UNIVERSE,
     FOLDS,
+    _drawn_sql,
     _rounded,
     backtest,
     book,
@@ -153,7 +154,14 @@ def _resampled(spark, sf_dir):
     return stats.equity(drawn, ["candidate_id", "resample"], "step")
 
 
-@query()
+_DRAWN = f"""{_drawn_sql(RESAMPLES, SEED)},
+pt as (select candidate_id, resample, step, product(1 + ret) over (partition by candidate_id, resample order by step) as equity from drawn)"""
+_TWENTIETHS = [k / 20 for k in range(1, 20)]
+
+
+@query(f"""{_DRAWN},
+pq as (select candidate_id, step, quantile_cont(equity, {_TWENTIETHS}) as q, min(equity) as lowest from pt group by 1, 2)
+select candidate_id, step, {", ".join(f"round(q[{k}], 4) as p{5 * k:02d}" for k in range(1, 20))}, round(lowest, 4) as lowest from pq""")
 def bootstrap_path_quantiles(spark, sf_dir):
     """Nineteen quantiles of the paths of the stationary bootstrap at each step."""
     names = [f"p{5 * k:02d}" for k in range(1, 20)]
@@ -162,7 +170,10 @@ def bootstrap_path_quantiles(spark, sf_dir):
     return _rounded(out.select("candidate_id", "step", *[F.col("q")[k].alias(n) for k, n in enumerate(names)], "lowest"), "candidate_id", "step", *names, "lowest", digits=4)
 
 
-@query()
+@query(f"""{_DRAWN},
+d as (select candidate_id, step, round(equity, 6) as equity from pt),
+b as (select candidate_id, min(equity) as lo, max(equity) as hi from d group by 1)
+select candidate_id, step, least(71, floor((equity - lo) / ((hi - lo) / 72)))::int as bin, count(*) as n from d join b using (candidate_id) group by 1, 2, 3""")
 def bootstrap_path_density(spark, sf_dir):
     """Paths of the stationary bootstrap in each of 72 bins at each step, bins between the least and greatest value."""
     paths = _resampled(spark, sf_dir).withColumn("equity", F.round("equity", 6))
@@ -171,7 +182,9 @@ def bootstrap_path_density(spark, sf_dir):
     return paths.join(span, "candidate_id").groupBy("candidate_id", "step", slot.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_DRAWN},
+ls as (select candidate_id, product(1 + net) as last from net group by 1)
+select candidate_id, round(any_value(last), 4) as last_equity, round(quantile_cont(last * equity, 0.05), 4) as low_cap, round(quantile_cont(last * equity, 0.90), 4) as high_cap from pt join ls using (candidate_id) group by 1""")
 def bootstrap_projection(spark, sf_dir):
     """Paths of the stationary bootstrap that go on from the last equity, and the caps over all their values."""
     last = backtest(spark, sf_dir).groupBy("candidate_id").agg((stats.total_return(F.col("net")) + 1).alias("last"))
