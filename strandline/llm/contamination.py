@@ -15,12 +15,14 @@ from strandline.llm import textbatch
 
 #: Permutations. Each is a band of one row: containment is sought at low Jaccard similarity.
 PERMUTATIONS = 64
-#: Bytes of items' text searched for in one pass over the documents; more items take more passes.
-BLOCK = 8 << 20
+#: Bytes of an index, about, that is searched for in one pass over the documents; more items take more passes.
+BLOCK = 96 << 20
+#: Bytes of an item in an index besides its shingles.
+ITEM = 64 * (4 + 4 + 16)
 #: The smallest partition, in shingles.
 LEAST = 2
 _A = np.random.default_rng(5).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = np.uint64(16)
+_HALF = np.uint64(32)
 
 
 class Index:
@@ -43,14 +45,17 @@ class Index:
         self.tables = {}
         for c in sorted(set(classes)):
             own = np.array([i for i, x in enumerate(classes) if x == c])
-            values = np.array([[(self.sets[i] * a).min() for i in own] for a in _A])
-            order = np.argsort(values, axis=1, kind="stable")
-            bits = max(10, math.ceil(math.log2(len(own))) + 5)
+            every = np.concatenate([self.sets[i] for i in own])
+            begins = np.concatenate([[0], np.cumsum([len(self.sets[i]) for i in own])[:-1]])
+            bits = max(10, math.ceil(math.log2(len(own))) + 3)
             marks = np.zeros((PERMUTATIONS, 1 << bits), bool)
-            mask = np.uint64((1 << bits) - 1)
-            for k in range(PERMUTATIONS):
-                marks[k, (values[k] >> _SHIFT) & mask] = True
-            self.tables[c] = np.take_along_axis(values, order, 1), own[order], marks, mask
+            mask = np.uint32((1 << bits) - 1)
+            values = np.empty((PERMUTATIONS, len(own)), np.uint32)
+            for k in range(PERMUTATIONS):  # 32 bits of each minimum are kept: what they let through is verified
+                values[k] = np.minimum.reduceat(every * _A[k], begins) >> _HALF
+                marks[k, values[k] & mask] = True
+            order = np.argsort(values, axis=1, kind="stable")
+            self.tables[c] = np.take_along_axis(values, order, 1), own[order].astype(np.int32), marks, mask
 
     def candidates(self, sh: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) pairs of which some window has a minimum in common."""
@@ -86,8 +91,8 @@ class Index:
     def _look_up(self, c: int, level: np.ndarray, after: np.ndarray, windows: np.ndarray, text: np.ndarray, found: set) -> None:
         values, owners, marks, mask = self.tables[c]
         for k in range(PERMUTATIONS):
-            low = np.minimum(level[k], level[k][after])[windows]
-            for w in np.flatnonzero(marks[k][(low >> _SHIFT) & mask]):
+            low = (np.minimum(level[k], level[k][after])[windows] >> _HALF).astype(np.uint32)
+            for w in np.flatnonzero(marks[k][low & mask]):
                 a, b = np.searchsorted(values[k], low[w], "left"), np.searchsorted(values[k], low[w], "right")
                 found.update((int(text[windows[w]]), int(i)) for i in owners[k, a:b])
 
@@ -144,11 +149,12 @@ def _blocks(benchmark: DataFrame, size: int, item_id_col: str, item_text_col: st
     items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     kind = "long" if dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint") else "string"
     items = items.withColumn("item_id", F.col("item_id").cast(kind))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text") + 100)).first()[0] or 0) / BLOCK))
+    # a shingle takes eight bytes, a word with its blank two at least
+    blocks = max(1, math.ceil((items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) * 4 + ITEM)).first()[0] or 0) / BLOCK))
     block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = []
     for b in range(blocks):
-        rows = items.where(block_of == b).collect()  # about BLOCK bytes
+        rows = items.where(block_of == b).collect()  # less than BLOCK bytes
         found.append(benchmark.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text or "" for r in rows], size)))
     return kind, found
 
@@ -176,7 +182,7 @@ def contaminated(
     occur anywhere in the document. Candidates come from minima of windows sized by the item's partition (see ``Index``),
     and each is verified on the exact sets of the whole item and the whole document.
 
-    Items are searched for in blocks of about ``BLOCK`` bytes of text, so what is broadcast at a time has a bound;
+    Items are searched for in blocks whose indexes take about ``BLOCK`` bytes, so what a task holds at a time has a bound;
     each block is one pass over the documents without a shuffle. An item's or text's null counts as empty;
     an item without words is contained in nothing; one of fewer words than ``size`` has its whole
     sequence as its only shingle, and is found in documents of that very sequence. Rows with a null id are searched too;
