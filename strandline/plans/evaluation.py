@@ -117,7 +117,7 @@ ds as (select candidate_id, round(coalesce(r - sqrt(greatest(1 - k3 * r + (k4 -
 sp as (select candidate_id, round(stddev_pop(sharpe), 6) as spread from (select variant, candidate_id, {_SHARPE.format("net", 12)} as sharpe from xn join hv on month between test_from and test_to
     where execution = 'next_open' and scenario = 'base' group by 1, 2) group by 1),
 gk as (select *, dense_rank() over (order by lookback) as a, dense_rank() over (order by skip) as b, dense_rank() over (order by top_n) as c, dense_rank() over (order by weighting) as d from grid),
-nb as (select x.candidate_id, round(median(overall_sharpe), 6) as neighbour_sharpe from gk x join gk y on abs(x.a - y.a) + abs(x.b - y.b) + abs(x.c - y.c) + abs(x.d - y.d) = 1
+nb as (select x.candidate_id, round(median(overall_sharpe), 7) as neighbour_sharpe from gk x join gk y on abs(x.a - y.a) + abs(x.b - y.b) + abs(x.c - y.c) + abs(x.d - y.d) = 1
     join ca on ca.candidate_id = y.candidate_id group by 1),
 ag as (select candidate_id, lookback, skip, top_n, median_sharpe, fold_passes, overall_sharpe, total_return, max_drawdown, deflated, spread, neighbour_sharpe,
     round(case when overall_sharpe = 0 then 0 else neighbour_sharpe / overall_sharpe end, 6) as neighbour_ratio,
@@ -140,7 +140,7 @@ def _ranked(spark, sf_dir):
         )
         deflated = stats.deflated(joined, ["candidate_id"], "net", TRIALS).select("candidate_id", F.round("score", 6).alias("deflated"))
         around = validation.neighbours(grid(spark), ["lookback", "skip", "top_n", "weighting"]).join(overall.withColumnRenamed("candidate_id", "neighbour_id"), "neighbour_id")
-        around = around.groupBy("candidate_id").agg(F.round(F.percentile("overall_sharpe", 0.5), 6).alias("neighbour_sharpe"))
+        around = around.groupBy("candidate_id").agg(F.round(F.percentile("overall_sharpe", 0.5), 7).alias("neighbour_sharpe"))
         out = grid(spark)
         for part in (each, overall, deflated, variant_sensitivity(spark, sf_dir).drop("variants"), around):
             out = out.join(part, "candidate_id")

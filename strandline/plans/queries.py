@@ -203,10 +203,10 @@ def prices_in_sek(spark, sf_dir):
     return daily(spark, sf_dir).select("security_id", "date", "sek_per_ccy", "close_sek", "trade_value_sek")
 
 
-@query(f"{_DAILY} select security_id, date, round(median_value, 4) as median_value from dly")
+@query(f"{_DAILY} select security_id, date, round(median_value, 5) as median_value from dly")
 def rolling_median_value(spark, sf_dir):
     """Median traded value of the last 60 bars."""
-    return _rounded(daily(spark, sf_dir), "security_id", "date", "median_value", digits=4)
+    return _rounded(daily(spark, sf_dir), "security_id", "date", "median_value", digits=5)
 
 
 @query(f"""{market.SQL.strip()},
