@@ -9,7 +9,7 @@ from strandline.functions import stats
 from strandline.operators import portfolio, universe, validation
 from strandline.plans.holdout import _SHARPE, HOLDOUT, TRIALS, WINDOWS
 from strandline.plans.queries import _CAPACITY, _DAILY, _RAW, _RETURNS, _SCORED, _UNIVERSE, FOLDS, _cost, _rounded, _weight, backtest, book, daily, facts, folds, grid, monthly, query, scored
-from strandline.plans.research import _LEVELS, _levels
+from strandline.plans.research import _LEVELS, AVERAGES, _levels
 from strandline.sources import market
 from strandline.storage import kept
 
@@ -24,6 +24,8 @@ SUB_PERIODS = {"1995-1996": (1995 * 12, 1996 * 12 + 11), "1997-1998": (1997 * 12
 #: Largest differences between two profiles of one candidate.
 APART = {"sharpe": 0.15, "max_drawdown": 0.05, "total_return": 0.10}
 SEED, TRIM, SAMPLED = 7, 0.05, 20
+#: Shuffled runs that are tested as controls, and resamples of each; lengths of the trend gate's average.
+CONTROLS, CONTROL_RESAMPLES = 100, 250
 
 _CUBE = f"""{_SCORED},
 ce as (select * from (values {", ".join(f"('{e}', '{c}', {i}::double, {b}::double)" for e, i in universe.IMPACT.items() for c, b in universe.CURRENCY_BPS.items())}) c(execution, scenario, impact, extra)),
@@ -488,3 +490,119 @@ def evaluation_rows(spark, sf_dir):
     """Every evaluation beside its candidate's aggregates, for export (IO9)."""
     cells = evaluation_cube(spark, sf_dir).select("candidate_id", "variant", "execution", "scenario", "fold_id", "sharpe")
     return cells.join(F.broadcast(_ranked(spark, sf_dir).select("candidate_id", "median_sharpe", "place", "composite")), "candidate_id")
+
+
+_GATE = f"""{_LEVELS},
+mw as (select unnest({list(AVERAGES)}) as months),
+of as (select a.month, w.months from lv a cross join mw w left join lv b on b.month between a.month - w.months and a.month - 1 group by 1, 2
+    having count(b.level) = w.months and max(case when b.month = a.month - 1 then b.level end) < avg(b.level))"""
+
+
+def _off(spark, sf_dir):
+    """(month, months) in which the benchmark's last level was below its average of so many months."""
+    levels = _levels(spark, sf_dir)
+    lengths = F.broadcast(spark.createDataFrame([(n,) for n in AVERAGES], "months int"))
+    past = F.broadcast(levels.select(F.col("month").alias("past"), F.col("level").alias("old")))  # a row for each month
+    points = levels.select("month").crossJoin(lengths).join(past, (F.col("past") >= F.col("month") - F.col("months")) & (F.col("past") < F.col("month")))
+    last = F.max(F.when(F.col("past") == F.col("month") - 1, F.col("old")))
+    return points.groupBy("month", "months").agg(((F.count("old") == F.col("months")) & (last < F.avg("old"))).alias("off")).where("off").drop("off")
+
+
+@query(f"""{_SCORED},{_GATE},
+gb as (select bk.*, mw.months from bk cross join mw where not exists (select 1 from of where of.month = bk.month and of.months = mw.months)),
+gm as (select coalesce(a.months, b.months) as months, coalesce(a.candidate_id, b.candidate_id) as candidate_id, coalesce(a.month, b.month + 1) as month, coalesce(a.number, b.number) as number, coalesce(a.top_n, b.top_n) as top_n,
+    a.weight, b.weight as was, a.ret from gb a full outer join gb b on a.months = b.months and a.candidate_id = b.candidate_id and a.number = b.number and a.month = b.month + 1),
+gc as (select gm.*, coalesce({_cost()}, 0) as one from gm left join (select number, month, median_value, close_sek, currency from uni) u using (number, month)),
+gn as (select w.months, g.candidate_id, o.month, coalesce(sum(weight * ret), 0) - coalesce(sum(case when was is null then weight when weight is null then was end * one), 0) as net, count(weight) as held
+    from grid g cross join (select distinct month from bk) o cross join mw w left join gc on gc.months = w.months and gc.candidate_id = g.candidate_id and gc.month = o.month group by 1, 2, 3)
+select months, candidate_id, count(*) filter (held = 0) as months_out, round(product(1 + net) - 1, 6) as total_return, round({_SHARPE.format("net", 12)}, 6) as sharpe from gn group by 1, 2""")
+def gated_backtest(spark, sf_dir):
+    """The grid under the trend gate of four windows: off, all names are sold at a cost; on again, all are bought anew."""
+    lengths = F.broadcast(spark.createDataFrame([(n,) for n in AVERAGES], "months int"))
+    names = book(spark, sf_dir)
+    gated = names.crossJoin(lengths).join(F.broadcast(_off(spark, sf_dir)), ["month", "months"], "left_anti")
+    months = names.select("month").distinct().crossJoin(lengths).crossJoin(F.broadcast(grid(spark).select("candidate_id")))
+    net = portfolio.period_returns(gated, universe.tiered_cost_bps(F.col("top_n")) / 1e4, facts(spark, sf_dir), ("months",), months)
+    r = F.col("net")
+    return net.groupBy("months", "candidate_id").agg(F.count_if(F.col("held") == 0).alias("months_out"), F.round(stats.total_return(r), 6).alias("total_return"), F.round(stats.sharpe(r), 6).alias("sharpe"))
+
+
+@query(f"""{_SCORED},
+mv as (select coalesce(a.candidate_id, b.candidate_id) as candidate_id, coalesce(a.month, b.month + 1) as month, coalesce(a.country_code, b.country_code) as country_code, a.number as now, b.number as was
+    from bk a full outer join bk b on a.candidate_id = b.candidate_id and a.number = b.number and a.month = b.month + 1),
+tn as (select candidate_id, month, country_code, count(*) filter (was is null) as entries, count(*) filter (now is null) as exits from mv where month in (select month from bk) group by 1, 2, 3)
+select *, round((entries + exits) / greatest(1, sum(entries + exits) over (partition by candidate_id, month))::double, 6) as turnover from tn where entries + exits > 0""")
+def country_turnover(spark, sf_dir):
+    """Entries and exits by country, and each country's share of the month's."""
+    names = book(spark, sf_dir).select("candidate_id", "month", "number", "country_code")
+    before = names.select("candidate_id", (F.col("month") + 1).alias("month"), "number", F.col("country_code").alias("was"))
+    both = names.join(before, ["candidate_id", "month", "number"], "full_outer").join(F.broadcast(names.select("month").distinct()), "month", "left_semi")
+    entered, left = F.col("was").isNull(), F.col("country_code").isNull()
+    each = both.groupBy("candidate_id", "month", F.coalesce("country_code", "was").alias("country_code")).agg(F.count_if(entered).alias("entries"), F.count_if(left).alias("exits"))
+    trades = F.col("entries") + F.col("exits")
+    share = trades / F.greatest(F.lit(1), F.sum(trades).over(Window.partitionBy("candidate_id", "month")))
+    return each.withColumn("turnover", F.round(share, 6)).where(trades > 0)
+
+
+@query(f"""{_SCORED},
+mv as (select coalesce(a.candidate_id, b.candidate_id) as candidate_id, coalesce(a.month, b.month + 1) as month, coalesce(a.number, b.number) as number, b.number is null as entered, a.number is null as gone
+    from bk a full outer join bk b on a.candidate_id = b.candidate_id and a.number = b.number and a.month = b.month + 1),
+l as (select max(month) as last from bk)
+select candidate_id, month, coalesce(string_agg(number::varchar, ',' order by number) filter (entered), '') as entered, coalesce(string_agg(number::varchar, ',' order by number) filter (gone), '') as gone,
+    coalesce(string_agg(number::varchar, ',' order by number) filter (not gone), '') as held from mv, l where month between last - 11 and last group by 1, 2""")
+def history_records(spark, sf_dir):
+    """The last twelve months of every book with the names that enter, leave and are held."""
+    names = book(spark, sf_dir).select("candidate_id", "month", "number")
+    last = names.agg(F.max("month").alias("last"))
+    recent = names.crossJoin(F.broadcast(last)).where("month >= last - 12").drop("last")
+    before = recent.select("candidate_id", (F.col("month") + 1).alias("month"), "number", F.lit(True).alias("was"))
+    both = recent.withColumn("now", F.lit(True)).join(before, ["candidate_id", "month", "number"], "full_outer").crossJoin(F.broadcast(last)).where("month between last - 11 and last")
+    listed = lambda test: F.array_join(F.sort_array(F.collect_list(F.when(test, F.col("number")))), ",")
+    return both.groupBy("candidate_id", "month").agg(listed(F.col("was").isNull()).alias("entered"), listed(F.col("now").isNull()).alias("gone"), listed(F.col("now").isNotNull()).alias("held"))
+
+
+@query(f"""{_RETURNS},
+s as (select lookback, skip, top_n, {_SHARPE.format("net", 12)} as sharpe from net join grid using (candidate_id) group by 1, 2, 3, weighting),
+p as (select 'lookback' as axis, lookback as value, sharpe from s union all select 'skip', skip, sharpe from s union all select 'top_n', top_n, sharpe from s),
+v as (select axis, value, round(median(sharpe), 9) as middle from p group by 1, 2)
+select axis, arg_max(value, (middle, -value)) as best, arg_min(value, (middle, value)) as worst, round(max(middle) - min(middle), 6) as spread, round(corr(value, middle), 5) as correlation from v group by 1""")
+def parameter_spread(spark, sf_dir):
+    """Each numeric parameter's best and worst value by median Sharpe ratio, the spread, and how value and median go together."""
+    each = backtest(spark, sf_dir).groupBy("candidate_id").agg(stats.sharpe(F.col("net")).alias("sharpe")).join(F.broadcast(grid(spark)), "candidate_id")
+    axes = each.select("sharpe", F.expr("stack(3, 'lookback', lookback, 'skip', skip, 'top_n', top_n) as (axis, value)"))
+    middle = axes.groupBy("axis", "value").agg(F.round(F.percentile("sharpe", 0.5), 9).alias("middle"))
+    m, v = F.col("middle"), F.col("value")
+    return middle.groupBy("axis").agg(
+        F.max_by(v, F.struct(m, -v)).alias("best"), F.min_by(v, F.struct(m, v)).alias("worst"), F.round(F.max(m) - F.min(m), 6).alias("spread"), F.round(F.corr(v.cast("double"), m), 5).alias("correlation")
+    )
+
+
+@query(f"""{_SCORED},
+sh as (select run, month, ret - base as x, row_number() over (partition by run, month order by md5(concat_ws(':', {SEED}, run, month, number)), number) as k
+    from (select *, avg(ret) over (partition by month) as base from rk where lookback = 12 and skip = 1), (select unnest(range(1, {CONTROLS + 1})) as run)),
+ex as (select run, month, round(sum(x) / 10, 12) as net from sh where k <= 10 group by 1, 2),
+er as (select run, net as ret, row_number() over (partition by run order by month) - 1 as i, count(*) over (partition by run) as n from ex),
+e0 as (select run, i, n, resample, md5(concat_ws(':', 23, run, resample, i)) as digest from er, (select unnest(range({CONTROL_RESAMPLES})) as resample)),
+e1 as (select run, i as step, n, resample, case when i = 0 or ('0x' || substr(digest, 1, 12))::bigint / 281474976710656.0::double < {1 / 6.0!r}::double
+    then floor(('0x' || substr(digest, 13, 12))::bigint / 281474976710656.0::double * n)::bigint - i end as place from e0),
+e2 as (select *, last_value(place ignore nulls) over (partition by run, resample order by step) + step as at from e1),
+e3 as (select d.run, d.resample, {_SHARPE.format("s.ret", 12)} as sharpe from e2 d join er s on s.run = d.run and s.i = ((d.at % d.n) + d.n) % d.n group by 1, 2),
+lo as (select run, round(quantile_cont(sharpe, 0.025), 6) as low from e3 group by 1),
+dg as (select run, count(*) as n, avg(net) as m, nullif(stddev_samp(net), 0) as s from ex group by 1),
+dh as (select run, any_value(n) as n, any_value(m / s) as r, sum(pow((net - m) / s, 3)) / any_value(n) as k3, sum(pow((net - m) / s, 4)) / any_value(n) as k4 from ex join dg using (run) group by 1),
+df as (select run, round(coalesce(r * sqrt(12), 0), 6) as sharpe, round(coalesce(r - sqrt(greatest(1 - k3 * r + (k4 - 1) / 4 * r * r, 1e-12) / (n - 1)) * {stats.expected_maximum(TRIALS)!r}::double, 0), 6) as deflated from dh)
+select count(*) as runs, count(*) filter (sharpe > {FOLD_SHARPE}) as by_sharpe, count(*) filter (low > 0) as by_interval, count(*) filter (deflated > 0) as by_deflated,
+    round(avg((sharpe > {FOLD_SHARPE} and low > 0 and deflated > 0)::int), 6) as pass_rate, avg((sharpe > {FOLD_SHARPE} and low > 0 and deflated > 0)::int) <= 0.2 as accepted from df join lo using (run)""")
+def negative_controls(spark, sf_dir):
+    """Shuffled books that pass the absolute thresholds: Sharpe ratio, lower bound of its bootstrap interval and deflated ratio; and the gate on their share."""
+    from strandline.operators import controls
+
+    rows = scored(spark, sf_dir).where(f"{portfolio.RANKABLE} and lookback = 12 and skip = 1")
+    runs = controls.shuffled_scores(rows, 10, CONTROLS, SEED).where("run > 0").withColumnRenamed("excess", "net")
+    runs = kept(spark, sf_dir, "controls", lambda: runs)
+    low = validation.stationary_bootstrap(runs, "run", "month", "net", CONTROL_RESAMPLES, 6.0, 23).groupBy("run", "resample").agg(stats.sharpe(F.col("ret")).alias("s"))
+    low = low.groupBy("run").agg(F.round(F.percentile("s", 0.025), 6).alias("low"))
+    each = runs.groupBy("run").agg(F.round(stats.sharpe(F.col("net")), 6).alias("sharpe")).join(stats.deflated(runs, ["run"], "net", TRIALS).select("run", F.round("score", 6).alias("deflated")), "run").join(low, "run")
+    tests = {"by_sharpe": F.col("sharpe") > FOLD_SHARPE, "by_interval": F.col("low") > 0, "by_deflated": F.col("deflated") > 0}
+    rate = F.avg((tests["by_sharpe"] & tests["by_interval"] & tests["by_deflated"]).cast("int"))
+    return each.agg(F.count("*").alias("runs"), *[F.count_if(t).alias(n) for n, t in tests.items()], F.round(rate, 6).alias("pass_rate"), (rate <= 0.2).alias("accepted"))

@@ -30,8 +30,8 @@ from strandline.sources import market
 
 #: The book that single-book queries look at, runs of controls, lengths of blocks, windows of volatility and averages.
 CHOSEN, CHOSEN_LOOKBACK, CHOSEN_SKIP, CHOSEN_SIZE = "l12_s1_n10_strat=equal", 12, 1, 10
-RUNS, BLOCK, SEED, LARGEST_PASS_RATE = 50, 6, 7, 0.20
-#: Paths of the stationary bootstrap; ``RUNS`` counts the block-shuffled ones.
+RUNS, BLOCK_RUNS, BLOCK, SEED, LARGEST_PASS_RATE = 500, 200, 6, 7, 0.20
+#: Paths of the stationary bootstrap; ``BLOCK_RUNS`` counts the block-shuffled ones.
 RESAMPLES = 2000
 WINDOW, SKIP, AVERAGES = 12, 1, (6, 9, 12, 15)
 ORDER_SEK = 1e6
@@ -108,12 +108,12 @@ def negative_control_gate(spark, sf_dir):
 _PATHS = f"""{_RETURNS},
 se as (select candidate_id, net, row_number() over (partition by candidate_id order by month) - 1 as i from net),
 bs as (select candidate_id, run, net, row_number() over (partition by candidate_id, run order by md5(concat_ws(':', {SEED}, run, candidate_id, (i // {BLOCK})::int)), i) - 1 as step
-    from se, (select unnest(range({RUNS})) as run)),
+    from se, (select unnest(range({BLOCK_RUNS})) as run)),
 pa as (select candidate_id, run, step, net, product(1 + net) over (partition by candidate_id, run order by step) as equity from bs)"""
 
 
 def _paths(spark, sf_dir):
-    shuffled = controls.block_shuffles(backtest(spark, sf_dir), "candidate_id", "month", "net", RUNS, BLOCK, SEED)
+    shuffled = controls.block_shuffles(backtest(spark, sf_dir), "candidate_id", "month", "net", BLOCK_RUNS, BLOCK, SEED)
     return stats.equity(shuffled, ["candidate_id", "run"], "step")
 
 
