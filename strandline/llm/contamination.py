@@ -18,7 +18,7 @@ PERMUTATIONS = 64
 #: Bytes of an index, about, that is searched for in one pass over the documents; more items take more passes.
 BLOCK = 96 << 20
 #: Bytes of an item in an index besides its shingles.
-ITEM = 64 * (4 + 4 + 16)
+ITEM = 64 * (4 + 4 + 32)
 #: The smallest partition, in shingles.
 LEAST = 2
 _A = np.random.default_rng(5).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,7 +47,7 @@ class Index:
             own = np.array([i for i, x in enumerate(classes) if x == c])
             every = np.concatenate([self.sets[i] for i in own])
             begins = np.concatenate([[0], np.cumsum([len(self.sets[i]) for i in own])[:-1]])
-            bits = max(10, math.ceil(math.log2(len(own))) + 3)
+            bits = max(10, math.ceil(math.log2(len(own))) + 4)
             marks = np.zeros((PERMUTATIONS, 1 << bits), bool)
             mask = np.uint32((1 << bits) - 1)
             values = np.empty((PERMUTATIONS, len(own)), np.uint32)
@@ -92,9 +92,10 @@ class Index:
         values, owners, marks, mask = self.tables[c]
         for k in range(PERMUTATIONS):
             low = (np.minimum(level[k], level[k][after])[windows] >> _HALF).astype(np.uint32)
-            for w in np.flatnonzero(marks[k][low & mask]):
-                a, b = np.searchsorted(values[k], low[w], "left"), np.searchsorted(values[k], low[w], "right")
-                found.update((int(text[windows[w]]), int(i)) for i in owners[k, a:b])
+            hit = np.flatnonzero(marks[k][low & mask])
+            a, b = np.searchsorted(values[k], low[hit], "left"), np.searchsorted(values[k], low[hit], "right")
+            for i in np.flatnonzero(b > a):
+                found.update((int(text[windows[hit[i]]]), int(j)) for j in owners[k, a[i] : b[i]])
 
 
 def _cuts(begins: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
