@@ -133,10 +133,15 @@ def path_books(scored: DataFrame, grid: DataFrame) -> DataFrame:
     """Books that depend on the one before: candidate_id, month, number, weight, age.
 
     A held name that can still be ranked stays while its rank is at most top_n + band, or it was held for under min_hold months; the rest is
-    filled by rank. One group for each candidate, folded month by month; it holds one candidate's ranked names.
+    filled by rank. So a name comes in at a rank of top_n at most, and only rows within the band, or of names that were within top_n in the last
+    min_hold months, can matter: one group for each candidate, folded month by month, holds these alone.
     """
     best = ranked(scored.where("reason = '' and score is not null and ret is not null"), ["lookback", "skip", "month"])
+    longest = grid.agg(F.max("min_hold")).first()[0] or 0  # of a parameter table
     cells = best.join(F.broadcast(grid), ["lookback", "skip"]).select("candidate_id", "month", "number", "rank", "top_n", "band", "min_hold")
+    lately = Window.partitionBy("candidate_id", "number").orderBy("month").rangeBetween(-longest, 0)
+    entered = F.max(F.when(F.col("rank") <= F.col("top_n"), F.col("month"))).over(lately)
+    cells = cells.withColumn("entered", entered).where("rank <= top_n + band or entered >= month - min_hold").drop("entered")
 
     def fold(rows: pa.Table) -> pa.Table:
         out, ages, last = [], {}, None
