@@ -18,7 +18,7 @@ def test_merged(spark):
 
 def test_matched_in_tiers(spark):
     rows = [("A.ST", "ST", "S1", "Alpha AB"), ("B-A.ST", "ST", "S2", "Beta"), ("C.ST", "ST", "S2", "Gamma"), ("D.OL", "OL", "S3", "Delta ASA"), ("E.ST", "ST", None, "Twin"), ("F.ST", "ST", None, "Twin AB")]
-    official = [(1, "ST", "s1 ", "ZZ", ""), (2, "ST", "S2", "b a", ""), (3, "ST", "S3", "D", "Delta"), (4, "OL", None, "", "DELTA holding"), (5, "ST", None, None, "Twin"), (6, "ST", None, None, None)]
+    official = [(1, "ST", "s1 ", "ZZ", ""), (2, "ST", "S2", "b a", ""), (3, "ST", "S3", "D", "Delta"), (4, "OL", None, "", "DELTA limited"), (5, "ST", None, None, "Twin"), (6, "ST", None, None, None)]
     got = roster.matched(spark.createDataFrame(official, "official_id int, exchange_group string, isin string, symbol string, company_name string"), spark.createDataFrame(rows, ROSTER))
     assert {r.official_id: (r.security_id, r.match_reason) for r in got.collect()} == {
         1: ("A.ST", "exchange_plus_isin"), 2: ("B-A.ST", "exchange_plus_symbol"), 3: (None, "unmatched"),
