@@ -104,7 +104,8 @@ def unmatched(allow: DataFrame, roster: DataFrame) -> DataFrame:
 
 def oversize(roster: DataFrame, limits: DataFrame) -> DataFrame:
     """exchange_group, n_active, most, oversize: active common shares of each exchange against ``limits`` (exchange_group, most)."""
-    counts = roster.where("vendor_roster_status <> 'delisted_only'").where(text.security_type(F.col("company_name"), text.stem(F.col("security_id"))) == "common_share")
+    code = text.stem(F.col("security_id")) if "security_id" in roster.columns else None
+    counts = roster.where("vendor_roster_status <> 'delisted_only'").where(text.security_type(F.col("company_name"), code) == "common_share")
     counts = counts.groupBy("exchange_group").agg(F.count("*").alias("n_active"))
     return counts.join(F.broadcast(limits), "exchange_group").select("exchange_group", "n_active", "most", (F.col("n_active") > F.col("most")).alias("oversize"))
 
