@@ -28,15 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder, for files that a caller writes; ``clear`` removes them."""
+    folder = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike a cache, the files survive lost executors, and later plans start from them. ``clear`` removes them.
+    Only a single process without the setting (tests) has that folder on its own machine; a cluster gets an error instead.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark)
     df.write.parquet(f"{folder}/{name}")
-    _FOLDERS.append(folder)
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
