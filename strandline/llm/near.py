@@ -71,14 +71,21 @@ def _fingerprints(size: int):
 
 
 def _sets(size: int):
+    """Nodes and their sets; a node that several rows of a task have comes out once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for _, t in textbatch.texts(batch.column("text")):
                 w = textbatch.words(t)
+                keys = [_key(w, i) for i in range(len(t))]
+                fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+                if not fresh:
+                    continue
                 sh, first = textbatch.shingles(w, size)
-                own = [np.unique(sh[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                own = [np.unique(sh[first[i] : first[i + 1]]) for i in fresh]
                 yield pa.record_batch(
-                    [pa.array([_key(w, i) for i in range(len(t))], pa.binary()), _arrays(np.concatenate(own).view(np.int64), np.array([len(x) for x in own]), pa.int64())],
+                    [pa.array([keys[i] for i in fresh], pa.binary()), _arrays(np.concatenate(own).view(np.int64), np.array([len(x) for x in own]), pa.int64())],
                     ["node", "shingles"],
                 )
 
@@ -239,7 +246,9 @@ def near_duplicates(
 
     wanted = nodes.select("node", F.col("rep").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
     few = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = saved(few.mapInArrow(_sets(size), "node binary, shingles array<long>").join(wanted.select("node"), "node", "left_semi"), "sets")
+    # rows that repeat a wanted id give its node again and again: one set a node, or each link would come out once for each pair of rows
+    found = few.mapInArrow(_sets(size), "node binary, shingles array<long>").join(wanted.select("node"), "node", "left_semi")
+    sets = saved(found.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
 
     others = members.where("node <> leader")
     first = _confirmed(others.groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")), sets, percent)
