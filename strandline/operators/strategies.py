@@ -56,9 +56,6 @@ GROUP = ("variant", "execution", "lookback", "skip", "top_n", "floor", "window_i
 
 def matching(strategies: tuple[Strategy, ...], ids: tuple[str, ...] = (), combined: bool = False) -> tuple[Strategy, ...]:
     """Those named in ``ids`` (all, if none is), in their order; ``combined`` keeps trend gates together with another renewal or weighting than the usual. None left is an error."""
-    unknown = set(ids) - {s.strategy_id for s in strategies}
-    if unknown:
-        raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
     out = tuple(s for s in strategies if (not ids or s.strategy_id in ids) and (not combined or (s.average and (s.rebalance != "full" or s.weighting != "equal"))))
     if not out:
         raise ValueError("no strategy is left")
@@ -175,8 +172,12 @@ def strategy_returns(
     rows = rows.select("*", F.inline("gains")).where("gain is not null").drop("gains").join(cells, ["lookback", "skip"]).where(enough)
     keys = [c for c in GROUP if c != "window_id"]
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "month").orderBy(F.desc("score"), "number"))).where(F.col("rank") <= widest).where(F.col("rank") <= F.col("top_n") + deepest)
-    later = F.array(*[F.struct((F.col("month") + j).cast("int").alias("month"), (F.col("rank") if j == 0 else F.lit(None).cast("int")).alias("rank")) for j in range(longest + 1)])
-    wanted = best.select(*keys, "number", F.inline(later)).groupBy(*keys, "number", "month").agg(F.max("rank").alias("rank"))
+    # the months that follow are those in which anything is traded, whatever lies between them
+    traded = " or ".join(f"{r} is not null" for r in EXECUTIONS.values())
+    months = scored.where(traded).select("month").distinct()
+    places = F.broadcast(months.withColumn("place", F.row_number().over(Window.orderBy("month"))))  # a row for each month
+    later = F.array(*[F.struct((F.col("place") + j).alias("place"), (F.col("rank") if j == 0 else F.lit(None).cast("int")).alias("rank")) for j in range(longest + 1)])
+    wanted = best.join(places, "month").select(*keys, "number", F.inline(later)).join(places, "place").groupBy(*keys, "number", "month").agg(F.max("rank").alias("rank"))
 
     facts = scored.select("lookback", "skip", "number", "month", "score", "median_value", "market_cap_sek", "volatility", "close_sek", "currency", *variants.values(), *EXECUTIONS.values())
     full = wanted.join(facts, ["lookback", "skip", "number", "month"], "left")
@@ -193,11 +194,10 @@ def strategy_returns(
     inside = F.col("month").between(F.col("first"), F.col("last"))
     held = [c for c in (*GROUP, "month", "number", "rank", "able", "gain", "market_cap_sek", "volatility", *(f"cost_{c}" for c in SCENARIOS))]
     full = full.join(spans, inside).select(*held)
-    months = scored.where(" or ".join(f"{r} is not null" for r in EXECUTIONS.values())).select("month").distinct()
     axis = months.join(spans, inside).select("window_id", "month").crossJoin(cells)
     axis = axis.withColumn("variant", F.explode(F.array(*map(F.lit, variants)))).withColumn("execution", F.explode(F.array(*map(F.lit, EXECUTIONS))))
     axis = axis.join(F.broadcast(off), "month", "left").select(*GROUP, "month", "off")
-    every = full.join(F.broadcast(months), "month", "left_semi").unionByName(axis, allowMissingColumns=True)
+    every = full.unionByName(axis, allowMissingColumns=True)
     kinds = {"lookback": "int", "skip": "int", "top_n": "int", "floor": "double", "window_id": "int"}
     schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in GROUP) + ", strategy_id string, month int, gross double, entries long, exits long, held long, " + ", ".join(f"cost_{c} double" for c in SCENARIOS)
     made = every.groupBy(*GROUP).applyInArrow(_fold(strategies), schema)
