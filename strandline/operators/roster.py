@@ -126,3 +126,20 @@ def master(rows: DataFrame, exchanges: DataFrame, currency: str) -> DataFrame:
         "security_id", code.alias("ticker_local"), text.exchange_code(F.col("security_id")).alias("exchange_code"), "exchange_group", "country_code",
         F.coalesce("currency", F.lit(currency)).alias("currency"), text.issuer_group(name).alias("issuer_group_id"), (F.col("vendor_roster_status") == "delisted_only").alias("is_delisted"),
     )
+
+
+def master_rows(rows: DataFrame, exchanges: DataFrame, currency: str) -> DataFrame:
+    """As ``master``, with all columns of a security master: symbols, isin, name, venue, roster status, raw and normalised type and class; dates and shares are unknown here.
+
+    ``exchanges`` has exchange_group, exchange_name, country_code and currency. A roster's raw type is the part of its name that tells it, which it is taken from; without one both raw columns are empty.
+    """
+    name, code = F.col("company_name"), text.stem(F.col("security_id"))
+    kind, share = text.security_type(name, code), text.share_class(name, code)
+    kept = rows.where((kind == "common_share") & (share == "ordinary")).join(F.broadcast(exchanges), "exchange_group")
+    unknown = {"listing_date": "date", "delisting_date": "date", "shares_outstanding": "double"}
+    return kept.select(
+        "security_id", F.col("security_id").alias("eodhd_symbol"), code.alias("ticker_local"), F.when(text.clean(F.col("isin")) != "", text.clean(F.col("isin"))).alias("isin"), text.clean(name).alias("company_name"),
+        "country_code", "exchange_name", "exchange_group", text.issuer_group(name).alias("issuer_group_id"), "vendor_roster_status", F.coalesce("currency", F.lit(currency)).alias("currency"),
+        F.lit("").alias("security_type_raw"), kind.alias("security_type_normalized"), F.lit("").alias("share_class_raw"), share.alias("share_class_normalized"),
+        *[F.lit(None).cast(t).alias(c) for c, t in unknown.items()], (F.col("vendor_roster_status") == "delisted_only").alias("is_delisted"),
+    )

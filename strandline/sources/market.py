@@ -125,6 +125,14 @@ def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark_prices`` with benchmark_name, benchmark_type (total_return or proxy), currency and close_sek."""
+    which = F.col("benchmark_id")
+    return benchmark_prices(spark, sf_dir).select(
+        "benchmark_id", F.concat(F.initcap(which), F.lit(" index")).alias("benchmark_name"), F.when(which == "primary", "total_return").otherwise("proxy").alias("benchmark_type"), F.lit("SEK").alias("currency"), "date", "adj_close", F.col("adj_close").alias("close_sek"),
+    )
+
+
 # The same tables in DuckDB SQL, as common table expressions.
 _WEEK = "(date_trunc('week', {0})::date + 4)"
 
