@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +25,6 @@ CLASSES = {
     "rights": (" right", " rights", " teckningsr", "-tr", "-ur", "-sr"),
     "depositary": (" adr", " gdr", "depository receipt"),
 }
-#: Letters that are a plain letter and a mark, and that letter.
-MARKED, PLAIN = "\u00e1\u00e0\u00e2\u00e4\u00e3\u00e5\u00e7\u00e9\u00e8\u00ea\u00eb\u00ed\u00ec\u00ee\u00ef\u00f1\u00f3\u00f2\u00f4\u00f6\u00f5\u00fa\u00f9\u00fb\u00fc\u00fd\u00ff\u00c1\u00c0\u00c2\u00c4\u00c3\u00c5\u00c7\u00c9\u00c8\u00ca\u00cb\u00cd\u00cc\u00ce\u00cf\u00d1\u00d3\u00d2\u00d4\u00d6\u00d5\u00da\u00d9\u00db\u00dc\u00dd", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 #: The type that names without one are taken to have.
 COMMON = "common stock"
 
@@ -56,9 +55,49 @@ def symbol_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]", "")
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """What every character beyond ASCII decomposes into (NFKD), as far as that is ASCII; those of which nothing is left aren't there."""
+    out = {}
+    for code in range(128, 0x110000):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() if not 0xD800 <= code < 0xE000 else ""
+        if plain:
+            out[chr(code)] = plain
+    return out
+
+
+def _class(characters: list[str]) -> str:
+    """A regular expression for one of these, as runs of code points."""
+    codes, runs = sorted(map(ord, characters)), []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
 def folded(c: Column) -> Column:
-    """Without marks; letters that have no plain form are left out."""
-    return F.regexp_replace(F.translate(clean(c), MARKED, PLAIN), r"[^\x00-\x7F]", "")
+    """Compatibility-decomposed and without anything beyond ASCII: marks, and letters that have no plain form, are left out.
+
+    A lookup over characters. Those that stand for several (ligatures, fractions, units) are spelled place by place, in texts that have one.
+    """
+    one = {k: v for k, v in _folds().items() if len(v) == 1}
+    several = {k: v for k, v in _folds().items() if len(v) > 1}
+    own = _class(list(several))
+
+    def spelled(x: Column) -> Column:
+        alone = F.regexp_replace(x, f"[^{own}]", "")  # empty for any other character
+        places = [
+            F.translate(F.regexp_replace(alone, f"[^{_class(some)}]", ""), "".join(some), "".join(several[ch][k] for ch in some))
+            for k in range(max(map(len, several.values())))
+            if (some := [ch for ch, v in several.items() if len(v) > k])
+        ]
+        return F.when(alone == "", x).otherwise(F.concat(*places))
+
+    text = clean(c)
+    text = F.when(text.rlike(f"[{own}]"), F.array_join(F.transform(F.split(text, ""), spelled), "")).otherwise(text)
+    return F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
 
 
 def company_key(c: Column) -> Column:

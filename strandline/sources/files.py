@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,33 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType, dates: list
     return df.select(*[F.try_to_date(F.col(f.name).cast("string")).alias(f.name) if f.name in dates and not isinstance(df.schema[f.name].dataType, DateType) else F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, headers trimmed, lower-cased and without a byte-order mark."""
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=True, escape='"')
-    return df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
+#: Separators that a header is searched for, and the column that tells a row's place.
+SEPARATORS, PLACE = ",;\t|", "place "
+
+
+def found_separator(spark: SparkSession, path: str) -> str:
+    """The separator that the first header line has most of, outside quotes; a comma if it has none."""
+    line = spark.read.text(path).take(1)
+    bare = re.sub(r'"[^"]*"', "", line[0].value) if line else ""
+    return max(SEPARATORS, key=bare.count)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds a row's place: its file, where its split begins, and its number within that. Rows of a later place come later in the files, however they are dealt out afterwards."""
+    return df.withColumn(PLACE, F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")))
+
+
+def first_wins(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows (with ``PLACE``) that agree on ``keys`` the first in the files, without its place."""
+    rest = [c for c in df.columns if c not in (*keys, PLACE)]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(F.col(f"`{PLACE}`"), *rest), F.col(f"`{PLACE}`")).alias("r ")).select(*keys, *[F.col("`r `")[c].alias(c) for c in rest])
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = ",", placed: bool = False) -> DataFrame:
+    """All columns as text, headers trimmed, lower-cased and without a byte-order mark; without ``sep`` it is found out. ``placed`` adds ``PLACE``, see ``first_wins``."""
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep or found_separator(spark, path), multiLine=True, escape='"')
+    names = [c.lstrip("\ufeff").strip().lower() for c in df.columns]
+    return _placed(df).toDF(*names, PLACE) if placed else df.toDF(*names)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mark: bool = False) -> None:
@@ -66,11 +90,39 @@ DIVIDENDS, SPLITS = "date string, value double, currency string", "date string,
 ROSTER = "Code string, Name string, Type string, Currency string, Isin string"
 
 
+#: Why a file, or a row of one, is turned away.
+CORRUPT, ERROR, NO_ARRAY, NO_OBJECT = "not_json", "error_object", "not_an_array", "row_is_not_an_object"
+
+
+def read_payloads(spark: SparkSession, path: str, fields: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (``fields``, security_id from the file's name, ``PLACE``) of files that are each an array of objects, and what was turned away: security_id, reason, detail.
+
+    A file that isn't JSON, is an object (an error, with its message, or any other) or a single value, and a row that isn't an object, are turned away; the rest of the file stays. An empty array has neither.
+    A field that can't be read as its type is null, and numbers may be written as texts. A file is one value in memory, so this is for payloads of one security or exchange each.
+    """
+    name = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1))
+    files = spark.read.option("wholetext", True).text(path).select(name.alias("security_id"), F.col("_metadata.file_path").alias("path"), "value", F.try_parse_json("value").alias("v"))
+    kind = F.schema_of_variant("v")
+    message = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in ("error.message", "error", "message", "errors")])
+    why = F.when(F.col("v").isNull(), CORRUPT).when(kind.startswith("OBJECT") & message.isNotNull(), ERROR).when(~kind.startswith("ARRAY"), NO_ARRAY)
+    told = files.withColumn("reason", why)
+    turned = told.where("reason is not null").select("security_id", "reason", F.coalesce(F.when(F.col("reason") == ERROR, message), F.substring("value", 1, 200)).alias("detail"))
+    each = _exploded(told.where("reason is null"))
+    object_ = F.schema_of_variant("one").startswith("OBJECT")
+    bad = each.where(~object_).select("security_id", F.lit(NO_OBJECT).alias("reason"), F.substring(F.to_json("one"), 1, 200).alias("detail"))
+    own = [F.try_variant_get("one", f"$.{c}", t).alias(c) for c, t in (f.split() for f in fields.split(", "))]
+    place = F.struct("path", F.lit(0).cast("long").alias("start"), F.col("pos").cast("long").alias("row")).alias(PLACE)
+    return each.where(object_).select(*own, "security_id", place), turned.unionByName(bad)
+
+
+def _exploded(files: DataFrame) -> DataFrame:
+    """security_id, path, pos and one (a variant) for each element of the arrays ``v``."""
+    files.createOrReplaceTempView(view := f"payloads_{uuid.uuid4().hex}")
+    return files.sparkSession.sql(f"select p.security_id, p.path, e.pos, e.value as one from {view} p, lateral variant_explode(p.v) e")
+
+
 def _payload(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """Rows of files that are each an array of objects, with security_id from the file's name; an empty array has none."""
-    files = spark.read.schema(fields).option("multiLine", True).json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    return files.withColumn("security_id", F.url_decode(name))
+    return read_payloads(spark, path, fields)[0]
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -90,8 +142,8 @@ def read_actions(spark: SparkSession, dividends: str, splits: str) -> DataFrame:
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """code, company_name, raw_type, currency, isin of an exchange's file, whose name is the exchange's code; the first row of a code counts."""
-    rows = _payload(spark, path, ROSTER).select(F.col("security_id").alias("exchange_group"), *[text.clean(F.col(a)).alias(b) for a, b in (("Code", "code"), ("Name", "company_name"), ("Type", "raw_type"), ("Currency", "currency"), ("Isin", "isin"))])
-    return rows.where("code <> ''").dropDuplicates(["exchange_group", "code"])
+    rows = _payload(spark, path, ROSTER).select(F.col("security_id").alias("exchange_group"), *[text.clean(F.col(a)).alias(b) for a, b in (("Code", "code"), ("Name", "company_name"), ("Type", "raw_type"), ("Currency", "currency"), ("Isin", "isin"))], f"`{PLACE}`")
+    return first_wins(rows.where("code <> ''"), ["exchange_group", "code"])
 
 
 def write_summary(df: DataFrame, path: str) -> None:
