@@ -52,3 +52,63 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], t
         apart = apart | F.when(x.isNull() | y.isNull(), x.isNull() != y.isNull()).otherwise(gap)
     status = F.when(F.col("two").isNull(), "left_only").when(F.col("one").isNull(), "right_only").when(apart, "differs").otherwise("same")
     return one.join(two, keys, "full_outer").select(*keys, status.alias("status"))
+
+
+def month_arrays(rankable: DataFrame, by: list[str], raw: Column) -> DataFrame:
+    """by, month, base (mean return) and names: the rankable rows of a month, best score first, as an array of (number, ret, raw weight); a month's universe bounds it."""
+    one = F.struct((-F.col("score")).alias("below"), "number", "ret", raw.cast("double").alias("raw"))
+    return rankable.groupBy(*by, "month").agg(F.avg("ret").alias("base"), F.array_sort(F.collect_list(one)).alias("names"))
+
+
+def selections(months: DataFrame, by: list[str], runs: int, seed: int) -> DataFrame:
+    """by, run, month and excess: what the first ``top_n`` of ``names`` return by their weights, less ``base``; run 0 in their order, each other in a random one.
+
+    ``months`` has names, base, top_n and is_on (a gated month, or one without names, returns 0). A run's order is made and cut to ``top_n`` within the row, so
+    runs multiply rows of months and not of names, and nothing is shuffled.
+    """
+    def by_digest(x: Column) -> Column:
+        return F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col("run"), F.col("month"), x["number"])).alias("digest"), x["number"].alias("number"), x["ret"].alias("ret"), x["raw"].alias("raw"))
+
+    rows = months.select(*by, "month", "base", "names", "top_n", "is_on", F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"))
+    plain = F.transform("names", lambda x: F.struct(F.lit("").alias("digest"), x["number"].alias("number"), x["ret"].alias("ret"), x["raw"].alias("raw")))
+    chosen = F.slice(F.when(F.col("run") == 0, plain).otherwise(F.array_sort(F.transform("names", by_digest))), F.lit(1), F.col("top_n"))
+    rows = rows.withColumn("chosen", F.when(F.col("is_on") & (F.size("names") > 0), chosen))
+    total = F.aggregate("chosen", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["raw"], F.lit(0.0)))
+    rows = rows.withColumn("total", total)
+    part = lambda x: F.when(F.col("total") > 0, F.coalesce(x["raw"], F.lit(0.0)) / F.col("total")).otherwise(1 / F.size("chosen"))
+    gain = F.aggregate("chosen", F.lit(0.0), lambda acc, x: acc + part(x) * x["ret"]) * F.size("chosen") / F.col("top_n")
+    return rows.select(*by, "run", "month", F.coalesce(F.round(gain - F.col("base"), 12), F.lit(0.0)).alias("excess"))
+
+
+def block_orders(series: DataFrame, by: list[str], key: Column, runs: int, block: int, seed: int) -> DataFrame:
+    """by, run and rets: the array ``rets`` with its blocks of ``block`` periods in a random order (run 0: as it is), within the row."""
+    rows = series.select(*by, "rets", F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("rets") - 1) / block).cast("int")),
+        lambda k: F.struct(F.when(F.col("run") > 0, F.md5(F.concat_ws(":", F.lit(seed), F.col("run"), key, k))).otherwise("").alias("digest"), k.alias("k"), F.slice("rets", k * block + 1, F.lit(block)).alias("own")),
+    )
+    return rows.where(F.size("rets") > 0).select(*by, "run", F.flatten(F.transform(F.array_sort(blocks), lambda b: b["own"])).alias("rets"))
+
+
+def figures(runs: DataFrame, by: list[str], resamples: int, block: float, seed: int, trials: int) -> DataFrame:
+    """by, run, and the Sharpe ratio, the lower bound of its bootstrap interval and the deflated ratio of each run's array ``rets``, to nine digits."""
+    from strandline.functions import stats
+    from strandline.operators.validation import bootstrap_sharpes
+
+    keys = [*by, "run"]
+    low = bootstrap_sharpes(runs, keys, F.concat_ws(":", *keys), resamples, block, seed).groupBy(*keys).agg(F.round(F.percentile("sharpe", 0.025), 9).alias("low"))
+    each = runs.select(*keys, F.explode("rets").alias("r"))
+    own = each.groupBy(*keys).agg(F.round(stats.sharpe(F.col("r")), 9).alias("sharpe"))
+    noise = stats.deflated(each, keys, "r", trials).select(*keys, F.round("score", 9).alias("deflated"))
+    return own.join(low, keys).join(noise, keys)
+
+
+def passed(found: DataFrame, by: list[str]) -> DataFrame:
+    """``figures`` with passed: whether a run's three are all at least those of run 0; where run 0 has a figure that isn't known, all pass."""
+    names = ("sharpe", "low", "deflated")
+    own = found.where("run = 0").select(*by, *[F.col(c).alias(f"own_{c}") for c in names])
+    every = found.join(F.broadcast(own), by)
+    test, known = F.lit(True), F.lit(True)
+    for c in names:
+        test, known = test & (F.col(c) >= F.col(f"own_{c}")), known & F.col(f"own_{c}").isNotNull() & ~F.isnan(f"own_{c}")
+    return every.withColumn("passed", F.coalesce(test, F.lit(False)) | ~known)

@@ -86,3 +86,27 @@ def neighbours(grid: DataFrame, axes: list[str]) -> DataFrame:
     one, two = steps.alias("x"), steps.alias("y")
     apart = sum((F.abs(F.col(f"x.`{a} k`") - F.col(f"y.`{a} k`")) for a in axes[1:]), F.abs(F.col(f"x.`{axes[0]} k`") - F.col(f"y.`{axes[0]} k`")))
     return one.join(F.broadcast(two), apart == 1).select(F.col("x.candidate_id").alias("candidate_id"), F.col("y.candidate_id").alias("neighbour_id"))
+
+
+def bootstrap_sharpes(series: DataFrame, by: list[str], key, resamples: int, block: float, seed: int, periods: float = 12.0) -> DataFrame:
+    """by, resample and sharpe of each row of ``series``, whose returns are an array ``rets`` in order, resampled as in ``stationary_bootstrap``.
+
+    ``key`` names a series in the digests. A resample is walked within its row, adding up moments, so only series and resamples are rows, and what is shuffled is the series, once.
+    Under two returns, or without deviation, the ratio is 0.
+    """
+    n = F.size("rets")
+    digests = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.md5(F.concat_ws(":", F.lit(seed), key, F.col("resample"), i)))
+    number = lambda d, at: F.conv(F.substring(d, at, 12), 16, 10).cast("double") / float(1 << 48)
+
+    def step(acc, d):
+        place = F.when((acc["place"] < 0) | (number(d, 1) < 1 / block), F.floor(number(d, 13) * n).cast("int")).otherwise(((acc["place"] + 1) % n).cast("int"))
+        r = F.get("rets", place)
+        return F.struct(place.alias("place"), (acc["s"] + r).alias("s"), (acc["q"] + r * r).alias("q"))
+
+    start = F.struct(F.lit(-1).alias("place"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, each with much to do
+    rows = series.where(F.size("rets") > 0).repartition(parts).select(*by, "rets", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    sums = rows.select(*by, "resample", n.alias("n"), F.aggregate(digests, start, step).alias("a"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("a.q") - F.col("a.s") * F.col("a.s") / F.col("n")) / (F.col("n") - 1)))
+    sharpe = F.when((F.col("n") > 1) & (sd > 1e-12), F.col("a.s") / F.col("n") / sd * F.sqrt(F.lit(periods))).otherwise(0.0)
+    return sums.select(*by, "resample", sharpe.alias("sharpe"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions import stats
-from strandline.operators import strategies, universe
+from strandline.operators import controls, strategies, universe
 from strandline.operators.strategies import STRATEGIES
 from strandline.plans.holdout import _SHARPE
 from strandline.plans.queries import _CAPACITY, _RAW, _SCORED, FOLDS, _cost, monthly, query, scored
@@ -111,3 +111,106 @@ def strategy_cube(spark, sf_dir):
     Each window begins without a book. Rows with a window of 0 are of all folds' years in one go.
     """
     return _judged(returns(spark, sf_dir), *CELL, "scenario")
+
+
+#: Runs of either control, resamples of each run, the seeds, blocks, and the largest share of runs that may be as good as the candidate; the control that gates.
+SHUFFLES, BLOCK_RUNS, RESAMPLES, SHUFFLE_SEED, BLOCK_SEED, RESAMPLE_SEED, BLOCK, LARGEST_RATE = 500, 200, 250, 11, 17, 23, 6, 0.20
+GATED = "cross_sectional_shuffle"
+TRIALS = len(STRATEGIES) * len(SIZES)
+_IDS = "[" + ", ".join(f"'{s.strategy_id}'" for s in STRATEGIES) + "]"
+_PRIMARY = "variant = 'full' and execution = 'next_open' and scenario = 'base' and window_id > 0"
+
+
+def candidate(spark, sf_dir):
+    """The candidate that controls look at: the best median Sharpe ratio over the folds, the first in the grid's order of several; one row with its strategy."""
+
+    def make():
+        folds = returns(spark, sf_dir).where(_PRIMARY).groupBy("strategy_id", "top_n", "window_id").agg(stats.sharpe(F.col("net")).alias("sharpe"))
+        middle = folds.groupBy("strategy_id", "top_n").agg(F.round(F.percentile("sharpe", 0.5), 9).alias("median_sharpe"))
+        place = F.array_position(F.array(*[F.lit(s.strategy_id) for s in STRATEGIES]), F.col("strategy_id"))
+        best = middle.orderBy(F.desc("median_sharpe"), "top_n", place).limit(1)
+        return best.join(F.broadcast(spark.createDataFrame(list(STRATEGIES))), "strategy_id")
+
+    return kept(spark, sf_dir, "candidate", make)
+
+
+def _benchmark(spark, sf_dir):
+    """month and base: what the primary benchmark returns over the month after."""
+    from strandline.plans.queries import benchmark_returns
+
+    return benchmark_returns(spark, sf_dir).where("benchmark_id = 'primary'").select((F.col("month") - 1).alias("month"), F.col("ret").alias("base"))
+
+
+def _controls(spark, sf_dir):
+    def make():
+        chosen = F.broadcast(candidate(spark, sf_dir).select("strategy_id", "top_n", "weighting", "average", "floor"))  # one row
+        lo, hi = min(w[1] for w in WINDOWS if w[0]), max(w[2] for w in WINDOWS if w[0])
+        rows = scored(spark, sf_dir).where(f"lookback = {LOOKBACK} and skip = {SKIP} and month between {lo} and {hi}")
+        axis = rows.where("ret is not null or ret_close is not null").select("month").distinct().crossJoin(chosen)
+        able = rows.where("reason = '' and score is not null and ret is not null").crossJoin(chosen).where(universe.within_capacity(F.col("top_n")) & (F.col("median_value") >= F.col("floor")))
+        cap, vol = F.when(F.col("market_cap_sek") > 0, F.col("market_cap_sek")), F.when(F.col("volatility") > 0, 1 / F.col("volatility"))
+        raw = F.when(F.col("weighting") == "cap", cap).when(F.col("weighting") == "inv_vol", vol).otherwise(1.0)
+        by = ["strategy_id", "top_n"]
+        months = controls.month_arrays(able, by, raw)
+        months = axis.join(months, [*by, "month"], "left").join(F.broadcast(off(spark, sf_dir)), "month", "left")
+        is_on = ~F.coalesce(F.array_contains("off", F.col("average")), F.lit(False))
+        months = months.select(*by, "month", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("names", F.array().cast("array<struct<below: double, number: bigint, ret: double, raw: double>>")).alias("names"), is_on.alias("is_on"))
+        in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("month", c))), lambda x: x[c])
+        shuffled = controls.selections(months, by, SHUFFLES, SHUFFLE_SEED).groupBy(*by, "run").agg(in_order("excess").alias("rets")).withColumn("control", F.lit(GATED))
+        net = returns(spark, sf_dir).where(_PRIMARY).join(chosen.select(*by), by).join(F.broadcast(_benchmark(spark, sf_dir)), "month", "left")
+        both = net.groupBy(*by).agg(F.count("base").alias("known"), F.count("*").alias("months"), in_order("net").alias("own"), in_order("base").alias("base"))
+        excess = F.when(F.col("known") == F.col("months"), F.zip_with("own", "base", lambda a, b: F.round(a - b, 12))).otherwise(F.transform("own", lambda a: F.round(a, 12)))
+        blocks = controls.block_orders(both.select(*by, excess.alias("rets")), by, F.col("strategy_id"), BLOCK_RUNS, BLOCK, BLOCK_SEED).withColumn("control", F.lit("block_shuffled_null"))
+        found = controls.figures(shuffled.unionByName(blocks), ["control", *by], RESAMPLES, float(BLOCK), RESAMPLE_SEED, TRIALS)
+        return controls.passed(found, ["control", *by])
+
+    return kept(spark, sf_dir, "strategy controls", make)
+
+
+_CONTROLS = f"""{_STRATEGIES},
+fs as (select strategy_id, top_n, window_id, {_SHARPE.format("net", 12)} as sharpe from sn where {_PRIMARY} group by 1, 2, 3),
+fo as (select strategy_id, top_n, round(median(sharpe), 9) as middle from fs group by 1, 2),
+cd as materialized (select fo.*, weighting, average, floor from fo join st using (strategy_id) order by middle desc, top_n, list_position({_IDS}, strategy_id) limit 1),
+cx as materialized (select distinct month from one where (ret is not null or ret_close is not null) and month between {min(w[1] for w in WINDOWS if w[0])} and {max(w[2] for w in WINDOWS if w[0])}),
+cn as materialized (select month, number, score, ret, {_RAW} as raw, top_n, avg(ret) over (partition by month) as base from one, cd where reason = '' and score is not null and ret is not null and {_CAPACITY} and median_value >= floor),
+cr as (select run, month, ret, raw, base, top_n, row_number() over (partition by run, month order by case when run = 0 then score end desc nulls last, case when run > 0 then md5(concat_ws(':', {SHUFFLE_SEED}, run, month, number)) end, number) as k
+    from cn, (select unnest(range({SHUFFLES + 1})) as run) where month in (select month from cx)),
+cg as (select run, month, round(sum(part * ret) * count(*) / any_value(top_n) - any_value(base), 12) as excess
+    from (select *, case when coalesce(sum(raw) over w, 0) > 0 then coalesce(raw, 0) / sum(raw) over w else 1 / count(*) over w end as part from cr where k <= top_n window w as (partition by run, month)) group by 1, 2),
+cy as (select '{GATED}' as control, r.run, cx.month, case when exists (select 1 from off, cd where off.month = cx.month and off.average = cd.average) then 0 else coalesce(excess, 0) end as ret
+    from cx cross join (select unnest(range({SHUFFLES + 1})) as run) r left join cg on cg.run = r.run and cg.month = cx.month),
+bk1 as (select month, row_number() over (order by month) - 1 as i, round(net - base, 12) as x, round(net, 12) as y, base is null as lost from (select sn.month, net, round(z.level / t.level - 1, 6) as base from sn join cd using (strategy_id, top_n)
+    left join p1 t on t.month = sn.month + 1 left join p1 z on z.month = sn.month + 2 where {_PRIMARY})),
+bz as (select run, i, case when (select bool_or(lost) from bk1) then y else x end as ret, case when run > 0 then md5(concat_ws(':', {BLOCK_SEED}, run, (select strategy_id from cd), (i // {BLOCK})::int)) else '' end as digest from bk1, (select unnest(range({BLOCK_RUNS + 1})) as run)),
+by_ as (select 'block_shuffled_null' as control, run, row_number() over (partition by run order by digest, i) as month, ret from bz),
+ca as materialized (select *, row_number() over (partition by control, run order by month) - 1 as i, count(*) over (partition by control, run) as n from (select * from cy union all select * from by_)),
+d0 as (select control, run, i, n, resample, md5(concat_ws(':', {RESAMPLE_SEED}, control, (select strategy_id from cd), (select top_n from cd), run, resample, i)) as digest from ca, (select unnest(range({RESAMPLES})) as resample)),
+d1 as (select control, run, i, n, resample, case when i = 0 or ('0x' || substr(digest, 1, 12))::bigint / 281474976710656.0::double < {1 / BLOCK!r}::double
+    then floor(('0x' || substr(digest, 13, 12))::bigint / 281474976710656.0::double * n)::bigint - i end as place from d0),
+d2 as (select *, last_value(place ignore nulls) over (partition by control, run, resample order by i) + i as at from d1),
+d3 as (select d.control, d.run, d.resample, {_SHARPE.format("s.ret", 12)} as sharpe from d2 d join ca s on s.control = d.control and s.run = d.run and s.i = ((d.at % d.n) + d.n) % d.n group by 1, 2, 3),
+lw as (select control, run, round(quantile_cont(sharpe, 0.025), 9) as low from d3 group by 1, 2),
+dg as (select control, run, count(*) as n, avg(ret) as m, nullif(stddev_samp(ret), 0) as s from ca group by 1, 2),
+dh as (select control, run, any_value(dg.n) as n, any_value(m / s) as r, sum(pow((ret - m) / s, 3)) / any_value(dg.n) as k3, sum(pow((ret - m) / s, 4)) / any_value(dg.n) as k4 from ca join dg using (control, run) group by 1, 2),
+cf as materialized (select control, strategy_id, top_n, run, round(coalesce(r * sqrt(12), 0), 9) as sharpe, low, round(coalesce(r - sqrt(greatest(1 - k3 * r + (k4 - 1) / 4 * r * r, 1e-12) / (n - 1)) * {stats.expected_maximum(TRIALS)!r}::double, 0), 9) as deflated from dh join lw using (control, run), cd),
+cp as materialized (select a.*, a.sharpe >= o.sharpe and a.low >= o.low and a.deflated >= o.deflated as passed, o.sharpe as own_sharpe, o.low as own_low, o.deflated as own_deflated from cf a join (select * from cf where run = 0) o using (control))"""
+
+
+@query(f"{_CONTROLS} select control, strategy_id, top_n, run, round(sharpe, 6) as sharpe, round(low, 6) as low, round(deflated, 6) as deflated, passed from cp")
+def control_figures(spark, sf_dir):
+    """The chosen candidate and its controls, 500 shuffles and 200 orders of blocks, each with three figures, and whether all three are as good as its own."""
+    six = [F.round(c, 6).alias(c) for c in ("sharpe", "low", "deflated")]
+    return _controls(spark, sf_dir).select("control", "strategy_id", "top_n", F.col("run").cast("long").alias("run"), *six, "passed")
+
+
+@query(f"""{_CONTROLS}
+select control, strategy_id, top_n, count(*) as runs, count(*) filter (sharpe >= own_sharpe) as by_sharpe, count(*) filter (low >= own_low) as by_interval, count(*) filter (deflated >= own_deflated) as by_deflated, count(*) filter (passed) as passed,
+    round(avg(passed::int), 6) as pass_rate, control = '{GATED}' as gates, avg(passed::int) <= {LARGEST_RATE} as accepted from cp where run > 0 group by 1, 2, 3""")
+def control_gate(spark, sf_dir):
+    """Of either control the runs that are as good as the candidate, by each figure and by all, and the gate on their share."""
+    rate = F.avg(F.col("passed").cast("int"))
+    better = {"by_sharpe": "sharpe", "by_interval": "low", "by_deflated": "deflated"}
+    return _controls(spark, sf_dir).where("run > 0").groupBy("control", "strategy_id", "top_n").agg(
+        F.count("*").alias("runs"), *[F.count_if(F.col(c) >= F.col(f"own_{c}")).alias(n) for n, c in better.items()], F.count_if("passed").alias("passed"),
+        F.round(rate, 6).alias("pass_rate"), (F.first("control") == GATED).alias("gates"), (rate <= LARGEST_RATE).alias("accepted"),
+    )

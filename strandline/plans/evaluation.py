@@ -579,7 +579,7 @@ def parameter_spread(spark, sf_dir):
 
 @query(f"""{_SCORED},
 sh as (select run, month, ret - base as x, row_number() over (partition by run, month order by md5(concat_ws(':', {SEED}, run, month, number)), number) as k
-    from (select *, avg(ret) over (partition by month) as base from rk where lookback = 12 and skip = 1), (select unnest(range(1, {CONTROLS + 1})) as run)),
+    from (select *, avg(ret) over (partition by month) as base from (select rk.*, 10 as top_n from rk where lookback = 12 and skip = 1) where {_CAPACITY}), (select unnest(range(1, {CONTROLS + 1})) as run)),
 ex as (select run, month, round(sum(x) / 10, 12) as net from sh where k <= 10 group by 1, 2),
 er as (select run, net as ret, row_number() over (partition by run order by month) - 1 as i, count(*) over (partition by run) as n from ex),
 e0 as (select run, i, n, resample, md5(concat_ws(':', 23, run, resample, i)) as digest from er, (select unnest(range({CONTROL_RESAMPLES})) as resample)),
@@ -597,7 +597,7 @@ def negative_controls(spark, sf_dir):
     """Shuffled books that pass the absolute thresholds: Sharpe ratio, lower bound of its bootstrap interval and deflated ratio; and the gate on their share."""
     from strandline.operators import controls
 
-    rows = scored(spark, sf_dir).where(f"{portfolio.RANKABLE} and lookback = 12 and skip = 1")
+    rows = scored(spark, sf_dir).where(f"{portfolio.RANKABLE} and lookback = 12 and skip = 1").where(universe.within_capacity(F.lit(10)))
     runs = controls.shuffled_scores(rows, 10, CONTROLS, SEED).where("run > 0").withColumnRenamed("excess", "net")
     runs = kept(spark, sf_dir, "controls", lambda: runs)
     low = validation.stationary_bootstrap(runs, "run", "month", "net", CONTROL_RESAMPLES, 6.0, 23).groupBy("run", "resample").agg(stats.sharpe(F.col("ret")).alias("s"))

@@ -233,3 +233,14 @@ def universe_status_join(spark, sf_dir):
     for c in counts[1:]:
         out = out.crossJoin(c)
     return out.withColumn("complete", F.col("n_joined") == F.col("n_universe"))
+
+
+@query("""
+with w as (select distinct unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r.,;:!?]+')) as word from documents),
+f as (select word, regexp_replace(strip_accents(word), '[^\\x00-\\x7F]', '', 'g') as folded from w where regexp_matches(word, '[^\\x00-\\x7F]'))
+select folded, count(*) as spellings, min(word) as first_spelling from f group by 1""")
+def folded_words(spark, sf_dir):
+    """Words with letters beyond ASCII by what they fold to, how many spellings fold so, and the first (PF6, PF7)."""
+    words = market.table(spark, sf_dir, "documents").select(F.explode(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r.,;:!?]+', 0)")).alias("word")).distinct()
+    marked = words.where(F.col("word").rlike(r"[^\x00-\x7F]"))
+    return marked.groupBy(text.folded(F.col("word")).alias("folded")).agg(F.count("*").alias("spellings"), F.min("word").alias("first_spelling"))

@@ -9,6 +9,7 @@ from strandline.functions import stats
 from strandline.operators import controls, ledger, portfolio, universe, validation
 from strandline.operators.asof import asof_join
 from strandline.plans.queries import (
+    _CAPACITY,
     _CLOSES,
     _DAILY,
     _RETURNS,
@@ -76,13 +77,13 @@ def calendar_momentum(spark, sf_dir):
 _SHUFFLED = f"""{_SCORED},
 sh as (select run, month, ret - base as x, row_number() over (partition by run, month order by case when run = 0 then score end desc nulls last,
     case when run > 0 then md5(concat_ws(':', {SEED}, run, month, number)) end, number) as k
-    from (select *, avg(ret) over (partition by month) as base from rk where lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}), (select unnest(range({RUNS + 1})) as run)),
+    from (select *, avg(ret) over (partition by month) as base from (select rk.*, {CHOSEN_SIZE} as top_n from rk where lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}) where {_CAPACITY}), (select unnest(range({RUNS + 1})) as run)),
 ex as (select run, month, round(sum(x) / {CHOSEN_SIZE}, 12) as excess from sh where k <= {CHOSEN_SIZE} group by 1, 2),
 sr as (select run, case when stddev_samp(excess) > 0 then round(avg(excess) / stddev_samp(excess) * sqrt(12), 9) else 0 end as sharpe, avg(excess) as mean_excess from ex group by 1)"""
 
 
 def _shuffled(spark, sf_dir):
-    rows = scored(spark, sf_dir).where(f"reason = '' and score is not null and ret is not null and lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}")
+    rows = scored(spark, sf_dir).where(f"{portfolio.RANKABLE} and lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}").where(universe.within_capacity(F.lit(CHOSEN_SIZE)))
     each = controls.shuffled_scores(rows, CHOSEN_SIZE, RUNS, SEED)
     return each.groupBy("run").agg(F.round(stats.sharpe(F.col("excess")), 9).alias("sharpe"), F.avg("excess").alias("mean_excess"))
 
@@ -308,12 +309,13 @@ def moving_average_sweep(spark, sf_dir):
 
 
 @query(f"""{_SCORED},
-v as (""" + " union all ".join(f"select '{k}' as variant, month, number, score, ret from rk where lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP} and {p}" for k, p in VARIANTS.items()) + f"""),
+rc as (select * from (select rk.*, {CHOSEN_SIZE} as top_n from rk where lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}) where {_CAPACITY}),
+v as (""" + " union all ".join(f"select '{k}' as variant, month, number, score, ret from rc where {p}" for k, p in VARIANTS.items()) + f"""),
 k as (select *, row_number() over (partition by variant, month order by score desc, number) as k from v)
 select variant, month, count(*) as held, round(sum(ret) / {CHOSEN_SIZE}, 6) as gross from k where k <= {CHOSEN_SIZE} group by 1, 2""")
 def variant_returns(spark, sf_dir):
     """The chosen book within each variant of the universe."""
-    rows = scored(spark, sf_dir).where(f"reason = '' and score is not null and ret is not null and lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}")
+    rows = scored(spark, sf_dir).where(f"{portfolio.RANKABLE} and lookback = {CHOSEN_LOOKBACK} and skip = {CHOSEN_SKIP}").where(universe.within_capacity(F.lit(CHOSEN_SIZE)))
     inside = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(k)) for k, p in VARIANTS.items()]))
     each = portfolio.ranked(rows.select("month", "number", "score", "ret", F.explode(inside).alias("variant")), ["variant", "month"]).where(F.col("rank") <= CHOSEN_SIZE)
     return each.groupBy("variant", "month").agg(F.count("*").alias("held"), F.round(F.sum("ret") / CHOSEN_SIZE, 6).alias("gross"))
@@ -332,13 +334,14 @@ def flat_costs(spark, sf_dir):
 @query(f"""{_SCORED},
 lt as (select candidate_id, max(month) as month from sc join grid using (lookback, skip) where reason = '' and score is not null group by 1),
 k as (select candidate_id, s.month, number, score, top_n, row_number() over (partition by candidate_id order by score desc, number) as position
-    from sc s join grid using (lookback, skip) join lt using (candidate_id, month) where reason = '' and score is not null)
+    from sc s join grid using (lookback, skip) join lt using (candidate_id, month) where reason = '' and score is not null and {_CAPACITY})
 select candidate_id, month, number, position, round(score, 6) as score from k where position <= top_n""")
 def latest_selection(spark, sf_dir):
-    """Names of the latest month with scores, whether or not their return is known."""
-    rows = scored(spark, sf_dir).where("reason = '' and score is not null").select("lookback", "skip", "month", "number", "score")
+    """Names of the latest month with scores that are within capacity, whether or not their return is known."""
+    rows = scored(spark, sf_dir).where("reason = '' and score is not null").select("lookback", "skip", "month", "number", "score", "median_value")
     rows = rows.withColumn("latest", F.max("month").over(Window.partitionBy("lookback", "skip"))).where("month = latest")
-    best = portfolio.ranked(rows, ["lookback", "skip"]).join(F.broadcast(grid(spark)), ["lookback", "skip"]).where("rank <= top_n")
+    able = rows.join(F.broadcast(grid(spark).select("lookback", "skip", "top_n").distinct()), ["lookback", "skip"]).where(universe.within_capacity(F.col("top_n")))
+    best = portfolio.ranked(able, ["lookback", "skip", "top_n"]).join(F.broadcast(grid(spark)), ["lookback", "skip", "top_n"]).where("rank <= top_n")
     return _rounded(best.withColumnRenamed("rank", "position"), "candidate_id", "month", "number", "position", "score")
 
 
