@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions import stats
-from strandline.operators import controls, strategies, universe
+from strandline.operators import controls, strategies, universe, validation
 from strandline.operators.strategies import STRATEGIES
-from strandline.plans.holdout import _SHARPE
-from strandline.plans.queries import _CAPACITY, _RAW, _SCORED, FOLDS, _cost, monthly, query, scored
+from strandline.plans.holdout import _SHARPE, _TAIL
+from strandline.plans.queries import _CAPACITY, _RAW, _RETURNS, _SCORED, _SPLITS, FOLDS, _cost, monthly, query, scored
 from strandline.sources import market
-from strandline.storage import kept
+from strandline.storage import kept, stage
 
 #: The point and the sizes at which strategies are compared; variants and their reasons; the windows: the folds, and 0 for all of their years.
 LOOKBACK, SKIP, SIZES = 12, 1, (5, 8, 10, 12, 15, 20)
@@ -214,3 +214,109 @@ def control_gate(spark, sf_dir):
         F.count("*").alias("runs"), *[F.count_if(F.col(c) >= F.col(f"own_{c}")).alias(n) for n, c in better.items()], F.count_if("passed").alias("passed"),
         F.round(rate, 6).alias("pass_rate"), (F.first("control") == GATED).alias("gates"), (rate <= LARGEST_RATE).alias("accepted"),
     )
+
+
+#: The Sharpe ratio that a fold must pass and how many folds must; resamples of each candidate's own interval, and their seed; bands of the probability of overfitting.
+FOLD_SHARPE, FOLDS_REQUIRED, OWN_RESAMPLES, OWN_SEED, PBO_GOOD, PBO_CUTOFF = 0.4, 3, 2000, 42, 0.30, 0.50
+PLATEAU_RATIO = 0.7
+FOLD_COUNT = len([w for w in WINDOWS if w[0]])
+NEIGHBOURS = [(SIZES[k], SIZES[j]) for k in range(len(SIZES)) for j in (k - 1, k + 1) if 0 <= j < len(SIZES)]
+PROFILE = [
+    "candidate_id", "strategy_id", "top_n", "place", "fold_passes", "median_sharpe", "overall_sharpe", "total_return", "max_drawdown", "deflated", "probability", "low", "high", "spread",
+    "neighbour_sharpe", "neighbour_ratio", "gate_folds", "gate_deflated", "gate_bootstrap", "gate_controls", "gate_plateau", "gate_ratio", "reasons", "pbo", "pbo_band", "selected", "selection_status",
+]
+
+
+def _aggregates(spark, sf_dir):
+    """Every candidate's figures over the folds of the primary track, and those of its neighbours in size."""
+    by, net = ["strategy_id", "top_n"], F.col("net")
+    rows = returns(spark, sf_dir).where("execution = 'next_open' and scenario = 'base' and window_id > 0")
+    main = rows.where("variant = 'full'")
+    folds = main.groupBy(*by, "window_id").agg(stats.sharpe(net).alias("sharpe"))
+    folds = folds.groupBy(*by).agg(F.round(F.percentile("sharpe", 0.5), 6).alias("median_sharpe"), F.count_if(F.col("sharpe") > FOLD_SHARPE).alias("fold_passes"))
+    overall = _judged(main, *by).select(*by, F.col("sharpe").alias("overall_sharpe"), "total_return", "max_drawdown")
+    arrays = main.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("month", "net"))), lambda x: x["net"]).alias("rets"))
+    resampled = validation.bootstrap_sharpes(arrays, by, F.concat_ws(":", *by), OWN_RESAMPLES, float(BLOCK), OWN_SEED)
+    interval = resampled.groupBy(*by).agg(F.round(F.percentile("sharpe", 0.025), 6).alias("low"), F.round(F.percentile("sharpe", 0.975), 6).alias("high"))
+    noise = stats.deflated(main, by, "net", TRIALS).select(*by, F.round("score", 6).alias("deflated"), F.round("probability", 6).alias("probability"))
+    variants = rows.groupBy(*by, "variant").agg(stats.sharpe(net).alias("sharpe"), F.count_distinct("window_id").alias("folds")).where(F.col("folds") == FOLD_COUNT)
+    spread = variants.groupBy(*by).agg(F.when(F.count("*") < len(REASONS), float("inf")).otherwise(F.round(F.stddev_pop("sharpe"), 6)).alias("spread"))
+    out = folds.join(overall, by).join(interval, by).join(noise, by).join(spread, by)
+    pairs = F.broadcast(spark.createDataFrame(NEIGHBOURS, "top_n int, other int"))
+    around = folds.select("strategy_id", F.col("top_n").alias("other"), "median_sharpe").join(pairs, "other").groupBy(*by).agg(F.round(F.percentile("median_sharpe", 0.5), 7).alias("neighbour_sharpe"))
+    return out.join(around, by)
+
+
+def _profile(spark, sf_dir):
+    """The stages of a run, each written once for a state of the tables: returns and controls (kept), then figures, overfitting, and what is selected under all verdicts."""
+    figures = stage(spark, sf_dir, "profile figures", lambda: _aggregates(spark, sf_dir))
+    names = F.concat_ws("_n", "strategy_id", "top_n")
+    main = returns(spark, sf_dir).where(_PRIMARY).select(names.alias("candidate_id"), "month", "net")
+    splits = stage(spark, sf_dir, "profile overfitting", lambda: validation.overfitting(main))
+    gate = control_gate(spark, sf_dir).where("gates").select("accepted").limit(1)
+
+    def make():
+        own, median = F.col("neighbour_sharpe"), F.col("median_sharpe")
+        rows = figures.crossJoin(F.broadcast(gate.select(F.col("accepted").alias("gate_controls"))))
+        rows = rows.withColumns({
+            "candidate_id": names, "neighbour_ratio": F.round(F.when(median == 0, 0.0).otherwise(own / median), 6), "gate_folds": F.col("fold_passes") >= FOLDS_REQUIRED,
+            "gate_deflated": F.col("deflated") > 0, "gate_bootstrap": F.col("low") > 0, "gate_plateau": own >= 0,
+        })
+        hard = F.col("gate_folds") & F.col("gate_deflated") & F.col("gate_bootstrap") & F.col("gate_controls")
+        ordinal = F.array_position(F.array(*[F.lit(s.strategy_id) for s in STRATEGIES]), F.col("strategy_id"))
+        order = [F.desc(hard.cast("int")), F.desc("median_sharpe"), "spread", F.desc("neighbour_sharpe"), F.desc("neighbour_ratio"), "max_drawdown", "top_n", ordinal]
+        rows = rows.withColumns({"gate_ratio": F.col("neighbour_ratio") >= PLATEAU_RATIO, "place": F.row_number().over(Window.orderBy(*order)), "hard": hard})  # a row for each point of the grid
+        pbo = splits.agg(F.round(F.avg((F.round("logit", 9) <= 0).cast("int")), 6).alias("pbo"))
+        band = F.when(F.col("pbo").isNull(), "n/a").when(F.col("pbo") < PBO_GOOD, "good").when(F.col("pbo") < PBO_CUTOFF, "caution").otherwise("hard_cutoff")
+        rows = rows.crossJoin(F.broadcast(pbo)).withColumn("pbo_band", band)
+        any_ = F.max(F.when(F.col("place") == 1, F.col("hard"))).over(Window.partitionBy(F.lit(1)))
+        status = F.when(F.col("pbo_band") == "hard_cutoff", "pbo_hard_cutoff").when(~any_, "no_candidate_passed_hard_gates").when(F.col("pbo_band") == "caution", "selected_with_caution").otherwise("selected")
+        reasons = F.concat_ws(",", *[F.when(~F.col(g), n) for g, n in (("gate_folds", "folds"), ("gate_deflated", "deflated"), ("gate_bootstrap", "interval"), ("gate_controls", "controls"))])
+        rows = rows.withColumns({"reasons": reasons, "selection_status": status, "selected": (F.col("place") == 1) & F.col("hard") & (F.col("pbo_band") != "hard_cutoff")})
+        return rows.select(*PROFILE)
+
+    return stage(spark, sf_dir, "profile selection", make)
+
+
+_RUN = f"""{_CONTROLS},
+net as (select strategy_id || '_n' || top_n as candidate_id, month, net from sn where {_PRIMARY}){_SPLITS.removeprefix(_RETURNS).rstrip()},
+pm as (select strategy_id, top_n, month, net, row_number() over (partition by strategy_id, top_n order by month) - 1 as i, count(*) over (partition by strategy_id, top_n) as n from sn where {_PRIMARY}),
+pf as (select strategy_id, top_n, round(median(sharpe), 6) as median_sharpe, count(*) filter (sharpe > {FOLD_SHARPE}) as fold_passes from fs group by 1, 2),
+pe as (select *, product(1 + net) over (partition by strategy_id, top_n order by month) as equity from pm),
+pk as (select *, greatest(1.0, max(equity) over (partition by strategy_id, top_n order by month)) as peak from pe),
+po as (select strategy_id, top_n, round({_SHARPE.format("net", 12)}, 6) as overall_sharpe, round(product(1 + net) - 1, 6) as total_return, round(max(1 - equity / peak), 6) as max_drawdown from pk group by 1, 2),
+q0 as (select strategy_id, top_n, i, n, resample, md5(concat_ws(':', {OWN_SEED}, strategy_id, top_n, resample, i)) as digest from pm, (select unnest(range({OWN_RESAMPLES})) as resample)),
+q1 as (select strategy_id, top_n, i, n, resample, case when i = 0 or ('0x' || substr(digest, 1, 12))::bigint / 281474976710656.0::double < {1 / BLOCK!r}::double
+    then floor(('0x' || substr(digest, 13, 12))::bigint / 281474976710656.0::double * n)::bigint - i end as place from q0),
+q2 as (select *, last_value(place ignore nulls) over (partition by strategy_id, top_n, resample order by i) + i as at from q1),
+q3 as (select d.strategy_id, d.top_n, d.resample, {_SHARPE.format("s.net", 12)} as sharpe from q2 d join pm s on s.strategy_id = d.strategy_id and s.top_n = d.top_n and s.i = ((d.at % d.n) + d.n) % d.n group by 1, 2, 3),
+pi as (select strategy_id, top_n, round(quantile_cont(sharpe, 0.025), 6) as low, round(quantile_cont(sharpe, 0.975), 6) as high from q3 group by 1, 2),
+pg as (select strategy_id, top_n, count(*) as n, avg(net) as m, nullif(stddev_samp(net), 0) as s from pm group by 1, 2),
+ph as (select strategy_id, top_n, any_value(pg.n) as n, any_value(m / s) as r, sum(pow((net - m) / s, 3)) / any_value(pg.n) as k3, sum(pow((net - m) / s, 4)) / any_value(pg.n) as k4 from pm join pg using (strategy_id, top_n) group by 1, 2),
+px1 as (select strategy_id, top_n, r, sqrt(greatest(1 - k3 * r + (k4 - 1) / 4 * r * r, 1e-12) / (n - 1)) as d from ph),
+px2 as (select strategy_id, top_n, r - d * {stats.expected_maximum(TRIALS)!r}::double as score, (r - d * {stats.expected_maximum(TRIALS)!r}::double) / d as x from px1),
+pd as (select strategy_id, top_n, round(coalesce(score, 0), 6) as deflated, round(coalesce(case when x > 0 then 1 - {_TAIL} else {_TAIL} end, 0), 6) as probability from px2),
+pv as (select strategy_id, top_n, variant, {_SHARPE.format("net", 12)} as sharpe from sn where execution = 'next_open' and scenario = 'base' and window_id > 0 group by 1, 2, 3 having count(distinct window_id) = {FOLD_COUNT}),
+ps as (select strategy_id, top_n, case when count(*) < {len(REASONS)} then 'infinity'::double else round(stddev_pop(sharpe), 6) end as spread from pv group by 1, 2),
+pn as (select f.strategy_id, a as top_n, round(median(median_sharpe), 7) as neighbour_sharpe from pf f join (values {", ".join(map(str, NEIGHBOURS))}) t(a, b) on f.top_n = t.b group by 1, 2),
+pa as (select *, round(case when median_sharpe = 0 then 0 else neighbour_sharpe / median_sharpe end, 6) as neighbour_ratio, fold_passes >= {FOLDS_REQUIRED} as gate_folds, deflated > 0 as gate_deflated, low > 0 as gate_bootstrap,
+    (select avg(passed::int) <= {LARGEST_RATE} from cp where run > 0 and control = '{GATED}') as gate_controls, neighbour_sharpe >= 0 as gate_plateau
+    from pf join po using (strategy_id, top_n) join pi using (strategy_id, top_n) join pd using (strategy_id, top_n) join ps using (strategy_id, top_n) join pn using (strategy_id, top_n)),
+pr as (select *, gate_folds and gate_deflated and gate_bootstrap and gate_controls as hard, row_number() over (order by (gate_folds and gate_deflated and gate_bootstrap and gate_controls)::int desc, median_sharpe desc, spread, neighbour_sharpe desc,
+    neighbour_ratio desc, max_drawdown, top_n, list_position({_IDS}, strategy_id)) as place from pa),
+pb as (select round(avg((round(logit, 9) <= 0)::int), 6) as pbo from sp),
+pc as (select pbo, case when pbo is null then 'n/a' when pbo < {PBO_GOOD} then 'good' when pbo < {PBO_CUTOFF} then 'caution' else 'hard_cutoff' end as pbo_band, (select hard from pr where place = 1) as best from pb)"""
+
+
+@query(f"""{_RUN}
+select strategy_id || '_n' || top_n as candidate_id, strategy_id, top_n, place, fold_passes, median_sharpe, overall_sharpe, total_return, max_drawdown, deflated, probability, low, high, spread, neighbour_sharpe, neighbour_ratio,
+    gate_folds, gate_deflated, gate_bootstrap, gate_controls, gate_plateau, neighbour_ratio >= {PLATEAU_RATIO} as gate_ratio,
+    concat_ws(',', case when not gate_folds then 'folds' end, case when not gate_deflated then 'deflated' end, case when not gate_bootstrap then 'interval' end, case when not gate_controls then 'controls' end) as reasons,
+    pbo, pbo_band, place = 1 and hard and pbo_band <> 'hard_cutoff' as selected,
+    case when pbo_band = 'hard_cutoff' then 'pbo_hard_cutoff' when not best then 'no_candidate_passed_hard_gates' when pbo_band = 'caution' then 'selected_with_caution' else 'selected' end as selection_status from pr, pc""")
+def profile_run(spark, sf_dir):
+    """A whole run over 168 candidates: figures, controls, plateaus, overfitting, ranks, and the one selected unless a verdict stands against it.
+
+    Its stages are found again by a later process, so a run that was stopped goes on.
+    """
+    return _profile(spark, sf_dir)

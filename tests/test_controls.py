@@ -55,3 +55,20 @@ def test_all_three_figures_must_be_as_good(spark):
     rows = [("x", 0, 1.0, 0.5, 0.1), ("x", 1, 1.0, 0.5, 0.1), ("x", 2, 2.0, 0.4, 0.2), ("y", 0, None, 0.0, 0.0), ("y", 1, -1.0, -1.0, -1.0)]
     got = {(r.control, r.run): r.passed for r in controls.passed(spark.createDataFrame(rows, "control string, run int, sharpe double, low double, deflated double"), ["control"]).collect()}
     assert collections.Counter(got.items()) == collections.Counter({("x", 0): True, ("x", 1): True, ("x", 2): False, ("y", 0): True, ("y", 1): True}.items())
+
+
+def test_stages_are_found_again_and_follow_their_inputs(spark, tmp_path):
+    from strandline import storage
+
+    made = []
+    spark.range(3).write.parquet(str(tmp_path / "in" / "a.parquet"))
+    make = lambda: made.append(1) or spark.read.parquet(str(tmp_path / "in" / "a.parquet"))
+    for _ in range(3):
+        assert storage.stage(spark, str(tmp_path / "in"), "s", make).count() == 3
+    storage.clear(spark)  # what later processes find again stays
+    assert storage.stage(spark, str(tmp_path / "in"), "s", make).count() == 3 and len(made) == 1
+    assert storage.stage(spark, str(tmp_path / "in"), "other", make).count() == 3 and len(made) == 2
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "in" / "a.parquet"))
+    assert storage.stage(spark, str(tmp_path / "in"), "s", make).count() == 7 and len(made) == 3
+    storage.clear_stages(spark)
+    assert storage.stage(spark, str(tmp_path / "in"), "s", make).count() == 7 and len(made) == 4
