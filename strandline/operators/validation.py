@@ -35,8 +35,39 @@ def stationary_bootstrap(returns: DataFrame, by: str, order: str, r: str, resamp
 
 
 def sharpe_interval(returns: DataFrame, by: str, order: str, r: str, resamples: int = 2000, block: float = 6.0) -> DataFrame:
-    each = stationary_bootstrap(returns, by, order, r, resamples, block).groupBy(by, "resample").agg(stats.sharpe(F.col("ret")).alias("s"))
-    return each.groupBy(by).agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
+    series = returns.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, r))), lambda x: x[r]).alias("rets"))
+    each = bootstrap_sharpes(series, [by], F.col(by), resamples, block, 1)
+    return each.groupBy(by).agg(F.percentile("sharpe", 0.025).alias("low"), F.percentile("sharpe", 0.975).alias("high"))
+
+
+#: Items that a sketch keeps: a rank is then off by 0.3 % of all values, at 99 % confidence.
+SKETCH = 1000
+
+
+def path_sketches(paths: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by and sketch: the values of each group as a quantile sketch, a few kilobytes however many there are. Sketches of more paths are added by ``merged_sketches``."""
+    return paths.groupBy(*by).agg(F.kll_sketch_agg_double(value, SKETCH).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """One sketch for each group of ``by`` from any number of rows, such as those of several runs or of several steps."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, by: list[str], quantiles: list[float]) -> DataFrame:
+    """by, n and q, the values at ``quantiles``, of each sketch."""
+    return sketches.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, quantiles))).alias("q"))
+
+
+def path_density(paths: DataFrame, outer: DataFrame, by: list[str], step: str, value: str, bins: int = 72) -> DataFrame:
+    """by, step, bin and n: paths in each of ``bins`` equal bins between the least ``low`` and the greatest ``high`` that ``outer`` (by, step, low, high) has of all steps.
+
+    What lies outside counts nowhere; the last bin is closed. Where all quantiles are one value, bins span 1.
+    """
+    span = outer.groupBy(*by).agg(F.min("low").alias("lo"), F.max("high").alias("hi")).withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi")))
+    slot = F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))).cast("int")
+    inside = paths.join(F.broadcast(span), by).where(F.col(value).between(F.col("lo"), F.col("hi")))
+    return inside.groupBy(*by, step, slot.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def overfitting(returns: DataFrame, slices: int = 10, months: int = 6) -> DataFrame:

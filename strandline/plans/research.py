@@ -28,6 +28,7 @@ from strandline.plans.queries import (
     scored,
 )
 from strandline.sources import market
+from strandline.storage import kept
 
 #: The book that single-book queries look at, runs of controls, lengths of blocks, windows of volatility and averages.
 CHOSEN, CHOSEN_LOOKBACK, CHOSEN_SKIP, CHOSEN_SIZE = "l12_s1_n10_strat=equal", 12, 1, 10
@@ -151,8 +152,11 @@ def path_density(spark, sf_dir):
 
 
 def _resampled(spark, sf_dir):
-    drawn = validation.stationary_bootstrap(backtest(spark, sf_dir), "candidate_id", "month", "net", RESAMPLES, BLOCK, SEED)
-    return stats.equity(drawn, ["candidate_id", "resample"], "step")
+    def make():
+        drawn = validation.stationary_bootstrap(backtest(spark, sf_dir), "candidate_id", "month", "net", RESAMPLES, BLOCK, SEED)
+        return stats.equity(drawn, ["candidate_id", "resample"], "step")
+
+    return kept(spark, sf_dir, "bootstrap paths", make)
 
 
 _DRAWN = f"""{_drawn_sql(RESAMPLES, SEED)},
@@ -183,6 +187,34 @@ def bootstrap_path_density(spark, sf_dir):
     return paths.join(span, "candidate_id").groupBy("candidate_id", "step", slot.alias("bin")).agg(F.count("*").alias("n"))
 
 
+#: The quantiles of paths that are reported.
+PATH_QUANTILES = [0.01, 0.03, 0.05, 0.10, 0.15, 0.20, 0.25, 0.35, 0.45, 0.50, 0.55, 0.65, 0.75, 0.80, 0.85, 0.90, 0.95, 0.97, 0.99]
+_QUANTILE_NAMES = [f"p{round(100 * q):02d}" for q in PATH_QUANTILES]
+
+
+def _sketches(spark, sf_dir):
+    return kept(spark, sf_dir, "path sketches", lambda: validation.path_sketches(_resampled(spark, sf_dir), ["candidate_id", "step"], "equity"))
+
+
+@query()
+def bootstrap_path_sketches(spark, sf_dir):
+    """The reported quantiles of the resampled paths at each step, from sketches that can be merged (A18, R3); bootstrap_path_quantiles has others, exactly."""
+    out = validation.sketched_quantiles(_sketches(spark, sf_dir), ["candidate_id", "step"], PATH_QUANTILES)
+    return out.select("candidate_id", "step", "n", *[F.col("q")[k].alias(n) for k, n in enumerate(_QUANTILE_NAMES)])
+
+
+@query(f"""{_DRAWN},
+d as (select candidate_id, step, round(equity, 6) as equity from pt),
+o as (select candidate_id, step, quantile_cont(equity, 0.01) as low, quantile_cont(equity, 0.99) as high from d group by 1, 2),
+b as (select candidate_id, min(low) as lo, case when max(high) <= min(low) then min(low) + 1 else max(high) end as hi from o group by 1)
+select candidate_id, step, least(71, floor((equity - lo) / ((hi - lo) / 72)))::int as bin, count(*) as n from d join b using (candidate_id) where equity between lo and hi group by 1, 2, 3""")
+def outer_path_density(spark, sf_dir):
+    """Paths of the stationary bootstrap in each of 72 bins at each step, bins between the outer quantiles of all steps."""
+    paths = _resampled(spark, sf_dir).withColumn("equity", F.round("equity", 6))
+    outer = paths.groupBy("candidate_id", "step").agg(F.percentile("equity", 0.01).alias("low"), F.percentile("equity", 0.99).alias("high"))
+    return validation.path_density(paths, outer, ["candidate_id"], "step", "equity")
+
+
 @query(f"""{_DRAWN},
 ls as (select candidate_id, product(1 + net) as last from net group by 1)
 select candidate_id, round(any_value(last), 4) as last_equity, round(quantile_cont(last * equity, 0.05), 4) as low_cap, round(quantile_cont(last * equity, 0.90), 4) as high_cap from pt join ls using (candidate_id) group by 1""")

@@ -72,3 +72,24 @@ def test_stages_are_found_again_and_follow_their_inputs(spark, tmp_path):
     assert storage.stage(spark, str(tmp_path / "in"), "s", make).count() == 7 and len(made) == 3
     storage.clear_stages(spark)
     assert storage.stage(spark, str(tmp_path / "in"), "s", make).count() == 7 and len(made) == 4
+
+
+def test_sketches_are_within_their_bound_and_merge(spark):
+    rows = spark.range(60000).select((F.col("id") % 3).alias("step"), F.md5(F.col("id").cast("string")).alias("h")).select("step", (F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2**32).alias("equity"))
+    quantiles = [0.01, 0.25, 0.5, 0.97]
+    exact = {r.step: r.q for r in rows.groupBy("step").agg(F.percentile("equity", quantiles).alias("q")).collect()}
+    whole = validation.path_sketches(rows, ["step"], "equity")
+    halves = validation.path_sketches(rows.where("equity < 0.3"), ["step"], "equity").union(validation.path_sketches(rows.where("equity >= 0.3"), ["step"], "equity"))
+    for sketches in (whole, validation.merged_sketches(halves, ["step"])):
+        for r in validation.sketched_quantiles(sketches, ["step"], quantiles).collect():
+            # values are uniform, so a rank's error is a value's
+            assert r.n == 20000 and all(abs(a - b) < 0.01 for a, b in zip(r.q, exact[r.step], strict=True))
+    every = validation.merged_sketches(whole.withColumn("all", F.lit(1)), ["all"])
+    assert validation.sketched_quantiles(every, ["all"], [0.5]).first().n == 60000
+
+
+def test_density_leaves_out_what_is_beyond_the_outer_quantiles(spark):
+    paths = spark.createDataFrame([("c", s, v) for s in (0, 1) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 9.0)] + [("flat", 0, 5.0)], "k string, step int, v double")
+    outer = spark.createDataFrame([("c", 0, 1.0, 3.0), ("c", 1, 1.5, 4.0), ("flat", 0, 5.0, 5.0)], "k string, step int, low double, high double")
+    got = {(r.k, r.step, r.bin): r.n for r in validation.path_density(paths, outer, ["k"], "step", "v", 3).collect()}
+    assert got == {("c", s, b): n for s in (0, 1) for b, n in ((0, 2), (1, 1), (2, 2))} | {("flat", 0, 0): 1}
