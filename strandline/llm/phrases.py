@@ -20,7 +20,7 @@ ORDER = 5
 #: Bytes of a text worked on at once; a longer text is taken in windows that overlap by ORDER - 1 words.
 WINDOW = 4 << 20
 #: Edges that a task holds before it adds equal ones up and lets them go.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Edges in a bucket, about. Words found more often than this (or than a 2^20th of all words, so there are at most 2^20 of them) spread their edges.
 BUCKET = 1 << 20
 #: Bits of the set of frequent words, at most: 16 MB. It has no false negatives; what else it lets in is counted and then dropped.
@@ -169,41 +169,55 @@ def unpacked(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         kind = np.uint64 if not parts else {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[width]
         parts.append(np.frombuffer(raw, kind, n, at))
         at += n * width
-    return parts[0], np.stack([p.astype(np.int64) for p in parts[1:-1]], axis=1), parts[-1].astype(np.int64)
+    return parts[0], np.stack([p.astype(np.int32) for p in parts[1:-1]], axis=1), parts[-1].astype(np.int64)
 
 
 def added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different rows of ``grams`` in order, and the sums of their counts."""
     if not len(grams):
         return grams, counts
-    one = (grams[:, 0] << 2 * _SHIFT) | (grams[:, 1] << _SHIFT) | grams[:, 2]
-    two = (grams[:, 3] << _SHIFT) | grams[:, 4]
+    one = (grams[:, 0].astype(np.int64) << 2 * _SHIFT) | (grams[:, 1].astype(np.int64) << _SHIFT) | grams[:, 2]
+    two = (grams[:, 3].astype(np.int64) << _SHIFT) | grams[:, 4]
     order = np.lexsort((two, one))
     one, two = one[order], two[order]
     begins = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
     return grams[order[begins]], np.add.reduceat(counts[order], begins)
 
 
-def _spread(hashes: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int) -> np.ndarray:
-    """In how many parts the edges that begin with 2, 3 and 4 given words are kept (columns), by the least count of these words.
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts (dictionary, numbers of its words from 1 on with 0 for none, counts) as one, equal edges added up."""
+    dictionary = np.unique(np.concatenate([p[0] for p in parts]))
+    grams = np.concatenate([np.concatenate([[0], np.searchsorted(dictionary, d) + 1]).astype(np.int32)[g] for d, g, _ in parts])
+    counts = np.concatenate([p[2] for p in parts])
+    parts.clear()
+    return dictionary, *added(grams, counts)
+
+
+def _spread(dictionary: np.ndarray, grams: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int) -> list[np.ndarray]:
+    """In how many parts the edges that begin with 2, 3 and 4 given words are kept, by the least count of these words.
 
     A prefix can't be found more often than its rarest word, so none has much more than ``least`` edges in a part.
     """
     names, counts = hot
-    found = np.full(hashes.shape, least, np.int64)
+    found = np.full(len(dictionary) + 1, least, np.int64)
     if len(names):
-        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        found = np.where(names[at] == hashes, counts[at], least)
-    upper = np.minimum.accumulate(found, axis=1)[:, 1 : ORDER - 1]
-    return -(-upper // least)
+        at = np.minimum(np.searchsorted(names, dictionary), len(names) - 1)
+        found[1:] = np.where(names[at] == dictionary, counts[at], least)
+    upper, out = found[grams[:, 0]], []
+    for k in range(1, ORDER - 1):
+        upper = np.minimum(upper, found[grams[:, k]])
+        out.append(-(-upper // least))
+    return out
 
 
-def bucket_of(hashes: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(dictionary: np.ndarray, grams: np.ndarray, spread: list[np.ndarray], buckets: int) -> np.ndarray:
     """The bucket of each edge: by its first two words, and by further ones as far as what stands before them is kept in parts."""
-    key = textbatch.mixed(textbatch.mixed(hashes[:, 0]) + hashes[:, 1])
-    for k in range(ORDER - 2):
-        part = textbatch.mixed(hashes[:, k + 2] + _U(k + 1)) % spread[:, k].astype(np.uint64)
-        key = np.where(spread[:, k] > 1, textbatch.mixed(key + part + _U(1)), key)
+    hashes = np.concatenate([[_U(0)], dictionary])
+    key = textbatch.mixed(textbatch.mixed(hashes[grams[:, 0]]) + hashes[grams[:, 1]])
+    for k, parts in enumerate(spread):
+        apart = np.flatnonzero(parts > 1)
+        part = textbatch.mixed(hashes[grams[apart, k + 2]] + _U(k + 1)) % parts[apart].astype(np.uint64)
+        key[apart] = textbatch.mixed(key[apart] + part + _U(1))
     return (key % _U(buckets)).astype(np.int64)
 
 
@@ -216,7 +230,7 @@ def _edges(flags: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int, bu
     """
     bits = flags.size * 8
 
-    def grams(s: Stretch) -> np.ndarray:
+    def edges(s: Stretch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = s.hashes % _U(bits)
         held = (flags.reshape(-1)[at >> _U(3)] >> (7 - (at & _U(7)).astype(np.uint8))) & 1 == 1
         breaks = s.fresh | ~held
@@ -225,24 +239,24 @@ def _edges(flags: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int, bu
         nexts = np.append(np.flatnonzero(breaks), n)  # where the run of each word ends
         length = np.minimum(nexts[np.searchsorted(nexts, np.arange(n), "right")] - np.arange(n), ORDER) if n else np.zeros(0, int)
         first = np.flatnonzero(held[: s.own] & (length[: s.own] > 1))
-        padded = np.concatenate([s.hashes, np.zeros(ORDER, np.uint64)])
-        return np.where(np.arange(ORDER) < length[first, None], padded[first[:, None] + np.arange(ORDER)], _U(0))
-
-    def blocks(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found = np.concatenate(held)
-        dictionary = np.unique(found[found != 0])
-        numbers = np.where(found == 0, 0, np.searchsorted(dictionary, found) + 1)
-        numbers, counts = added(numbers, np.ones(len(numbers), np.int64))
-        hashes = np.concatenate([[_U(0)], dictionary])[numbers]
-        bucket = bucket_of(hashes, _spread(hashes, hot, least), buckets)
+        dictionary, numbers = np.unique(s.hashes[held], return_inverse=True)
+        every = np.zeros(n + ORDER, np.int32)
+        every[:n][held] = numbers + 1
+        grams = every[first[:, None] + np.arange(ORDER)]
+        grams[np.arange(ORDER) >= length[first, None]] = 0
+        return dictionary, *added(grams, np.ones(len(grams), np.int64))
+
+    def blocks(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        dictionary, grams, counts = merged(held)
+        bucket = bucket_of(dictionary, grams, _spread(dictionary, grams, hot, least), buckets)
         order = np.argsort(bucket, kind="stable")
         bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
         ids, data, sizes = [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             rows = order[a:b]
-            own = np.unique(numbers[rows])
+            own = np.unique(grams[rows])
             own = own[own != 0]
-            local = np.where(numbers[rows] == 0, 0, np.searchsorted(own, numbers[rows]) + 1)
+            local = np.where(grams[rows] == 0, 0, np.searchsorted(own, grams[rows]) + 1)
             size, block = packed(dictionary[own - 1], local, counts[rows])
             ids.append(int(bucket[rows[0]]))
             data.append(block)
@@ -253,10 +267,10 @@ def _edges(flags: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int, bu
         held, many = [], 0
         for batch in batches:
             for s in stretches(batch):
-                g = grams(s)
-                if len(g):
-                    held.append(g)
-                    many += len(g)
+                own = edges(s)
+                if len(own[1]):
+                    held.append(own)
+                    many += len(own[1])
                 if many >= HELD:
                     yield from blocks(held)
                     held, many = [], 0
@@ -274,9 +288,8 @@ def _flows(hot: tuple[np.ndarray, np.ndarray], least: int, support: int):
 
     def run(group: pa.Table) -> pa.Table:
         parts = [unpacked(b, n) for b, n in zip(group.column("block").to_pylist(), group.column("size").to_pylist(), strict=True)]
-        dictionary = np.unique(np.concatenate([p[0] for p in parts]))
-        grams = np.concatenate([np.concatenate([[0], np.searchsorted(dictionary, d) + 1])[g] for d, g, _ in parts])
-        grams, counts = added(grams, np.concatenate([p[2] for p in parts]))
+        dictionary, grams, counts = merged(parts)
+        spread = _spread(dictionary, grams, hot, least)
         hashes = np.concatenate([[_U(0)], dictionary])
         out, sums = [], []
         for m in range(2, ORDER + 1):
@@ -286,12 +299,12 @@ def _flows(hot: tuple[np.ndarray, np.ndarray], least: int, support: int):
                 continue
             begins = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
             own, flow = own[begins], np.add.reduceat(flow, begins)
-            words = np.zeros((len(own), ORDER), np.uint64)
-            words[:, :m] = hashes[own]
             keep = flow >= support
             if m < ORDER:
-                keep |= _spread(words, hot, least)[:, m - 2] > 1
-            out.append(words[keep])
+                keep |= spread[m - 2][held][begins] > 1
+            words = np.zeros((int(keep.sum()), ORDER), np.uint64)
+            words[:, :m] = hashes[own[keep]]
+            out.append(words)
             sums.append(flow[keep])
         words, sums = (np.concatenate(out), np.concatenate(sums)) if out else (np.zeros((0, ORDER), np.uint64), np.zeros(0, np.int64))
         return pa.table({**{f"w{k}": pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(ORDER)}, "n": pa.array(sums)})
