@@ -23,6 +23,8 @@ WINDOW = 4 << 20
 HELD = 1 << 20
 #: Edges in a bucket, about. Words found more often than this (or than a 2^20th of all words, so there are at most 2^20 of them) spread their edges.
 BUCKET = 1 << 20
+#: Words that have a number of their own everywhere, the most frequent ones; blocks of edges spell the others by their hashes. 8 MB.
+CODED = 1 << 20
 #: Bits of the set of frequent words, at most: 16 MB. It has no false negatives; what else it lets in is counted and then dropped.
 MOST_BITS = 1 << 27
 _PIECE = np.zeros(256, bool)
@@ -153,9 +155,9 @@ def _smallest(x: np.ndarray) -> np.ndarray:
     return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if not len(x) or int(x.max()) <= np.iinfo(t).max))
 
 
-def packed(dictionary: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """Edges as bytes, and their number before they were compressed: the hashes of their words, a column of numbers of words for each place, and counts."""
-    parts = [np.ascontiguousarray(c) for c in (dictionary, *(_smallest(grams[:, k]) for k in range(ORDER)), _smallest(counts))]
+def packed(spelled: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """Edges as bytes, and their number before they were compressed: hashes of the words without a code, a column of numbers of words for each place, and counts."""
+    parts = [np.ascontiguousarray(c) for c in (spelled, *(_smallest(grams[:, k]) for k in range(ORDER)), _smallest(counts))]
     head = np.array([[len(p), p.itemsize] for p in parts], np.int64)
     raw = head.tobytes() + b"".join(p.tobytes() for p in parts)
     return len(raw), pa.Codec("zstd", 3).compress(raw, asbytes=True)
@@ -176,89 +178,110 @@ def added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Different rows of ``grams`` in order, and the sums of their counts."""
     if not len(grams):
         return grams, counts
-    one = (grams[:, 0].astype(np.int64) << 2 * _SHIFT) | (grams[:, 1].astype(np.int64) << _SHIFT) | grams[:, 2]
-    two = (grams[:, 3].astype(np.int64) << _SHIFT) | grams[:, 4]
-    order = np.lexsort((two, one))
-    one, two = one[order], two[order]
-    begins = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    if int(grams.max()) > _LOW:
+        order = np.lexsort(grams.T[::-1])
+        own = grams[order]
+        fresh = (own[1:] != own[:-1]).any(1)
+    else:  # two numbers for a row
+        one = (grams[:, 0].astype(np.int64) << 2 * _SHIFT) | (grams[:, 1].astype(np.int64) << _SHIFT) | grams[:, 2]
+        two = (grams[:, 3].astype(np.int64) << _SHIFT) | grams[:, 4]
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        fresh = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], fresh]))
     return grams[order[begins]], np.add.reduceat(counts[order], begins)
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parts (dictionary, numbers of its words from 1 on with 0 for none, counts) as one, equal edges added up."""
-    dictionary = np.unique(np.concatenate([p[0] for p in parts]))
-    grams = np.concatenate([np.concatenate([[0], np.searchsorted(dictionary, d) + 1]).astype(np.int32)[g] for d, g, _ in parts])
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], coded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts (hashes of words without a code, edges, counts) as one, equal edges added up. Numbers of words: 0 none, up to ``coded`` those with a code, then those spelled."""
+    spelled = np.unique(np.concatenate([p[0] for p in parts]))
+    grams = []
+    for own, g, _ in parts:
+        if len(own):
+            to = np.concatenate([np.arange(coded + 1), coded + 1 + np.searchsorted(spelled, own)]).astype(np.int32)
+            g = to[g]
+        grams.append(g)
     counts = np.concatenate([p[2] for p in parts])
     parts.clear()
-    return dictionary, *added(grams, counts)
+    return spelled, *added(np.concatenate(grams), counts)
 
 
-def _spread(dictionary: np.ndarray, grams: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int) -> list[np.ndarray]:
-    """In how many parts the edges that begin with 2, 3 and 4 given words are kept, by the least count of these words.
+@dataclass
+class Codes:
+    """Hashes of the words that have a code, most frequent first, and the counts of those found more often than ``least``."""
 
-    A prefix can't be found more often than its rarest word, so none has much more than ``least`` edges in a part.
-    """
-    names, counts = hot
-    found = np.full(len(dictionary) + 1, least, np.int64)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, dictionary), len(names) - 1)
-        found[1:] = np.where(names[at] == dictionary, counts[at], least)
-    upper, out = found[grams[:, 0]], []
-    for k in range(1, ORDER - 1):
-        upper = np.minimum(upper, found[grams[:, k]])
-        out.append(-(-upper // least))
-    return out
-
-
-def bucket_of(dictionary: np.ndarray, grams: np.ndarray, spread: list[np.ndarray], buckets: int) -> np.ndarray:
-    """The bucket of each edge: by its first two words, and by further ones as far as what stands before them is kept in parts."""
-    hashes = np.concatenate([[_U(0)], dictionary])
-    key = textbatch.mixed(textbatch.mixed(hashes[grams[:, 0]]) + hashes[grams[:, 1]])
-    for k, parts in enumerate(spread):
-        apart = np.flatnonzero(parts > 1)
-        part = textbatch.mixed(hashes[grams[apart, k + 2]] + _U(k + 1)) % parts[apart].astype(np.uint64)
-        key[apart] = textbatch.mixed(key[apart] + part + _U(1))
-    return (key % _U(buckets)).astype(np.int64)
-
-
-def _edges(flags: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int, buckets: int):
+    hashes: np.ndarray
+    hot: np.ndarray
+    least: int
+
+    def spread(self, grams: np.ndarray) -> list[np.ndarray]:
+        """In how many parts the edges that begin with 2, 3 and 4 given words are kept, by the least count of these words.
+
+        A prefix can't be found more often than its rarest word, so none has much more than ``least`` edges in a part.
+        """
+        found = np.concatenate([[self.least], self.hot, [self.least]])
+        upper, out = None, []
+        for k in range(ORDER - 1):
+            own = found[np.minimum(grams[:, k], len(found) - 1)]
+            upper = own if upper is None else np.minimum(upper, own)
+            out += [-(-upper // self.least)] if k else []
+        return out
+
+    def buckets(self, spelled: np.ndarray, grams: np.ndarray, many: int) -> np.ndarray:
+        """The bucket of each edge: by its first two words, and by further ones as far as what stands before them is kept in parts."""
+        hashes = np.concatenate([np.zeros(1, np.uint64), self.hashes, spelled])
+        key = textbatch.mixed(textbatch.mixed(hashes[grams[:, 0]]) + hashes[grams[:, 1]])
+        for k, parts in enumerate(self.spread(grams)):
+            apart = np.flatnonzero(parts > 1)
+            part = textbatch.mixed(hashes[grams[apart, k + 2]] + _U(k + 1)) % parts[apart].astype(np.uint64)
+            key[apart] = textbatch.mixed(key[apart] + part + _U(1))
+        return (key % _U(many)).astype(np.int64)
+
+
+def _edges(flags: np.ndarray, codes: Codes, buckets: int):
     """Edges of a task's words, added up, as a packed block for each bucket.
 
     An edge is a word and up to ORDER - 1 that follow in its piece. Near a piece's end it is shorter: that is the correction
     without which the sum of a node's edges would miss these occurrences. A word that can't be in a phrase, as it is too rare,
     ends a piece.
     """
-    bits = flags.size * 8
+    bits, coded = flags.size * 8, len(codes.hashes)
+    order = np.argsort(codes.hashes)
+    names = np.append(codes.hashes[order], _U(0))
+    numbers_of = np.append(order + 1, 0).astype(np.int32)
 
     def edges(s: Stretch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = s.hashes % _U(bits)
-        held = (flags.reshape(-1)[at >> _U(3)] >> (7 - (at & _U(7)).astype(np.uint8))) & 1 == 1
+        n = len(s.hashes)
+        at = np.minimum(np.searchsorted(names[:-1], s.hashes), coded)
+        numbers = np.where(names[at] == s.hashes, numbers_of[at], 0)
+        left = np.flatnonzero(numbers == 0)
+        bit = s.hashes[left] % _U(bits)
+        left = left[(flags.reshape(-1)[bit >> _U(3)] >> (7 - (bit & _U(7)).astype(np.uint8))) & 1 == 1]
+        spelled, own = np.unique(s.hashes[left], return_inverse=True)
+        numbers[left] = coded + 1 + own
+        held = numbers > 0
         breaks = s.fresh | ~held
         breaks[1:] |= ~held[:-1]
-        n = len(held)
         nexts = np.append(np.flatnonzero(breaks), n)  # where the run of each word ends
         length = np.minimum(nexts[np.searchsorted(nexts, np.arange(n), "right")] - np.arange(n), ORDER) if n else np.zeros(0, int)
         first = np.flatnonzero(held[: s.own] & (length[: s.own] > 1))
-        dictionary, numbers = np.unique(s.hashes[held], return_inverse=True)
-        every = np.zeros(n + ORDER, np.int32)
-        every[:n][held] = numbers + 1
-        grams = every[first[:, None] + np.arange(ORDER)]
+        grams = np.concatenate([numbers, np.zeros(ORDER, np.int32)])[first[:, None] + np.arange(ORDER)]
         grams[np.arange(ORDER) >= length[first, None]] = 0
-        return dictionary, *added(grams, np.ones(len(grams), np.int64))
+        return spelled, *added(grams, np.ones(len(grams), np.int64))
 
     def blocks(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        dictionary, grams, counts = merged(held)
-        bucket = bucket_of(dictionary, grams, _spread(dictionary, grams, hot, least), buckets)
+        spelled, grams, counts = merged(held, coded)
+        bucket = codes.buckets(spelled, grams, buckets)
         order = np.argsort(bucket, kind="stable")
         bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
         ids, data, sizes = [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            rows = order[a:b]
-            own = np.unique(grams[rows])
-            own = own[own != 0]
-            local = np.where(grams[rows] == 0, 0, np.searchsorted(own, grams[rows]) + 1)
-            size, block = packed(dictionary[own - 1], local, counts[rows])
-            ids.append(int(bucket[rows[0]]))
+            own = grams[order[a:b]]
+            more = np.unique(own[own > coded])
+            if len(more):
+                own = np.where(own > coded, coded + 1 + np.searchsorted(more, own), own)
+            size, block = packed(spelled[more - coded - 1], own, counts[order[a:b]])
+            ids.append(int(bucket[order[a]]))
             data.append(block)
             sizes.append(size)
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["bucket", "size", "block"])
@@ -280,44 +303,40 @@ def _edges(flags: np.ndarray, hot: tuple[np.ndarray, np.ndarray], least: int, bu
     return run
 
 
-def _flows(hot: tuple[np.ndarray, np.ndarray], least: int, support: int):
+def _flows(codes: Codes, group: pa.Table, support: int) -> pa.Table:
     """Counts of all phrases that begin in a bucket: for each length the sums of the edges that begin with one.
 
     Where a phrase's edges are kept in parts the sum is one of several, so it comes out however small it is.
     """
-
-    def run(group: pa.Table) -> pa.Table:
-        parts = [unpacked(b, n) for b, n in zip(group.column("block").to_pylist(), group.column("size").to_pylist(), strict=True)]
-        dictionary, grams, counts = merged(parts)
-        spread = _spread(dictionary, grams, hot, least)
-        hashes = np.concatenate([[_U(0)], dictionary])
-        out, sums = [], []
-        for m in range(2, ORDER + 1):
-            held = grams[:, m - 1] != 0
-            own, flow = grams[held, :m], counts[held]
-            if not len(own):
-                continue
-            begins = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
-            own, flow = own[begins], np.add.reduceat(flow, begins)
-            keep = flow >= support
-            if m < ORDER:
-                keep |= spread[m - 2][held][begins] > 1
-            words = np.zeros((int(keep.sum()), ORDER), np.uint64)
-            words[:, :m] = hashes[own[keep]]
-            out.append(words)
-            sums.append(flow[keep])
-        words, sums = (np.concatenate(out), np.concatenate(sums)) if out else (np.zeros((0, ORDER), np.uint64), np.zeros(0, np.int64))
-        return pa.table({**{f"w{k}": pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(ORDER)}, "n": pa.array(sums)})
-
-    return run
+    parts = [unpacked(b, n) for b, n in zip(group.column("block").to_pylist(), group.column("size").to_pylist(), strict=True)]
+    spelled, grams, counts = merged(parts, len(codes.hashes))
+    spread = codes.spread(grams)
+    hashes = np.concatenate([np.zeros(1, np.uint64), codes.hashes, spelled])
+    out, sums = [], []
+    for m in range(2, ORDER + 1):
+        held = grams[:, m - 1] != 0
+        own, flow = grams[held, :m], counts[held]
+        if not len(own):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
+        own, flow = own[begins], np.add.reduceat(flow, begins)
+        keep = flow >= support
+        if m < ORDER:
+            keep |= spread[m - 2][held][begins] > 1
+        words = np.zeros((int(keep.sum()), ORDER), np.uint64)
+        words[:, :m] = hashes[own[keep]]
+        out.append(words)
+        sums.append(flow[keep])
+    words, sums = (np.concatenate(out), np.concatenate(sums)) if out else (np.zeros((0, ORDER), np.uint64), np.zeros(0, np.int64))
+    return pa.table({**{f"w{k}": pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(ORDER)}, "n": pa.array(sums)})
 
 
 def phrase_counts(docs: DataFrame, support: int = 100, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, hash, n, n_lang) and phrases of 2 to ``ORDER`` words (gram, an array of hashes, and n) found ``support`` times or more.
 
     Edges of the graph, runs of ``ORDER`` words or what is left of a piece, are added up in tasks and then in buckets by their first
-    words; all shorter counts are sums over edges with a common beginning, so the text is shuffled once, packed. Words are 64-bit hashes of
-    language and word there. A bucket has about ``BUCKET`` edges; words found more often than that spread theirs by what follows, and those sums are added up again.
+    words; all shorter counts are sums over edges with a common beginning, so the text is shuffled once, packed. Words are numbers there,
+    or 64-bit hashes of language and word where they aren't among the ``CODED`` most frequent. A bucket has about ``BUCKET`` edges; words found more often than that spread theirs by what follows, and those sums are added up again.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -327,19 +346,21 @@ def phrase_counts(docs: DataFrame, support: int = 100, text_col: str = "text", l
     total = langs.agg(F.sum("n_lang")).first()[0] or 0
     least = max(BUCKET, total >> 20)
     words = saved(every.where(F.col("n") >= support).join(langs, "lang").select("lang", F.col("word").cast("string").alias("word"), "hash", "n", "n_lang"), "vocabulary")
-    top = words.where(F.col("n") > least).select("hash", "n").toPandas()  # at most 2^20, as the sum of all counts is total
-    names = top["hash"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    hot = names[order], top["n"].to_numpy(np.int64)[order]
-    flags = spark.sparkContext.broadcast(_frequent(words, words.count()))
+    top = words.orderBy(F.desc("n"), "hash").limit(CODED).select("hash", "n").toPandas()
+    counts = top["n"].to_numpy(np.int64)
+    codes = Codes(top["hash"].to_numpy(np.int64).view(np.uint64), counts[counts > least], least)
+    sent = spark.sparkContext.broadcast((_frequent(words, words.count()), codes))
     buckets = max(1, total // BUCKET)
     fields = ", ".join(f"w{k} long" for k in range(ORDER)) + ", n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _edges(flags.value, hot, least, buckets)(batches)
+        yield from _edges(*sent.value, buckets)(batches)
+
+    def flow(group: pa.Table) -> pa.Table:
+        return _flows(sent.value[1], group, support)
 
     blocks = texts.mapInArrow(run, "bucket long, size long, block binary")
-    flows = blocks.groupBy("bucket").applyInArrow(_flows(hot, least, support), fields)
+    flows = blocks.groupBy("bucket").applyInArrow(flow, fields)
     keys = [f"w{k}" for k in range(ORDER)]
     counts = flows.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     gram = F.filter(F.array(*keys), lambda w: w != 0)
