@@ -320,3 +320,14 @@ def profile_run(spark, sf_dir):
     Its stages are found again by a later process, so a run that was stopped goes on.
     """
     return _profile(spark, sf_dir)
+
+
+@query(f"""{_STRATEGIES},
+ks2 as (select strategy_id from st where average > 0 and (rebalance <> 'full' or weighting <> 'equal')),
+{_curves("cell").replace("from sn)", "from sn join ks2 using (strategy_id) where variant = 'full' and execution = 'next_open' and scenario = 'base' and window_id = 0)")}
+select strategy_id, top_n, {_JUDGED} from pk group by 1, 2""")
+def combined_strategies(spark, sf_dir):
+    """Trend gates together with another renewal or weighting than the usual, over all folds' years in one go (PF20)."""
+    names = [s.strategy_id for s in strategies.matching(STRATEGIES, combined=True)]
+    rows = returns(spark, sf_dir).where("variant = 'full' and execution = 'next_open' and scenario = 'base' and window_id = 0").where(F.col("strategy_id").isin(names))
+    return _judged(rows, "strategy_id", "top_n")

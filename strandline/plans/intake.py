@@ -244,3 +244,18 @@ def folded_words(spark, sf_dir):
     words = market.table(spark, sf_dir, "documents").select(F.explode(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r.,;:!?]+', 0)")).alias("word")).distinct()
     marked = words.where(F.col("word").rlike(r"[^\x00-\x7F]"))
     return marked.groupBy(text.folded(F.col("word")).alias("folded")).agg(F.count("*").alias("spellings"), F.min("word").alias("first_spelling"))
+
+
+@query(_with(f"""{_ROSTER},
+u as (select 'official' as source, 1 as k, official_id::varchar as id, exchange_group, isin from official union all select 'active', 2, security_id, exchange_group, isin from active
+    union all select 'delisted', 3, security_id, exchange_group, isin from gone),
+f as (select *, row_number() over (partition by exchange_group, isin order by k, id) as place, count(*) over (partition by exchange_group, isin) as rows from u where isin is not null)
+select exchange_group, isin, source, id, rows from f where place = 1"""))
+def listed_instruments(spark, sf_dir):
+    """Official list, active and delisted rosters as one, the first that names an instrument on an exchange."""
+    lists = [rosters.official_list(spark, sf_dir).select(F.lit("official").alias("source"), F.lit(1).alias("k"), F.col("official_id").cast("string").alias("id"), "exchange_group", "isin")]
+    for source, k, rows in (("active", 2, rosters.active_roster(spark, sf_dir)), ("delisted", 3, rosters.delisted_roster(spark, sf_dir))):
+        lists.append(rows.select(F.lit(source).alias("source"), F.lit(k).alias("k"), F.col("security_id").alias("id"), "exchange_group", "isin"))
+    every = reduce(lambda a, b: a.unionByName(b), lists).where("isin is not null")
+    first = F.min_by(F.struct("source", "id"), F.struct("k", "id"))
+    return every.groupBy("exchange_group", "isin").agg(first.alias("f"), F.count("*").alias("rows")).select("exchange_group", "isin", "f.source", "f.id", "rows")
