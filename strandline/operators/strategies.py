@@ -62,6 +62,12 @@ def matching(strategies: tuple[Strategy, ...], ids: tuple[str, ...] = (), combin
     return out
 
 
+def protocol_windows(folds: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Windows (window_id, first, last) for ``strategy_returns`` from a protocol file's folds and holdout (see ``sources.files.read_protocol``), in place of the usual ones; 0 is the holdout."""
+    own = folds.select(F.col("fold_id").cast("int").alias("window_id"), F.col("test_from").cast("int").alias("first"), F.col("test_to").cast("int").alias("last"))
+    return own.union(holdout.select(F.lit(0).alias("window_id"), F.col("first").cast("int"), F.col("last").cast("int")))
+
+
 def trend_off(prices: DataFrame, months: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """month and off, the lengths of average under which a benchmark (``prices``: date, adj_close, of one benchmark_id) is in that month.
 

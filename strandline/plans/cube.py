@@ -331,3 +331,26 @@ def combined_strategies(spark, sf_dir):
     names = [s.strategy_id for s in strategies.matching(STRATEGIES, combined=True)]
     rows = returns(spark, sf_dir).where("variant = 'full' and execution = 'next_open' and scenario = 'base' and window_id = 0").where(F.col("strategy_id").isin(names))
     return _judged(rows, "strategy_id", "top_n")
+
+
+#: The window that is the holdout, and the least Sharpe ratio there.
+HOLDOUT_WINDOW, HOLDOUT_SHARPE = FOLDS[-1][0], 0.3
+
+
+@query(f"""{_STRATEGIES},
+hn as (select * from sn where window_id = {HOLDOUT_WINDOW}),
+{_curves("cell, scenario").replace("from sn)", "from hn)")},
+hb2 as (select round(product(1 + round(z.level / t.level - 1, 6)) - 1, 6) as benchmark_return, count(*) = (select count(distinct month) from hn) as complete
+    from (select distinct month from hn) m join p1 t on t.month = m.month + 1 join p1 z on z.month = m.month + 2),
+hc as (select variant, execution, scenario, strategy_id, top_n, {_JUDGED} from pk group by cell, scenario, variant, execution, strategy_id, top_n)
+select hc.*, case when complete then benchmark_return end as benchmark_return, coalesce(complete and total_return > benchmark_return, false) as beats, coalesce(complete and total_return > benchmark_return and sharpe >= {HOLDOUT_SHARPE}, false) as eligible,
+    variant = 'full' and execution = 'next_open' and scenario = 'base' as is_primary from hc, hb2""")
+def holdout_cells(spark, sf_dir):
+    """Every strategy and size on the holdout in each variant, execution and currency scenario, selected within the variant and after costs, against the primary benchmark, and whether it is eligible."""
+    rows = returns(spark, sf_dir).where(f"window_id = {HOLDOUT_WINDOW}")
+    months = rows.select("month").distinct().join(_benchmark(spark, sf_dir), "month", "left")
+    bench = months.agg(F.when(F.count("base") == F.count("*"), F.round(F.product(1 + F.col("base")) - 1, 6)).alias("benchmark_return"))
+    cells = _judged(rows, "variant", "execution", "scenario", "strategy_id", "top_n").crossJoin(F.broadcast(bench))
+    beats = F.coalesce(F.col("total_return") > F.col("benchmark_return"), F.lit(False))
+    primary = (F.col("variant") == "full") & (F.col("execution") == "next_open") & (F.col("scenario") == "base")
+    return cells.withColumns({"beats": beats, "eligible": beats & (F.col("sharpe") >= HOLDOUT_SHARPE), "is_primary": primary})

@@ -1,14 +1,17 @@
 """Strategies that carry a book, against a plain loop over random rows."""
 
 import collections
+import json
 import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import strategies
 from strandline.operators.strategies import Strategy
 from strandline.operators.universe import CURRENCY_BPS, IMPACT
+from strandline.sources import files
 
 SCORED = "lookback int, skip int, number long, month int, reason string, reason_se string, score double, ret double, ret_close double, market_cap_sek double, volatility double, median_value double, close_sek double, currency string"
 SOME = (
@@ -113,6 +116,18 @@ def test_fold_matches_a_plain_loop(spark, seed):
     assert not got and cells == len(SOME) * 2 * 2 * 2 * 3 * 3
 
 
+def test_a_protocol_file_gives_the_windows(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"name": "x", "oos_start": "2000-08", "oos_end": "2000-12", "rolling_origin_folds": [["1999-01", "1999-12", "2000-01", "2000-03"], ["1999-01", "2000-03", "2000-04", "2000-07"]]}))
+    spans = strategies.protocol_windows(*files.read_protocol(spark, str(tmp_path / "p.json")))
+    assert sorted(map(tuple, spans.collect())) == [(0, 24007, 24011), (1, 24000, 24002), (2, 24003, 24006)]
+    rows = table(1)
+    scored = spark.createDataFrame([tuple(r.values()) for r in rows], SCORED)
+    points = spark.createDataFrame([(12, 1, 3)], "lookback int, skip int, top_n int")
+    made = strategies.strategy_returns(scored, points, spans, spark.createDataFrame([], "month int, off array<int>"), {"full": "reason"}, SOME[:3])
+    months = {r.window_id: r.n for r in made.where("scenario = 'base' and execution = 'next_open' and strategy_id = 'minhold3'").groupBy("window_id").agg(F.count("*").alias("n")).collect()}
+    assert months == {0: 4, 1: 3, 2: 4}  # nobody trades in 24009
+
+
 def test_gate_knows_the_month_that_follows(spark):
     prices = spark.createDataFrame([("primary", f"2000-{m:02d}-03", p) for m, p in enumerate((10.0, 11.0, 12.0, 9.0, 9.0, 14.0, 2.0), 1)], "benchmark_id string, date string, adj_close double").selectExpr("benchmark_id", "cast(date as date) as date", "adj_close")
     months = spark.createDataFrame([(24000 + k,) for k in range(7)], "month int")
