@@ -23,6 +23,8 @@ FIT_ROWS = 6000
 LEAST_DOCUMENTS, LEAST_ERRORS = 2, 3.0
 #: Labels that are broadcast to the texts; more are joined by a shuffle of both.
 MOST_BROADCAST = 2_000_000
+#: Bytes whose n-grams are made at once; a longer text is walked in windows that overlap by an n-gram.
+WINDOW = 4 << 20
 #: Pairs that a step of the fit looks at together, which bounds its memory.
 BLOCK = 1 << 20
 _CODE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -31,7 +33,22 @@ _CODE[[9, 10, 11, 12, 13]] = _CODE[32]
 
 
 def features(t: textbatch.Texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, by text; of ``wanted`` features only, if given."""
+    """Distinct (text, feature) pairs, by text; of ``wanted`` features only, if given.
+
+    A text has 2**BITS features at most, so what is kept of a long one's windows is bounded, and so is the memory for each window.
+    """
+    if len(t.data) > WINDOW:
+        seen = np.zeros(0, np.int64)
+        for lo in range(0, len(t.data), WINDOW):
+            hi = min(len(t.data), lo + WINDOW + max(SIZES) - 1)
+            text, feature = _features(textbatch.Texts(t.data[lo:hi], np.clip(t.offsets - lo, 0, hi - lo)), wanted)
+            own = np.sort(np.concatenate([seen, (text << BITS) | feature]))
+            seen = own[np.append(True, own[1:] != own[:-1])] if len(own) else own
+        return seen >> BITS, seen & ((1 << BITS) - 1)
+    return _features(t, wanted)
+
+
+def _features(t: textbatch.Texts, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     code = _CODE[t.data]
     text_of = np.repeat(np.arange(len(t), dtype=np.int32), np.diff(t.offsets))
     kind = np.uint32 if len(t) < 1 << (32 - BITS) else np.int64  # short keys are sorted faster
