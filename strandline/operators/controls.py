@@ -64,12 +64,14 @@ def selections(months: DataFrame, by: list[str], runs: int, seed: int) -> DataFr
     """by, run, month and excess: what the first ``top_n`` of ``names`` return by their weights, less ``base``; run 0 in their order, each other in a random one.
 
     ``months`` has names, base, top_n and is_on (a gated month, or one without names, returns 0). A run's order is made and cut to ``top_n`` within the row, so
-    runs multiply rows of months and not of names, and nothing is shuffled.
+    runs multiply rows of months and not of names, and only the months are shuffled, once.
     """
     def by_digest(x: Column) -> Column:
         return F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col("run"), F.col("month"), x["number"])).alias("digest"), x["number"].alias("number"), x["ret"].alias("ret"), x["raw"].alias("raw"))
 
-    rows = months.select(*by, "month", "base", "names", "top_n", "is_on", F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"))
+    parts = int(months.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, each with much to do
+    spread = months.repartition(parts, *by, "month")
+    rows = spread.select(*by, "month", "base", "names", "top_n", "is_on", F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"))
     plain = F.transform("names", lambda x: F.struct(F.lit("").alias("digest"), x["number"].alias("number"), x["ret"].alias("ret"), x["raw"].alias("raw")))
     chosen = F.slice(F.when(F.col("run") == 0, plain).otherwise(F.array_sort(F.transform("names", by_digest))), F.lit(1), F.col("top_n"))
     rows = rows.withColumn("chosen", F.when(F.col("is_on") & (F.size("names") > 0), chosen))

@@ -152,11 +152,13 @@ def path_density(spark, sf_dir):
 
 
 def _resampled(spark, sf_dir):
-    def make():
-        drawn = validation.stationary_bootstrap(backtest(spark, sf_dir), "candidate_id", "month", "net", RESAMPLES, BLOCK, SEED)
-        return stats.equity(drawn, ["candidate_id", "resample"], "step")
+    drawn = validation.stationary_bootstrap(backtest(spark, sf_dir), "candidate_id", "month", "net", RESAMPLES, BLOCK, SEED)
+    return stats.equity(drawn, ["candidate_id", "resample"], "step")
 
-    return kept(spark, sf_dir, "bootstrap paths", make)
+
+def _shared_paths(spark, sf_dir):
+    """``_resampled``, saved once for those that start from them."""
+    return kept(spark, sf_dir, "bootstrap paths", lambda: _resampled(spark, sf_dir))
 
 
 _DRAWN = f"""{_drawn_sql(RESAMPLES, SEED)},
@@ -193,7 +195,7 @@ _QUANTILE_NAMES = [f"p{round(100 * q):02d}" for q in PATH_QUANTILES]
 
 
 def _sketches(spark, sf_dir):
-    return kept(spark, sf_dir, "path sketches", lambda: validation.path_sketches(_resampled(spark, sf_dir), ["candidate_id", "step"], "equity"))
+    return kept(spark, sf_dir, "path sketches", lambda: validation.path_sketches(_shared_paths(spark, sf_dir), ["candidate_id", "step"], "equity"))
 
 
 @query()
@@ -210,7 +212,7 @@ b as (select candidate_id, min(low) as lo, case when max(high) <= min(low) then
 select candidate_id, step, least(71, floor((equity - lo) / ((hi - lo) / 72)))::int as bin, count(*) as n from d join b using (candidate_id) where equity between lo and hi group by 1, 2, 3""")
 def outer_path_density(spark, sf_dir):
     """Paths of the stationary bootstrap in each of 72 bins at each step, bins between the outer quantiles of all steps."""
-    paths = _resampled(spark, sf_dir).withColumn("equity", F.round("equity", 6))
+    paths = _shared_paths(spark, sf_dir).withColumn("equity", F.round("equity", 6))
     outer = paths.groupBy("candidate_id", "step").agg(F.percentile("equity", 0.01).alias("low"), F.percentile("equity", 0.99).alias("high"))
     return validation.path_density(paths, outer, ["candidate_id"], "step", "equity")
 
