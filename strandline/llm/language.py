@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import textbatch
 from strandline.llm.learning import fold, mapped, whole_texts
+from strandline.llm.storage import saved
 
 #: Labelled documents of each language, about, that the probabilities are learned from; and rounds of learning.
 FIT_ROWS, ROUNDS = 600, 3
@@ -25,6 +26,8 @@ FIT_BYTES, FIT_TOGETHER = 48, 4096
 ALIKE, RESCALE = 48, 8
 #: Bytes of words that are scored together.
 TOGETHER = 1 << 20
+#: A text counts as its language's until so many bytes of evidence speak: the rate of ``Model.learned`` is averaged with so many bytes of the language's own.
+BENEFIT_BYTES = 100
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MARK = ord("_")  # stands for a word's beginning in the tables below
@@ -178,9 +181,20 @@ class Model:
     pieces: Pieces
     languages: list[str]
     p: np.ndarray
+    #: Of each language, log-probability a byte of its own texts, and the least that a text in it may have (see ``unlearned_rates``).
+    rates: np.ndarray | None = None
+    least: np.ndarray | None = None
 
-    def scores(self, t: textbatch.Texts) -> np.ndarray:
-        """Each text's log-probability in each language."""
+    def learned(self, logs: np.ndarray, bytes_: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each text, with these ``evidence``, looks more like the language ``best`` than like text of no learned one."""
+        rate = (logs[np.arange(len(best)), best] + BENEFIT_BYTES * self.rates[best]) / (bytes_ + BENEFIT_BYTES)
+        return rate >= self.least[best]
+
+    def evidence(self, t: textbatch.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's log-probability in each language; the same of its words without ASCII digits alone, and these words' bytes (with a mark each).
+
+        Numbers and tokens say little on whether a text is of a learned language.
+        """
         w = textbatch.words(t)
         _, one, of = np.unique(w.hashes, return_index=True, return_inverse=True)
         starts, sizes = w.starts[one], (w.ends - w.starts)[one]
@@ -188,7 +202,12 @@ class Model:
         for own in _alike(sizes):
             logs[own] = forward(self.pieces, self.p, _rows(t.data, starts[own], sizes[own]), sizes[own] + 1)
         text = np.repeat(np.arange(len(t)), np.diff(w.first))
-        return np.array([np.bincount(text, logs[of, k], len(t)) for k in range(len(self.languages))]).T
+        digits = np.zeros(len(t.data) + 1, np.int32)
+        np.cumsum((t.data >= 48) & (t.data <= 57), out=digits[1:])
+        plain = digits[w.ends] == digits[w.starts]
+        add = lambda at, k: np.bincount(text[at], logs[of[at], k], len(t))
+        every, some = (np.array([add(at, k) for k in range(len(self.languages))]).T for at in (slice(None), plain))
+        return every, some, np.bincount(text[plain], (w.ends - w.starts + 1)[plain], len(t))
 
 
 def _learn(pieces: Pieces):
@@ -210,18 +229,65 @@ def _learn(pieces: Pieces):
     return run
 
 
-def train(labelled: DataFrame, vocabulary: str) -> Model:
-    """Piece probabilities of each language in (doc_id, text, lang), by EM over all segmentations.
+def unlearned_rates(model: Model, labelled: DataFrame) -> Model:
+    """``model`` with ``rates`` and ``least``, from texts (text, lang) of its languages.
 
-    Takes about ``FIT_ROWS`` documents of each language, chosen by a hash; their words are counted, and each language is learned,
-    on the executors. A language is one row of a probability for each piece (130 KB) on the driver.
+    How text that wasn't learned looks is taken from what is at hand: each text as the other languages see it (its rate in the best of
+    these), and each text read backwards (letters of the language, in words of none). A language's least rate is midway between
+    the mean rate of its own texts and that of the nearer of both kinds, each text counting once whatever its length. A language to which
+    no such text comes takes the mean distance of the others; without any, nothing is unlearned. The tasks add up; three rows a language come back.
     """
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        number = {name: k for k, name in enumerate(own.languages)}
+        for batch in batches:
+            for lo, t in textbatch.texts(batch.column("text"), 1 << 20):
+                _, logs, bytes_ = own.evidence(t)
+                full = np.flatnonzero(bytes_)
+                lang = np.array([number.get(x, -1) for x in batch.column("lang").slice(lo, len(t)).to_pylist()], np.int64)
+                full = full[lang[full] >= 0]
+                rates, lang = logs[full] / bytes_[full, None], lang[full]
+                back = pa.array([t.raw(i).decode()[::-1] for i in full], pa.string())
+                found = [(np.zeros(len(full), int), lang, rates[np.arange(len(full)), lang])]
+                if len(own.languages) > 1:
+                    rates[np.arange(len(full)), lang] = -np.inf
+                    found.append((np.ones(len(full), int), rates.argmax(1), rates.max(1)))
+                for _, b in textbatch.texts(back, 1 << 20):
+                    _, turned, bytes_ = own.evidence(b)
+                    found.append((np.full(len(b), 2), turned.argmax(1), turned.max(1) / bytes_))
+                kind, at, rate = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(rate, pa.float64())], ["kind", "lang", "rate"])
+
+    means = np.full((3, len(model.languages)), np.nan)
+    rows = labelled.select("text", "lang").mapInArrow(run, "kind int, lang long, rate double")
+    for r in rows.groupBy("kind", "lang").agg(F.avg("rate").alias("rate")).collect():
+        means[r["kind"], r["lang"]] = r["rate"]
+    distance = means[0] - np.fmax(means[1], means[2])
+    distance = np.where(np.isnan(distance), np.nanmean(distance) if not np.isnan(distance).all() else np.inf, distance)
+    rates = np.nan_to_num(means[0])
+    return Model(model.pieces, model.languages, model.p, rates, rates - np.maximum(distance, 0) / 2)
+
+
+def fitting(labelled: DataFrame) -> DataFrame:
+    """About ``FIT_ROWS`` documents (doc_id, text, lang) of each language, chosen by a hash."""
     known = labelled.where("lang is not null and text is not null")
     counts = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(FIT_ROWS) / F.count("*")).alias("share"))
     if counts.count() <= MOST_BROADCAST:
         counts = F.broadcast(counts)
+    return known.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+
+
+def train(labelled: DataFrame, vocabulary: str, tell_learned: bool = False) -> Model:
+    """Piece probabilities of each language in (doc_id, text, lang), by EM over all segmentations.
+
+    Takes about ``FIT_ROWS`` documents of each language, chosen by a hash; their words are counted, and each language is learned,
+    on the executors. A language is one row of a probability for each piece (130 KB) on the driver. With ``tell_learned``
+    the same documents also give what text of no learned language looks like (``unlearned_rates``).
+    """
     pieces = Pieces(public_pieces(vocabulary))
-    some = known.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    some = saved(fitting(labelled), "fitting") if tell_learned else fitting(labelled)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +303,11 @@ def train(labelled: DataFrame, vocabulary: str) -> Model:
     found = some.select("text", "lang").mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     learned = found.groupBy("lang").applyInArrow(_learn(pieces), "lang string, p binary").orderBy("lang").collect()
     p = np.array([np.frombuffer(r["p"], np.float32) for r in learned], np.float32).reshape(-1, len(pieces.pieces))
-    return Model(pieces, [r["lang"] for r in learned], np.ascontiguousarray(p.T))
+    model = Model(pieces, [r["lang"] for r in learned], np.ascontiguousarray(p.T))
+    return unlearned_rates(model, some) if tell_learned and model.languages else model
 
 
-def identify_languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_row: bool = False) -> DataFrame:
+def identify_languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_row: bool = False, tell_learned: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the language's posterior probability) of each row.
 
     Learns from the text and lang of documents whose fold isn't ``held`` (see ``train``). A text's probability in a language is
@@ -250,27 +317,33 @@ def identify_languages(docs: DataFrame, vocabulary: str, folds: int = 4, held: i
     A null text or one without a letter is ``und`` with score 0, as is every text if there is nothing to learn from; equal
     probabilities go to the first language by name; rows with a null lang or text aren't learned from; a null id is in fold 0; repeated rows
     give repeated rows; an empty table gives an empty one; other columns are not looked at; with ``keep_row`` the rows come
-    whole, and doc_id, lang_pred and score are a struct, the last column.
+    whole, and doc_id, lang_pred and score are a struct, the last column. ``tell_learned`` adds learned (boolean): false where the text,
+    byte for byte, is less likely in the language found than ``unlearned_rates`` allows (``und`` is never learned). The score alone can't
+    tell that: it compares learned languages with each other, and is near 1 for one of them in any long text.
     """
-    model = train(whole_texts(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where(fold(F.col("doc_id"), folds) != held), vocabulary)
+    model = train(whole_texts(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang")).where(fold(F.col("doc_id"), folds) != held), vocabulary, tell_learned)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            lang, score = [], []
+            lang, score, learned = [], [], []
             for _, t in textbatch.texts(batch.column("text"), 1 << 20):
-                logs = own.scores(t) if own.languages else np.zeros((len(t), 1))
+                logs, plain, bytes_ = own.evidence(t) if own.languages else (np.zeros((len(t), 1)),) * 3
                 best = logs.argmax(1)
                 odds = np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+                known = own.learned(plain, bytes_, best) if own.least is not None else np.ones(len(t), bool)
                 for i in range(len(t)):
                     if own.languages and _LETTER.search(t.raw(i).decode()):
                         lang.append(own.languages[best[i]])
                         score.append(1 / odds[i])
+                        learned.append(bool(known[i]))
                     else:
                         lang.append(UNKNOWN)
                         score.append(0.0)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                        learned.append(False)
+            columns = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.record_batch(columns + [pa.array(learned, pa.bool_())] * tell_learned, ["doc_id", "lang_pred", "score"] + ["learned"] * tell_learned)
 
-    found = mapped(docs, id_col, text_col, run, "doc_id long, lang_pred string, score double", keep_row)
-    return found if keep_row else found.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score")
+    found = mapped(docs, id_col, text_col, run, "doc_id long, lang_pred string, score double" + ", learned boolean" * tell_learned, keep_row)
+    return found if keep_row else found.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score", *["learned"] * tell_learned)

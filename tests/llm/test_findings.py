@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from strandline.llm import contamination, language, lm, near, pii, quality, textbatch, toxicity, urls
 from strandline.llm.queries import PIECES
@@ -42,6 +43,10 @@ def test_stages_judge_rows_by_their_own_text(spark, tmp_path):
     docs = spark.createDataFrame([(2, a), (5, a), (5, b), (None, item), (7, item), (7, b + " end"), (None, None)], "doc_id long, text string")
     near = corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 7"), str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text) for r in near) == sorted([(2, a), (5, b)])
+    near = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(None, a), (None, a), (3, b), (None, b), (None, None), (None, ""), (9, item), (9, item), (9, item + " more")], docs.schema), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in near if r.doc_id != 9) == sorted([(0, a), (3, b), (0, ""), (0, "")])
+    assert len([r for r in near if r.doc_id == 9]) == 1
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
     clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert clean.columns == docs.columns
     assert sorted(map(str, clean.collect())) == sorted(str(r) for r in docs.collect() if r.text != item)
@@ -143,3 +148,28 @@ def test_personal_data_of_held_out_forms(spark):
     found = [pii.find(model, f"please call ({300 + k}) 555-{2000 + k} today, {k} of 20 done in 2019, room {k}, page {k} of 30")[1] for k in range(60)]
     assert sum([x[0] for x in spans] == ["phone"] for spans in found) >= 54
     assert not any(pii.find(model, f"in {1900 + k} there were {k} of {k + 20} items, version {k}.2 and 3,{k:03d} more")[1] for k in range(60))
+
+
+def test_language_stage_rejects_what_was_not_learned(spark, tmp_path):
+    """Beside several learned languages: text of another, code and random letters go, also long ones; learned ones stay, with numbers too."""
+    import corpus_pipeline
+
+    own = {
+        "de": "der die das und nicht ist ein eine mit auf für schön straße haus gehen wir sie über heute morgen zwischen immer wieder".split(),
+        "en": "the of and to in river stone walked under bright morning letters quiet garden seven old train window through their".split(),
+        "es": "el la los que por con para una casa camino noche siempre ciudad hombre mujer entre tiempo puede donde mucho".split(),
+    }
+    other = "przez jest nie tylko miasto dzień wszystko kiedy może bardzo człowiek życie jednak zawsze którzy gdzie został".split()
+    made = random.Random(4)
+    say = lambda words, n: " ".join(made.choice(words) for _ in range(n)) + "."
+    letters = lambda: "".join(made.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(made.randrange(3, 9)))
+    data = [(k, say(own[lang], 60), lang) for k, lang in enumerate(list(own) * 60)]
+    good = [(200, say(own["de"], 8), None), (201, say(own["en"], 3000), None), (202, "token 4111111111111111 " + say(own["es"], 40) + " +1 (706) 555-3138 2abc3ff2ca8fb1e4", None), (None, say(own["en"], 20), None)]
+    bad = [(300, say(other, 40), None), (301, say(other, 3000), None), (302, " ".join(letters() for _ in range(60)), None), (303, "x" * 30000, None), (304, None, "de"), (305, "12 34", "de")]
+    bad += [(306, "\n".join(f"memcpy(buf->ptr[i], &tmp_q, sizeof(*ptr)); if (!ptr || !buf->fn) goto err_{k};" for k in range(20)), None)]
+    docs = spark.createDataFrame(data + good + bad + good[:1], "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
+    assert got == {(k, lang) for k, _, lang in data} | {(200, "de"), (201, "en"), (202, "es"), (None, "en")}
+    rows = corpus_pipeline.language_id(spark, docs.where("doc_id < 100"), str(tmp_path)).count()
+    assert rows == 100 and corpus_pipeline.language_id(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == 0
