@@ -16,21 +16,41 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; lang becomes the one found."""
-    found = language.identify_languages(docs, PIECES, keep_row=True)
+    """Documents whose language is clear; lang becomes the one found.
+
+    Documents go that have no letter (null and empty texts too), that two learned languages fit alike, or that look like text of no learned
+    language (``language.unlearned_rates``): other languages, code, random letters. Each row is judged by its own text, so a null or
+    repeated doc_id changes nothing and repeated rows stay or go together; an empty table, or one without labels, gives an empty one.
+    """
+    found = language.identify_languages(docs, PIECES, keep_row=True, tell_learned=True)
     its = found[found.columns[-1]]
-    sure = found.where((its.lang_pred != language.UNKNOWN) & (its.score >= LEAST_LANGUAGE_SCORE))
+    sure = found.where(its.learned & (its.score >= LEAST_LANGUAGE_SCORE))
     return sure.select(*[its.lang_pred.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the rows of its least doc_id; rows of one doc_id and different texts are judged apart.
+    """One row of each group of near duplicates: of its least doc_id, or of the least text hash where that id stands on several texts.
 
-    Rows with a null doc_id stay, and so do rows that repeat the least doc_id.
+    A row with a null doc_id takes part by a number made from its text, above 2^62, so that it goes where any like text has an id, and one of
+    such rows stays where none has. Of rows equal in doc_id and text one stays, whichever comes first. Rows without a word (null and empty texts
+    too) are like nothing and stay. An empty table gives an empty one. Only identifiers and hashes are grouped; texts are shuffled only of rows that are repeated.
     """
-    gone = near.near_duplicates(docs, keep_key=True).where("not kept").select(F.col("doc_id").alias("gone "), F.col("text_key").alias("key ")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("`gone `")) & (F.xxhash64(F.col("text").cast("string")) == F.col("`key `"))
-    return docs.join(gone, same, "left_anti")
+    fresh = [f"{name} {len(max(docs.columns, key=len))}" for name in ("id", "key")]
+    ident, key = (F.col(f"`{c}`") for c in fresh)
+    text = F.col("text").cast("string")
+    made = F.shiftleft(F.lit(1).cast("long"), 62) + F.shiftrightunsigned(F.xxhash64(text, F.lit("null id")), 3)
+    rows = docs.withColumns({fresh[0]: F.coalesce(F.col("doc_id").cast("long"), made), fresh[1]: F.xxhash64(text)})
+    found = near.near_duplicates(rows.select(ident.alias("doc_id"), "text"), keep_key=True).where("n_shingles > 0")
+    groups = found.groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    least = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    stays = F.struct("doc_id", "text_key") == F.col("least")
+    judged = saved(groups.join(least, "component_id").select(F.col("doc_id").alias(fresh[0]), F.col("text_key").alias(fresh[1]), "n", stays.alias("stays")), "judged")
+    kept = rows.join(judged.where("not stays").drop("n", "stays"), fresh, "left_anti")
+    repeated = judged.where("stays and n > 1").drop("n", "stays")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, fresh, "left_semi").dropDuplicates(fresh)
+        kept = kept.join(repeated, fresh, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
