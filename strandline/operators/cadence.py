@@ -12,6 +12,8 @@ from strandline.operators.universe import month_ordinal
 
 #: Periods a year of each cadence.
 PERIODS = {"month": 12, "quarter": 4, "biweek": 26, "week": 52}
+#: Months of the schedules that have offsets.
+OFFSETS = {"quarter": 3, "half": 6}
 
 
 def schedule(days: DataFrame) -> DataFrame:
@@ -31,6 +33,19 @@ def schedule(days: DataFrame) -> DataFrame:
     return out
 
 
+def offset_schedule(days: DataFrame) -> DataFrame:
+    """cadence and date: the last day in ``days`` (date, distinct) of every third (quarter) and sixth (half) month, at each offset before the calendar's.
+
+    ``quarter-1`` ends in February, May, August and November, ``half-0`` in June and December. A month without a day gives no date.
+    """
+    ends = days.groupBy(F.trunc("date", "month")).agg(F.max("date").alias("date")).select("date")
+    each = [F.struct(F.lit(name).alias("name"), F.lit(length).alias("length")) for name, length in OFFSETS.items()]
+    kinds = ends.select("date", F.inline(F.array(*each)))
+    # the only offset whose months include this one
+    offset = F.pmod(F.col("length") - F.month("date") % F.col("length"), F.col("length"))
+    return kinds.select(F.format_string("%s-%d", "name", offset).alias("cadence"), "date")
+
+
 def periods(days: DataFrame, dates: DataFrame) -> DataFrame:
     """cadence, period (from 0), rebalance_date, entry_date (the next day there is) and exit_date (the following period's entry).
 

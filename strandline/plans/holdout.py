@@ -162,9 +162,16 @@ kn as (select candidate_id, period, sum(coalesce(weight * ret, 0)) as gross, sum
     count(weight) as held from km where (candidate_id, period) in (select (candidate_id, period) from kb) group by 1, 2)"""
 
 
-def _periods(spark, sf_dir, prices):
+_SCHEDULE = _CADENCE[_CADENCE.index("sch as (") : _CADENCE.index("ne as (")]
+_OFFSET_SCHEDULE = f"""me as (select max(date) as date from dd group by date_trunc('month', date)),
+sch as ({" union all ".join(f"select '{name}-{k}' as cadence, date from me where month(date) % {length} = ({length} - {k}) % {length}" for name, length in cadence.OFFSETS.items() for k in range(length))}),
+"""
+_OFFSET_NET = _CADENCE_NET.replace(_SCHEDULE, _OFFSET_SCHEDULE)
+
+
+def _periods(spark, sf_dir, prices, schedule=cadence.schedule):
     days = prices.select("date").distinct()
-    return cadence.periods(days, cadence.schedule(days))
+    return cadence.periods(days, schedule(days))
 
 
 def _adjusted(spark, sf_dir):
@@ -172,9 +179,9 @@ def _adjusted(spark, sf_dir):
     return daily(spark, sf_dir).select("number", "date", F.col("adj_open_sek").alias("open_sek"), F.col("adj_close_sek").alias("close_sek"))
 
 
-def _cadence_returns(spark, sf_dir):
+def _cadence_returns(spark, sf_dir, schedule=cadence.schedule):
     prices = _adjusted(spark, sf_dir)
-    spans, names = _periods(spark, sf_dir, prices), market.securities(spark, sf_dir).select("number")
+    spans, names = _periods(spark, sf_dir, prices, schedule), market.securities(spark, sf_dir).select("number")
     eligible = monthly(spark, sf_dir).where("reason = ''").select("number", "month")
     local = daily(spark, sf_dir).select("number", "date", F.col("adj_close").alias("close_sek"))
     scored = cadence.momentum(names, spans, local, LOOKBACK, SKIP).join(eligible, ["number", "month"], "left_semi").drop("month")
@@ -223,3 +230,23 @@ def cadence_periods(spark, sf_dir):
     """Rebalance, entry and exit dates of each cadence."""
     return _periods(spark, sf_dir, market.daily_prices(spark, sf_dir))
 
+
+@query(f"""{_OFFSET_NET}
+select cadence, period, rebalance_date, entry_date, exit_date from pe""")
+def offset_periods(spark, sf_dir):
+    """Rebalance, entry and exit dates of quarters and half-years at each of their offsets."""
+    return _periods(spark, sf_dir, market.daily_prices(spark, sf_dir), cadence.offset_schedule)
+
+
+@query(f"""{_OFFSET_NET},
+oc as (select candidate_id, count(*) as periods, avg(net) as m, stddev_samp(net) as s, product(1 + net) - 1 as total_return, sum(cost) as cost from kn group by 1),
+ok as (select *, case when periods >= 2 and s > 0 then m / s * sqrt(case when candidate_id like 'half%' then 2 else 4 end) else 0 end as sharpe from oc)
+select candidate_id, periods, round(sharpe, 5) as sharpe, round(total_return, 5) as total_return, round(cost, 5) as cost from ok""")
+def offset_comparison(spark, sf_dir):
+    """What momentum books earn by the month in which quarters and half-years are taken to end, each size of book (B8 over D5)."""
+    each = _cadence_returns(spark, sf_dir, cadence.offset_schedule).groupBy("candidate_id").agg(
+        F.count("*").alias("periods"), F.round(stats.sharpe(F.col("net"), 1), 12).alias("once"), stats.total_return(F.col("net")).alias("total_return"), F.sum("cost").alias("cost")
+    )
+    name = F.substring_index("candidate_id", "-", 1)
+    yearly = reduce(lambda c, k: F.when(name == k, F.sqrt(F.lit(12.0 / cadence.OFFSETS[k]))).otherwise(c), cadence.OFFSETS, F.lit(None))
+    return _rounded(each.withColumn("sharpe", F.col("once") * yearly), "candidate_id", "periods", "sharpe", "total_return", "cost", digits=5)

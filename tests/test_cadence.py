@@ -20,6 +20,18 @@ def test_periods(spark):
     assert [(s.period, s.entry_date.day, s.exit_date.day) for s in spans] == [(0, 4, 11), (1, 11, 29), (2, 29, 1), (3, 1, 26)]
 
 
+def test_offset_schedule(spark):
+    days = spark.createDataFrame([(date(2021 + k // 12, k % 12 + 1, d),) for k in range(18) for d in (3, 17, 26) if k != 7], "date date")  # no day in August 2021
+    got = {}
+    for r in cadence.offset_schedule(days).collect():
+        got.setdefault(r.cadence, set()).add(r.date)
+    assert set(got) == {f"quarter-{k}" for k in range(3)} | {f"half-{k}" for k in range(6)}
+    for name, length in (("quarter", 3), ("half", 6)):
+        for k in range(length):
+            assert got[f"{name}-{k}"] == {date(2021 + m // 12, m % 12 + 1, 26) for m in range(18) if m != 7 and (m % 12 + 1) % length == (length - k) % length}
+    assert cadence.offset_schedule(days.limit(0)).count() == 0
+
+
 def test_holding_returns_and_books(spark):
     spans = spark.createDataFrame([("week", 0, date(2021, 1, 1), date(2021, 1, 4), date(2021, 1, 11))], "cadence string, period int, rebalance_date date, entry_date date, exit_date date")
     rows = [(1, 4, 10.0, 9.0), (1, 11, 12.0, 1.0), (2, 4, 10.0, 9.0), (2, 5, 8.0, 8.0), (3, 5, 1.0, 1.0), (3, 11, 2.0, 2.0), (4, 4, 0.0, 5.0), (4, 11, 2.0, 2.0), (5, 4, 10.0, None), (5, 11, None, None)]
