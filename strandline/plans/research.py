@@ -472,6 +472,9 @@ def months_listed(spark, sf_dir):
 @query()
 def paper_ledger(spark, sf_dir):
     """Trades of every candidate's portfolio at the month's first open."""
-    due = monthly(spark, sf_dir).select("number", "month", F.col("next_execution_date").alias("date"))
-    prices = asof_join(due, daily(spark, sf_dir), ["number"], "date", ["adj_open_sek"], forward=True).select("number", "month", F.col("adj_open_sek").alias("price"))
+    # only names that a book ever holds: as many as books hold, whatever the universe; what is found on or after an execution starts a month
+    names = F.broadcast(book(spark, sf_dir).select("number").distinct())
+    due = monthly(spark, sf_dir).select("number", "month", F.col("next_execution_date").alias("date")).join(names, "number", "left_semi")
+    opens = daily(spark, sf_dir).where("starts_month").select("number", "date", "adj_open_sek").join(names, "number", "left_semi")
+    prices = asof_join(due, opens, ["number"], "date", ["adj_open_sek"], forward=True).select("number", "month", F.col("adj_open_sek").alias("price"))
     return ledger.ledger(book(spark, sf_dir), prices, ORDER_SEK, 40.0)
