@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.operators.asof import asof_join
+from strandline.operators.portfolio import foremost
 from strandline.operators.universe import CURRENCY_BPS, IMPACT, tiered_cost_bps, within_capacity
 
 
@@ -177,6 +178,7 @@ def strategy_returns(
     rows = scored.where("score is not null").select("lookback", "skip", "number", "month", "score", "median_value", variant.alias("variant"), gains.alias("gains"))
     rows = rows.select("*", F.inline("gains")).where("gain is not null").drop("gains").join(cells, ["lookback", "skip"]).where(enough)
     keys = [c for c in GROUP if c != "window_id"]
+    rows = foremost(rows, [*keys, "month"], F.col("top_n") + deepest, 2 * widest)
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "month").orderBy(F.desc("score"), "number"))).where(F.col("rank") <= widest).where(F.col("rank") <= F.col("top_n") + deepest)
     # the months that follow are those in which anything is traded, whatever lies between them
     traded = " or ".join(f"{r} is not null" for r in EXECUTIONS.values())
