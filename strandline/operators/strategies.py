@@ -188,6 +188,9 @@ def strategy_returns(
     wanted = best.join(places, "month").select(*keys, "number", F.inline(later)).join(places, "place").groupBy(*keys, "number", "month").agg(F.max("rank").alias("rank"))
 
     facts = scored.select("lookback", "skip", "number", "month", "score", "median_value", "market_cap_sek", "volatility", "close_sek", "currency", *variants.values(), *EXECUTIONS.values())
+    # of the universe only the rows that books ask for are shuffled
+    asked = wanted.select("lookback", "skip", "number", "month").distinct()
+    facts = facts.join(F.broadcast(asked), ["lookback", "skip", "number", "month"], "left_semi")
     full = wanted.join(facts, ["lookback", "skip", "number", "month"], "left")
     reason, gain = F.lit(None).cast("string"), F.lit(None).cast("double")
     for v, r in variants.items():
