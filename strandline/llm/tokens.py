@@ -143,7 +143,7 @@ class ChunkEncoder:
         while last > size and not self._begins(text, last):
             last = max(text.rfind(" ", 0, last), text.rfind("\n", 0, last))
         if last > size:
-            found = Chunk(head, [self.encode.pretoken[x] for x in head], self.encode.plain(text[size:last]), text[last:])
+            found = Chunk(head, [self.encode.piece(x) for x in head], self.encode.plain(text[size:last]), text[last:])
             self.used += len(raw) + len(found.middle) + 1000
         else:
             found = text
@@ -168,9 +168,9 @@ class ChunkEncoder:
         out = []
         for m in bpe.PATTERN.finditer(join + "".join(chunk.head)):
             j = starts.get(m.start(), 0)
-            if j and m.end() < size and chunk.head[j] == m[0] and self.encode.pretoken[m[0]] == chunk.ids[j]:
+            if j and m.end() < size and chunk.head[j] == m[0] and self.encode.piece(m[0]) == chunk.ids[j]:
                 return b"".join(out), j
-            out.append(self.encode.pretoken[m[0]])
+            out.append(self.encode.piece(m[0]))
         return b"", 0
 
     def plain(self, t: textbatch.Texts, i: int, ends: list[int]) -> bytes:
@@ -198,6 +198,7 @@ class ChunkEncoder:
     def ids(self, t: textbatch.Texts) -> Iterator[bytes]:
         """Packed identifiers of each text; what stands between special strings is encoded by itself."""
         special = self.vocabulary.special
+        bpe.foresee(self.encode, t.data)
         for i, ends in enumerate(chunk_ends(t)):
             raw = t.raw(i)
             if not any(name.encode() in raw for name in special):
