@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,13 @@ HEAD = 1 << 17
 #: Length of a vector, noise words for each batch, batch size, learning rate.
 SIZE, NOISE, BATCH, RATE = 16, 64, 4096, 0.05
 #: Numbers of a table that are multiplied at once, few enough for a processor's cache.
-FITS = 1 << 18
+FITS = 1 << 16
+#: Normalisers after two of the ``NEAR`` most frequent words (or a text's end, another word, a text's beginning) are kept by a worker: those of classes, and of the words of the ``KEPT`` first classes.
+NEAR, KEPT = 1024, 8
+#: Tokens from which a class's normalisers are kept, or exponentials are made for each different context that so many of them share; a table of these has so many numbers at most.
+MANY, COMMON, HELD = 4096, 4, 1 << 22
+#: Bytes of text that are scored at once: the more, the more contexts are shared.
+AT_ONCE = 4 << 20
 #: A frequent context and word is trained on in several rows of so many occurrences at most.
 TIMES = 8
 #: Tokens that a task holds before it trains on them; where the sums of squared gradients begin.
@@ -142,37 +148,75 @@ class LogBilinear:
         log_kq = np.log(unigram * NOISE).astype(np.float32)
         upto = np.cumsum(unigram)
         order = np.arange(len(ids)) if order is None else order
-        weight = np.float32(len(order) / ids[order, 3].sum() / BATCH) if len(order) else 0
-        seen = [np.full_like(x, START) for x in (self.context[0], self.context[1], self.target, self.bias)]
+        weight = np.float32(len(order) / ids[:, 3].take(order).sum() / BATCH) if len(order) else 0
+        places = (self.context[0], self.context[1], self.target, self.bias)
+        seen = [np.full_like(x, START) for x in places]
         for lo in range(0, len(order), BATCH):
-            a, b, word, times = ids[order[lo : lo + BATCH]].T
+            a, b, word, times = np.ascontiguousarray(ids.take(order[lo : lo + BATCH], 0).T)
             noise = np.minimum(np.searchsorted(upto, made.random(NOISE) * upto[-1], "right"), len(upto) - 1)
-            v = self.context[0, a] + self.context[1, b]
-            own, other = self.target[word], self.target[noise]
-            good = np.einsum("ij,ij->i", v, own) + self.bias[word] - log_kq[word]
+            v = self.context[0].take(a, 0)
+            v += self.context[1].take(b, 0)
+            own, other = self.target.take(word, 0), self.target.take(noise, 0)
+            good = np.einsum("ij,ij->i", v, own) + self.bias.take(word) - log_kq.take(word)
             g = times.astype(np.float32) * weight
             g_good = g / (1 + np.exp(np.clip(good, -30, 30)))
             g_bad = v @ -other.T  # in place from here on: the score against noise, its odds, the gradient
-            g_bad -= self.bias[noise] - log_kq[noise]
-            np.clip(g_bad, -30, 30, out=g_bad)
-            np.exp(g_bad, out=g_bad)
-            g_bad += 1
-            np.divide(-g[:, None], g_bad, out=g_bad)
-            to_v = g_good[:, None] * own + g_bad @ other
+            less = self.bias[noise] - log_kq[noise]
+            for at in range(0, len(v), FITS // NOISE):
+                part = g_bad[at : at + FITS // NOISE]
+                part -= less
+                np.clip(part, -30, 30, out=part)
+                np.exp(part, out=part)
+                part += 1
+                np.divide(-g[at : at + FITS // NOISE, None], part, out=part)
+            own *= g_good[:, None]
+            own += g_bad @ other
             to_target = np.concatenate([g_good[:, None] * v, g_bad.T @ v])
-            to_bias = np.concatenate([g_good, g_bad.sum(0)])
-            for x, s, at, grad in (
-                (self.context[0], seen[0], a, to_v),
-                (self.context[1], seen[1], b, to_v),
-                (self.target, seen[2], np.append(word, noise), to_target),
-                (self.bias, seen[3], np.append(word, noise), to_bias),
-            ):
-                by = np.argsort(at, kind="stable")
-                own = at[by]
-                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                own, grad = own[first], np.add.reduceat(grad[by], first)
-                s[own] += grad * grad
-                x[own] += RATE * grad / np.sqrt(s[own])
+            to_bias = np.concatenate([g_good, np.ones(len(v), np.float32) @ g_bad])
+            targets = Runs.of(np.append(word, noise))
+            for x, s, runs, grad in zip(places, seen, (Runs.of(a), Runs.of(b), targets, targets), (own, own, to_target, to_bias), strict=True):
+                grad = runs.sums(grad)
+                squares = s.take(runs.at, 0)
+                squares += grad * grad
+                _put(s, runs.at, squares)
+                grad *= np.float32(RATE)
+                grad /= np.sqrt(squares, out=squares)
+                grad += x.take(runs.at, 0)
+                _put(x, runs.at, grad)
+
+
+class Runs:
+    """The different places ``at`` of a batch's rows, sorted, and how rows of one place are added up."""
+
+    def __init__(self, at: np.ndarray, lead: np.ndarray, shared: np.ndarray, rows: np.ndarray, begin: np.ndarray) -> None:
+        self.at, self.lead, self.shared, self.rows, self.begin = at, lead, shared, rows, begin
+
+    @classmethod
+    def of(cls, at: np.ndarray) -> Runs:
+        bits = len(at).bit_length()
+        key = np.sort(at.astype(np.int64) << bits | np.arange(len(at)))  # faster than a stable argsort, in the same order
+        by, at = key & (1 << bits) - 1, key >> bits
+        new = np.ones(len(at) + 1, bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:-1])
+        first = np.flatnonzero(new[:-1])
+        many = ~(new[:-1] & new[1:])
+        return cls(at[first], by[first], np.flatnonzero(many[first]), by[many], np.flatnonzero(new[:-1][many]))
+
+    def sums(self, grad: np.ndarray) -> np.ndarray:
+        """The sum of rows for each place; most places have one row only."""
+        out = grad.take(self.lead, 0)
+        if len(self.shared):
+            out[self.shared] = np.add.reduceat(grad.take(self.rows, 0), self.begin)
+        return out
+
+
+def _put(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Set rows of ``x``, each as one piece of memory."""
+    if x.ndim == 1:
+        x[at] = rows
+    else:
+        whole = np.dtype((np.void, x[0].nbytes))
+        x.view(whole)[:, 0][at] = rows.view(whole)[:, 0]
 
 
 @dataclass
@@ -185,6 +229,7 @@ class Factored:
 
     model: LogBilinear
     begin: np.ndarray
+    kept: dict[int, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
     def classes(own: int) -> np.ndarray:
@@ -192,63 +237,124 @@ class Factored:
         return np.append(np.arange(0, own, size), [own, own + 1, own + 2])
 
     def scores(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        model, own = self.model, self.begin[-3]
-        cls = np.searchsorted(self.begin, ids, "right") - 1
-        out = self._log_softmax(one, two, slice(own, None), cls)
-        order = np.argsort(cls, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-            if len(rows) and (k := cls[rows[0]]) < len(self.begin) - 3:
-                words = slice(self.begin[k], self.begin[k + 1])
-                out[rows] += self._log_softmax(one[rows], two[rows], words, ids[rows] - words.start)
+        model, own = self.model, int(self.begin[-3])
+        classes = len(self.begin) - 1
+        cls = np.repeat(np.arange(classes, dtype=np.int16 if classes < 1 << 15 else np.int64), np.diff(self.begin)).take(ids)
+        order = np.argsort(cls, kind="stable")  # a radix sort where there are few classes
+        cls, one, two, ids = cls.take(order), one.take(order), two.take(order), ids.take(order)
+        v = model.context[0].take(one, 0)
+        v += model.context[1].take(two, 0)
+        found = self._log_softmax(-1, slice(own, None), v, one, two, cls.astype(np.int32) + own)
+        ends = np.searchsorted(cls, np.arange(classes - 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            rows = slice(ends[k], ends[k + 1])
+            found[rows] += self._log_softmax(k, slice(self.begin[k], self.begin[k + 1]), v[rows], one[rows], two[rows], ids[rows])
+        out = np.empty(len(found))
+        out[order] = found
         return out / np.log(10)
 
-    def _log_softmax(self, one: np.ndarray, two: np.ndarray, targets: slice, pick: np.ndarray) -> np.ndarray:
-        """log of the share of target ``pick`` among ``targets`` after the contexts.
-
-        The exponential of a sum is a product, so exponentials are made for each different context of a place, not for each token;
-        the normaliser is the product sum of two rows.
-        """
+    def _log_softmax(self, k: int, targets: slice, v: np.ndarray, one: np.ndarray, two: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """log of the share of target ``pick`` among ``targets``, the words of class ``k`` or (-1) the classes, after the contexts, whose vectors' sum is ``v``."""
         model = self.model
-        target, bias = model.target[targets], model.bias[targets]
-        if len(one) < 4096:  # few tokens have few contexts in common
-            x = (model.context[0, one] + model.context[1, two]) @ target.T
-            x += bias
-            return _log_share(x, pick)
-        parts = []
-        for k, places in enumerate((one, two)):
-            met = np.zeros(model.context.shape[1], bool)
-            met[places] = True
-            x = model.context[k, met] @ target.T
-            if k:
-                x += bias
-            top = x.max(1)
-            x -= top[:, None]
-            parts.append((np.exp(x, out=x), top, (np.cumsum(met) - 1)[places]))
-        (e1, top1, at1), (e2, top2, at2) = parts
-        out = np.empty(len(one))
+        out = np.empty(len(v))
+        for lo in range(0, len(v), FITS // SIZE):
+            part = slice(lo, lo + FITS // SIZE)
+            out[part] = np.einsum("ij,ij->i", v[part], model.target.take(pick[part], 0)) + model.bias.take(pick[part])
+        if len(v) < MANY:
+            return out - self._log_norm(targets, v)
+        if k >= KEPT:
+            return out - self._log_norms(targets, v, one, two)
+        kept, own = self._near(k, targets), int(self.begin[-3])
+        n = len(kept) - 3
+        i, j = (np.where(x < n, x, x - (own - n)) for x in (one, two))
+        near = ((one < n) | (one >= own)) & ((two < n) | (two >= own))
+        norm = kept.ravel().take(np.where(near, i * len(kept) + j, 0))
+        rest = np.flatnonzero(~near | np.isnan(norm))
+        norm[rest] = self._log_norms(targets, v.take(rest, 0), one.take(rest), two.take(rest))
+        return out - norm
+
+    def _near(self, k: int, targets: slice) -> np.ndarray:
+        """``_log_norms`` for any two of the most frequent words and the last three contexts, by one matrix product; NaN where that is too small."""
+        if k not in self.kept:
+            own = int(self.begin[-3])
+            at = np.append(np.arange(min(NEAR, own)), own + np.arange(3))
+            (e1, top1), (e2, top2) = (self._odds(place, at, targets) for place in (0, 1))
+            norm = e1 @ e2.T
+            norm[norm < 1e-20] = np.nan
+            np.log(norm, out=norm)
+            norm += top1[:, None]
+            norm += top2
+            self.kept[k] = norm
+        return self.kept[k]
+
+    def _odds(self, place: int, at: np.ndarray, targets: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the targets' scores after contexts ``at`` of a place, over the greatest of each, and the log of that; biases count in the second place."""
+        x = self.model.context[place].take(at, 0) @ self.model.target[targets].T
+        if place:
+            x += self.model.bias[targets]
+        top = x.max(1)
+        x -= top[:, None]
+        return np.exp(x, out=x), top
+
+    def _log_norms(self, targets: slice, v: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log of the sum over the targets of the exponentials of their scores.
+
+        The exponential of a sum is a product, so where tokens have contexts in common, exponentials are made for each different context
+        of a place, not for each token; the normaliser is the product sum of two rows.
+        """
+        if len(v) < MANY:
+            return self._log_norm(targets, v)
+        contexts, width = self.model.context.shape[1], len(self.model.bias[targets])
+        places = []
+        for x in (one, two):
+            times = np.bincount(x, minlength=contexts)
+            common = np.flatnonzero(times >= COMMON)
+            if len(common) > (most := HELD // width):
+                common = common[np.argsort(-times[common], kind="stable")[:most]]
+            number = np.full(contexts, -1, np.int32)
+            number[common] = np.arange(len(common))
+            places.append((common, number.take(x)))
+        (at1, i), (at2, j) = places
+        both = (i >= 0) & (j >= 0)
+        pairs, rest = np.flatnonzero(both), np.flatnonzero(~both)
+        if COMMON * (len(at1) + len(at2)) > 2 * len(pairs):
+            return self._log_norm(targets, v)
+        (e1, top1), (e2, top2) = self._odds(0, at1, targets), self._odds(1, at2, targets)
+        i, j = i.take(pairs), j.take(pairs)
+        norm = np.empty(len(pairs), np.float32)
         step = max(16, FITS // e1.shape[1])
-        for lo in range(0, len(one), step):
+        for lo in range(0, len(pairs), step):
             part = slice(lo, lo + step)
-            i, j, v = at1[part], at2[part], model.context[0, one[part]] + model.context[1, two[part]]
-            norm = np.einsum("ij,ij->i", e1[i], e2[j])
-            out[part] = np.einsum("ij,ij->i", v, target[pick[part]]) + bias[pick[part]] - top1[i] - top2[j] - np.log(np.maximum(norm, 1e-37))
-            if norm.min() < 1e-20:  # the two places' scores are so far apart that products vanish
-                far = np.flatnonzero(norm < 1e-20)
-                out[part][far] = _log_share(v[far] @ target.T + bias, pick[part][far])
+            norm[part] = np.einsum("ij,ij->i", e1.take(i[part], 0), e2.take(j[part], 0))
+        out = np.empty(len(v), np.float32)
+        out[pairs] = np.log(np.maximum(norm, 1e-37)) + top1.take(i) + top2.take(j)
+        rest = np.append(rest, pairs[norm < 1e-20])  # the two places' scores are so far apart that products vanish
+        out[rest] = self._log_norm(targets, v.take(rest, 0))
         return out
 
-
-def _log_share(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """log of the softmax of each row of ``x``, which is used up, at ``pick``."""
-    x -= x.max(1, keepdims=True)
-    found = x[np.arange(len(x)), pick]
-    np.exp(x, out=x)
-    return found - np.log(x.sum(1))
+    def _log_norm(self, targets: slice, v: np.ndarray) -> np.ndarray:
+        """The same, by exponentials for each row of ``v``."""
+        target, bias = self.model.target[targets], self.model.bias[targets]
+        out = np.empty(len(v), np.float32)
+        step = max(16, FITS // len(target))
+        odds = np.exp(bias)
+        # no score, bias or odds can pass what a float holds, so none is taken from another
+        near = len(v) and np.abs(bias).max() < 30 and np.einsum("ij,ij->i", v, v).max() * np.einsum("ij,ij->i", target, target).max() < 40**2
+        for lo in range(0, len(v), step):
+            x = v[lo : lo + step] @ target.T
+            if near:
+                out[lo : lo + step] = np.log(np.exp(x, out=x) @ odds)
+            else:
+                x += bias
+                top = x.max(1)
+                x -= top[:, None]
+                out[lo : lo + step] = np.log(np.exp(x, out=x).sum(1)) + top
+        return out
 
 
 def _contexts(ids: np.ndarray, first: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """The word before each, and the one before that; ``blank`` before a text's beginning."""
-    one, two = np.full(len(ids), blank), np.full(len(ids), blank)
+    one, two = np.full((2, len(ids)), blank, ids.dtype)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     begins = first[:-1]
     one[begins] = two[begins] = blank
@@ -392,9 +498,9 @@ def language_model_scores(docs: DataFrame, folds: int = 10, held: int = 0, id_co
         words = Words(tokens)
         part, row = TaskContext.get().partitionId() << 33, 0
         log_n = np.log10(np.append(n, 0) + ALPHA)  # place -1: unseen, or in the tail
-        of_place = np.append(place, -1)
+        of_place = np.append(place, -1).astype(np.int32)
         for batch in batches:
-            for lo, t in textbatch.texts(batch.column("text")):
+            for lo, t in textbatch.texts(batch.column("text"), AT_ONCE):
                 found, first = sequences(t)
                 at = words.find(found)
                 ids = of_place[at]
