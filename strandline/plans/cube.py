@@ -151,12 +151,10 @@ def _controls(spark, sf_dir):
         cap, vol = F.when(F.col("market_cap_sek") > 0, F.col("market_cap_sek")), F.when(F.col("volatility") > 0, 1 / F.col("volatility"))
         raw = F.when(F.col("weighting") == "cap", cap).when(F.col("weighting") == "inv_vol", vol).otherwise(1.0)
         by = ["strategy_id", "top_n"]
-        months = controls.month_arrays(able, by, raw)
-        months = axis.join(months, [*by, "month"], "left").join(F.broadcast(off(spark, sf_dir)), "month", "left")
         is_on = ~F.coalesce(F.array_contains("off", F.col("average")), F.lit(False))
-        months = months.select(*by, "month", F.coalesce("base", F.lit(0.0)).alias("base"), F.coalesce("names", F.array().cast("array<struct<below: double, number: bigint, ret: double, raw: double>>")).alias("names"), is_on.alias("is_on"))
+        months = axis.join(F.broadcast(off(spark, sf_dir)), "month", "left").select(*by, "month", is_on.alias("is_on"))
         in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("month", c))), lambda x: x[c])
-        shuffled = controls.selections(months, by, SHUFFLES, SHUFFLE_SEED).groupBy(*by, "run").agg(in_order("excess").alias("rets")).withColumn("control", F.lit(GATED))
+        shuffled = controls.selected(able.select(*by, "month", "number", "score", "ret", raw.cast("double").alias("raw")), months, by, SHUFFLES, SHUFFLE_SEED).groupBy(*by, "run").agg(in_order("excess").alias("rets")).withColumn("control", F.lit(GATED))
         net = returns(spark, sf_dir).where(_PRIMARY).join(chosen.select(*by), by).join(F.broadcast(_benchmark(spark, sf_dir)), "month", "left")
         both = net.groupBy(*by).agg(F.count("base").alias("known"), F.count("*").alias("months"), in_order("net").alias("own"), in_order("base").alias("base"))
         excess = F.when(F.col("known") == F.col("months"), F.zip_with("own", "base", lambda a, b: F.round(a - b, 12))).otherwise(F.transform("own", lambda a: F.round(a, 12)))
