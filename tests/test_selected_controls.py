@@ -60,7 +60,7 @@ from strandline.operators import controls
 spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "512m").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
 rows = spark.range(60000).select(F.lit("c").alias("candidate"), F.lit(1).alias("month"), F.col("id").alias("number"), (F.col("id") % 997 / 997.0).alias("score"), (F.col("id") % 89 / 89.0 - 0.5).alias("ret"))
 months = controls.month_arrays(rows, ["candidate"], F.lit(1.0)).withColumns({"top_n": F.lit(10), "is_on": F.lit(True)})
-print("runs", len({r.excess for r in controls.selections(months, ["candidate"], 200, 11).collect()}))
+print("runs", len([r.excess for r in controls.selections(months, ["candidate"], 200, 11).collect()]))
 spark.stop()
 """
     env = {**os.environ, "PYTHONPATH": f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"}
